@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from . import angles, arrays, checks, places, shade, spatial, strings, tiles  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
 FLAGSHIP = "win01_sunny_windows"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
