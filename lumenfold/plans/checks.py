@@ -1 +1,272 @@
-"""To come."""
+"""Diagnostics: comparisons of runs, quality checks, histograms and statistics."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.numbers import half_up
+from ..operators import checks, windows
+from ..sources.tables import Tables
+from .registry import query
+
+
+@query("join21_compare_runs", "SELECT a.az_b, count(*) AS n, CAST(sum(CASE WHEN (a.v > 25) <> (b.v > 25) THEN 1 ELSE 0 END) AS BIGINT) AS differing FROM (SELECT az_b, alt_b, max(value) AS v FROM buckets WHERE tile = 1 GROUP BY 1, 2) a JOIN (SELECT az_b, alt_b, max(value) AS v FROM buckets WHERE tile = 2 GROUP BY 1, 2) b USING (az_b, alt_b) GROUP BY a.az_b", "buckets")
+def _(t: Tables) -> DataFrame:
+    run = lambda k, v: t.buckets().where(f"tile = {k}").groupBy("az_b", "alt_b").agg((F.max("value") > 25).alias(v))
+    j = run(1, "a").join(run(2, "b"), ["az_b", "alt_b"])
+    return j.groupBy("az_b").agg(F.count("*").alias("n"), F.count_if(F.col("a") != F.col("b")).alias("differing"))
+
+
+@query("join29_divergent_points", "SELECT az_b, alt_b, CASE WHEN a.v THEN 'left only' ELSE 'right only' END AS direction FROM (SELECT az_b, alt_b, max(value) > 25 AS v FROM buckets WHERE tile = 1 GROUP BY 1, 2) a JOIN (SELECT az_b, alt_b, max(value) > 25 AS v FROM buckets WHERE tile = 2 GROUP BY 1, 2) b USING (az_b, alt_b) WHERE a.v <> b.v ORDER BY az_b, alt_b LIMIT 200", "buckets")
+def _(t: Tables) -> DataFrame:
+    run = lambda k, v: t.buckets().where(f"tile = {k}").groupBy("az_b", "alt_b").agg((F.max("value") > 25).alias(v))
+    j = run(1, "a").join(run(2, "b"), ["az_b", "alt_b"]).where("a <> b")
+    return j.select("az_b", "alt_b", F.when(F.col("a"), "left only").otherwise("right only").alias("direction")).orderBy("az_b", "alt_b").limit(200)
+
+
+@query("set07_unmatched", "SELECT (SELECT count(*) FROM (SELECT az_b FROM buckets WHERE tile = 1 AND alt_b = 1 EXCEPT SELECT az_b FROM buckets WHERE tile = 2 AND alt_b = 1)) AS only_a, (SELECT count(*) FROM (SELECT az_b FROM buckets WHERE tile = 2 AND alt_b = 1 EXCEPT SELECT az_b FROM buckets WHERE tile = 1 AND alt_b = 1)) AS only_b, (SELECT count(*) FROM (SELECT az_b FROM buckets WHERE tile = 2 AND alt_b = 1 INTERSECT SELECT az_b FROM buckets WHERE tile = 1 AND alt_b = 1)) AS both", "buckets")
+def _(t: Tables) -> DataFrame:
+    b = t.buckets().where("alt_b = 1")
+    return checks.unmatched(b.where("tile = 1"), b.where("tile = 2"), "az_b")
+
+
+@query("agg14_distinct_warnings", "SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS warnings FROM events WHERE value < 0.5 GROUP BY user_id")
+def _(t: Tables) -> DataFrame:
+    return t.events().where("value < 0.5").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("warnings"))
+
+
+@query("agg15_run_summary", "SELECT count(*) AS runs, count(*) FILTER (WHERE region = 'F') AS complete, floor(sum(size) * 100 + 0.5) / 100 AS size FROM runs", "runs")
+def _(t: Tables) -> DataFrame:
+    return t.runs().agg(F.count("*").alias("runs"), F.count_if(F.col("region") == "F").alias("complete"), half_up(F.sum("size"), 2).alias("size"))
+
+
+@query("agg18_obstacle_dedup", "SELECT k, max(max_z) AS max_z, arg_max(id, (max_z, -id)) AS id, count(*) AS n FROM (SELECT *, floor(min_x / 60) || ':' || floor(min_y / 60) AS k FROM obstacles) GROUP BY k", "obstacles")
+def _(t: Tables) -> DataFrame:
+    key = F.concat_ws(":", *(F.floor(F.col(c) / 60).cast("double").cast("string") for c in ("min_x", "min_y")))
+    return t.obstacles().groupBy(key.alias("k")).agg(F.max("max_z").alias("max_z"), F.max_by("id", F.struct("max_z", -F.col("id"))).alias("id"), F.count("*").alias("n"))
+
+
+@query("agg19_latest_version", "SELECT tile, arg_max(ord, (version, ord, line)) AS ord FROM buckets GROUP BY tile", "buckets")
+def _(t: Tables) -> DataFrame:
+    return t.buckets().groupBy("tile").agg(F.max_by("ord", F.struct("version", "ord", "line")).alias("ord"))
+
+
+@query("agg20_terrain_pick", "SELECT tile, ord, line FROM (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY year(version) DESC, value, ord, line) AS r FROM buckets) WHERE r = 1", "buckets")
+def _(t: Tables) -> DataFrame:
+    return windows.first_by(t.buckets(), ["tile"], [F.desc(F.year("version")), F.col("value"), F.col("ord"), F.col("line")]).select("tile", "ord", "line")
+
+
+@query("agg21_kind_priority", "SELECT region, arg_min(run, (priority, run)) AS run FROM runs GROUP BY region", "runs")
+def _(t: Tables) -> DataFrame:
+    return t.runs().groupBy("region").agg(F.min_by("run", F.struct("priority", "run")).alias("run"))
+
+
+_NEAREST = "list_sort(list({v}))[least(count(*), CAST(floor({q} * count(*)) AS BIGINT) + 1)]"
+
+
+@query("agg27_nearest_rank", f"SELECT region, floor(avg(size) * 1e4 + 0.5) / 1e4 AS mean, {_NEAREST.format(v='size', q='0.5e0')} AS p50, {_NEAREST.format(v='size', q='0.95e0')} AS p95, {_NEAREST.format(v='size', q='0.99e0')} AS p99, max(size) AS top FROM runs GROUP BY region", "runs")
+def _(t: Tables) -> DataFrame:
+    q = {f"p{p}": windows.nearest_rank(F.col("size"), p / 100) for p in (50, 95, 99)}
+    return t.runs().groupBy("region").agg(half_up(F.avg("size"), 4).alias("mean"), *(c.alias(n) for n, c in q.items()), F.max("size").alias("top"))
+
+
+@query("agg29_sunny_histogram", "WITH p AS (SELECT point, avg(CASE WHEN is_sunny THEN 100e0 ELSE 0e0 END) AS pct FROM samples GROUP BY point) SELECT CAST(floor(pct / 5) * 5 AS INTEGER) AS bin, count(*) AS n, count(*) FILTER (WHERE pct > 85) AS suspects FROM p GROUP BY 1", "samples")
+def _(t: Tables) -> DataFrame:
+    p = t.samples().groupBy("point").agg(F.avg(F.when(F.col("is_sunny"), 100.0).otherwise(0.0)).alias("pct"))
+    return p.groupBy((F.floor(F.col("pct") / 5) * 5).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.count_if(F.col("pct") > 85).alias("suspects"))
+
+
+@query("agg30_bucket_counts", "WITH c AS (SELECT tile, count(DISTINCT (az_b, alt_b)) AS n FROM buckets GROUP BY tile) SELECT n // 100 AS hundreds, count(*) AS tiles, count(*) FILTER (WHERE n < 1900) AS partial FROM c GROUP BY 1", "buckets")
+def _(t: Tables) -> DataFrame:
+    c = t.buckets().select("tile", "az_b", "alt_b").distinct().groupBy("tile").agg(F.count("*").alias("n"))
+    return c.groupBy(F.floor(F.col("n") / 100).alias("hundreds")).agg(F.count("*").alias("tiles"), F.count_if(F.col("n") < 1900).alias("partial"))
+
+
+@query("agg32_mismatch_pivot", "SELECT region, count(*) FILTER (WHERE priority < '3' AND size < 100000) AS sun_shade, count(*) FILTER (WHERE priority >= '3' AND size >= 100000) AS shade_sun, count(*) AS n FROM runs GROUP BY region", "runs")
+def _(t: Tables) -> DataFrame:
+    a, b = F.col("priority") < "3", F.col("size") >= 100000
+    return t.runs().groupBy("region").agg(F.count_if(a & ~b).alias("sun_shade"), F.count_if(~a & b).alias("shade_sun"), F.count("*").alias("n"))
+
+
+@query("agg33_reasons", "SELECT priority AS reason, count(*) AS n FROM runs WHERE size < 50000 GROUP BY 1", "runs")
+def _(t: Tables) -> DataFrame:
+    return t.runs().where("size < 50000").groupBy(F.col("priority").alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("agg35_strategies", "WITH p AS (SELECT owner, sum(CASE WHEN priority < '3' THEN 1 ELSE 0 END) AS m, abs(sum(CASE WHEN region = 'F' THEN 1 ELSE -1 END)) AS d FROM runs GROUP BY owner) SELECT CAST(sum(m) AS BIGINT) AS mismatches, count(*) FILTER (WHERE m > 0) AS points, floor(avg(d) * 1e9 + 0.5) / 1e9 AS mean_delta, CAST(max(d) AS BIGINT) AS max_delta FROM p", "runs")
+def _(t: Tables) -> DataFrame:
+    p = t.runs().groupBy("owner").agg(F.count_if(F.col("priority") < "3").alias("m"), F.abs(F.sum(F.when(F.col("region") == "F", 1).otherwise(-1))).alias("d"))
+    return p.agg(F.sum("m").alias("mismatches"), F.count_if(F.col("m") > 0).alias("points"), half_up(F.avg("d"), 9).alias("mean_delta"), F.max("d").alias("max_delta"))
+
+
+@query("agg39_content_hash", "SELECT region, left(sha256(string_agg(CAST(run AS VARCHAR), ',' ORDER BY run)), 16) AS hash FROM runs GROUP BY region", "runs")
+def _(t: Tables) -> DataFrame:
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list("run")), lambda r: r.cast("string")), ",")
+    return t.runs().groupBy("region").agg(F.substring(F.sha2(ids, 256), 1, 16).alias("hash"))
+
+
+@query("agg40_histogram_quantile", "WITH b AS (SELECT CAST(least(5000, floor(value * 100)) AS BIGINT) AS bin, count(*) AS n FROM events GROUP BY 1), c AS (SELECT bin, sum(n) OVER (ORDER BY bin) AS run FROM b) SELECT min(bin) AS p95 FROM c WHERE run >= 0.95e0 * (SELECT count(*) FROM events)")
+def _(t: Tables) -> DataFrame:
+    b = t.events().groupBy(F.least(F.lit(5000), F.floor(F.col("value") * 100)).alias("bin")).agg(F.count("*").alias("n"))
+    running = b.withColumn("run", F.sum("n").over(Window.orderBy("bin"))).withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(0))))
+    return running.where("run >= 0.95D * total").agg(F.min("bin").alias("p95"))
+
+
+@query("agg42_histogram_and_caps", "SELECT cap, count(*) FILTER (WHERE size <= cap * 50000) AS kept, count(*) FILTER (WHERE size > cap * 50000) AS dropped FROM runs, (VALUES (1), (3), (5)) v(cap) GROUP BY cap", "runs")
+def _(t: Tables) -> DataFrame:
+    each = t.runs().select("size", F.explode(F.array(*map(F.lit, (1, 3, 5)))).alias("cap"))
+    return each.groupBy("cap").agg(F.count_if(F.col("size") <= F.col("cap") * 50000).alias("kept"), F.count_if(F.col("size") > F.col("cap") * 50000).alias("dropped"))
+
+
+@query("agg43_day_transitions", "WITH d AS (SELECT point, CAST(ts AS DATE) AS day, avg(CASE WHEN is_sunny THEN 1e0 ELSE 0e0 END) > 0.8 AS s FROM samples GROUP BY 1, 2), l AS (SELECT *, lag(s) OVER (PARTITION BY point ORDER BY day) AS p FROM d) SELECT day, count(*) FILTER (WHERE p <> s) AS changed, count(*) FILTER (WHERE s AND NOT p) AS became_sunny, count(*) FILTER (WHERE p AND NOT s) AS became_shaded FROM l GROUP BY day", "samples")
+def _(t: Tables) -> DataFrame:
+    d = t.samples().groupBy("point", F.to_date("ts").alias("day")).agg((F.avg(F.col("is_sunny").cast("double")) > 0.8).alias("s"))
+    was = d.withColumn("p", F.lag("s").over(Window.partitionBy("point").orderBy("day")))
+    return was.groupBy("day").agg(F.count_if(F.col("p") != F.col("s")).alias("changed"), F.count_if(F.col("s") & ~F.col("p")).alias("became_sunny"), F.count_if(F.col("p") & ~F.col("s")).alias("became_shaded"))
+
+
+@query("agg44_phase_table", "SELECT phase, count(*) AS n, floor(avg(v) * 1e6 + 0.5) / 1e6 AS mean, max(v) AS top FROM (SELECT 'tax' AS phase, l_tax AS v FROM lineitem UNION ALL SELECT 'discount', l_discount FROM lineitem UNION ALL SELECT 'quantity', l_quantity FROM lineitem) GROUP BY phase")
+def _(t: Tables) -> DataFrame:
+    long = t.read("lineitem").select(F.col("l_tax").alias("tax"), F.col("l_discount").alias("discount"), F.col("l_quantity").alias("quantity")).unpivot([], ["tax", "discount", "quantity"], "phase", "v")
+    return long.groupBy("phase").agg(F.count("*").alias("n"), half_up(F.avg("v"), 6).alias("mean"), F.max("v").alias("top"))
+
+
+@query("agg41_in_flight")
+def _(t: Tables) -> DataFrame:
+    """Requests in flight by route at the end and at most; a decrement never goes below 0, so each route is folded in order."""
+    delta = F.when(F.col("event_type") == "error", -1).otherwise(1)
+    ordered = t.events().groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", delta.alias("d")))).alias("e"))
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
+
+    def step(a, x):
+        now = F.greatest(F.lit(0), a["now"] + x["d"])
+        return F.struct(now.alias("now"), F.greatest(a["top"], now).alias("top"))
+
+    return ordered.select("user_id", F.aggregate("e", zero, step).alias("s")).select("user_id", "s.now", "s.top")
+
+
+@query("win07_accepted_warnings")
+def _(t: Tables) -> DataFrame:
+    """Warnings at least an hour after the last accepted one of their user."""
+    return windows.accepted_events(t.events(), ["user_id"], "ts", 3600)
+
+
+@query("win13_counter_deltas", "WITH l AS (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) SELECT user_id, floor(avg(CASE WHEN p <> 0 THEN (value - p) / p END) * 1e6 + 0.5) / 1e6 AS mean FROM l GROUP BY user_id")
+def _(t: Tables) -> DataFrame:
+    p = F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    d = t.events().withColumn("p", p)
+    return d.groupBy("user_id").agg(half_up(F.avg(F.when(F.col("p") != 0, (F.col("value") - F.col("p")) / F.col("p"))), 6).alias("mean"))
+
+
+@query("win15_first_transitions", "WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, hour(ts) * 60 + minute(ts) AS m, event_type = 'error' AS b, lag(event_type = 'error') OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS p FROM events) SELECT user_id, day, min(m) FILTER (WHERE b AND NOT p AND m >= 720) AS first_blocked, min(m) FILTER (WHERE p AND NOT b AND m <= 720) AS first_release FROM d GROUP BY 1, 2")
+def _(t: Tables) -> DataFrame:
+    day, b = F.to_date("ts"), F.col("event_type") == "error"
+    d = t.events().select("user_id", "ts", "event_id", day.alias("day"), (F.hour("ts") * 60 + F.minute("ts")).alias("m"), b.alias("b"))
+    d = d.withColumn("p", F.lag("b").over(Window.partitionBy("user_id", "day").orderBy("ts", "event_id")))
+    return d.groupBy("user_id", "day").agg(
+        F.min(F.when(F.col("b") & ~F.col("p") & (F.col("m") >= 720), F.col("m"))).cast("bigint").alias("first_blocked"),
+        F.min(F.when(F.col("p") & ~F.col("b") & (F.col("m") <= 720), F.col("m"))).cast("bigint").alias("first_release"),
+    )
+
+
+@query("win06_hysteresis")
+def _(t: Tables) -> DataFrame:
+    """Render mode by user: coarse above 8, fine below 2, else as before; folded in order of time."""
+    e = t.events().groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("e"))
+    mode = F.aggregate("e", F.lit("fine"), lambda m, x: F.when(x["value"] > 8, "coarse").when(x["value"] < 2, "fine").otherwise(m))
+    return e.select("user_id", mode.alias("mode"))
+
+
+_CELLS = "ce AS (SELECT DISTINCT id % 37 AS i, id % 23 AS j FROM obstacles WHERE id % 3 > 0 AND id < 900)"
+
+
+def _cells(t: Tables) -> DataFrame:
+    return t.obstacles().where("id % 3 > 0 and id < 900").select((F.col("id") % 37).alias("i"), (F.col("id") % 23).alias("j")).distinct()
+
+
+@query("set06_outline_edges", f"WITH {_CELLS}, e AS (SELECT i AS x1, j AS y1, i + 1 AS x2, j AS y2 FROM ce UNION ALL SELECT i, j + 1, i + 1, j + 1 FROM ce UNION ALL SELECT i, j, i, j + 1 FROM ce UNION ALL SELECT i + 1, j, i + 1, j + 1 FROM ce) SELECT x1, y1, x2, y2 FROM e GROUP BY ALL HAVING count(*) = 1", "obstacles")
+def _(t: Tables) -> DataFrame:
+    return checks.outline_edges(_cells(t))
+
+
+@query("set09_components", f"""WITH RECURSIVE {_CELLS.replace('ce AS', 'obst AS MATERIALIZED (SELECT 1), ce AS')}, r(i, j, ci, cj) AS (SELECT i, j, i, j FROM ce UNION SELECT ce.i, ce.j, r.ci, r.cj FROM r JOIN ce ON abs(ce.i - r.i) + abs(ce.j - r.j) = 1) SELECT i, j, min((ci, cj))[1] AS ci, min((ci, cj))[2] AS cj FROM r GROUP BY i, j""".replace("FROM obstacles", "FROM (SELECT p_partkey AS id FROM part)"))
+def _(t: Tables) -> DataFrame:
+    return checks.components(_cells(t)).select("i", "j", F.col("component.i").alias("ci"), F.col("component.j").alias("cj"))
+
+
+@query("set10_filled")
+def _(t: Tables) -> DataFrame:
+    return checks.filled(_cells(t))
+
+
+@query("set11_priority_union", "SELECT owner, src, run FROM (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY src, run) AS r FROM (SELECT owner, run, CASE region WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS src FROM runs)) WHERE r = 1", "runs")
+def _(t: Tables) -> DataFrame:
+    parts = [t.runs().where(c).select("owner", "run", F.lit(k).alias("src")) for k, c in enumerate(("region = 'P'", "region = 'O'", "region not in ('P', 'O')"))]
+    return windows.first_by(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["owner"], [F.col("src"), F.col("run")]).select("owner", "src", "run")
+
+
+@query("snk06_manifest_upsert", "WITH m AS (SELECT region, list_sort(list(DISTINCT owner) FILTER (WHERE run % 5 > 0)) AS ids, list_sort(list(DISTINCT owner) FILTER (WHERE run % 5 = 0)) AS bad FROM runs WHERE run < 2000 GROUP BY region) SELECT region, CAST(len(ids) AS INTEGER) AS n, CAST(len(list_filter(bad, lambda x: NOT list_contains(ids, x))) AS INTEGER) AS failed FROM m", "runs")
+def _(t: Tables) -> DataFrame:
+    r = t.runs().where("run < 2000")
+    side = lambda c: r.where(c).groupBy("region").agg(F.collect_list(F.when(F.col("run") % 5 > 0, F.col("owner"))).alias("ids"), F.collect_list(F.when(F.col("run") % 5 == 0, F.col("owner"))).alias("failed"))
+    m = checks.merged_manifest(side("run < 1000"), side("run >= 1000"), ["region"], "ids", "failed")
+    return m.select("region", F.size("ids").alias("n"), F.size("failed").alias("failed"))
+
+
+@query("dq01_dense_outdoor_index", "SELECT tile, count(*) AS n, max(az_b) AS top, max(az_b) + 1 = count(*) AND count(DISTINCT az_b) = count(*) AS ok FROM (SELECT DISTINCT tile, az_b FROM buckets) GROUP BY tile", "buckets")
+def _(t: Tables) -> DataFrame:
+    return checks.dense_index(t.buckets().select("tile", "az_b").distinct(), "tile", "az_b").select("tile", "n", "top", "ok")
+
+
+@query("dq02_health_labels", "SELECT CASE WHEN region = 'P' THEN 'missing' WHEN priority = '5-LOW' THEN 'warning' WHEN size < 20000 THEN 'none' ELSE 'healthy' END AS health, count(*) AS n FROM runs GROUP BY 1", "runs")
+def _(t: Tables) -> DataFrame:
+    label = F.when(F.col("region") == "P", "missing").when(F.col("priority") == "5-LOW", "warning").when(F.col("size") < 20000, "none").otherwise("healthy")
+    return t.runs().groupBy(label.alias("health")).agg(F.count("*").alias("n"))
+
+
+@query("dq03_index_invariants", "SELECT region, max(run) AS top, count(*) AS n, max(run) + 1 = count(*) AS ok FROM runs GROUP BY region", "runs")
+def _(t: Tables) -> DataFrame:
+    return t.runs().groupBy("region").agg(F.max("run").alias("top"), F.count("*").alias("n"), (F.max("run") + 1 == F.count("*")).alias("ok"))
+
+
+@query("dq04_completeness", "SELECT source, floor(avg(CASE WHEN id % 4 > 0 THEN 1e0 ELSE 0e0 END) * 1e9 + 0.5) / 1e9 AS ratio FROM obstacles GROUP BY source HAVING avg(CASE WHEN id % 4 > 0 THEN 1e0 ELSE 0e0 END) < 0.76", "obstacles")
+def _(t: Tables) -> DataFrame:
+    g = t.obstacles().groupBy("source").agg(F.avg((F.col("id") % 4 > 0).cast("double")).alias("r"))
+    return g.where("r < 0.76D").select("source", half_up("r", 9).alias("ratio"))
+
+
+@query("dq06_grid_references", "SELECT l_partkey AS ref, count(*) AS n FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5) GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    known = t.read("part").where("p_size > 5").select(F.col("p_partkey").alias("ref"))
+    return t.read("lineitem").select(F.col("l_partkey").alias("ref")).join(known, "ref", "left_anti").groupBy("ref").agg(F.count("*").alias("n"))
+
+
+@query("dq07_drift", "SELECT tile, arg_max(ord, (version, ord, line)) AS ord, count(DISTINCT alt_b) AS width FROM buckets GROUP BY tile HAVING count(DISTINCT alt_b) > 6", "buckets")
+def _(t: Tables) -> DataFrame:
+    g = t.buckets().groupBy("tile").agg(F.max_by("ord", F.struct("version", "ord", "line")).alias("ord"), F.countDistinct("alt_b").alias("width"))
+    return g.where("width > 6")
+
+
+@query("dq08_partial_tiles", "SELECT tile, count(*) AS n FROM buckets WHERE value < 3 GROUP BY tile HAVING count(*) < 125", "buckets")
+def _(t: Tables) -> DataFrame:
+    return t.buckets().where("value < 3").groupBy("tile").agg(F.count("*").alias("n")).where("n < 125")
+
+
+@query("dq09_repair_plan", "WITH d AS (SELECT DISTINCT tile FROM buckets WHERE alt_b = 7 AND value > 49), r AS (SELECT DISTINCT day FROM runs WHERE run < 200) SELECT tile, day FROM d, r", "buckets", "runs")
+def _(t: Tables) -> DataFrame:
+    drifted = t.buckets().where("alt_b = 7 and value > 49").select("tile").distinct()
+    days = t.runs().where("run < 200").select("day").distinct()
+    return drifted.join(days, how="cross")
+
+
+@query("dq14_empty_artifacts", "SELECT user_id FROM events GROUP BY user_id HAVING sum(CASE WHEN event_type = 'signup' AND value > 9.9 THEN 1 ELSE 0 END) = 0")
+def _(t: Tables) -> DataFrame:
+    return t.events().groupBy("user_id").agg(F.count_if((F.col("event_type") == "signup") & (F.col("value") > 9.9)).alias("n")).where("n = 0").select("user_id")
+
+
+@query("dq15_unmatched_obstacles", "WITH m AS (SELECT source, min(center_x) AS mx FROM obstacles WHERE id % 50 = 0 GROUP BY source) SELECT o.source, count(*) AS n, count(*) FILTER (WHERE m.source IS NULL OR abs(center_x - mx) > 200) AS unmatched FROM obstacles o LEFT JOIN m ON o.source = m.source GROUP BY o.source", "obstacles")
+def _(t: Tables) -> DataFrame:
+    o = t.obstacles()
+    m = o.where("id % 50 = 0").groupBy("source").agg(F.min("center_x").alias("mx"))
+    return o.join(m, "source", "left").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("mx").isNull() | (F.abs(F.col("center_x") - F.col("mx")) > 200)).alias("unmatched"))
