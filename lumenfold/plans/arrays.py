@@ -1 +1,181 @@
-"""To come."""
+"""Bit masks, rings, maps, JSON and exports."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import bits, rings
+from ..functions.numbers import half_up
+from ..sources.tables import Tables
+from .registry import query
+
+
+@query("arr01_test_bits", "SELECT vec_id, embedding[6] > 0 AS b5, embedding[64] > 0 AS b63 FROM embeddings")
+def _(t: Tables) -> DataFrame:
+    return t.packed().select("vec_id", bits.test("mask", 5).alias("b5"), bits.test("mask", 63).alias("b63"))
+
+
+@query("arr02_popcount", "SELECT vec_id, CAST(len(list_filter(embedding, lambda x: x > 0)) AS INTEGER) AS n FROM embeddings")
+def _(t: Tables) -> DataFrame:
+    return t.packed().select("vec_id", F.bit_count("mask").alias("n"))
+
+
+@query("arr03_pack_rows", "SELECT vec_id, CAST(sum(CASE WHEN bit THEN CAST(1 AS BIGINT) << i ELSE 0 END) AS BIGINT) AS mask FROM masks WHERE i < 40 GROUP BY vec_id", "masks")
+def _(t: Tables) -> DataFrame:
+    return t.masks().where("i < 40").groupBy("vec_id").agg(bits.pack_rows("bit", "i").alias("mask"))
+
+
+@query("arr04_remap", "SELECT vec_id, CAST(sum(CASE WHEN bit THEN CAST(1 AS BIGINT) << ((i * 7) % 40) ELSE 0 END) AS BIGINT) AS mask FROM masks WHERE i < 40 GROUP BY vec_id", "masks")
+def _(t: Tables) -> DataFrame:
+    cell = t.spark.range(40).select(F.col("id").cast("int").alias("i"), (F.col("id") * 7 % 40).cast("int").alias("cell"))
+    return t.masks().join(F.broadcast(cell), "i").groupBy("vec_id").agg(bits.pack_rows("bit", "cell").alias("mask"))
+
+
+@query("arr05_mask_slice", "SELECT label, count(*) FILTER (WHERE bit) AS n FROM masks WHERE i BETWEEN 8 AND 15 GROUP BY label", "masks")
+def _(t: Tables) -> DataFrame:
+    part = F.shiftrightunsigned("mask", 8).bitwiseAND(255)
+    return t.packed().groupBy("label").agg(F.sum(F.bit_count(part)).alias("n"))
+
+
+@query("agg25_bit_differences", "SELECT a.vec_id, CAST(len(list_filter(range(1, 65), lambda i: (a.embedding[i] > 0) <> (b.embedding[i] > 0))) AS INTEGER) AS n FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def _(t: Tables) -> DataFrame:
+    a, b = t.packed(), t.packed().select((F.col("vec_id") - 1).alias("vec_id"), F.col("mask").alias("other"))
+    return a.join(b, "vec_id").select("vec_id", bits.differing("mask", "other").alias("n"))
+
+
+@query("dq10_popcount_agrees", "SELECT label, count(*) AS n, count(*) FILTER (WHERE c >= 32) AS many FROM (SELECT label, len(list_filter(embedding, lambda x: x > 0)) AS c FROM embeddings) GROUP BY label")
+def _(t: Tables) -> DataFrame:
+    return t.packed().groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.bit_count("mask") >= 32).alias("many"))
+
+
+@query("dq11_midday_masks", "SELECT label, count(*) FILTER (WHERE bit) AS blocked, count(*) AS n FROM masks WHERE i = 12 GROUP BY label", "masks")
+def _(t: Tables) -> DataFrame:
+    return t.packed().groupBy("label").agg(F.count_if(bits.test("mask", 12)).alias("blocked"), F.count("*").alias("n"))
+
+
+@query("dq12_empty_masks", "SELECT vec_id FROM (SELECT vec_id, count(*) FILTER (WHERE bit AND i < 32) AS a, count(*) FILTER (WHERE bit AND i >= 32) AS b FROM masks GROUP BY vec_id) WHERE a < 13 AND b > 14", "masks")
+def _(t: Tables) -> DataFrame:
+    low, high = F.bit_count(F.col("mask").bitwiseAND(0xFFFFFFFF)), F.bit_count(F.shiftrightunsigned("mask", 32))
+    return t.packed().where((low < 13) & (high > 14)).select("vec_id")
+
+
+@query("dq13_point_order", "SELECT count(*) FILTER (WHERE a.label <> b.label) AS differing, min(CASE WHEN a.label <> b.label THEN a.vec_id END) AS first FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def _(t: Tables) -> DataFrame:
+    e = t.read("embeddings").select("vec_id", "label")
+    j = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("label").alias("other")), "vec_id")
+    off = F.col("label") != F.col("other")
+    return j.agg(F.count_if(off).alias("differing"), F.min(F.when(off, F.col("vec_id"))).alias("first"))
+
+
+@query("dq16_mask_overlap", "SELECT a.vec_id, CAST(len(list_filter(range(1, 65), lambda i: a.embedding[i] > 0 AND b.embedding[i] > 0)) AS INTEGER) AS both, CAST(len(list_filter(range(1, 65), lambda i: a.embedding[i] > 0 AND NOT b.embedding[i] > 0)) AS INTEGER) AS only_a FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def _(t: Tables) -> DataFrame:
+    j = t.packed().join(t.packed().select((F.col("vec_id") - 1).alias("vec_id"), F.col("mask").alias("o")), "vec_id")
+    return j.select("vec_id", F.bit_count(F.col("mask").bitwiseAND(F.col("o"))).alias("both"), F.bit_count(F.col("mask").bitwiseAND(F.bitwise_not("o"))).alias("only_a"))
+
+
+@query("agg11_repacked_timeline", "SELECT user_id, CAST(sum(CASE WHEN event_type <> 'error' THEN CAST(1 AS BIGINT) << r ELSE 0 END) AS BIGINT) AS mask FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS r FROM events) WHERE r < 60 GROUP BY user_id")
+def _(t: Tables) -> DataFrame:
+    from ..operators.windows import first_by
+
+    e = first_by(t.samples(), ["point"], [F.col("ts"), F.col("ord")], 60).withColumn("k", F.col("rank") - 1)
+    return e.groupBy(F.col("point").alias("user_id")).agg(bits.pack_rows("is_sunny", "k").alias("mask"))
+
+
+def _ring(t: Tables) -> DataFrame:
+    """A five-sided house around each obstacle: its box with a gable."""
+    pt = lambda x, y: F.struct(F.col(x).alias("x") if isinstance(x, str) else x.alias("x"), F.col(y).alias("y") if isinstance(y, str) else y.alias("y"))
+    return t.obstacles().withColumn("ring", F.array(pt("min_x", "min_y"), pt("max_x", "min_y"), pt("max_x", "max_y"), pt(F.col("center_x"), F.col("max_y") + 2), pt("min_x", "max_y")))
+
+
+@query("mth09_ring_area", "SELECT id, (max_x - min_x) * (max_y - min_y) + (max_x - min_x) * 2 / 2 AS area FROM obstacles", "obstacles")
+def _(t: Tables) -> DataFrame:
+    return _ring(t).select("id", rings.area("ring").alias("area"))
+
+
+@query("flt12_point_in_ring", "SELECT o.id, p.probe FROM obstacles o JOIN probes p ON p.x > min_x AND p.x < max_x AND p.y > min_y AND p.y < max_y + 2 - abs(p.x - center_x) * 2 / (max_x - center_x)", "obstacles", "probes")
+def _(t: Tables) -> DataFrame:
+    from ..operators.spatial import small
+
+    near = (F.col("x") >= F.col("min_x")) & (F.col("x") <= F.col("max_x")) & (F.col("y") >= F.col("min_y")) & (F.col("y") <= F.col("max_y") + 2)
+    return _ring(t).join(small(t.probes()), near).where(rings.contains("ring", "x", "y")).select("id", "probe")
+
+
+@query("shd12_ray_to_ring", "SELECT id, floor((min_x - (center_x - 100)) * 1e6 + 0.5) / 1e6 AS distance FROM obstacles", "obstacles")
+def _(t: Tables) -> DataFrame:
+    return _ring(t).select("id", half_up(rings.ray_to_ring("ring", F.col("center_x") - 100, F.col("center_y"), F.lit(1.0), F.lit(0.0)), 6).alias("distance"))
+
+
+@query("shd13_ray_to_triangle", "SELECT p_partkey AS id, CASE WHEN x >= 0 AND y >= 0 AND x + y <= 10 THEN 5e0 END AS distance FROM (SELECT p_partkey, p_partkey % 13 + 0.25e0 AS x, p_size % 11 + 0.25e0 AS y FROM part)")
+def _(t: Tables) -> DataFrame:
+    z = F.lit(0.0)
+    o = (F.col("p_partkey") % 13 + 0.25, F.col("p_size") % 11 + 0.25, F.lit(5.0))
+    hit = rings.ray_to_triangle(o, (z, z, F.lit(-1.0)), (z, z, z), (F.lit(10.0), z, z), (z, F.lit(10.0), z))
+    return t.read("part").select(F.col("p_partkey").alias("id"), hit.alias("distance"))
+
+
+@query("arr07_without_repeats", "SELECT id, CAST(5 AS INTEGER) AS n FROM obstacles", "obstacles")
+def _(t: Tables) -> DataFrame:
+    doubled = F.concat(F.slice("ring", 1, 1), F.col("ring"), F.slice("ring", 1, 1))
+    return _ring(t).select("id", F.size(rings.without_repeats(doubled)).alias("n"))
+
+
+@query("arr08_without_collinear", "SELECT id, CAST(5 AS INTEGER) AS n FROM obstacles", "obstacles")
+def _(t: Tables) -> DataFrame:
+    middle = F.struct(F.col("center_x").alias("x"), F.col("min_y").alias("y"))
+    longer = F.concat(F.slice("ring", 1, 1), F.array(middle), F.slice("ring", 2, 4))
+    return _ring(t).select("id", F.size(rings.without_collinear(longer)).alias("n"))
+
+
+@query("map01_tag_lookup", "SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), -1) AS k FROM events")
+def _(t: Tables) -> DataFrame:
+    tags = F.from_json("props", "map<string,bigint>")
+    return t.events().select("event_id", F.coalesce(F.try_element_at(tags, F.lit("k")), F.lit(-1).cast("bigint")).alias("k"))
+
+
+@query("map02_sorted_counts", "SELECT region, string_agg(priority || '=' || n, ',' ORDER BY priority) AS counts FROM (SELECT region, priority, count(*) AS n FROM runs GROUP BY 1, 2) GROUP BY region", "runs")
+def _(t: Tables) -> DataFrame:
+    from ..operators.places import histogram
+
+    h = histogram(t.runs(), ["region"], "priority")
+    return h.select("region", F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("counts"))
+
+
+@query("map03_inverted_index", "SELECT cx, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM (SELECT id, CAST(floor(center_x / 64) AS BIGINT) AS cx FROM obstacles) GROUP BY cx", "obstacles")
+def _(t: Tables) -> DataFrame:
+    inv = t.obstacles().groupBy(F.floor(F.col("center_x") / 64).alias("cx")).agg(F.collect_set("id").alias("s"))
+    return inv.select("cx", F.size("s").cast("bigint").alias("n"), F.aggregate("s", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("ids"))
+
+
+@query("jsn01_parse", "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
+def _(t: Tables) -> DataFrame:
+    return t.events().select("event_id", F.from_json("props", "k int", {"mode": "FAILFAST"}).alias("p")).select("event_id", "p.k")
+
+
+@query("jsn02_content_hash", """SELECT run, left(sha256('{"region":"' || region || '","run":' || run || '}'), 16) AS hash FROM runs""", "runs")
+def _(t: Tables) -> DataFrame:
+    return t.runs().select("run", F.substring(F.sha2(F.to_json(F.struct("region", "run")), 256), 1, 16).alias("hash"))
+
+
+@query("jsn03_unknown_keys", "SELECT event_id, props AS raw, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
+def _(t: Tables) -> DataFrame:
+    return t.events().select("event_id", F.col("props").alias("raw"), F.get_json_object("props", "$.k").try_cast("int").alias("k"))
+
+
+@query("jsn04_corrupt_rows", "SELECT count(*) FILTER (WHERE event_id % 9 = 0) AS corrupt, count(*) AS n FROM events")
+def _(t: Tables) -> DataFrame:
+    broken = F.when(F.col("event_id") % 9 == 0, F.substring("props", 1, 3)).otherwise(F.col("props"))
+    parsed = t.events().select(F.from_json(broken, "k int, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("p"))
+    return parsed.agg(F.count_if(F.col("p._corrupt").isNotNull()).alias("corrupt"), F.count("*").alias("n"))
+
+
+@query("snk07_geojson", """SELECT id, '{"type":"Feature","id":' || id || ',"properties":{"name":"' || name || '"}}' AS feature FROM places WHERE seating""", "places")
+def _(t: Tables) -> DataFrame:
+    feature = F.struct(F.lit("Feature").alias("type"), "id", F.struct("name").alias("properties"))
+    return t.places().where("seating").select("id", F.to_json(feature).alias("feature"))
+
+
+@query("snk10_release_manifest", "SELECT region, count(*) AS n, min(day) AS first, max(day) AS last FROM runs GROUP BY region", "runs")
+def _(t: Tables) -> DataFrame:
+    m = t.runs().groupBy("region").agg(F.map_from_entries(F.array(F.struct(F.lit("n"), F.count("*")))).alias("m"), F.min("day").alias("first"), F.max("day").alias("last"))
+    return m.select("region", F.element_at("m", F.lit("n")).alias("n"), "first", "last")

@@ -1 +1,126 @@
-"""To come."""
+"""Rasters: lookups, ray marches and horizon profiles over a surface made from the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.numbers import half_up
+from ..operators import index, rasters, spatial
+from ..sources.tables import Tables
+from .registry import query
+
+#: One raster of 100 x 80 cells of 20 m; a cell's height comes from the part of its number, where there is one.
+_W, _H, _SIDE = 100, 80, 20.0
+
+
+def _surface(t: Tables) -> tuple[DataFrame, DataFrame]:
+    tile = t.spark.range(1).select(F.lit(0).alias("tile"), F.lit(0.0).alias("min_x"), F.lit(0.0).alias("min_y"), F.lit(_W * _SIDE).alias("max_x"), F.lit(_H * _SIDE).alias("max_y"), F.lit(_W).alias("width"), F.lit(_H).alias("height"))
+    k = F.col("p_partkey")
+    cells = t.read("part").where(k < _W * _H).select(F.lit(0).alias("tile"), (k % _W).cast("int").alias("rx"), F.floor(k / _W).cast("int").alias("ry"), F.col("p_size").cast("double").alias("value"))
+    return tile, cells
+
+
+_SURFACE = f"cells AS (SELECT CAST(p_partkey % {_W} AS BIGINT) AS rx, CAST(p_partkey // {_W} AS BIGINT) AS ry, CAST(p_size AS DOUBLE) AS value FROM part WHERE p_partkey < {_W * _H})"
+_AT = f"greatest(0, least({_W - 1}, CAST(floor(sx / {_SIDE}) AS BIGINT))) AS rx, greatest(0, least({_H - 1}, CAST(floor(({_H * _SIDE} - sy) / {_SIDE}) AS BIGINT))) AS ry"
+_IN = f"sx BETWEEN 0 AND {_W * _SIDE} AND sy BETWEEN 0 AND {_H * _SIDE}"
+
+
+def _rays(t: Tables) -> DataFrame:
+    k = F.col("probe")
+    return t.probes().select("probe", (k % 90 * 20.0 + 7).alias("x"), (1600 - k % 20 * 20.0 - 3).alias("y"), F.lit(3.0).alias("z"), "azimuth", (1 + k % 28).cast("double").alias("altitude"))
+
+
+_RAYS = "rays AS (SELECT probe, probe % 90 * 20e0 + 7 AS x, 1600 - probe % 20 * 20e0 - 3 AS y, 3e0 AS z, azimuth, CAST(1 + probe % 28 AS DOUBLE) AS altitude FROM probes)"
+
+
+def _march_sql(step: int, reach: int) -> str:
+    return f"""m AS (SELECT probe, z, altitude, CAST(d AS DOUBLE) AS dist, x + sin(radians(azimuth)) * d AS sx, y + cos(radians(azimuth)) * d AS sy FROM rays, range({step}, {reach + 1}, {step}) r(d)),
+  v AS (SELECT m.*, value FROM (SELECT *, {_AT} FROM m WHERE {_IN}) m LEFT JOIN cells USING (rx, ry))"""
+
+
+@query("join06_raster_lookup", f"WITH {_SURFACE}, p AS (SELECT probe, x AS sx, y AS sy FROM probes) SELECT probe, value FROM (SELECT probe, {_AT}, {_IN} AS inside FROM p) LEFT JOIN cells USING (rx, ry) WHERE inside", "probes")
+def _(t: Tables) -> DataFrame:
+    tile, cells = _surface(t)
+    inside = t.probes().where(f"x between 0 and {_W * _SIDE} and y between 0 and {_H * _SIDE}")
+    return rasters.sample(inside.select("probe", F.col("x").alias("sx"), F.col("y").alias("sy")), tile, cells).select("probe", "value")
+
+
+@query("shd08_terrain_march", f"WITH {_SURFACE}, {_RAYS}, {_march_sql(5, 500)}, h AS (SELECT probe, min(dist) AS distance FROM v WHERE altitude > 0 AND altitude < 30 AND value > z AND value - z > dist * tan(radians(altitude)) GROUP BY probe) SELECT * FROM h", "probes")
+def _(t: Tables) -> DataFrame:
+    seen = rasters.sample(rasters.march(_rays(t), 5, 500), *_surface(t))
+    return rasters.terrain_blocked(seen, "probe").select("probe", "distance")
+
+
+@query("shd09_vegetation_march", f"WITH {_SURFACE}, {_RAYS}, {_march_sql(2, 120)} SELECT probe, min(dist) AS distance FROM v WHERE altitude > 0 AND value - z >= 4 AND altitude <= degrees(atan2(value - z, dist)) GROUP BY probe", "probes")
+def _(t: Tables) -> DataFrame:
+    seen = rasters.sample(rasters.march(_rays(t), 2, 120), *_surface(t))
+    return rasters.vegetation_blocked(seen, "probe").select("probe", "distance")
+
+
+@query("shd17_all_masks", f"""WITH {_SURFACE}, {_RAYS}, {_march_sql(5, 500)}, tr AS (SELECT DISTINCT probe FROM v WHERE altitude > 0 AND altitude < 30 AND value > z AND value - z > dist * tan(radians(altitude))),
+  m2 AS (SELECT probe, z, altitude, CAST(d AS DOUBLE) AS dist, x + sin(radians(azimuth)) * d AS sx, y + cos(radians(azimuth)) * d AS sy FROM rays, range(2, 121, 2) r(d)), v2 AS (SELECT m.*, value FROM (SELECT *, {_AT} FROM m2 WHERE {_IN}) m LEFT JOIN cells USING (rx, ry)),
+  vg AS (SELECT DISTINCT probe FROM v2 WHERE altitude > 0 AND value - z >= 4 AND altitude <= degrees(atan2(value - z, dist)))
+  SELECT probe, probe IN (SELECT probe FROM tr) AS terrain, probe NOT IN (SELECT probe FROM tr) AND probe IN (SELECT probe FROM vg) AS vegetation, probe NOT IN (SELECT probe FROM tr) AND probe NOT IN (SELECT probe FROM vg) AS sun FROM rays""", "probes")
+def _(t: Tables) -> DataFrame:
+    rays, (tile, cells) = _rays(t), _surface(t)
+    hit = lambda f, step, reach, name: f(rasters.sample(rasters.march(rays, step, reach), tile, cells), "probe").select("probe", F.lit(True).alias(name))
+    j = rays.select("probe").join(hit(rasters.terrain_blocked, 5, 500, "tr"), "probe", "left").join(hit(rasters.vegetation_blocked, 2, 120, "vg"), "probe", "left")
+    tr, vg = F.coalesce("tr", F.lit(False)), F.coalesce("vg", F.lit(False))
+    return j.select("probe", tr.alias("terrain"), (~tr & vg).alias("vegetation"), (~tr & ~vg).alias("sun"))
+
+
+@query("shd06_horizon_profile")
+def _(t: Tables) -> DataFrame:
+    """Profiles around two centres over a surface in degrees."""
+    tile = t.spark.range(1).select(F.lit(0).alias("tile"), F.lit(6.5).alias("min_x"), F.lit(46.4).alias("min_y"), F.lit(6.7).alias("max_x"), F.lit(46.6).alias("max_y"), F.lit(40).alias("width"), F.lit(40).alias("height"))
+    k = F.col("p_partkey")
+    cells = t.read("part").where(k < 1600).select(F.lit(0).alias("tile"), (k % 40).cast("int").alias("rx"), F.floor(k / 40).cast("int").alias("ry"), (400.0 + 30 * F.col("p_size")).alias("value"))
+    centres = t.spark.range(2).select("id", (46.5 + F.col("id") * 0.01).alias("lat"), F.lit(6.6).alias("lon"))
+    return rasters.horizon_profile(centres, tile, cells, "id", 250.0, 6000.0)
+
+
+@query("shd20_profile_choice", """WITH s AS (SELECT event_id, CAST(event_id % 360 AS INTEGER) AS az_bin, value AS altitude FROM events), j AS (SELECT s.az_bin % 9 AS tile, altitude <= h.angle AS a, altitude <= h.angle - 1 AS b FROM s JOIN horizon h USING (az_bin)) SELECT CAST(tile AS INTEGER) AS tile, count(*) AS n, CAST(sum(CASE WHEN a <> b THEN 1 ELSE 0 END) AS BIGINT) AS differing, CASE WHEN sum(CASE WHEN a <> b THEN 1 ELSE 0 END) <= 2 OR sum(CASE WHEN a <> b THEN 1e0 ELSE 0e0 END) / count(*) <= 0.005 THEN 'shared' ELSE 'local' END AS strategy FROM j GROUP BY tile""", "horizon")
+def _(t: Tables) -> DataFrame:
+    s = t.events().select("event_id", (F.col("event_id") % 360).cast("int").alias("az_bin"), F.col("value").alias("altitude"))
+    j = index.horizon_blocked(s, t.horizon()).withColumn("other", F.col("altitude") <= F.col("angle") - 1)
+    g = j.groupBy((F.col("az_bin") % 9).alias("tile")).agg(F.count("*").alias("n"), F.count_if(F.col("blocked") != F.col("other")).alias("differing"))
+    return g.withColumn("strategy", F.when((F.col("differing") <= 2) | (F.col("differing") / F.col("n") <= 0.005), "shared").otherwise("local"))
+
+
+@query("shd21_macro_cells", "SELECT id, CAST(floor(center_x / 2000) * 2000 + 1000 AS BIGINT) AS cx, CAST(floor(center_y / 500) * 500 + 250 AS BIGINT) AS cy FROM obstacles", "obstacles")
+def _(t: Tables) -> DataFrame:
+    mid = lambda c, s: (F.floor(F.col(c) / s) * s + s // 2).alias
+    return t.obstacles().select("id", mid("center_x", 2000)("cx"), mid("center_y", 500)("cy"))
+
+
+@query("shd15_missing_mesh", "SELECT id, CASE WHEN id % 6 = 0 THEN true ELSE id % 2 = 0 END AS blocked FROM obstacles", "obstacles")
+def _(t: Tables) -> DataFrame:
+    hit = F.when(F.col("id") % 6 != 0, F.col("id") % 2 == 0)
+    return t.obstacles().select("id", F.coalesce(hit, F.lit(True)).alias("blocked"))
+
+
+@query("shd18_indoor", "SELECT p.probe, count(o.id) > 0 AS indoor FROM probes p LEFT JOIN obstacles o ON p.x BETWEEN o.min_x AND o.max_x AND p.y BETWEEN o.min_y AND o.max_y AND o.max_z > p.z GROUP BY p.probe", "probes", "obstacles")
+def _(t: Tables) -> DataFrame:
+    cells = spatial.obstacle_cells(t.obstacles())
+    p = t.probes().withColumn("cx", F.floor(F.col("x") / spatial.CELL).cast("int")).withColumn("cy", F.floor(F.col("y") / spatial.CELL).cast("int"))
+    inside = p.join(cells, ["cx", "cy"]).where("x between min_x and max_x and y between min_y and max_y and max_z > z").select("probe").distinct().withColumn("indoor", F.lit(True))
+    return t.probes().select("probe").join(inside, "probe", "left").select("probe", F.coalesce("indoor", F.lit(False)).alias("indoor"))
+
+
+@query("shd19_bias_clamp", "SELECT event_id, greatest(-20e0, least(20e0, value * 5 - 25)) AS bias FROM events")
+def _(t: Tables) -> DataFrame:
+    from ..functions.numbers import clamp
+
+    return t.events().select("event_id", clamp(F.col("value") * 5 - 25, -20.0, 20.0).alias("bias"))
+
+
+@query("shd22_wall_triangles", "SELECT o.id, CAST(e AS INTEGER) AS edge, CAST(k AS INTEGER) AS part, floor((CASE e % 2 WHEN 0 THEN max_x - min_x ELSE max_y - min_y END) * max_z / 2 * 1e6 + 0.5) / 1e6 AS area FROM obstacles o, range(4) a(e), range(2) b(k)", "obstacles")
+def _(t: Tables) -> DataFrame:
+    from ..functions import rings
+
+    pt = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    o = t.obstacles().withColumn("ring", F.array(pt("min_x", "min_y"), pt("max_x", "min_y"), pt("max_x", "max_y"), pt("min_x", "max_y")))
+    walls = o.select("id", "max_z", F.posexplode(rings.edges("ring")).alias("edge", "e")).withColumn("part", F.explode(F.array(F.lit(0), F.lit(1))))
+    length = F.sqrt(F.pow(F.col("e.b.x") - F.col("e.a.x"), 2) + F.pow(F.col("e.b.y") - F.col("e.a.y"), 2))
+    return walls.select("id", "edge", "part", half_up(length * F.col("max_z") / 2, 6).alias("area"))
