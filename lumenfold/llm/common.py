@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches sent to Python hold at most this many rows and about this many bytes,
@@ -16,6 +16,9 @@ BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 #: A set of ids is broadcast only if it has at most this many members (8 bytes each).
 BROADCAST_IDS = 1_000_000
 
+#: link_buckets() ends its rounds after so many, or when one leaves more than this share of the open members.
+ROUNDS, ENOUGH = 6, 0.7
+
 #: ASCII upper case to lower case, nothing else.
 ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -154,36 +157,70 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def link_buckets(
-    scratch: Scratch, keys: DataFrame, first: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame]
+    scratch: Scratch,
+    keys: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    nodes: DataFrame | None = None,
+    fits: Callable[[Carried, Carried], Column] | None = None,
+    distance: Callable[[Carried, Carried], Column] | None = None,
 ) -> DataFrame:
     """Edges (a, b) that connect all ids that share a bucket and pass verification.
 
-    keys: (key, id). first and rest take candidate pairs (a, b), a < b, and return
-    those that are linked; first may try fewer pairs, rest must try all.
-
-    No bucket is expanded into all its pairs at once: every member is first tried
-    against its bucket's smallest id, the components of those links are found, and
-    then only members of different components meet. Links inside one component
-    could not change it, so the components are those of all links.
+    keys: (key, id). verify takes candidate pairs (a, b), a < b, and returns those that
+    are linked. nodes (id and what members carry), fits and distance may serve to prune:
+    pairs that do not fit are never made, and in the rounds each member tries only the
+    nearest of its candidates.
+
+    No bucket is expanded into all its pairs at once. In each round, every member is
+    tried against one member of its bucket (first the most central one, which shares
+    most buckets with others; later one by lot), and the components of all links so far
+    are found. Links inside a component could not change it, so only buckets that hold
+    several components go on. When rounds no longer join much, all pairs of different
+    components that share a bucket are tried, so the components are those of all links.
     """
-    lead = keys.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead <> last")
-    shared = scratch.save(keys.join(lead.select("key", "lead"), "key"), "buckets")
-    stars = shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    edges = scratch.save(first(stars), "links")
-    comp = connected_components(scratch, edges)
-    comp = scratch.save(comp, "components")
-    named = (
-        shared.select("key", "id").distinct().join(comp, "id", "left")
-        .select("key", "id", F.coalesce("component", "id").alias("c"))
-    )
-    mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    open_ = scratch.save(named.join(mixed, "key", "left_semi"), "open")
-    if open_.isEmpty():
-        return edges
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = keys.join(sizes, "key")
+    degree = shared.groupBy("id").agg(F.sum("n").alias("degree"))
+    shared = shared.select("key", "id").join(degree, "id")
+    if nodes is not None:
+        shared = shared.join(nodes, "id")
+    carried = [c for c in (nodes.columns if nodes is not None else []) if c != "id"]
+    left = edges = None
+    open_ = scratch.save(shared.withColumn("c", F.col("id")), "buckets")
+    for turn in range(ROUNDS):
+        order = F.struct("degree", -F.col("id")) if turn == 0 else F.struct(F.xxhash64("id", F.lit(turn)), "id")
+        lead = open_.groupBy("key").agg(F.max_by(F.struct("id", "c", *carried), order).alias("x"))
+        fit = F.col("y.c") != F.col("x.c")
+        pairs = open_.alias("y").join(lead, "key").where(fit if fits is None else fit & fits(Carried("x"), Carried("y")))
+        pair = (F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+        if distance is None:
+            stars = pairs.select(*pair).distinct()
+        else:
+            near = F.min(F.struct(distance(Carried("x"), Carried("y")).alias("d"), *pair)).alias("m")
+            stars = pairs.groupBy(F.col("y.id")).agg(near).select("m.a", "m.b").distinct()
+        found = verify(stars)
+        edges = scratch.save(found if edges is None else edges.unionByName(found), "links")
+        comp = scratch.save(connected_components(scratch, edges), "components")
+        named = open_.drop("c").join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+        mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+        open_ = scratch.save(named.join(mixed, "key", "left_semi"), "open")
+        before, left = left, open_.count()
+        if not left:
+            return edges
+        if before is not None and left > ENOUGH * before:
+            break
     x, y = open_.alias("x"), open_.alias("y")
-    pairs = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")))
-        .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        .distinct()
-    )
-    return edges.unionByName(scratch.save(rest(pairs), "more_links"))
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c"))
+    pairs = x.join(y, apart if fits is None else apart & fits(Carried("x"), Carried("y")))
+    pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    return edges.unionByName(scratch.save(verify(pairs), "more_links"))
+
+
+class Carried:
+    """Columns of one side of a pair: ``side("n")``."""
+
+    def __init__(self, side: str):
+        self.side = side
+
+    def __call__(self, name: str) -> Column:
+        return F.col(f"{self.side}.{name}")

@@ -15,15 +15,17 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, Scratch, connected_components, link_buckets, mix, only_ids, prepare
+from .common import ASCII_LOWER, Carried, Scratch, connected_components, link_buckets, mix, only_ids, prepare
 
 #: 24 bands of 4: a pair at similarity 0.8 shares no band with probability (1 - 0.8**4)**24 = 3e-6.
 BANDS, ROWS = 24, 4
 #: Bits of an odd sketch, as 64-bit words.
 SKETCH_WORDS = 8
+#: 64-bit words of a fine sketch, and how many of a set's shingles at most go into it on average.
+FINE_WORDS, FINE_SAMPLES = 16, 1024
 #: Standard deviations below the threshold at which a sketch still leads to confirmation (miss: below 1e-6).
 MARGIN = 5.0
 
@@ -100,21 +102,41 @@ def most_differing_bits(similarity: float, bands: int, rows: int, sketch_words:
     return math.ceil(x + margin / 2 * math.sqrt(n / 4 * (1 - math.exp(-4 * m / n)) * min(1, m / n)))
 
 
+def fine_level(n: int) -> int:
+    """Of a set of n shingles, those whose hash lies below 2**(64 - level) are sampled: all of a small set."""
+    return max(0, (n - 1).bit_length() - FINE_SAMPLES.bit_length() + 1)
+
+
+def fine_sketch(s: np.ndarray, level: int) -> np.ndarray:
+    """Odd sketch of the smallest hashes of a set, those below a threshold that depends on its size only.
+
+    Hash values are their own MinHash samples: of two sets sampled at one level,
+    each sample that only one set has flips one bit.
+    """
+    bits = 64 * FINE_WORDS
+    h = mix(s ^ _U(0xA0761D6478BD642F))
+    h = h[h <= (_U(0xFFFFFFFFFFFFFFFF) >> _U(level))]
+    flips = np.bincount((h % _U(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64)
+
+
 def _signature_batches(batches: Iterator[pa.RecordBatch], size: int, sketcher: tuple) -> Iterator[pa.RecordBatch]:
     hashes, sk = WordHashes(), Sketcher(*sketcher)
     for batch in batches:
-        n, minima, signs = [], [], []
+        n, minima, signs, fine = [], [], [], []
         for text in batch.column("text"):
             s = shingles(text.as_py(), size, hashes)
             n.append(len(s))
             minima.append(sk.minima(s))
+            fine.append(fine_sketch(s, fine_level(len(s))))
             d = xxhash.xxh3_128_digest(s.tobytes())
             signs.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
         key, odd = sk.keys_and_sketches(np.array(minima, _U).reshape(len(n), sk.bands * sk.rows))
+        fine = np.array(fine, np.int64).reshape(len(n), FINE_WORDS)
         lists = pa.FixedSizeListArray.from_arrays(pa.array(key.ravel()), sk.bands).cast(pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array([x for x, _ in signs], pa.int64()), pa.array([x for _, x in signs], pa.int64()), lists, *(pa.array(odd[:, i]) for i in range(sk.words))],
-            names=["doc_id", "n_shingles", "sig1", "sig2", "bands", *(f"s{i}" for i in range(sk.words))],
+            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array([x for x, _ in signs], pa.int64()), pa.array([x for _, x in signs], pa.int64()), pa.array([fine_level(k) for k in n], pa.int32()), lists, *(pa.array(odd[:, i]) for i in range(sk.words)), *(pa.array(fine[:, i]) for i in range(FINE_WORDS))],
+            names=["doc_id", "n_shingles", "sig1", "sig2", "level", "bands", *(f"s{i}" for i in range(sk.words)), *(f"f{i}" for i in range(FINE_WORDS))],
         )
 
 
@@ -154,8 +176,8 @@ def near_duplicates(
     prepare(spark)
     scratch = Scratch(spark, "near_dedup")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    words = [f"s{i}" for i in range(sketch_words)]
-    schema = f"doc_id bigint, n_shingles bigint, sig1 bigint, sig2 bigint, bands array<bigint>, {', '.join(f'{w} bigint' for w in words)}"
+    words, fine = [f"s{i}" for i in range(sketch_words)], [f"f{i}" for i in range(FINE_WORDS)]
+    schema = f"doc_id bigint, n_shingles bigint, sig1 bigint, sig2 bigint, level int, bands array<bigint>, {', '.join(f'{w} bigint' for w in words + fine)}"
     signs = scratch.save(docs.mapInArrow(partial(_signature_batches, size=size, sketcher=(bands, rows, sketch_words)), schema), "signatures")
     same = (
         signs.where("n_shingles > 0 and doc_id is not null").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("node"))
@@ -169,16 +191,19 @@ def near_duplicates(
     keys = nodes.select("id", F.explode("bands").alias("key"))
     far = most_differing_bits(percent / 100, bands, rows, sketch_words)
 
-    def sketched(pairs: DataFrame) -> DataFrame:
-        """Pairs that their sketches and set sizes allow, with the sketches' distance."""
-        a = nodes.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), *(F.col(w).alias(f"a{w}") for w in words))
-        b = nodes.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), *(F.col(w).alias(f"b{w}") for w in words))
-        bits = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in words), F.lit(0))
-        return (
-            pairs.join(a, "a").join(b, "b")
-            .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-            .select("a", "b", bits.alias("bits")).where(F.col("bits") <= far)
-        )
+    def differing(x: Carried, y: Carried, names: list[str]) -> Column:
+        return sum((F.bit_count(x(w).bitwiseXOR(y(w))) for w in names), F.lit(0))
+
+    def fits(x: Carried, y: Carried) -> Column:
+        """Set sizes and both sketches allow the similarity.
+
+        At most (1-J)/(1+J) of the sizes' sum are shingles of one set only. Where the
+        whole sets are sampled, the fine sketches cannot differ in more bits than that.
+        """
+        sizes_fit = 100 * F.least(x("n_shingles"), y("n_shingles")) >= percent * F.greatest(x("n_shingles"), y("n_shingles"))
+        apart = (x("n_shingles") + y("n_shingles")) * (100 - percent) / (100 + percent)
+        most = F.when(x("level") == 0, apart).otherwise(apart / F.pow(F.lit(2.0), x("level")) + MARGIN * F.sqrt(apart / F.pow(F.lit(2.0), x("level"))))
+        return sizes_fit & ((x("level") != y("level")) | (differing(x, y, fine) <= most)) & (differing(x, y, words) <= far)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = scratch.save(pairs.select("a", "b").distinct(), "candidates")
@@ -188,14 +213,10 @@ def near_duplicates(
             sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b"
         )
         common = F.size(F.array_intersect("sa", "sb")).cast("bigint")
-        return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-
-    def likeliest(pairs: DataFrame) -> DataFrame:
-        """Each member with the one of its buckets' first documents that it most resembles."""
-        best = sketched(pairs).groupBy("b").agg(F.min(F.struct("bits", "a")).alias("m"))
-        return confirmed(best.select("m.a", "b"))
+        return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
 
-    edges = link_buckets(scratch, keys, likeliest, lambda pairs: confirmed(sketched(pairs)))
+    carried = nodes.select("id", "n_shingles", "level", *words, *fine)
+    edges = link_buckets(scratch, keys, confirmed, carried, fits, lambda x, y: differing(x, y, fine))
     comp = scratch.save(connected_components(scratch, edges), "components").withColumnRenamed("id", "node")
     return (
         signs.select("doc_id", "n_shingles", "sig1", "sig2").join(same, ["sig1", "sig2"], "left").join(comp, "node", "left")
