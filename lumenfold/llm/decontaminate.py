@@ -241,7 +241,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
     joined by one space; the rest of the text keeps its characters.
     """
     found = matches(docs, benchmark, window, prefix="__").where(n_hit("__") <= share * F.col("__n_words"))
-    found = found.select(*docs.columns, "__spans")
+    kept = docs.columns
+    found = found.select(*kept, "__spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,8 +250,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
                 cut(t, [(s["start"], s["end"]) for s in spans if s["end"] - s["start"] >= min_words])
                 for t, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True)
             ]
-            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in docs.columns]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in kept]
+            yield pa.RecordBatch.from_arrays(columns, names=kept)
 
     return found.mapInArrow(run, docs.schema)
 
