@@ -186,10 +186,10 @@ def _(t: Tables) -> DataFrame:
     return index.dedup_factor(_sun(t), (0.5, 1.0, 2.0)).drop("factor")
 
 
-@query("agg22_bucket_representative", """SELECT tile, az_b, alt_b, arg_min(value, (d, ord, line)) AS value, min(d) AS distance FROM (SELECT *, abs(value - 25) AS d FROM buckets) GROUP BY 1, 2, 3""", "buckets")
+@query("agg22_bucket_representative", """SELECT tile, az_b, alt_b, arg_min(value, (d, ord, line, value)) AS value, min(d) AS distance FROM (SELECT *, abs(value - 25) AS d FROM buckets) GROUP BY 1, 2, 3""", "buckets")
 def _(t: Tables) -> DataFrame:
     b = t.buckets().withColumn("d", F.abs(F.col("value") - 25))
-    return b.groupBy("tile", "az_b", "alt_b").agg(F.min_by("value", F.struct("d", "ord", "line")).alias("value"), F.min("d").alias("distance"))
+    return b.groupBy("tile", "az_b", "alt_b").agg(F.min_by("value", F.struct("d", "ord", "line", "value")).alias("value"), F.min("d").alias("distance"))
 
 
 @query("win14_ranked_candidates", """SELECT tile, az_b, alt_b, ord, line, rank, rank = 1 AS is_winner FROM (SELECT *, row_number() OVER (PARTITION BY tile, az_b, alt_b ORDER BY abs(value - 25), version, ord, line) AS rank FROM buckets) WHERE rank <= 3""", "buckets")
@@ -202,11 +202,11 @@ _OLD_NEW = """old AS (SELECT * FROM buckets WHERE version < TIMESTAMP '1997-01-0
 
 
 @query("set04_upsert", f"""WITH {_OLD_NEW}, u AS (SELECT *, 0 AS src FROM new UNION ALL SELECT *, 1 AS src FROM old)
-  SELECT tile, az_b, alt_b, src, ord, line, value FROM (SELECT *, row_number() OVER (PARTITION BY tile, az_b, alt_b ORDER BY src, ord, line) AS r FROM u) WHERE r = 1""", "buckets")
+  SELECT tile, az_b, alt_b, src, ord, line, value FROM (SELECT *, row_number() OVER (PARTITION BY tile, az_b, alt_b ORDER BY src, ord, line, value) AS r FROM u) WHERE r = 1""", "buckets")
 def _(t: Tables) -> DataFrame:
     b = t.buckets()
     cut = F.lit("1997-01-01").cast("timestamp")
-    return index.upsert(b.where(F.col("version") < cut), b.where(F.col("version") >= cut), ["tile", "az_b", "alt_b"], ["ord", "line"]).select("tile", "az_b", "alt_b", "src", "ord", "line", "value")
+    return index.upsert(b.where(F.col("version") < cut), b.where(F.col("version") >= cut), ["tile", "az_b", "alt_b"], ["ord", "line", "value"]).select("tile", "az_b", "alt_b", "src", "ord", "line", "value")
 
 
 @query("set05_width_drift", f"""WITH {_OLD_NEW}, ow AS (SELECT tile, count(DISTINCT az_b) AS w FROM old GROUP BY 1), nw AS (SELECT tile, count(DISTINCT az_b) AS w FROM new GROUP BY 1),

@@ -74,8 +74,9 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """Profiles around two centres over a surface in degrees."""
     tile = t.spark.range(1).select(F.lit(0).alias("tile"), F.lit(6.5).alias("min_x"), F.lit(46.4).alias("min_y"), F.lit(6.7).alias("max_x"), F.lit(46.6).alias("max_y"), F.lit(40).alias("width"), F.lit(40).alias("height"))
-    k = F.col("p_partkey")
-    cells = t.read("part").where(k < 1600).select(F.lit(0).alias("tile"), (k % 40).cast("int").alias("rx"), F.floor(k / 40).cast("int").alias("ry"), (400.0 + 30 * F.col("p_size")).alias("value"))
+    k = F.col("id")
+    heights = t.read("part").where("p_partkey <= 150").select((F.col("p_partkey") - 1).alias("m"), "p_size")
+    cells = t.spark.range(1600).withColumn("m", k % 150).join(heights, "m").select(F.lit(0).alias("tile"), (k % 40).cast("int").alias("rx"), F.floor(k / 40).cast("int").alias("ry"), (400.0 + 30 * F.col("p_size")).alias("value"))
     centres = t.spark.range(2).select("id", (46.5 + F.col("id") * 0.01).alias("lat"), F.lit(6.6).alias("lon"))
     return rasters.horizon_profile(centres, tile, cells, "id", 250.0, 6000.0)
 
