@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
 import uuid
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,16 +58,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@lru_cache(maxsize=1)
+def _process_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="lumenfold-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 class Scratch:
     """Intermediate tables as Parquet in the folder that the whole cluster shares.
 
     They cut lineage and survive lost executors. The folder is the session's
-    ``spark.checkpoint.dir``; only where that is unset (tests on one machine)
-    a folder under the warehouse is taken.
+    ``spark.checkpoint.dir``. Only where that is unset another is taken: in local mode
+    (one process) a temporary one that goes with it, else one under the warehouse.
+    Results read from these tables, so whoever runs the session empties the folder.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            base = _process_folder()
+        base = base or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
         self.spark, self.base, self.n = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}", 0
 
     def path(self, name: str) -> str:
@@ -98,22 +114,29 @@ def only_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     return df.join(ids, on, "left_semi")
 
 
-def labelled_sample(docs: DataFrame, rows: int, label: str) -> list[tuple[str, int]]:
-    """At most ``rows`` (text, label) of docs for the driver, chosen by a hash of doc_id.
+def chosen_ids(rows: DataFrame, n: int) -> DataFrame:
+    """At most n distinct doc_id of rows, the smallest by a hash; only ids are sorted and sent."""
+    return rows.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, label: str) -> list[tuple[str, int]]:
+    """At most ``rows`` (text, label) for the driver, in a fixed order.
 
-    Rows whose label is not 0 or 1, or without text or doc_id, are not used. Each
-    class gives half; where one has fewer, the other fills up.
+    labels (doc_id, label): other values than 0 and 1 and null ids are not used, nor are
+    documents without text. Each class gives half, chosen by a hash of doc_id; where one
+    has fewer, the other fills up. The ids are chosen first and are few enough to be
+    broadcast, so documents are scanned once and never shuffled. (A repeated doc_id may
+    add rows; they are cut off after sorting.)
     """
-    usable = docs.where(F.col(label).isin(0, 1) & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    n = {0: 0, 1: 0} | {int(r.y): r.n for r in usable.groupBy(F.col(label).alias("y")).agg(F.count("*").alias("n")).collect()}
+    usable = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y")).distinct()
+    n = {0: 0, 1: 0} | {r.y: r.n for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
     few = min(n, key=n.get)
     take = {few: min(n[few], rows // 2)}
     take[1 - few] = min(n[1 - few], rows - take[few])
-    out = []
-    for k in (0, 1):
-        some = usable.where(F.col(label) == k).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(take[k])
-        out += [(r.text, k) for r in some.select("text").toLocalIterator()]
-    return out
+    ids = [chosen_ids(usable.where(F.col("y") == k), take[k]).withColumn("y", F.lit(k)) for k in (0, 1)]
+    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
+    got = sorted((r.y, r.doc_id, r.text) for r in texts.toLocalIterator())
+    return [(text, y) for y, _, text in got][:rows]
 
 
 def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:

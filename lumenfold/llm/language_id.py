@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare
+from .common import chosen_ids, prepare
 
 UNDETERMINED = "und"
 #: Buckets of hashed n-grams; the hash gives each order n its own share.
@@ -158,11 +158,12 @@ def learn(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     usable = docs.where("text is not null and text <> '' and lang is not null and doc_id is not null")
     known = [r.lang for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).toLocalIterator()]
     share = max(1, rows // max(1, len(known)))
-    out: list[tuple[str, str]] = []
+    out: list[tuple] = []
     for lang in known:
-        some = usable.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(share)
-        out += [(r.text[: 40 * SEGMENT], r.lang) for r in some.select("text", "lang").collect()]
-    return fit(out)
+        of = usable.where(F.col("lang") == lang)
+        some = of.select("doc_id", "text").join(F.broadcast(chosen_ids(of, share)), "doc_id")
+        out += sorted((r.doc_id, r.text, lang) for r in some.toLocalIterator())[:share]
+    return fit([(text, lang) for _, text, lang in out])
 
 
 def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "lang_score") -> DataFrame:

@@ -122,7 +122,7 @@ def fit(texts: list[str], y: list[int]) -> Model:
     held, used = order[: len(y) // 5], order[len(y) // 5 :]
     mean, std = (x[used].mean(axis=0), x[used].std(axis=0) + 1e-3) if len(used) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
     share = min(max(float(target.mean()) if len(y) else 0.5, 1e-3), 1 - 1e-3)
-    w = [rng.normal(0, x.shape[1] ** -0.5, (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN) * 0.1, np.log(share / (1 - share))]
+    w = [rng.normal(0, x.shape[1] ** -0.5, (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN) * 0.1 * bool(len(used)), np.log(share / (1 - share))]
     m, v, t = [np.zeros_like(p) for p in w], [np.zeros_like(p) for p in w], 0
     for _ in range(EPOCHS if len(used) else 0):
         for part in np.array_split(rng.permutation(used), -(-len(used) // 64)):
@@ -142,13 +142,12 @@ def fit(texts: list[str], y: list[int]) -> Model:
     return model
 
 
-def learn(docs: DataFrame, rows: int = TRAIN_ROWS, label: str = "label") -> Model:
-    """A model from docs' text and label (0 or 1; others are ignored).
+def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, label: str = "label") -> Model:
+    """A model from at most ``rows`` of docs' texts and their label in labels (0 or 1; others are ignored).
 
-    Of each class, rows / 2 at most are taken, the smallest by a hash of doc_id;
-    where one class has fewer, the other fills up. No labelled rows give a score of 0.5.
+    See labelled_sample(). Without labelled rows every score is 0.5.
     """
-    got = labelled_sample(docs, rows, label)
+    got = labelled_sample(docs, labels, rows, label)
     return fit([t for t, _ in got], [y for _, y in got])
 
 

@@ -52,7 +52,7 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
-    model = toxicity.learn(docs.where(_fold(3) != 1).join(labels, "doc_id"))
+    model = toxicity.learn(docs, labels.where(_fold(3) != 1))
     return toxicity.score(docs, model).select(
         "doc_id", (_fold(3) == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted")
     )
@@ -93,7 +93,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    model = quality.learn(docs.where(_fold(5) != 0).join(labels, "doc_id"))
+    model = quality.learn(docs, labels.where(_fold(5) != 0))
     return quality.score(docs, model).select(
         "doc_id", (_fold(5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
     )

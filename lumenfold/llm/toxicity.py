@@ -105,13 +105,12 @@ def fit(texts: list[str], y: list[int], bits: int = BITS, epochs: int = EPOCHS)
     return Model(index.astype(np.int32), w[index].astype(np.float32), float(w[size]), bits)
 
 
-def learn(docs: DataFrame, rows: int = TRAIN_ROWS, label: str = "label") -> Model:
-    """A model from docs' text and label (0 or 1; others are ignored).
+def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, label: str = "label") -> Model:
+    """A model from at most ``rows`` of docs' texts and their label in labels (0 or 1; others are ignored).
 
-    Of each class, rows / 2 at most are taken, the smallest by a hash of doc_id;
-    where one class has fewer, the other fills up. No labelled rows give a score of 0.5.
+    See labelled_sample(). Without labelled rows every score is 0.5.
     """
-    got = labelled_sample(docs, rows, label)
+    got = labelled_sample(docs, labels, rows, label)
     return fit([t for t, _ in got], [y for _, y in got])
 
 
