@@ -43,7 +43,7 @@ _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 el
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    return bool(text) and any(m[0].isalpha() for m in _LETTER.finditer(text))  # the pattern also finds signs like ²
 
 
 def segments(text: str) -> list[bytes]:
