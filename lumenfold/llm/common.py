@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches sent to Python hold at most this many rows and about this many bytes,
 #: so that long texts cannot fill a worker's memory.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
 #: A set of ids is broadcast only if it has at most this many members (8 bytes each).
 BROADCAST_IDS = 1_000_000
@@ -47,6 +50,14 @@ def prepare(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def tidy(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, and at their end free memory goes back to the system: workers wait for their next task."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

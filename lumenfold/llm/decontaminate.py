@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_WORDS, prepare
+from .common import ASCII_WORDS, prepare, tidy
 
 WINDOW = 13
 
@@ -206,7 +206,7 @@ def _through(docs: DataFrame, automaton: ItemAutomaton, carried: list[str], name
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     added = zip(names, (T.LongType(), T.ArrayType(span), T.ArrayType(T.StringType())), strict=True)
     schema = T.StructType([*docs.select(*carried).schema.fields, *(T.StructField(n, t) for n, t in added)])
-    return docs.select(*carried, *([] if first else [at, which])).mapInArrow(run, schema)
+    return docs.select(*carried, *([] if first else [at, which])).mapInArrow(lambda batches: tidy(run(batches)), schema)
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

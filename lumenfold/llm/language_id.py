@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chosen_ids, prepare
+from .common import chosen_ids, prepare, tidy
 
 UNDETERMINED = "und"
 #: Buckets of hashed n-grams; the hash gives each order n its own share.
@@ -184,7 +184,7 @@ def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str =
             )
 
     schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
-    return docs.mapInArrow(run, schema) if kept == docs.columns else docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(lambda batches: tidy(run(batches)), schema)
 
 
 def reject_unknown(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:

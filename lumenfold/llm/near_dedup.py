@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, Carried, Scratch, connected_components, link_buckets, mix, only_ids, prepare
+from .common import ASCII_LOWER, Carried, Scratch, connected_components, link_buckets, mix, only_ids, prepare, tidy
 
 #: 24 bands of 4: a pair at similarity 0.8 shares no band with probability (1 - 0.8**4)**24 = 3e-6.
 BANDS, ROWS = 24, 4
@@ -35,7 +34,7 @@ _U = np.uint64
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    MOST = 500_000
+    MOST = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:
@@ -178,7 +177,8 @@ def near_duplicates(
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     words, fine = [f"s{i}" for i in range(sketch_words)], [f"f{i}" for i in range(FINE_WORDS)]
     schema = f"doc_id bigint, n_shingles bigint, sig1 bigint, sig2 bigint, level int, bands array<bigint>, {', '.join(f'{w} bigint' for w in words + fine)}"
-    signs = scratch.save(docs.mapInArrow(partial(_signature_batches, size=size, sketcher=(bands, rows, sketch_words)), schema), "signatures")
+    sketcher = (bands, rows, sketch_words)
+    signs = scratch.save(docs.mapInArrow(lambda b: tidy(_signature_batches(b, size, sketcher)), schema), "signatures")
     same = (
         signs.where("n_shingles > 0 and doc_id is not null").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("node"))
     )
@@ -208,7 +208,7 @@ def near_duplicates(
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = scratch.save(pairs.select("a", "b").distinct(), "candidates")
         ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-        sets = only_ids(docs, ids, "doc_id").mapInArrow(partial(_set_batches, size=size), "id bigint, shingles array<bigint>")
+        sets = only_ids(docs, ids, "doc_id").mapInArrow(lambda b: tidy(_set_batches(b, size)), "id bigint, shingles array<bigint>")
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(
             sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b"
         )

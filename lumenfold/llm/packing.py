@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, prepare
+from .common import Scratch, prepare, tidy
 
 CAPACITY = 2048
 END_ID = 0
@@ -113,7 +113,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
             )
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id bigint, piece int, start bigint, length bigint, ids binary"
+        lambda batches: tidy(run(batches)), "doc_id bigint, piece int, start bigint, length bigint, ids binary"
     )
 
 
