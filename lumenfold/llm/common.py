@@ -24,8 +24,9 @@ BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 #: A set of ids is broadcast only if it has at most this many members (8 bytes each).
 BROADCAST_IDS = 1_000_000
 
-#: link_buckets() ends its rounds after so many, or when one leaves more than this share of the open members.
-ROUNDS, ENOUGH = 6, 0.7
+#: link_buckets() ends its rounds after so many, when one leaves more than this share of the open members,
+#: or when members have no more than about so many others in their buckets.
+ROUNDS, ENOUGH, FEW = 6, 0.7, 16
 
 #: ASCII upper case to lower case, nothing else.
 ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -212,8 +213,8 @@ def link_buckets(
     several components go on. When rounds no longer join much, all pairs of different
     components that share a bucket are tried, so the components are those of all links.
     """
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = keys.join(sizes, "key")
+    sizes = scratch.save(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    shared = keys.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_IDS else sizes, "key")
     degree = shared.groupBy("id").agg(F.sum("n").alias("degree"))
     shared = shared.select("key", "id").join(degree, "id")
     if nodes is not None:
@@ -238,10 +239,11 @@ def link_buckets(
         named = open_.drop("c").join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
         mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
         open_ = scratch.save(named.join(mixed, "key", "left_semi"), "open")
-        before, left = left, open_.count()
+        size = open_.groupBy("key").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("pairs")).first()
+        before, left = left, size.n or 0
         if not left:
             return edges
-        if before is not None and left > ENOUGH * before:
+        if size.pairs <= FEW * left or (before is not None and left > ENOUGH * before):
             break
     x, y = open_.alias("x"), open_.alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c"))
