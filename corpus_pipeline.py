@@ -50,7 +50,7 @@ STAGES = [
     ("best_fit_packing", pack_sequences),
 ]
 
-#: SQL can express neither the language model nor the SimHash groups, so not the pipeline's rows; tests/llm
+#: SQL can express neither the language model nor the MinHash groups, so not the pipeline's rows; tests/llm
 #: holds every stage against a brute-force version.
 ORACLE_SQL = None
 

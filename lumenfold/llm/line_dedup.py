@@ -1,11 +1,13 @@
-"""Fuzzy line deduplication: blocked SimHash, pigeonhole join, edit similarity.
-
-A line's distinct words are dealt into four classes by hash and each class gets
-a 32-bit SimHash of its own: a 128-bit fingerprint in four blocks. A word that
-is replaced changes at most the old word's and the new word's block, so of four
-blocks two stay equal, and two lines meet under one of the six pairs of blocks.
-Lines that meet are linked if their edit similarity, in words, is high enough. Of each
-connected group of lines, the first occurrence in the corpus stays.
+"""Fuzzy line deduplication: banded MinHash of counted words, edit similarity.
+
+A line is the set of its words, each with its number among the line's equal words.
+Two lines of at most n words whose edit similarity is 80 % or more share at least
+0.8 n of at most 1.2 n such members, whatever their length, so one MinHash sample is
+equal with a chance of two in three and a band of three with 0.296 at least. Lines meet
+if any of BANDS bands is equal: at the threshold itself with a chance of 0.996, at a
+similarity of 0.9 of 0.999997. Lines that meet are linked if their edit similarity, in
+words, is high enough. Of each connected group of lines, the first occurrence in the
+corpus stays.
 """
 
 from __future__ import annotations
@@ -21,13 +23,10 @@ from pyspark.sql import types as T
 
 from .common import Scratch, connected_components, link_buckets, mix, only_ids, prepare, tidy
 
-BLOCKS = 4
+#: Bands of 32 bits, two to a stored column, and the MinHash samples that each is made of.
+BANDS, SAMPLES = 16, 3
 #: Lines of fewer words stay wherever they stand: they repeat by chance.
 MIN_WORDS = 5
-#: Lines of fewer words are compared for equality only.
-FUZZY_WORDS = 8
-#: Two equal blocks count only if they come from at least so many words.
-SHARED_WORDS = 4
 PERCENT = 80
 
 #: Line feeds and non-ASCII bytes stay, A-Z become lower case, digits 0, other ASCII a space.
@@ -96,37 +95,55 @@ def hashed_lines(words: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.nd
     return line[firsts], h1, h2, place
 
 
+#: One odd factor and one mask for each sample.
+_FACTORS = mix(np.arange(1, 2 * BANDS * SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_MASKS, _FACTORS = _FACTORS[BANDS * SAMPLES :], _FACTORS[: BANDS * SAMPLES] | np.uint64(1)
+
+
 def fingerprints(words: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(n lines, 4) blocks of 32 bits and how many distinct words each comes from.
+    """(n lines, BANDS) bands of 32 bits and how many words each line has.
 
-    words: hashes; place: each word's line, from 0, in order. A bit of a block is set if
-    more than half of its class's distinct words have it set.
+    words: hashes; place: each word's line, from 0, in order. The k-th of a line's equal
+    words is a member of its own, so that replacing a word replaces one member only.
     """
-    blocks, counts = np.zeros(n * BLOCKS, np.uint32), np.zeros(n * BLOCKS, np.int64)
+    bands, counts = np.zeros((n, BANDS), np.uint32), np.bincount(place, minlength=n)
     if len(words):
-        keys = np.sort((place.astype(np.uint64) << np.uint64(34)) | (words & np.uint64(0x3FFFFFFFF)))
-        keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
-        group = (keys >> np.uint64(32)).astype(np.int64)
-        starts = np.flatnonzero(np.diff(group, prepend=-1))
-        bits = np.unpackbits((keys & np.uint64(0xFFFFFFFF)).astype("<u4").view(np.uint8).reshape(-1, 4), axis=1)
-        many = np.diff(np.append(starts, len(keys)))
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-        blocks[group[starts]] = np.packbits(2 * ones > many[:, None], axis=1).view("<u4").ravel()
-        counts[group[starts]] = many
-    return blocks.reshape(n, BLOCKS), counts.reshape(n, BLOCKS)
-
-
-def block_keys(blocks: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit keys, and the line that each is of: one for every pair of a line's blocks that has enough words."""
-    fit = counts.sum(axis=1) >= FUZZY_WORDS
-    wide, keys, lines = blocks.astype(np.uint64), [], []
-    for i in range(BLOCKS):
-        for j in range(i + 1, BLOCKS):
-            at = np.flatnonzero(fit & (counts[:, i] > 0) & (counts[:, j] > 0) & (counts[:, i] + counts[:, j] >= SHARED_WORDS))
-            pair = mix((wide[at, i] << np.uint64(32)) | wide[at, j])
-            keys.append(mix(pair ^ np.uint64(1 + i * BLOCKS + j)).view(np.int64))
-            lines.append(at)
-    return np.concatenate(keys), np.concatenate(lines)
+        order = np.lexsort((words, place))
+        words, place = words[order], place[order]
+        new = np.concatenate(([True], (words[1:] != words[:-1]) | (place[1:] != place[:-1])))
+        first = np.flatnonzero(new)
+        number = np.arange(len(words)) - np.repeat(first, np.diff(np.append(first, len(words))))
+        members = mix(words + number.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+        starts = np.flatnonzero(np.diff(place, prepend=-1))
+        lines = place[starts]
+        for i in range(BANDS):
+            band = np.zeros(len(starts), np.uint64)
+            for k in range(i * SAMPLES, (i + 1) * SAMPLES):
+                band = mix(band ^ np.minimum.reduceat((members ^ _MASKS[k]) * _FACTORS[k], starts))
+            bands[lines, i] = band >> np.uint64(32)
+    return bands, counts
+
+
+def block_keys(bands: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys, and the line that each is of: one for every band of a line that has words."""
+    at = np.flatnonzero(counts > 0)
+    keys = [mix(bands[at, i].astype(np.uint64) | np.uint64((i + 1) << 32)).view(np.int64) for i in range(BANDS)]
+    return np.concatenate(keys), np.tile(at, BANDS)
+
+
+def _packed(bands: np.ndarray) -> np.ndarray:
+    """(lines, BANDS / 2) of 64 bits."""
+    wide = bands.astype(np.uint64)
+    return ((wide[:, ::2] << np.uint64(32)) | wide[:, 1::2]).view(np.int64)
+
+
+def _unpacked(packed: np.ndarray) -> np.ndarray:
+    wide = packed.view(np.uint64)
+    return np.stack([wide >> np.uint64(32), wide & np.uint64(0xFFFFFFFF)], axis=2).reshape(len(wide), -1).astype(np.uint32)
+
+
+#: The columns that hold the bands.
+_COLUMNS = [f"b{i}" for i in range(BANDS // 2)]
 
 
 def _chunks(docs: list, texts: pa.Array) -> Iterator[tuple[list[tuple[int, int, int]], str]]:
@@ -159,31 +176,27 @@ def _pieces(text: str) -> Iterator[str]:
 
 
 def _occurrence_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "pos", "h1", "h2", *(f"b{i}" for i in range(BLOCKS)), "counts"]
-    shifts = np.array([1, 1 << 16, 1 << 32, 1 << 48], np.int64)
+    names = ["doc_id", "pos", "h1", "h2", *_COLUMNS]
     for batch in batches:
         docs = batch.column("doc_id").to_pylist()
         for owners, text in _chunks(docs, batch.column("text")):
             words, line = hashed_words(text)
             numbers, h1, h2, place = hashed_lines(words, line)
-            blocks, counts = fingerprints(words[place >= 0], place[place >= 0], len(numbers))
+            bands = _packed(fingerprints(words[place >= 0], place[place >= 0], len(numbers))[0])
             which, first, done = (np.array(x, np.int64) for x in zip(*owners, strict=True))
             at = np.searchsorted(first, numbers, "right") - 1
             ids = np.array(docs, np.int64)[which[at]]
-            packed = np.minimum(counts, 0xFFFF) @ shifts
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids), pa.array((numbers - first[at] + done[at]).astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
-                 *(pa.array(np.ascontiguousarray(blocks[:, i]).view(np.int32)) for i in range(BLOCKS)), pa.array(packed)],
+                 *(pa.array(np.ascontiguousarray(bands[:, i])) for i in range(len(_COLUMNS)))],
                 names=names,
             )
 
 
 def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        blocks = np.stack([batch.column(f"b{i}").to_numpy(zero_copy_only=False).view(np.uint32) for i in range(BLOCKS)], axis=1)
-        packed = batch.column("counts").to_numpy(zero_copy_only=False)
-        counts = np.stack([(packed >> (16 * i)) & 0xFFFF for i in range(BLOCKS)], axis=1)
-        keys, at = block_keys(blocks, counts)
+        bands = _unpacked(np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in _COLUMNS], axis=1))
+        keys, at = block_keys(bands, np.ones(len(bands), np.int64))
         ids = batch.column("h1").to_numpy(zero_copy_only=False)[at]
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], names=["key", "id"])
 
@@ -215,17 +228,15 @@ def duplicate_lines(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -
     """
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    schema = f"doc_id bigint, pos int, h1 bigint, h2 bigint, {', '.join(f'b{i} int' for i in range(BLOCKS))}, counts bigint"
+    schema = f"doc_id bigint, pos int, h1 bigint, h2 bigint, {', '.join(f'{c} bigint' for c in _COLUMNS)}"
     found = scratch.save(docs.mapInArrow(lambda b: tidy(_occurrence_batches(b)), schema), "occurrences")
-    blocks = [*(f"b{i}" for i in range(BLOCKS)), "counts"]
     lines = scratch.save(
         found.groupBy("h1", "h2").agg(
-            F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("at"), *(F.min(b).alias(b) for b in blocks)
+            F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("at"), *(F.min(c).alias(c) for c in _COLUMNS)
         ),
         "lines",
     )
-    fit = sum((F.shiftright("counts", 16 * i).bitwiseAND(0xFFFF) for i in range(BLOCKS)), F.lit(0)) >= FUZZY_WORDS
-    keys = lines.where(fit).select("h1", *blocks).mapInArrow(lambda b: tidy(_key_batches(b)), "key bigint, id bigint")
+    keys = lines.select("h1", *_COLUMNS).mapInArrow(lambda b: tidy(_key_batches(b)), "key bigint, id bigint")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = scratch.save(pairs.select("a", "b").distinct(), "candidates")
@@ -282,9 +293,8 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     A line is what stands between LFs; it is compared without case, punctuation
     and digits' values. Lines of at least MIN_WORDS words take part. Equal lines
-    are one; lines of at least FUZZY_WORDS distinct words are also linked to lines
-    that share two blocks of the fingerprint (from at least SHARED_WORDS words)
-    if the edit distance in words is at most (100 - percent) % of the longer line. Of each
+    are one; lines are also linked to lines that share a band of the fingerprint if the
+    edit distance in words is at most (100 - percent) % of the longer line. Of each
     connected group the occurrence with the smallest (doc_id, line number) stays.
 
     Every row stays, with its other columns; a text may become empty. Null text

@@ -102,3 +102,39 @@ def test_defined_cases(spark):
     assert kept.columns == df.columns
     assert sorted((r.doc_id or 0, r.n_chars) for r in kept.collect() if r.doc_id in (1, 2, 7)) == [(1, len(line) + 12), (7, 28)]
     assert ld.dedup_lines(df.limit(0)).count() == 0
+
+
+WORDS = [bytes(97 + k // 26**i % 26 for i in range(4)) for k in range(100_000)]
+
+
+def test_lines_above_the_threshold_meet():
+    rng = np.random.default_rng(7)
+    for size, replaced in ((5, 1), (7, 1), (8, 1), (10, 2), (20, 2), (20, 4), (30, 3), (60, 6), (60, 12), (200, 40)):
+        lines = []
+        for t in range(1500):
+            words = [WORDS[k] for k in rng.choice(100_000, size, replace=False)]
+            other = list(words)
+            for k in rng.choice(size, replaced, replace=False):
+                other[k] = WORDS[rng.integers(len(WORDS))]
+            lines += [words, other]
+        keys, at = keys_of(lines)
+        mine = [set() for _ in lines]
+        for key, k in zip(keys.tolist(), at.tolist(), strict=True):
+            mine[k].add(key)
+        recall = sum(bool(mine[k] & mine[k + 1]) for k in range(0, len(lines), 2)) / 1500
+        assert recall >= 0.99
+
+
+def test_near_lines_go_by_the_rule_alone(spark):
+    """Against all pairs of lines, without the key condition."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for d in range(60):
+        words = [word() for _ in range(rng.choice((5, 6, 8, 10, 25, 60)))]
+        rows.append((2 * d, " ".join(words)))
+        for _ in range(int(0.2 * len(words))):
+            words[rng.randrange(len(words))] = word()
+        rows.append((2 * d + 1, " ".join(words)))
+    got = {r.doc_id: r.text for r in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: "" if d % 2 else t for d, t in rows}
