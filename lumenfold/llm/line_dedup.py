@@ -29,15 +29,15 @@ BANDS, SAMPLES = 16, 3
 MIN_WORDS = 5
 PERCENT = 80
 
-#: Line feeds and non-ASCII bytes stay, A-Z become lower case, digits 0, other ASCII a space.
+#: Line feeds, digits and non-ASCII bytes stay, A-Z become lower case, other ASCII a space.
 _NORMAL = bytes(
-    b if b >= 128 or b == 10 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else 32
+    b if b >= 128 or b == 10 or 97 <= b <= 122 or 48 <= b <= 57 else b + 32 if 65 <= b <= 90 else 32
     for b in range(256)
 )
 
 
 def normal_lines(text: str) -> list[list[bytes]]:
-    """The words of each line (ended by LF), without case, punctuation and the values of digits."""
+    """The words of each line (ended by LF), without case and punctuation."""
     return [line.split() for line in text.lower().encode("utf-8", "surrogatepass").translate(_NORMAL).split(b"\n")]
 
 
@@ -291,8 +291,8 @@ def _clean_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with repeated lines removed from the text, plus __lines, __removed, __removed_near (counts).
 
-    A line is what stands between LFs; it is compared without case, punctuation
-    and digits' values. Lines of at least MIN_WORDS words take part. Equal lines
+    A line is what stands between LFs; it is compared without case and
+    punctuation. Lines of at least MIN_WORDS words take part. Equal lines
     are one; lines are also linked to lines that share a band of the fingerprint if the
     edit distance in words is at most (100 - percent) % of the longer line. Of each
     connected group the occurrence with the smallest (doc_id, line number) stays.

@@ -138,3 +138,9 @@ def test_near_lines_go_by_the_rule_alone(spark):
         rows.append((2 * d + 1, " ".join(words)))
     got = {r.doc_id: r.text for r in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {d: "" if d % 2 else t for d, t in rows}
+
+
+def test_rows_of_other_figures_stay(spark):
+    rows = [(1, "12.5 33.2 44.1 2024-05-01"), (2, "98.7 10.4 56.3 1999-12-31"), (3, "12.5 33.2 44.1 2024-05-01")]
+    kept = ld.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept)) == rows[:2]
