@@ -12,6 +12,7 @@ corpus stays.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,10 +36,20 @@ _NORMAL = bytes(
     for b in range(256)
 )
 
+#: Characters of scripts that put no spaces between words (Thai, Lao, Burmese, Khmer, kana, Han): each is a word.
+_SPACELESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3000-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
+def _normal(text: str) -> bytes:
+    text = text.lower()
+    if not text.isascii() and _SPACELESS.search(text):
+        text = _SPACELESS.sub(r" \g<0> ", text)
+    return text.encode("utf-8", "surrogatepass").translate(_NORMAL)
+
 
 def normal_lines(text: str) -> list[list[bytes]]:
     """The words of each line (ended by LF), without case and punctuation."""
-    return [line.split() for line in text.lower().encode("utf-8", "surrogatepass").translate(_NORMAL).split(b"\n")]
+    return [line.split() for line in _normal(text).split(b"\n")]
 
 
 #: Bytes of text that are worked on at a time; a longer line is taken alone.
@@ -76,7 +87,7 @@ def _sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
 
 def hashed_words(text: str) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the text's words (as in normal_lines()) and the number of the line that each stands on."""
-    raw = np.frombuffer(text.lower().encode("utf-8", "surrogatepass").translate(_NORMAL), np.uint8)
+    raw = np.frombuffer(_normal(text), np.uint8)
     gap = (raw == 32) | (raw == 10)
     turns = np.flatnonzero(np.diff(gap, prepend=True, append=True))
     starts, ends = turns[::2], turns[1::2]
@@ -292,7 +303,8 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with repeated lines removed from the text, plus __lines, __removed, __removed_near (counts).
 
     A line is what stands between LFs; it is compared without case and
-    punctuation. Lines of at least MIN_WORDS words take part. Equal lines
+    punctuation. Lines of at least MIN_WORDS words take part; in scripts without
+    spaces every character is a word. Equal lines
     are one; lines are also linked to lines that share a band of the fingerprint if the
     edit distance in words is at most (100 - percent) % of the longer line. Of each
     connected group the occurrence with the smallest (doc_id, line number) stays.

@@ -144,3 +144,10 @@ def test_rows_of_other_figures_stay(spark):
     rows = [(1, "12.5 33.2 44.1 2024-05-01"), (2, "98.7 10.4 56.3 1999-12-31"), (3, "12.5 33.2 44.1 2024-05-01")]
     kept = ld.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, kept)) == rows[:2]
+
+
+def test_scripts_without_spaces(spark):
+    line, near = "这是一个在许多文件中重复出现的长句子没有空格", "这是一个在许多文件中重复出现的长句孑没有空格"
+    rows = [(1, line), (2, line), (3, near), (4, "それぞれの文書に一度だけ現れる別の行です")]
+    got = ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == {1: line, 2: "", 3: "", 4: rows[3][1]}
