@@ -1,7 +1,8 @@
 """Licence detection with ordered signature rules, in Spark's own expressions only.
 
-Lines that hold none of a few stems are passed over; on the others a rule's regex
-is tried only where its keyword stands. Of overlapping detections, one that lies
+Paragraphs (lines up to a blank one, joined, without comment leaders) that hold none of
+a few stems are passed over; on the others a rule's regex is tried only where its keyword
+stands, so statements may wrap over line ends. Of overlapping detections, one that lies
 within another of higher priority (or of the same priority and longer, or equal
 and earlier in the list) is suppressed.
 """
@@ -20,6 +21,12 @@ PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general publi
 
 #: Characters that are no ASCII letter or digit; everything beyond ASCII is part of a word.
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: White space, and what leads a line of a comment.
+_LEADER = r"\n[\s*#;%>|!/]*+(?:--\s*+)?"
+_GAP = rf"[ \t\r\f\x0B]++(?:{_LEADER})?|{_LEADER}"
+_BLANK = r"\n[ \t\r\f\x0B*#;%>|!/]*+\n"
+#: An identifier's expression ends with its line; the sign keeps the next line apart.
+_TAG, _TAG_END = r"(spdx-license-identifier[^\n]*+)\n", "$1\x01\n"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -79,20 +86,28 @@ def _unsuppressed(found: Column) -> Column:
 def detections(text: Column, rules: tuple[tuple[str, int, str, str], ...] = RULES) -> Column:
     """array<struct<label,priority>> of a text's detections that nothing suppresses, distinct.
 
-    Matches lie within one line; equal lines count once. Null gives null.
+    Matches lie within one paragraph, whose runs of white space and line ends with
+    comment leaders count as one space; equal paragraphs count once. Null gives null.
     """
     low = F.lower(text)
     table = F.array(*(F.struct(F.lit(a).alias("label"), F.lit(p).alias("priority"), F.lit(n).alias("order"), F.lit(k).alias("keyword"), F.lit(r).alias("regex")) for n, (a, p, k, r) in enumerate(rules)))
     stems = _stems([k for _, _, k, _ in rules])
 
+    def joined(part: Column) -> Column:
+        tagged = F.when(part.contains("spdx-license-identifier"), F.regexp_replace(part, _TAG, _TAG_END)).otherwise(part)
+        return F.regexp_replace(tagged, _GAP, " ")
+
     def in_line(line: Column) -> Column:
         tried = F.filter(table, lambda r: line.contains(r["keyword"]))
         found = F.flatten(F.transform(tried, lambda r: _spans(line, r["regex"], r["label"], r["priority"], r["order"])))
         return F.transform(_unsuppressed(found), lambda f: F.struct(f["label"].alias("label"), f["priority"].alias("priority")))
 
-    lines = F.array_distinct(F.filter(F.split(low, "\n", -1), lambda line: _any(line, stems)))
+    # A stem may wrap too, so its longest word decides which paragraphs are joined.
+    words = _stems([max(s.split(), key=len) for s in stems])
+    parts = F.array_distinct(F.filter(F.split(low, _BLANK, -1), lambda part: _any(part, words)))
+    lines = F.filter(F.transform(parts, joined), lambda line: _any(line, stems))
     none = F.array().cast("array<struct<label:string,priority:int>>")
-    return F.when(_any(low, stems), F.array_distinct(F.flatten(F.transform(lines, in_line)))).otherwise(F.when(text.isNotNull(), none))
+    return F.when(_any(low, words), F.array_distinct(F.flatten(F.transform(lines, in_line)))).otherwise(F.when(text.isNotNull(), none))
 
 
 def phrase_places(text: Column, phrases: tuple[tuple[str, str], ...] = PHRASES) -> Column:

@@ -62,3 +62,15 @@ def test_defined_cases(spark, tmp_path):
     plan = ls.scan(df)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
     assert ls.scan(df.limit(0)).count() == 0
+
+
+def test_statements_wrap_over_line_ends(spark):
+    texts = [
+        "/* This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License, \n * version 2 of the License. */",
+        "# Permission to use, copy, modify, and/or distribute this software for any\n# purpose with or without fee is hereby granted",
+        "// Licensed under the\r\n//   Apache License, Version 2.0", "the MIT\n\nLicense stands apart", "SPDX-License-Identifier: MIT\nAll rights reserved.",
+    ]
+    got = {r.doc_id: {d.label for d in r.detections} for r in ls.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {"gpl", "gpl-2.0"} & got[0] and any(x.startswith("gpl-2.0") for x in got[0]) and "isc" in got[1] and "apache-2.0" in got[2] and got[3] == set()
+    one = ls.scan(spark.createDataFrame([(0, " ".join(t.replace(" * ", " ") for t in texts[0].split("\n")))], "doc_id long, text string")).first()
+    assert {d.label for d in one.detections} == got[0] and got[4] == brute(texts[4])[2]
