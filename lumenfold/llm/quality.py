@@ -1,7 +1,7 @@
 """Document quality: random-indexing word vectors and a small neural network.
 
 Every word has a sparse random index vector; a word's vector is the sum of the
-index vectors of the words around it in the training texts. A document's words
+index vectors of the words around it in all documents. A document's words
 and its runs of signs are pooled to means, shares of letter shapes are added, and
 a network with one hidden layer scores the result. Its logits are divided by a
 temperature that is fitted on training rows that the network has not seen.
@@ -9,20 +9,23 @@ temperature that is fitted on training rows that the network has not seen.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_WORDS, labelled_sample, mix, prepare
+from .common import ASCII_WORDS, labelled_sample, mix, prepare, tidy
 
 #: Rows of the table of word vectors: words share a row where their hashes do. It is broadcast (8 MB).
 ROWS, DIM, NONZERO = 1 << 15, 64, 6
 WINDOW = 2
 HIDDEN = 32
+#: Words whose contexts are added up at a time, and tasks at least that do so: each makes up to ROWS rows.
+CHUNK, TASKS = 1 << 18, 64
 #: Labelled rows that are taken to the driver at most, half of them of each class where there are as many.
 TRAIN_ROWS = 3000
 EPOCHS = 60
@@ -52,31 +55,77 @@ def tokens(text: str | None) -> tuple[list[bytes], list[bytes], bytes]:
     return raw.translate(ASCII_WORDS).split(), raw.translate(_SIGNS).split(), raw
 
 
+def _index_places() -> tuple[np.ndarray, np.ndarray]:
+    """(ROWS, NONZERO) columns and signs of the sparse ternary index vectors, by hashing."""
+    row = mix(np.arange(ROWS, dtype=np.uint64) + np.uint64(1))
+    h = np.stack([mix(row + np.uint64(k)) for k in range(NONZERO)], axis=1)
+    return (h % np.uint64(DIM)).astype(np.int64), np.where(h >> np.uint64(63), 1, -1)
+
+
 def index_vectors() -> np.ndarray:
-    """Sparse ternary vectors, a few +1 and -1 in each row, by hashing."""
-    out = np.zeros((ROWS, DIM), np.float32)
-    row = np.arange(ROWS, dtype=np.uint64)
+    """Sparse ternary vectors, a few +1 and -1 in each row."""
+    out = np.zeros((ROWS, DIM), np.int64)
+    columns, signs = _index_places()
     for k in range(NONZERO):
-        h = mix(mix(row + np.uint64(1)) + np.uint64(k))
-        np.add.at(out, (row.astype(np.int64), (h % np.uint64(DIM)).astype(np.int64)), np.where(h >> np.uint64(63), 1.0, -1.0))
+        np.add.at(out, (np.arange(ROWS), columns[:, k]), signs[:, k])
     return out
 
 
-def word_vectors(texts: list[str]) -> np.ndarray:
-    """Unit vectors of context for each row; rows without context keep their index vector."""
-    index, rows = index_vectors(), _Rows()
-    context = np.zeros_like(index)
-    for i in range(0, len(texts), 50):
-        lists = [t for text in texts[i : i + 50] for t in tokens(text)[:2] if t]
-        ids = np.fromiter((rows[w] for ws in lists for w in ws), np.int64)
-        owner = np.repeat(np.arange(len(lists)), [len(ws) for ws in lists])
+def context_sums(texts: Iterable[str]) -> np.ndarray:
+    """(ROWS, DIM) sums of the index vectors of the words around each row's words, as whole numbers."""
+    columns, signs = _index_places()
+    rows, total = _Rows(), np.zeros(ROWS * DIM, np.int64)
+    ids: list[int] = []
+    lengths: list[int] = []
+
+    def add() -> None:
+        at, owner = np.array(ids, np.int64), np.repeat(np.arange(len(lengths)), lengths)
         for gap in range(1, WINDOW + 1):
             same = owner[gap:] == owner[:-gap]
-            left, right = ids[:-gap][same], ids[gap:][same]
-            np.add.at(context, left, index[right])
-            np.add.at(context, right, index[left])
-    context += index
-    return context / np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-6)
+            left, right = at[:-gap][same], at[gap:][same]
+            word, other = np.concatenate((left, right)) * DIM, np.concatenate((right, left))
+            for k in range(NONZERO):
+                np.add.at(total, word + columns[other, k], signs[other, k])
+        ids.clear()
+        lengths.clear()
+
+    for text in texts:
+        for items in tokens(text)[:2]:
+            ids.extend(map(rows.__getitem__, items))
+            lengths.append(len(items))
+        if len(ids) >= CHUNK:
+            add()
+    add()
+    return total.reshape(ROWS, DIM)
+
+
+def unit_vectors(context: np.ndarray) -> np.ndarray:
+    """Unit vectors of context for each row; rows without context keep their index vector."""
+    out = (context + index_vectors()).astype(np.float64)
+    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)).astype(np.float32)
+
+
+def word_vectors(docs: DataFrame) -> np.ndarray:
+    """unit_vectors() of the context sums over the texts of all docs.
+
+    Each task adds up its own documents and gives the rows that it met; the sums by row are
+    whole numbers, so their order does not matter. ROWS x DIM numbers come to the driver.
+    """
+    prepare(docs.sparkSession)
+    names = [f"v{i}" for i in range(DIM)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = context_sums(t.as_py() for batch in batches for t in batch.column("text"))
+        met = np.flatnonzero(sums.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(met), *(pa.array(np.ascontiguousarray(sums[met, i])) for i in range(DIM))], names=["row", *names])
+
+    schema = ", ".join(["row bigint", *(f"{n} bigint" for n in names)])
+    texts = docs.select("text").where("text is not null").coalesce(max(TASKS, 2 * docs.sparkSession.sparkContext.defaultParallelism))
+    got = texts.mapInArrow(lambda b: tidy(run(b)), schema).groupBy("row").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
+    context = np.zeros((ROWS, DIM), np.int64)
+    if got.num_rows:
+        context[got["row"].to_numpy()] = np.stack([got[n].to_numpy() for n in names], axis=1)
+    return unit_vectors(context)
 
 
 def pooled(texts: list[str | None], vectors: np.ndarray, rows: _Rows) -> np.ndarray:
@@ -112,10 +161,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit(texts: list[str], y: list[int]) -> Model:
-    """The word vectors, the network (Adam on the log loss) and its temperature."""
+def fit(texts: list[str], y: list[int], vectors: np.ndarray) -> Model:
+    """The network (Adam on the log loss) over given word vectors, and its temperature."""
     rng = np.random.default_rng(5)
-    vectors = word_vectors(texts)
     x = np.concatenate([pooled(texts, vectors, _Rows()), np.zeros((0, 2 * DIM + KINDS + 4), np.float32)])
     target = np.array(y, np.float64)
     order = rng.permutation(len(y))
@@ -145,10 +193,12 @@ def fit(texts: list[str], y: list[int]) -> Model:
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, label: str = "label") -> Model:
     """A model from at most ``rows`` of docs' texts and their label in labels (0 or 1; others are ignored).
 
+    The word vectors are gathered from all docs, which needs no labels.
+
     See labelled_sample(). Without labelled rows every score is 0.5.
     """
     got = labelled_sample(docs, labels, rows, label)
-    return fit([t for t, _ in got], [y for _, y in got])
+    return fit([t for t, _ in got], [y for _, y in got], word_vectors(docs))
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:

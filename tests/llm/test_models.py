@@ -75,3 +75,13 @@ def test_same_texts_same_scores(spark, sf):
     a = queries.op3_toxicity(spark, sf).orderBy("doc_id").collect()
     b = queries.op3_toxicity(spark, sf).orderBy("doc_id").collect()
     assert a == b
+
+
+def test_word_vectors_come_from_all_documents(spark):
+    texts = ["bad awful words here", "fine good words there"] * 10 + ["unlabelled xylem grows beside phloem"] * 5
+    docs = spark.createDataFrame(list(enumerate([*texts, None])), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, label int")
+    got, row = quality.learn(docs, labels).vectors, quality._Rows()
+    index = quality.index_vectors()
+    want = sum(index[row[w]] for w in (b"xylem", b"unlabelled", b"grows", b"beside"))
+    assert abs(got[row[b"xylem"]] - (5 * (want - index[row[b"xylem"]]) + index[row[b"xylem"]]) / max(1e-6, ((5 * (want - index[row[b"xylem"]]) + index[row[b"xylem"]]) ** 2).sum() ** 0.5)).max() < 1e-5
