@@ -27,6 +27,10 @@ BROADCAST_IDS = 1_000_000
 #: link_buckets() ends its rounds after so many, when one leaves more than this share of the open members,
 #: or when members have no more than about so many others in their buckets.
 ROUNDS, ENOUGH, FEW = 6, 0.7, 16
+#: Members of a bucket that a part of it holds, and members of a tile where all pairs are tried.
+PART, TILE = 5000, 500
+#: A key with more than one in so many of all rows is heavy.
+HEAVY_SHARE = 10_000
 
 #: ASCII upper case to lower case, nothing else.
 ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -109,6 +113,15 @@ class Scratch:
         delete(self.spark, df.scratch_path)
 
 
+def fresh(taken: Iterable[str], name: str) -> str:
+    """A column name that is not among those taken, in any case."""
+    low = {c.lower() for c in taken}
+    out = f"__{name.strip('_')}"
+    while out.lower() in low:
+        out += "_"
+    return out
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
@@ -198,58 +211,114 @@ def link_buckets(
     nodes: DataFrame | None = None,
     fits: Callable[[Carried, Carried], Column] | None = None,
     distance: Callable[[Carried, Carried], Column] | None = None,
+    members: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
     """Edges (a, b) that connect all ids that share a bucket and pass verification.
 
-    keys: (key, id). verify takes candidate pairs (a, b), a < b, and returns those that
-    are linked. nodes (id and what members carry), fits and distance may serve to prune:
-    pairs that do not fit are never made, and in the rounds each member tries only the
-    nearest of its candidates.
-
-    No bucket is expanded into all its pairs at once. In each round, every member is
-    tried against one member of its bucket (first the most central one, which shares
-    most buckets with others; later one by lot), and the components of all links so far
-    are found. Links inside a component could not change it, so only buckets that hold
+    keys: (key, id), which is evaluated twice. verify takes candidate pairs (a, b), a < b,
+    and returns those that are linked. nodes (id and what members carry), fits and distance
+    may serve to prune: pairs that do not fit are never made, and in the rounds each member
+    tries only the nearest of its candidates. members is called once, before any pair is
+    verified, with the ids (distinct) that share any bucket.
+
+    Buckets of two give their pair at once, from a count that is combined before the
+    shuffle. No larger bucket is expanded into all its pairs at once. In each round, every
+    member is tried against one member of its bucket (first the most central one, which
+    shares most buckets with others; later one by lot), and the components of all links so
+    far are found. Links inside a component could not change it, so only buckets that hold
     several components go on. When rounds no longer join much, all pairs of different
-    components that share a bucket are tried, so the components are those of all links.
+    components that share a bucket are tried, tile by tile, so the components are those of
+    all links. A large bucket is dealt over parts of about PART members throughout.
     """
-    sizes = scratch.save(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    shared = keys.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_IDS else sizes, "key")
-    degree = shared.groupBy("id").agg(F.sum("n").alias("degree"))
-    shared = shared.select("key", "id").join(degree, "id")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"))
+    sizes = scratch.save(sizes.where("n > 1 and a <> b"), "sizes")
+    couples = sizes.where("n = 2").select("a", "b").distinct()
+    wide = sizes.where("n > 2").select("key", F.col("n").cast("int").alias("n"))
+    shared = keys.join(F.broadcast(wide) if wide.count() <= BROADCAST_IDS else wide, "key")
+    shared = scratch.save(shared.select("key", "id", "n"), "shared")
+    if members is not None:
+        ids = couples.select(F.explode(F.array("a", "b")).alias("id")).unionByName(shared.select("id")).distinct()
+        members(scratch.save(ids, "members"))
+    if fits is not None:
+        side = lambda name: nodes.select(F.struct("*").alias(name))
+        couples = couples.join(side("x"), F.col("a") == F.col("x.id")).join(side("y"), F.col("b") == F.col("y.id"))
+        couples = couples.where(fits(Carried("x"), Carried("y"))).select("a", "b")
+    open_ = shared.join(shared.groupBy("id").agg(F.sum("n").alias("degree")), "id")
     if nodes is not None:
-        shared = shared.join(nodes, "id")
+        open_ = open_.join(nodes, "id")
     carried = [c for c in (nodes.columns if nodes is not None else []) if c != "id"]
     left = edges = None
-    open_ = scratch.save(shared.withColumn("c", F.col("id")), "buckets")
+    open_ = scratch.save(open_.withColumn("c", F.col("id")), "buckets")
     for turn in range(ROUNDS):
         order = F.struct("degree", -F.col("id")) if turn == 0 else F.struct(F.xxhash64("id", F.lit(turn)), "id")
-        lead = open_.groupBy("key").agg(F.max_by(F.struct("id", "c", *carried), order).alias("x"))
+        lead = open_.groupBy("key").agg(F.max_by(F.struct("id", "c", *carried), order).alias("x"), F.max("n").alias("n"))
+        lead = lead.select("key", "x", F.explode(F.sequence(F.lit(0), _parts("n") - 1)).alias("part"))
         fit = F.col("y.c") != F.col("x.c")
-        pairs = open_.alias("y").join(lead, "key").where(fit if fits is None else fit & fits(Carried("x"), Carried("y")))
+        pairs = _dealt(open_).alias("y").join(lead, ["key", "part"]).where(fit if fits is None else fit & fits(Carried("x"), Carried("y")))
         pair = (F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
         if distance is None:
-            stars = pairs.select(*pair).distinct()
+            stars = pairs.select(*pair)
         else:
             near = F.min(F.struct(distance(Carried("x"), Carried("y")).alias("d"), *pair)).alias("m")
-            stars = pairs.groupBy(F.col("y.id")).agg(near).select("m.a", "m.b").distinct()
-        found = verify(stars)
+            stars = pairs.groupBy(F.col("y.id")).agg(near).select("m.a", "m.b")
+        tried = scratch.save((stars.unionByName(couples) if turn == 0 else stars).distinct(), "candidates")
+        found = verify(tried)
         edges = scratch.save(found if edges is None else edges.unionByName(found), "links")
+        scratch.drop(tried)
         comp = scratch.save(connected_components(scratch, edges), "components")
         named = open_.drop("c").join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-        mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-        open_ = scratch.save(named.join(mixed, "key", "left_semi"), "open")
+        mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").cast("int").alias("now"), F.max("n").alias("n"))
+        mixed = mixed.where("lo <> hi").select("key", "now", F.explode(F.sequence(F.lit(0), _parts("n") - 1)).alias("part"))
+        after = _dealt(named).join(mixed, ["key", "part"]).withColumn("n", F.col("now")).drop("now", "part")
+        after = scratch.save(after.select(*open_.columns), "open")
+        scratch.drop(open_)
+        scratch.drop(comp)
+        open_ = after
         size = open_.groupBy("key").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("pairs")).first()
         before, left = left, size.n or 0
         if not left:
             return edges
         if size.pairs <= FEW * left or (before is not None and left > ENOUGH * before):
             break
-    x, y = open_.alias("x"), open_.alias("y")
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c"))
+    x, y = _tiled(open_).alias("x"), _tiled(open_).alias("y")
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi")) & (F.col("x.c") < F.col("y.c"))
+    apart = apart & ((F.col("x.tile") != F.col("y.tile")) | (F.col("x.lo") == F.col("x.hi")))
     pairs = x.join(y, apart if fits is None else apart & fits(Carried("x"), Carried("y")))
     pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    return edges.unionByName(scratch.save(verify(pairs), "more_links"))
+    return edges.unionByName(scratch.save(verify(scratch.save(pairs, "candidates")), "more_links"))
+
+
+def _parts(n: str) -> Column:
+    return F.ceil(F.col(n) / PART).cast("int")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows with the part of their bucket, 0 in those of at most PART members."""
+    return rows.withColumn("part", F.pmod(F.xxhash64("id", F.lit(29)), _parts("n")).cast("int"))
+
+
+def _tiled(rows: DataFrame) -> DataFrame:
+    """rows once for each pair (lo, hi) of tiles of their bucket with their own tile in it.
+
+    Two members of different tiles meet in one such pair, those of one tile where lo = hi.
+    """
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("id", F.lit(31)), tiles).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    return rows.withColumn("lo", F.least("tile", "other")).withColumn("hi", F.greatest("tile", "other")).drop("other")
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], total: int) -> DataFrame:
+    """rows (saved) joined with keyed (saved, distinct by ``on``), whose n says how many of the ``total`` rows a key has.
+
+    Up to BROADCAST_IDS keys are broadcast. Of more, the heavy ones are: those of over a
+    10,000th of all rows, so at most 10,000. Without them, no key has enough rows to fill a task.
+    """
+    if keyed.count() <= BROADCAST_IDS:
+        return rows.join(F.broadcast(keyed), on).drop("n")
+    heavy = F.broadcast(keyed.where(F.col("n") > total // HEAVY_SHARE))
+    light = rows.join(heavy.select(*on), on, "left_anti").join(keyed.where(F.col("n") <= total // HEAVY_SHARE), on)
+    return rows.join(heavy, on).unionByName(light).drop("n")
 
 
 class Carried:

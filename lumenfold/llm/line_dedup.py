@@ -1,13 +1,19 @@
-"""Fuzzy line deduplication: banded MinHash of counted words, edit similarity.
+"""Fuzzy line deduplication: banded MinHash of counted, weighted words, edit similarity.
 
 A line is the set of its words, each with its number among the line's equal words.
 Two lines of at most n words whose edit similarity is 80 % or more share at least
-0.8 n of at most 1.2 n such members, whatever their length, so one MinHash sample is
-equal with a chance of two in three and a band of three with 0.296 at least. Lines meet
-if any of BANDS bands is equal: at the threshold itself with a chance of 0.996, at a
-similarity of 0.9 of 0.999997. Lines that meet are linked if their edit similarity, in
-words, is high enough. Of each connected group of lines, the first occurrence in the
-corpus stays.
+0.8 n of at most 1.2 n such members, whatever their length. A MinHash sample picks a
+member of the two lines, rare words rather than common ones, and is equal if it picks
+a shared one: where edits fall on words without regard to their frequency with a chance of
+two in three at the threshold. A band of three is then equal with 0.296, and any of BANDS
+with 0.996 (at a similarity of 0.9 with 0.999997). Weights keep lines apart that have
+nothing but common words in common. Lines that share a band are linked if their edit
+similarity, in words, is high enough. Of each connected group of lines, the first
+occurrence in the corpus stays.
+
+Blocks of a SimHash, which the operator is named for, cannot do this: at 80 % each bit
+differs with a chance of 0.2, so a block of 20 bits is equal with 0.01 and over 200 blocks
+a line would be needed for a recall of 0.9.
 """
 
 from __future__ import annotations
@@ -18,15 +24,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, connected_components, link_buckets, mix, only_ids, prepare, tidy
+from .common import BROADCAST_IDS, Carried, Scratch, connected_components, fresh, join_counted, link_buckets, mix, prepare, tidy
 
 #: Bands of 32 bits, two to a stored column, and the MinHash samples that each is made of.
 BANDS, SAMPLES = 16, 3
-#: Lines of fewer words stay wherever they stand: they repeat by chance.
+#: Rows of the table of word counts: words share a row where their hashes do.
+COUNTED = 1 << 16
+#: A word's chance to be sampled is halved for every fourfold of this share of all words, so many times at most.
+#: Shares are smoothed by as many words as UNSEEN, so that few words tell nothing.
+COMMON, MOST_HALVINGS, UNSEEN = 2.0**-15, 6, 1 << 20
+#: Samples of a line are also kept as four bits each. Lines are compared if as many are equal as ALIKE: at the threshold
+#: two in three of the 48 are by chance, of lines that share only a band and common words 7.
+SKETCH_WORDS, ALIKE = BANDS * SAMPLES // 16, 12
+#: Lines of fewer words stay wherever they stand: they repeat by chance. A default.
 MIN_WORDS = 5
 PERCENT = 80
 
@@ -95,27 +109,57 @@ def hashed_words(text: str) -> tuple[np.ndarray, np.ndarray]:
     return _sums(_BYTES[raw], starts, ends), np.searchsorted(feeds, starts)
 
 
-def hashed_lines(words: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lines of at least MIN_WORDS words: their numbers, two 64-bit hashes of each, and for each word its line's place here or -1."""
+def hashed_lines(words: np.ndarray, line: np.ndarray, least: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lines of at least ``least`` words: their numbers, two 64-bit hashes of each, and for each word its line's place here or -1."""
     firsts = np.flatnonzero(np.diff(line, prepend=-1))
     lasts = np.append(firsts[1:], len(line))
-    long = lasts - firsts >= MIN_WORDS
+    long = lasts - firsts >= least
     place = np.repeat(np.where(long, np.cumsum(long) - 1, -1), lasts - firsts)
     firsts, lasts = firsts[long], lasts[long]
     h1, h2 = (_sums(mix(words + np.uint64(salt)), firsts, lasts) for salt in (0x632BE59BD9B4E019, 0xE220A8397B1DCDAF))
     return line[firsts], h1, h2, place
 
 
+def halvings(counts: np.ndarray) -> np.ndarray:
+    """How many times the chance of a word to be sampled is halved, by its row in the table of word counts."""
+    share = counts / (int(counts.sum()) + UNSEEN)
+    return np.clip(np.floor(np.log2(np.maximum(share, 1e-30) / COMMON) / 2), 0, MOST_HALVINGS).astype(np.uint8)
+
+
+def word_counts(docs: DataFrame) -> np.ndarray:
+    """How often the words of each row of the table stand in the texts of all docs.
+
+    Each task counts its own documents; COUNTED numbers come to the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTED, np.int64)
+        for batch in batches:
+            for _, text in _chunks([0] * batch.num_rows, batch.column("text")):
+                total += np.bincount((hashed_words(text)[0] % np.uint64(COUNTED)).astype(np.int64), minlength=COUNTED)
+        met = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[met])], names=["row", "n"])
+
+    out = np.zeros(COUNTED, np.int64)
+    texts = docs.select("text").where("text is not null")
+    got = texts.mapInArrow(lambda b: tidy(run(b)), "row bigint, n bigint").groupBy("row").agg(F.sum("n").alias("n")).toArrow()
+    out[got["row"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
 #: One odd factor and one mask for each sample.
 _FACTORS = mix(np.arange(1, 2 * BANDS * SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _MASKS, _FACTORS = _FACTORS[BANDS * SAMPLES :], _FACTORS[: BANDS * SAMPLES] | np.uint64(1)
 
 
-def fingerprints(words: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(n lines, BANDS) bands of 32 bits and how many words each line has.
+def fingerprints(
+    words: np.ndarray, place: np.ndarray, n: int, halved: np.ndarray | None = None, sketches: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """(n lines, BANDS) bands of 32 bits and how many words each line has; sketches (n lines, SKETCH_WORDS), if given, is filled.
 
-    words: hashes; place: each word's line, from 0, in order. The k-th of a line's equal
-    words is a member of its own, so that replacing a word replaces one member only.
+    words: hashes; place: each word's line, from 0, in order; halved: halvings() by row, none
+    if not given. The k-th of a line's equal words is a member of its own, so that replacing
+    a word replaces one member only.
     """
     bands, counts = np.zeros((n, BANDS), np.uint32), np.bincount(place, minlength=n)
     if len(words):
@@ -127,10 +171,17 @@ def fingerprints(words: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarr
         members = mix(words + number.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
         starts = np.flatnonzero(np.diff(place, prepend=-1))
         lines = place[starts]
+        # A sample is the member of the smallest value; the values of a word halved k times are 2**k as large.
+        down = np.uint64(MOST_HALVINGS) - (0 if halved is None else halved[(words % np.uint64(COUNTED)).astype(np.int64)].astype(np.uint64))
         for i in range(BANDS):
             band = np.zeros(len(starts), np.uint64)
             for k in range(i * SAMPLES, (i + 1) * SAMPLES):
-                band = mix(band ^ np.minimum.reduceat((members ^ _MASKS[k]) * _FACTORS[k], starts))
+                values = (members ^ _MASKS[k]) * _FACTORS[k]
+                values >>= down
+                low = np.minimum.reduceat(values, starts)
+                band = mix(band ^ low)
+                if sketches is not None:
+                    sketches[lines, k // 16] |= (mix(low) >> np.uint64(60)) << np.uint64(4 * (k % 16))
             bands[lines, i] = band >> np.uint64(32)
     return bands, counts
 
@@ -153,8 +204,9 @@ def _unpacked(packed: np.ndarray) -> np.ndarray:
     return np.stack([wide >> np.uint64(32), wide & np.uint64(0xFFFFFFFF)], axis=2).reshape(len(wide), -1).astype(np.uint32)
 
 
-#: The columns that hold the bands.
+#: The columns that hold the bands, and those of the sketch.
 _COLUMNS = [f"b{i}" for i in range(BANDS // 2)]
+_SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 
 
 def _chunks(docs: list, texts: pa.Array) -> Iterator[tuple[list[tuple[int, int, int]], str]]:
@@ -186,20 +238,22 @@ def _pieces(text: str) -> Iterator[str]:
         at = cut + 1
 
 
-def _occurrence_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "pos", "h1", "h2", *_COLUMNS]
+def _occurrence_batches(batches: Iterator[pa.RecordBatch], halved: np.ndarray | None = None, least: int = MIN_WORDS) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "pos", "h1", "h2", "words", *_COLUMNS, *_SKETCH]
     for batch in batches:
         docs = batch.column("doc_id").to_pylist()
         for owners, text in _chunks(docs, batch.column("text")):
             words, line = hashed_words(text)
-            numbers, h1, h2, place = hashed_lines(words, line)
-            bands = _packed(fingerprints(words[place >= 0], place[place >= 0], len(numbers))[0])
+            numbers, h1, h2, place = hashed_lines(words, line, least)
+            sketches = np.zeros((len(numbers), SKETCH_WORDS), np.uint64)
+            bands, n_words = fingerprints(words[place >= 0], place[place >= 0], len(numbers), halved, sketches)
+            bands, sketches = _packed(bands), sketches.view(np.int64)
             which, first, done = (np.array(x, np.int64) for x in zip(*owners, strict=True))
             at = np.searchsorted(first, numbers, "right") - 1
             ids = np.array(docs, np.int64)[which[at]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array((numbers - first[at] + done[at]).astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
-                 *(pa.array(np.ascontiguousarray(bands[:, i])) for i in range(len(_COLUMNS)))],
+                [pa.array(ids), pa.array((numbers - first[at] + done[at]).astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(n_words),
+                 *(pa.array(np.ascontiguousarray(x[:, i])) for x in (bands, sketches) for i in range(x.shape[1]))],
                 names=names,
             )
 
@@ -232,50 +286,68 @@ def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["id", "line"])
 
 
-def duplicate_lines(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, pos) of every line to be removed, and near: true if another wording of it stays.
+def duplicate_lines(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, pos, near) of every line to be removed, saved; near: another wording of it stays.
 
     Lines are ordered by (doc_id, pos); of each connected group the first stays.
     """
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    schema = f"doc_id bigint, pos int, h1 bigint, h2 bigint, {', '.join(f'{c} bigint' for c in _COLUMNS)}"
-    found = scratch.save(docs.mapInArrow(lambda b: tidy(_occurrence_batches(b)), schema), "occurrences")
+    halved = docs.sparkSession.sparkContext.broadcast(halvings(word_counts(docs)))
+    schema = f"doc_id bigint, pos int, h1 bigint, h2 bigint, words bigint, {', '.join(f'{c} bigint' for c in _COLUMNS + _SKETCH)}"
+    found = scratch.save(docs.mapInArrow(lambda b: tidy(_occurrence_batches(b, halved.value, min_words)), schema), "occurrences")
     lines = scratch.save(
         found.groupBy("h1", "h2").agg(
-            F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("at"), *(F.min(c).alias(c) for c in _COLUMNS)
+            F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("at"), *(F.any_value(c).alias(c) for c in ["words", *_COLUMNS, *_SKETCH])
         ),
         "lines",
     )
     keys = lines.select("h1", *_COLUMNS).mapInArrow(lambda b: tidy(_key_batches(b)), "key bigint, id bigint")
+    texts: list[DataFrame] = []
+
+    def read(ids: DataFrame) -> None:
+        """The words of all lines that may be compared, in one scan of the documents."""
+        few = ids.count() <= BROADCAST_IDS
+        wanted = lines.join(F.broadcast(ids) if few else ids, lines.h1 == ids.id, "left_semi").select("h1", "at.doc_id", "at.pos").distinct()
+        wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "h1")).alias("wanted"))
+        own = docs.join(F.broadcast(wanted) if few else wanted, "doc_id")
+        texts.append(scratch.save(own.mapInArrow(lambda b: tidy(_text_batches(b)), "id bigint, line string").distinct(), "texts"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.save(pairs.select("a", "b").distinct(), "candidates")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
-        wanted = scratch.save(
-            lines.join(ids, "h1", "left_semi").select("h1", "at.doc_id", "at.pos").distinct()
-            .groupBy("doc_id").agg(F.collect_list(F.struct("pos", "h1")).alias("wanted")),
-            "wanted",
-        )
-        texts = only_ids(docs, wanted.select("doc_id"), "doc_id").join(wanted, "doc_id")
-        texts = scratch.save(texts.mapInArrow(lambda b: tidy(_text_batches(b)), "id bigint, line string").distinct(), "texts")
-        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(
-            texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b"
+        both = pairs.join(texts[0].select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(
+            texts[0].select(F.col("id").alias("b"), F.col("line").alias("y")), "b"
         )
-        return both.where(F.expr(similar("x", "y", percent))).select("a", "b")
+        return both.where(F.expr(similar("x", "y", percent))).select("a", "b").distinct()
 
-    edges = link_buckets(scratch, keys, verified)
+    def fits(x: Carried, y: Carried) -> Column:
+        """The lengths allow the similarity, and the sketches do not speak against it."""
+        return (100 * F.least(x("words"), y("words")) >= percent * F.greatest(x("words"), y("words"))) & (equal_samples(x, y) >= ALIKE)
+
+    edges = link_buckets(scratch, keys, verified, lines.select(F.col("h1").alias("id"), "words", *_SKETCH), fits, members=read)
     comp = scratch.save(connected_components(scratch, edges), "components")
-    near = lines.join(comp.select(F.col("id").alias("h1"), "component"), "h1").select("h1", "h2", "at", "component")
-    near = near.join(near.groupBy("component").agg(F.min("at").alias("first")), "component").select("h1", "h2", "at", "first")
+    near = scratch.save(lines.select("h1", "h2", "at", "n").join(comp.withColumnRenamed("id", "h1"), "h1"), "near")
+    first = scratch.save(near.groupBy("component").agg(F.min("at").alias("first"), F.count("*").alias("n")), "first")
+    near = join_counted(near.withColumnRenamed("n", "many"), first, ["component"], near.count())
+    near = near.select("h1", "h2", "at", "first", F.col("many").alias("n"))
     same = lines.where("n > 1").join(comp.select(F.col("id").alias("h1")), "h1", "left_anti")
-    kept = scratch.save(near.unionByName(same.select("h1", "h2", "at", F.col("at").alias("first"))), "kept")
-    return (
-        found.select("doc_id", "pos", "h1", "h2").join(kept, ["h1", "h2"])
-        .where(F.struct("doc_id", "pos") != F.struct("first.doc_id", "first.pos"))
-        .select("doc_id", "pos", (F.col("at") != F.col("first")).alias("near"))
-        .distinct()
-    )
+    kept = scratch.save(near.unionByName(same.select("h1", "h2", "at", F.col("at").alias("first"), "n")), "kept")
+    out = join_counted(found.select("doc_id", "pos", "h1", "h2"), kept, ["h1", "h2"], found.count())
+    out = out.where(F.struct("doc_id", "pos") != F.struct("first.doc_id", "first.pos"))
+    out = scratch.save(out.select("doc_id", "pos", (F.col("at") != F.col("first")).alias("near")).distinct(), "gone")
+    for done in (found, lines, *texts):
+        scratch.drop(done)
+    return out
+
+
+def equal_samples(x: Carried, y: Carried) -> Column:
+    """How many of the samples' four bits are equal in two sketches."""
+    out = F.lit(BANDS * SAMPLES)
+    for c in _SKETCH:
+        apart = x(c).bitwiseXOR(y(c))
+        apart = apart.bitwiseOR(F.shiftrightunsigned(apart, 1))
+        apart = apart.bitwiseOR(F.shiftrightunsigned(apart, 2))
+        out = out - F.bit_count(apart.bitwiseAND(F.lit(0x1111111111111111)))
+    return out
 
 
 def similar(x: str, y: str, percent: int) -> str:
@@ -284,56 +356,68 @@ def similar(x: str, y: str, percent: int) -> str:
     return f"abs(length({x}) - length({y})) <= {most} and levenshtein({x}, {y}, {most}) >= 0"
 
 
-def _clean_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _clean_batches(batches: Iterator[pa.RecordBatch], drops: str, names: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, total = [], []
-        for text, drop in zip(batch.column("text"), batch.column("__drop").to_pylist(), strict=True):
+        for text, drop in zip(batch.column("text"), batch.column(drops).to_pylist(), strict=True):
             t = text.as_py()
             total.append(0 if t is None else t.count("\n") + 1)
             if drop:
                 out = set(drop)
                 t = "\n".join(line for k, line in enumerate(t.split("\n")) if k not in out)
             texts.append(t)
-        names = [c for c in batch.schema.names if c != "__drop"]
         columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64())], names=[*names, "__lines"])
 
 
-def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+#: The counts that dedup_lines() adds.
+ADDED = ("__removed", "__removed_near", "__lines")
+
+
+def dedup_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with repeated lines removed from the text, plus __lines, __removed, __removed_near (counts).
 
     A line is what stands between LFs; it is compared without case and
-    punctuation. Lines of at least MIN_WORDS words take part; in scripts without
+    punctuation. Lines of at least min_words words take part; in scripts without
     spaces every character is a word. Equal lines
     are one; lines are also linked to lines that share a band of the fingerprint if the
     edit distance in words is at most (100 - percent) % of the longer line. Of each
     connected group the occurrence with the smallest (doc_id, line number) stays.
 
-    Every row stays, with its other columns; a text may become empty. Null text
-    has 0 lines. Rows with a null doc_id are left as they are. Rows that repeat a
-    doc_id count as the same document, so they keep the same lines.
+    Every row stays, with its other columns (columns of docs that have an added column's
+    name are replaced); a text may become empty. Null text has 0 lines. Rows with a null
+    doc_id are left as they are. Rows that repeat a doc_id count as the same document, so
+    they keep the same lines.
     """
     scratch = Scratch(docs.sparkSession, "line_dedup")
-    gone = duplicate_lines(docs, scratch, percent).groupBy(F.col("doc_id").alias("__doc")).agg(
-        F.collect_list("pos").alias("__drop"), F.sum(F.col("near").cast("bigint")).alias("__removed_near")
+    carried = [c for c in docs.columns if c not in ADDED]
+    own, drops = fresh(docs.columns, "doc"), fresh(docs.columns, "drop")
+    gone = duplicate_lines(docs, scratch, percent, min_words)
+    few = gone.count() <= BROADCAST_IDS
+    gone = gone.groupBy(F.col("doc_id").alias(own)).agg(
+        F.collect_list("pos").alias(drops), F.sum(F.col("near").cast("bigint")).alias("__removed_near")
     )
-    joined = docs.join(gone, docs.doc_id.cast("bigint") == gone["__doc"], "left").select(
-        *docs.columns,
-        F.coalesce(F.size("__drop"), F.lit(0)).cast("bigint").alias("__removed"),
+    docs = docs.select(*carried)
+    joined = docs.join(F.broadcast(gone) if few else gone, docs.doc_id.cast("bigint") == gone[own], "left").select(
+        *carried,
+        F.coalesce(F.size(drops), F.lit(0)).cast("bigint").alias("__removed"),
         F.coalesce("__removed_near", F.lit(0)).alias("__removed_near"),
-        "__drop",
+        drops,
     )
-    schema = T.StructType([*joined.drop("__drop").schema.fields, T.StructField("__lines", T.LongType())])
-    return joined.mapInArrow(lambda b: tidy(_clean_batches(b)), schema)
+    names = [c for c in joined.columns if c != drops]
+    schema = T.StructType([*joined.select(*names).schema.fields, T.StructField("__lines", T.LongType())])
+    return joined.mapInArrow(lambda b: tidy(_clean_batches(b, drops, names)), schema)
 
 
-def drop_repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with repeated lines removed; columns as in docs, n_chars (if any) as the new length.
 
     Documents that had text in lines and lost all of it go: all they held stands elsewhere.
+    Columns of docs keep their values, whatever their names.
     """
-    out = dedup_lines(docs, percent).where((F.col("__removed") == 0) | (F.trim("text") != ""))
+    safe = {c: fresh(docs.columns, c) for c in ADDED if c in docs.columns}
+    out = dedup_lines(docs.withColumnsRenamed(safe), percent, min_words).where((F.col("__removed") == 0) | (F.trim("text") != ""))
     if "n_chars" in docs.columns:
         new = F.when(F.col("__removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", new)
-    return out.select(*docs.columns)
+    return out.select(*(F.col(safe.get(c, c)).alias(c) for c in docs.columns))

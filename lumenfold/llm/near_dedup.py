@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, Carried, Scratch, connected_components, link_buckets, mix, only_ids, prepare, tidy
+from .common import ASCII_LOWER, Carried, Scratch, connected_components, join_counted, link_buckets, mix, only_ids, prepare, tidy
 
 #: 24 bands of 4: a pair at similarity 0.8 shares no band with probability (1 - 0.8**4)**24 = 3e-6.
 BANDS, ROWS = 24, 4
@@ -180,7 +180,7 @@ def near_duplicates(
     sketcher = (bands, rows, sketch_words)
     signs = scratch.save(docs.mapInArrow(lambda b: tidy(_signature_batches(b, size, sketcher)), schema), "signatures")
     same = (
-        signs.where("n_shingles > 0 and doc_id is not null").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("node"))
+        signs.where("n_shingles > 0 and doc_id is not null").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
     )
     same = scratch.save(same, "classes")
     nodes = scratch.save(
@@ -218,11 +218,11 @@ def near_duplicates(
     carried = nodes.select("id", "n_shingles", "level", *words, *fine)
     edges = link_buckets(scratch, keys, confirmed, carried, fits, lambda x, y: differing(x, y, fine))
     comp = scratch.save(connected_components(scratch, edges), "components").withColumnRenamed("id", "node")
-    return (
-        signs.select("doc_id", "n_shingles", "sig1", "sig2").join(same, ["sig1", "sig2"], "left").join(comp, "node", "left")
-        .withColumn("component_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "node")).otherwise(F.col("doc_id")))
-        .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-    )
+    named = scratch.save(same.join(comp, "node", "left").select("sig1", "sig2", "n", F.coalesce("component", "node").alias("component_id")), "named")
+    linked = signs.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "sig1", "sig2")
+    linked = join_counted(linked, named, ["sig1", "sig2"], linked.count()).select("doc_id", "n_shingles", "component_id")
+    alone = signs.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:

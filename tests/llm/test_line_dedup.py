@@ -1,10 +1,11 @@
 import random
-from itertools import combinations
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from lumenfold.llm import common
 from lumenfold.llm import line_dedup as ld
 
 
@@ -24,13 +25,9 @@ def keys_of(lines):
 
 
 def brute(rows):
-    """The texts that stay, from all pairs of lines that share a block key."""
+    """The texts that stay, from all pairs of lines: no key decides which are compared."""
     occ = [(d, k, tuple(ws)) for d, t in rows if t is not None and d is not None for k, ws in enumerate(ld.normal_lines(t)) if len(ws) >= ld.MIN_WORDS]
     lines = sorted({ws for _, _, ws in occ})
-    keys, at = keys_of(lines)
-    mine = [set() for _ in lines]
-    for key, k in zip(keys.tolist(), at.tolist(), strict=True):
-        mine[k].add(key)
     parent = list(range(len(lines)))
 
     def root(k):
@@ -38,10 +35,8 @@ def brute(rows):
             k = parent[k]
         return k
 
-    for a, b in combinations(range(len(lines)), 2):
-        longest = max(len(lines[a]), len(lines[b]))
-        if mine[a] & mine[b] and 100 * edits(lines[a], lines[b]) <= (100 - ld.PERCENT) * longest:
-            parent[root(a)] = root(b)
+    for a, b in similar_pairs(lines):
+        parent[root(a)] = root(b)
     number = {ws: k for k, ws in enumerate(lines)}
     first = {}
     for d, k, ws in sorted(occ):
@@ -50,6 +45,29 @@ def brute(rows):
     return {d: "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in gone) if t is not None else None for d, t in rows}
 
 
+def similar_pairs(lines):
+    """All pairs whose edit similarity reaches the threshold. Lines of m words at most that are k edits apart share m - k words
+    at least, counted; only pairs that share fewer are passed over without counting their edits."""
+    held, longest = {}, np.array([len(ws) for ws in lines])
+    members = []
+    for k, ws in enumerate(lines):
+        seen, mine = Counter(), []
+        for w in ws:
+            mine.append((w, seen[w]))
+            held.setdefault((w, seen[w]), []).append(k)
+            seen[w] += 1
+        members.append(mine)
+    held = {m: np.array(ks) for m, ks in held.items()}
+    for a in range(len(lines)):
+        shared = np.zeros(len(lines), np.int64)
+        for m in members[a]:
+            shared[held[m]] += 1
+        most = np.maximum(longest, longest[a])
+        for b in np.flatnonzero(shared >= most - most * (100 - ld.PERCENT) // 100).tolist():
+            if b > a and 100 * edits(lines[a], lines[b]) <= (100 - ld.PERCENT) * most[b]:
+                yield a, b
+
+
 def test_documents_against_brute_force(spark, small):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     got = {r.doc_id: r.text for r in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -104,6 +122,61 @@ def test_defined_cases(spark):
     assert ld.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_recall_on_documents(spark):
+    """Of all pairs of lines in the documents that the rule links, those that share a key, with the words' weights."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if r.text]
+    lines = sorted({tuple(ws) for t in texts for ws in ld.normal_lines(t) if len(ws) >= ld.MIN_WORDS})
+    halved = ld.halvings(ld.word_counts(spark.createDataFrame([(t,) for t in texts], "text string")))
+    words, line = ld.hashed_words(b"\n".join(b" ".join(ws) for ws in lines).decode())
+    sketches = np.zeros((len(lines), ld.SKETCH_WORDS), np.uint64)
+    bands = ld.fingerprints(words, line, len(lines), halved, sketches)[0]
+    samples = (sketches[:, :, None] >> (4 * np.arange(16, dtype=np.uint64))) & np.uint64(15)
+    pairs = list(similar_pairs(lines))
+    alike = [(samples[a] == samples[b]).sum() >= ld.ALIKE for a, b in pairs]
+    assert len(pairs) > 300 and np.mean([(bands[a] == bands[b]).any() and ok for (a, b), ok in zip(pairs, alike, strict=True)]) >= 0.99
+    some = [(a, b) for a, b in zip(range(500), range(500, 1000), strict=True)] + pairs[:200]
+    got = spark.createDataFrame([(k, sketches[a].view(np.int64).tolist(), sketches[b].view(np.int64).tolist()) for k, (a, b) in enumerate(some)], "k long, u array<long>, v array<long>")
+    named = [F.struct(*(F.col(c)[i].alias(f"s{i}") for i in range(ld.SKETCH_WORDS))).alias(n) for c, n in (("u", "x"), ("v", "y"))]
+    counted = got.select("k", *named).select("k", ld.equal_samples(common.Carried("x"), common.Carried("y")).alias("n"))
+    assert {r.k: r.n for r in counted.collect()} == {k: int((samples[a] == samples[b]).sum()) for k, (a, b) in enumerate(some)}
+
+
+def test_word_counts_are_of_all_documents(spark):
+    rows = [("the cat\nTHE dog",), (None,), ("",), ("the end " * 70_000,)]
+    got = ld.word_counts(spark.createDataFrame(rows, "text string").repartition(3))
+    row = lambda w: int(ld.hashed_words(w)[0][0] % np.uint64(ld.COUNTED))
+    assert (got[row("the")], got[row("end")], got[row("cat")], got.sum()) == (70_002, 70_000, 1, 140_004)
+    assert ld.halvings(got)[row("the")] == 5 and ld.halvings(got)[row("cat")] == 0 and ld.word_counts(spark.createDataFrame([], "text string")).sum() == 0
+
+
+def test_clashing_names_and_shorter_lines(spark):
+    rows = [(1, "one two three\nfour five"), (2, "One, two, three!"), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("__doc", "__drop", "__lines", "__removed", "__removed_near", "near", "first", "h1"):
+        df = df.withColumn(c, F.lit(c))
+    kept = ld.drop_repeated_lines(df, min_words=3)
+    assert kept.columns == df.columns and [tuple(r[2:]) for r in kept.collect()] == [tuple(df.columns[2:])] * 2
+    assert {r.doc_id: (r.text, r["__removed"]) for r in ld.dedup_lines(df, min_words=3).collect()} == {1: (rows[0][1], 0), 2: ("", 1), 3: (None, 0)}
+
+
+def test_large_buckets_are_dealt_over_parts_and_tiles(spark, monkeypatch):
+    """Buckets of many members that are not alike, and of alike ones, with parts and tiles of few."""
+    monkeypatch.setattr(common, "PART", 3)
+    monkeypatch.setattr(common, "TILE", 2)
+    ids = [(k % 2, k) for k in range(40)] + [(9, k) for k in range(5)] + [(k + 100, j) for k in range(20) for j in (k, k + 20)]
+    keys = spark.createDataFrame(ids, "key long, id long")
+    for mod in (1, 4, 7, 100):
+        met = []
+        edges = common.link_buckets(common.Scratch(spark, "test"), keys, lambda p: p.where(F.col("a") % mod == F.col("b") % mod), members=met.append)
+        got = {r.id: r.component for r in common.connected_components(common.Scratch(spark, "test"), edges).collect()}
+        linked = [(x, y) for _, x in ids for _, y in ids if x < y and x % mod == y % mod and any((k, x) in ids and (k, y) in ids for k in (0, 1, 9, *range(100, 120)))]
+        want = {k: k for k in range(40)}
+        for _ in range(40):
+            for x, y in linked:
+                want[x] = want[y] = min(want[x], want[y])
+        assert all(got.get(k, k) == want[k] for k in range(40)) and met[0].count() == 40
+
+
 WORDS = [bytes(97 + k // 26**i % 26 for i in range(4)) for k in range(100_000)]
 
 

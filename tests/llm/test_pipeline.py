@@ -54,4 +54,4 @@ def test_components_of_long_chains(spark):
 
 
 def test_modules_have_their_sizes():
-    assert near_dedup.BANDS * near_dedup.ROWS == 96 and line_dedup.BLOCKS == 4 and decontaminate.WINDOW == 13
+    assert near_dedup.BANDS * near_dedup.ROWS == 96 and line_dedup.BANDS * line_dedup.SAMPLES == 48 and decontaminate.WINDOW == 13
