@@ -8,10 +8,10 @@ out; a later rule replaces an earlier one's days. Intervals past midnight end at
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .numbers import D, col
+from .numbers import D, bound, col
 from .text import clock_of
 
 DAYS = ("Su", "Mo", "Tu", "We", "Th", "Fr", "Sa")
@@ -57,8 +57,9 @@ def _intervals(spec: Column) -> Column:
         start, end = _minute(F.split(r, "-")[0]), _minute(F.split(r, "-")[1])
         return F.struct(start.alias("start_min"), F.when(end <= start, 1440).otherwise(end).alias("end_min"))
 
-    ok = F.forall(ranges, lambda r: r.rlike(form) & one(r)["start_min"].isNotNull() & one(r)["end_min"].isNotNull())
-    return F.when(ok, F.transform(ranges, one))
+    whole = lambda i: i["start_min"].isNotNull() & i["end_min"].isNotNull()
+    read = F.transform(ranges, lambda r: F.when(r.rlike(form), one(r)))
+    return bound(read, lambda x: F.when(F.forall(x, lambda i: i.isNotNull() & whole(i)), x))
 
 
 def parse_week(spec: D) -> Column:
@@ -77,15 +78,30 @@ def parse_week(spec: D) -> Column:
         return F.struct(days.alias("days"), F.when(~shut, _intervals(times)).alias("intervals"), shut.alias("shut"))
 
     rules = F.transform(F.filter(_trimmed_parts(c, ";"), lambda r: ~r.rlike(_MONTHS)), rule)
-    read = F.filter(rules, lambda r: (F.size(r["days"]) > 0) & (r["shut"] | r["intervals"].isNotNull()))
+    readable = F.filter(rules, lambda r: (F.size(r["days"]) > 0) & (r["shut"] | r["intervals"].isNotNull()))
 
-    def day(k: Column) -> Column:
-        mine = F.filter(read, lambda r: F.array_contains(r["days"], k))
-        return F.struct(k.alias("day"), F.element_at(F.transform(mine, lambda r: r["intervals"]), -1).alias("intervals"))
+    def named(read: Column) -> Column:
+        with_none = F.concat(F.array(F.struct(every.alias("days"), F.lit(None).cast(_INTERVALS).alias("intervals"), F.lit(True).alias("shut"))), read)
+        return F.when(F.size(read) > 0, bound(with_none, lambda r: F.transform(every, lambda k: day_of(r, k))))
+
+    def day_of(read: Column, k: Column) -> Column:
+        last = F.element_at(F.filter(read, lambda r: F.array_contains(r["days"], k)), -1)
+        return F.struct(k.alias("day"), last["intervals"].alias("intervals"))
 
-    named = F.when(F.size(read) > 0, F.transform(every, lambda k: F.when(F.exists(read, lambda r: F.array_contains(r["days"], k)), day(k)).otherwise(F.struct(k.alias("day"), F.lit(None).cast(_INTERVALS).alias("intervals")))))
     always = F.array(F.struct(F.lit(0).alias("start_min"), F.lit(1440).alias("end_min")))
-    return F.when(c == "24/7", F.transform(every, lambda k: F.struct(k.alias("day"), always.alias("intervals")))).when(c != "", named)
+    whole = F.transform(every, lambda k: F.struct(k.alias("day"), always.alias("intervals")))
+    return F.when(c == "24/7", whole).when(c != "", bound(readable, named))
+
+
+def with_weeks(df: DataFrame, spec: str, name: str = "week") -> DataFrame:
+    """df with parse_week() of its specs, each distinct one of which is parsed once.
+
+    Venues share their specs, so the parsed side is far smaller than df; Spark broadcasts it
+    where its measured size allows. Rows without a spec have no week.
+    """
+    key = "__" + spec
+    parsed = df.select(F.col(spec).alias(key)).where(F.col(key).isNotNull()).distinct().withColumn(name, parse_week(key))
+    return df.join(parsed, df[spec] == parsed[key], "left").drop(key)
 
 
 def status(week: D, day: D, minute: D) -> Column:
@@ -104,9 +120,14 @@ def status(week: D, day: D, minute: D) -> Column:
         F.transform(F.sequence(F.lit(1), F.lit(7)), lambda k: F.struct(k.alias("k"), F.element_at(w, (d + k) % 7 + 1)["intervals"].alias("i"))),
         lambda x: F.size(x["i"]) > 0,
     )
+
+    def next_day(x: Column) -> Column:
+        opens = F.concat(F.lit("closed, opens +"), x["k"].cast("string"), F.lit(" "), clock_of(F.get(x["i"], F.lit(0))["start_min"]))
+        return F.when(x.isNotNull(), opens).otherwise("closed")
+
     label = (
         F.when(always, "open 24h")
-        .when(today.isNull(), F.when(F.size(ahead) > 0, F.concat(F.lit("closed, opens +"), F.get(ahead, F.lit(0))["k"].cast("string"), F.lit(" "), clock_of(F.get(F.get(ahead, F.lit(0))["i"], F.lit(0))["start_min"]))).otherwise("closed"))
+        .when(today.isNull(), bound(F.get(ahead, F.lit(0)), next_day))
         .when(now, F.concat(F.lit("open "), text))
         .when(F.size(later) > 0, F.concat(F.lit("closed, opens "), clock_of(F.get(later, F.lit(0))["start_min"])))
         .otherwise(F.concat(F.lit("closed, hours "), text))

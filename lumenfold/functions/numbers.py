@@ -25,3 +25,8 @@ def clamp(c: D, low: float, high: float) -> Column:
 def cell(c: D, size: float) -> Column:
     """Number of the half-open cell of this size that holds the value."""
     return F.floor(col(c) / size)
+
+
+def bound(value: Column, then) -> Column:
+    """then(value), where value is computed once however often then() names it."""
+    return F.element_at(F.transform(F.array(value), then), 1)

@@ -240,22 +240,30 @@ def _specs(t: Tables) -> DataFrame:
 _SPEC_SQL = """sp AS (SELECT run, CAST(left(priority, 1) AS INTEGER) AS k, CAST(run % 7 AS INTEGER) AS dow, CAST(run * 13 % 1440 AS INTEGER) AS minute FROM runs)"""
 
 
+_TWICE = "08:00-12:00, 14:00-18:30"
+
+
 @query("str10_open_status", f"""WITH {_SPEC_SQL} SELECT run, k <> 5 AS knowable, CASE k WHEN 1 THEN true WHEN 2 THEN dow BETWEEN 1 AND 5 AND minute >= 480 AND minute < 1320
-  WHEN 3 THEN dow BETWEEN 1 AND 6 AND ((minute >= 480 AND minute < 720) OR (minute >= 840 AND minute < 1110)) WHEN 4 THEN dow IN (5, 6, 0, 1) AND minute >= 1320 ELSE false END AS is_open FROM sp""", "runs")
+  WHEN 3 THEN dow BETWEEN 1 AND 6 AND ((minute >= 480 AND minute < 720) OR (minute >= 840 AND minute < 1110)) WHEN 4 THEN dow IN (5, 6, 0, 1) AND minute >= 1320 ELSE false END AS is_open,
+  CASE k WHEN 1 THEN 'open 24h'
+    WHEN 2 THEN CASE dow WHEN 6 THEN 'closed, opens +2 08:00' WHEN 0 THEN 'closed, opens +1 08:00' ELSE CASE WHEN minute < 480 THEN 'closed, opens 08:00' WHEN minute < 1320 THEN 'open 08:00-22:00' ELSE 'closed, hours 08:00-22:00' END END
+    WHEN 3 THEN CASE WHEN dow = 0 THEN 'closed, opens +1 08:00' WHEN minute < 480 THEN 'closed, opens 08:00' WHEN minute < 720 THEN 'open {_TWICE}' WHEN minute < 840 THEN 'closed, opens 14:00' WHEN minute < 1110 THEN 'open {_TWICE}' ELSE 'closed, hours {_TWICE}' END
+    WHEN 4 THEN CASE WHEN dow BETWEEN 2 AND 4 THEN 'closed, opens +' || (5 - dow) || ' 22:00' WHEN minute < 1320 THEN 'closed, opens 22:00' ELSE 'open 22:00-24:00' END
+    ELSE '' END AS label FROM sp""", "runs")
 def _(t: Tables) -> DataFrame:
-    s = _specs(t).withColumn("s", hours.status(hours.parse_week("spec"), "dow", "minute"))
-    return s.select("run", "s.knowable", "s.is_open")
+    s = hours.with_weeks(_specs(t), "spec").withColumn("s", hours.status("week", "dow", "minute"))
+    return s.select("run", "s.knowable", "s.is_open", "s.label")
 
 
 @query("str09_week_minutes", f"WITH {_SPEC_SQL} SELECT run, CASE k WHEN 1 THEN 10080 WHEN 2 THEN 5 * 840 WHEN 3 THEN 6 * 510 WHEN 4 THEN 4 * 120 END AS minutes FROM sp", "runs")
 def _(t: Tables) -> DataFrame:
     day = lambda d: F.aggregate(F.coalesce(d["intervals"], F.array().cast("array<struct<start_min:int,end_min:int>>")), F.lit(0), lambda a, i: a + i["end_min"] - i["start_min"])
-    return _specs(t).select("run", F.aggregate(hours.parse_week("spec"), F.lit(0), lambda a, d: a + day(d)).alias("minutes"))
+    return hours.with_weeks(_specs(t), "spec").select("run", F.aggregate("week", F.lit(0), lambda a, d: a + day(d)).alias("minutes"))
 
 
 @query("win05_week_rows", f"WITH {_SPEC_SQL} SELECT run, CASE k WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 2 WHEN 4 THEN 3 ELSE 0 END::BIGINT AS rows FROM sp WHERE k < 5", "runs")
 def _(t: Tables) -> DataFrame:
-    w = _specs(t).select("run", hours.parse_week("spec").alias("w")).where("w is not null").select("run", F.explode("w").alias("d"))
+    w = hours.with_weeks(_specs(t), "spec", "w").where("w is not null").select("run", F.explode("w").alias("d"))
     rows = w.select("run", ((F.col("d.day") + 6) % 7).alias("ord"), F.coalesce(F.to_json("d.intervals"), F.lit("closed")).alias("key"))
     runs = windows.islands(rows, ["run"], ["ord"], F.col("key"))
     return runs.groupBy("run").agg(F.countDistinct("key", "island").alias("rows"))
