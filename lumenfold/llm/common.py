@@ -211,15 +211,13 @@ def link_buckets(
     nodes: DataFrame | None = None,
     fits: Callable[[Carried, Carried], Column] | None = None,
     distance: Callable[[Carried, Carried], Column] | None = None,
-    members: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
     """Edges (a, b) that connect all ids that share a bucket and pass verification.
 
     keys: (key, id), which is evaluated twice. verify takes candidate pairs (a, b), a < b,
     and returns those that are linked. nodes (id and what members carry), fits and distance
     may serve to prune: pairs that do not fit are never made, and in the rounds each member
-    tries only the nearest of its candidates. members is called once, before any pair is
-    verified, with the ids (distinct) that share any bucket.
+    tries only the nearest of its candidates.
 
     Buckets of two give their pair at once, from a count that is combined before the
     shuffle. No larger bucket is expanded into all its pairs at once. In each round, every
@@ -236,9 +234,6 @@ def link_buckets(
     wide = sizes.where("n > 2").select("key", F.col("n").cast("int").alias("n"))
     shared = keys.join(F.broadcast(wide) if wide.count() <= BROADCAST_IDS else wide, "key")
     shared = scratch.save(shared.select("key", "id", "n"), "shared")
-    if members is not None:
-        ids = couples.select(F.explode(F.array("a", "b")).alias("id")).unionByName(shared.select("id")).distinct()
-        members(scratch.save(ids, "members"))
     if fits is not None:
         side = lambda name: nodes.select(F.struct("*").alias(name))
         couples = couples.join(side("x"), F.col("a") == F.col("x.id")).join(side("y"), F.col("b") == F.col("y.id"))

@@ -303,19 +303,29 @@ def duplicate_lines(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, m
         "lines",
     )
     keys = lines.select("h1", *_COLUMNS).mapInArrow(lambda b: tidy(_key_batches(b)), "key bigint, id bigint")
+    slim = scratch.save(found.select("doc_id", "pos", "h1", "h2"), "slim")
+    scratch.drop(found)
     texts: list[DataFrame] = []
 
-    def read(ids: DataFrame) -> None:
-        """The words of all lines that may be compared, in one scan of the documents."""
+    def read(ids: DataFrame) -> DataFrame:
+        """The words of the lines of these ids, of all lines that were asked for so far; each is read once."""
+        for known in texts:
+            ids = ids.join(known.select("id"), "id", "left_anti")
+        ids = scratch.save(ids, "ids")
         few = ids.count() <= BROADCAST_IDS
         wanted = lines.join(F.broadcast(ids) if few else ids, lines.h1 == ids.id, "left_semi").select("h1", "at.doc_id", "at.pos").distinct()
         wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "h1")).alias("wanted"))
         own = docs.join(F.broadcast(wanted) if few else wanted, "doc_id")
         texts.append(scratch.save(own.mapInArrow(lambda b: tidy(_text_batches(b)), "id bigint, line string").distinct(), "texts"))
+        out = texts[0]
+        for more in texts[1:]:
+            out = out.unionByName(more)
+        return out
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts[0].select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(
-            texts[0].select(F.col("id").alias("b"), F.col("line").alias("y")), "b"
+        all_ = read(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        both = pairs.join(all_.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(
+            all_.select(F.col("id").alias("b"), F.col("line").alias("y")), "b"
         )
         return both.where(F.expr(similar("x", "y", percent))).select("a", "b").distinct()
 
@@ -323,7 +333,7 @@ def duplicate_lines(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, m
         """The lengths allow the similarity, and the sketches do not speak against it."""
         return (100 * F.least(x("words"), y("words")) >= percent * F.greatest(x("words"), y("words"))) & (equal_samples(x, y) >= ALIKE)
 
-    edges = link_buckets(scratch, keys, verified, lines.select(F.col("h1").alias("id"), "words", *_SKETCH), fits, members=read)
+    edges = link_buckets(scratch, keys, verified, lines.select(F.col("h1").alias("id"), "words", *_SKETCH), fits)
     comp = scratch.save(connected_components(scratch, edges), "components")
     near = scratch.save(lines.select("h1", "h2", "at", "n").join(comp.withColumnRenamed("id", "h1"), "h1"), "near")
     first = scratch.save(near.groupBy("component").agg(F.min("at").alias("first"), F.count("*").alias("n")), "first")
@@ -331,10 +341,10 @@ def duplicate_lines(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, m
     near = near.select("h1", "h2", "at", "first", F.col("many").alias("n"))
     same = lines.where("n > 1").join(comp.select(F.col("id").alias("h1")), "h1", "left_anti")
     kept = scratch.save(near.unionByName(same.select("h1", "h2", "at", F.col("at").alias("first"), "n")), "kept")
-    out = join_counted(found.select("doc_id", "pos", "h1", "h2"), kept, ["h1", "h2"], found.count())
+    out = join_counted(slim, kept, ["h1", "h2"], slim.count())
     out = out.where(F.struct("doc_id", "pos") != F.struct("first.doc_id", "first.pos"))
     out = scratch.save(out.select("doc_id", "pos", (F.col("at") != F.col("first")).alias("near")).distinct(), "gone")
-    for done in (found, lines, *texts):
+    for done in (slim, lines, *texts):
         scratch.drop(done)
     return out
 
