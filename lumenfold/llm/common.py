@@ -139,29 +139,46 @@ def only_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     return df.join(ids, on, "left_semi")
 
 
-def chosen_ids(rows: DataFrame, n: int) -> DataFrame:
-    """At most n distinct doc_id of rows, the smallest by a hash; only ids are sorted and sent."""
-    return rows.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+#: Texts of more characters are not learned from, so that a sample of n rows has n times so many at most.
+TRAIN_CHARS = 100_000
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, label: str) -> list[tuple[str, int]]:
-    """At most ``rows`` (text, label) for the driver, in a fixed order.
+def lowest(rows: DataFrame, hashed: Column, n: int, total: int) -> DataFrame:
+    """The rows whose hash is among about the n lowest of total: n or more of them, but for a chance of one in a million.
 
-    labels (doc_id, label): other values than 0 and 1 and null ids are not used, nor are
-    documents without text. Each class gives half, chosen by a hash of doc_id; where one
-    has fewer, the other fills up. The ids are chosen first and are few enough to be
-    broadcast, so documents are scanned once and never shuffled. (A repeated doc_id may
-    add rows; they are cut off after sorting.)
+    Only a share of the rows is passed on, so that choosing n of them exactly needs no sort of all.
     """
-    usable = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y")).distinct()
+    share = min(1.0, (n + 5 * n**0.5 + 25) / max(1, total))
+    return rows if share == 1 else rows.where(F.pmod(hashed, F.lit(1 << 31)) < int(share * (1 << 31)))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, label: str, chars: int = TRAIN_CHARS) -> list[tuple[str, int, float]]:
+    """At most ``rows`` (text, label, weight) for the driver, in a fixed order.
+
+    labels (doc_id, label): other values than 0 and 1 and null ids are not used, nor are ids
+    that have both labels, documents without text, and those of more than ``chars``
+    characters. Each class gives half, chosen by a hash of doc_id; where one has fewer, the
+    other fills up. Weights restore the classes' true shares (their sum is the number of rows), so
+    that scores mean the same whether or not the bound is reached. A doc_id with several texts
+    counts with the smallest of them. Ids are chosen first and are few enough to be
+    broadcast, so documents are scanned once and only chosen ones are grouped.
+    """
+    usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id")
+    usable = usable.agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("__z")).where("y = __z").select("doc_id", "y")
     n = {0: 0, 1: 0} | {r.y: r.n for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
     few = min(n, key=n.get)
     take = {few: min(n[few], rows // 2)}
     take[1 - few] = min(n[1 - few], rows - take[few])
-    ids = [chosen_ids(usable.where(F.col("y") == k), take[k]).withColumn("y", F.lit(k)) for k in (0, 1)]
-    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
-    got = sorted((r.y, r.doc_id, r.text) for r in texts.toLocalIterator())
-    return [(text, y) for y, _, text in got][:rows]
+    h = F.xxhash64("doc_id", F.lit(3))
+    ids = [lowest(usable.where(F.col("y") == k), h, take[k], n[k]).orderBy(h, "doc_id").limit(take[k]) for k in (0, 1)]
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= chars))
+    texts = texts.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    got = sorted((r.doc_id, r.text, r.y) for r in texts.toLocalIterator())
+    held = {k: sum(y == k for _, _, y in got) for k in (0, 1)}
+    weight = {k: n[k] / max(1, n[0] + n[1]) * len(got) / max(1, held[k]) for k in (0, 1)}
+    if not held[0] or not held[1]:
+        weight = {0: 1.0, 1: 1.0}
+    return [(text, y, weight[y]) for _, text, y in got]
 
 
 def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:

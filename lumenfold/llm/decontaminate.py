@@ -13,18 +13,22 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_WORDS, prepare, tidy
+from .common import ASCII_WORDS, Scratch, fresh, prepare, tidy
 
 WINDOW = 13
 
-#: Words of benchmark text that one automaton holds. It is broadcast with the
-#: task, so this bounds its size (about 60 MB); longer benchmarks are dealt over
-#: several automata, each of which reads the documents once.
+#: Words of benchmark text that one automaton holds. It is broadcast, so this bounds its
+#: size (about 60 MB); longer benchmarks are dealt over several automata, one at a time,
+#: each of which reads the documents once.
 AUTOMATON_WORDS = 200_000
+#: What several automata found is broadcast if it is in no more texts.
+BROADCAST_HITS = 100_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -141,17 +145,36 @@ class ItemAutomaton:
         return spans, found
 
 
-def _automata(benchmark: DataFrame, window: int, bound: int) -> Iterator[ItemAutomaton]:
-    """Automata over the whole benchmark, of at most about ``bound`` words each.
+def _shares(benchmark: DataFrame, window: int, bound: int) -> tuple[DataFrame, int]:
+    """The benchmark's items as rows (item_id, words, share) and the number of shares, each of about ``bound`` words.
 
-    The size is computed first; only one share at a time comes to the driver.
+    An item of more than half so many words is cut into pieces, which overlap so that every
+    window lies in one of them.
     """
     items = benchmark.select("item_id", "text").where("text is not null and item_id is not null")
+    piece = max(window, bound // 2)
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, out = [], []
+            for k, text in enumerate(batch.column("text")):
+                ws = words(text.as_py())
+                for i in range(0, max(1, len(ws) - window + 1), piece):
+                    at.append(k)
+                    out.append(b" ".join(ws[i : i + piece + window - 1]).decode("utf-8", "surrogatepass"))
+            yield pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(at, pa.int64())), pa.array(out, pa.string())], names=["item_id", "words"])
+
+    schema = T.StructType([items.schema["item_id"], T.StructField("words", T.StringType())])
+    pieces = items.mapInArrow(cut_up, schema)
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    shares = 1 + size // (4 * bound)
-    for k in range(shares):
-        mine = items if shares == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(shares)) == k)
-        yield ItemAutomaton(((r.item_id, words(r.text)) for r in mine.toLocalIterator()), window)
+    shares = int(1 + size // (4 * bound))
+    return pieces.withColumn("share", F.pmod(F.xxhash64("item_id", "words"), F.lit(shares))), shares
+
+
+def _automaton(pieces: DataFrame, share: int, window: int) -> ItemAutomaton:
+    """The automaton of one share, the only one that the driver holds at a time."""
+    rows = pieces.where(F.col("share") == share).toLocalIterator()
+    return ItemAutomaton(((r["item_id"], words(r["words"])) for r in rows), window)
 
 
 FOUND = ("n_words", "spans", "items")
@@ -170,43 +193,105 @@ def matches(
     ignored; items that repeat count once by id. Documents keep every row,
     repeated rows included, and every column but one that has an added column's name.
     """
-    prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    prepare(spark)
     names = [prefix + c for c in FOUND]
-    carried = [c for c in docs.columns if c not in names]
-    for k, automaton in enumerate(_automata(benchmark, window, bound)):
-        docs = _through(docs, automaton, carried, names, first=k == 0)
-    return docs
+    docs = docs.select(*(c for c in docs.columns if c not in names))
+    pieces, shares = _shares(benchmark, window, bound)
+    if shares == 1:
+        return _through(docs, spark.sparkContext.broadcast(_automaton(pieces, 0, window)), names)
+    scratch = Scratch(spark, "decontaminate")
+    pieces = scratch.save(pieces, "pieces")
+    hits = []
+    for k in range(shares):
+        sent = spark.sparkContext.broadcast(_automaton(pieces, k, window))
+        hits.append(scratch.save(_hits(docs, sent), f"hits{k}"))
+        sent.destroy()
+    return _joined(docs, _united(hits, scratch), names)
+
 
+_SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-def _through(docs: DataFrame, automaton: ItemAutomaton, carried: list[str], names: list[str], first: bool) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(automaton)
-    count, at, which = names
+
+def _through(docs: DataFrame, sent: Broadcast, names: list[str]) -> DataFrame:
+    """docs with what one automaton finds."""
+    carried = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = sent.value
         for batch in batches:
             n_words, spans, items = [], [], []
-            old = None if first else list(zip(batch.column(at).to_pylist(), batch.column(which).to_pylist(), strict=True))
-            for i, text in enumerate(batch.column("text")):
+            for text in batch.column("text"):
                 ws = words(text.as_py())
                 s, found = auto.hits(ws)
-                mine = {str(x) for x in found}
-                if old:
-                    s = _merged([*((x["start"], x["end"]) for x in old[i][0]), *s])
-                    mine |= set(old[i][1])
                 n_words.append(len(ws))
                 spans.append([{"start": a, "end": b} for a, b in s])
-                items.append(sorted(mine))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in carried), pa.array(n_words, pa.int64()),
-                 pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))],
-                names=[*carried, *names],
-            )
-
-    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    added = zip(names, (T.LongType(), T.ArrayType(span), T.ArrayType(T.StringType())), strict=True)
-    schema = T.StructType([*docs.select(*carried).schema.fields, *(T.StructField(n, t) for n, t in added)])
-    return docs.select(*carried, *([] if first else [at, which])).mapInArrow(lambda batches: tidy(run(batches)), schema)
+                items.append(sorted({str(x) for x in found}))
+            columns = [pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *columns], names=[*carried, *names])
+
+    added = zip(names, (T.LongType(), T.ArrayType(_SPAN), T.ArrayType(T.StringType())), strict=True)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in added)])
+    return docs.mapInArrow(lambda batches: tidy(run(batches)), schema)
+
+
+def _digest(text: str) -> tuple[int, int]:
+    d = xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+def _hits(docs: DataFrame, sent: Broadcast) -> DataFrame:
+    """(d1, d2, spans, items) of each distinct text in which one automaton finds a window; d1, d2: the text's digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = sent.value
+        for batch in batches:
+            rows = []
+            for text in batch.column("text"):
+                s, found = auto.hits(words(text.as_py()))
+                if found:
+                    rows.append((*_digest(text.as_py()), [{"start": a, "end": b} for a, b in s], sorted({str(x) for x in found})))
+            if rows:
+                kinds = (pa.int64(), pa.int64(), _SPANS, pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["d1", "d2", "spans", "items"])
+
+    found = docs.select("text").mapInArrow(lambda b: tidy(run(b)), "d1 bigint, d2 bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>")
+    return found.groupBy("d1", "d2").agg(F.any_value("spans").alias("spans"), F.any_value("items").alias("items"))
+
+
+def _united(hits: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """What several automata found in the same texts, spans merged; one row for each text."""
+    both = hits[0]
+    for more in hits[1:]:
+        both = both.unionByName(more)
+    both = both.groupBy("d1", "d2").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [[{"start": a, "end": b} for a, b in _merged([(x["start"], x["end"]) for x in own])] for own in batch.column("spans").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("d1"), batch.column("d2"), pa.array(spans, _SPANS), batch.column("items")], names=batch.schema.names)
+
+    return scratch.save(both.mapInArrow(run, both.schema), "united")
+
+
+def _joined(docs: DataFrame, hits: DataFrame, names: list[str]) -> DataFrame:
+    """docs with the spans and items of their text; texts are shuffled only where hits are too many to broadcast."""
+    carried, d1, d2 = docs.columns, fresh([*docs.columns, *names], "d1"), fresh([*docs.columns, *names], "d2")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [text.as_py() for text in batch.column("text")]
+            digests = [_digest(t or "") for t in texts]
+            columns = [pa.array([len(words(t)) for t in texts], pa.int64()), pa.array([a for a, _ in digests], pa.int64()), pa.array([b for _, b in digests], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *columns], names=[*carried, names[0], d1, d2])
+
+    keyed = docs.mapInArrow(lambda b: tidy(run(b)), T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in (names[0], d1, d2))]))
+    hits = hits.select(F.col("d1").alias(d1), F.col("d2").alias(d2), F.col("spans").alias(names[1]), F.col("items").alias(names[2]))
+    if hits.count() <= BROADCAST_HITS:
+        hits = F.broadcast(hits)
+    none = (F.array().cast(T.ArrayType(_SPAN)), F.array().cast("array<string>"))
+    return keyed.join(hits, [d1, d2], "left").select(*carried, names[0], *(F.coalesce(n, x).alias(n) for n, x in zip(names[1:], none, strict=True)))
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

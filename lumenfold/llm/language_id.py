@@ -17,11 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chosen_ids, prepare, tidy
+from .common import TRAIN_CHARS, fresh, prepare, tidy
 
 UNDETERMINED = "und"
 #: Buckets of hashed n-grams; the hash gives each order n its own share.
@@ -29,13 +29,14 @@ BUCKETS = 8192
 ORDERS = 4
 SEGMENT = 1500
 LANDMARKS = 192
-#: Training rows taken to the driver at most, the same number for each language.
+#: Training rows taken to the driver at most, the same number for each language (one at least).
 TRAIN_ROWS = 1600
-#: Segments of one training text that are learned from.
-TRAIN_SEGMENTS = 2
 RIDGE = 1e-3
 #: Divides margins before the softmax that turns them into a score.
 TEMPERATURE = 0.25
+#: A text whose best language stands out from the others by less than this share of what the training's targets do
+#: (1 for a text's language, -1 for the others) is in none of them.
+LEAST_MARGIN = 0.25
 
 _LETTER = re.compile(r"[^\W\d_]")
 #: ASCII letters in lower case and non-ASCII bytes stay; other bytes are a space.
@@ -87,10 +88,11 @@ class Model:
     def margins(self, x: np.ndarray) -> np.ndarray:
         return x @ self.landmarks.T @ self.weights[:-1] + self.weights[-1]
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """The best language of each text and its share of the softmax over languages."""
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """The best language of each text, its share of the softmax over languages, and how far it stands out: 0 as
+        little as a text with nothing to tell (the targets' mean), 1 as the targets do. Of one language nothing stands out, it has 1."""
         parts, owner = [], []
-        out: list[tuple[str, float]] = [(UNDETERMINED, 0.0)] * len(texts)
+        out: list[tuple[str, float, float]] = [(UNDETERMINED, 0.0, 0.0)] * len(texts)
         total = np.zeros((len(texts), len(self.languages)))
         weight = np.zeros(len(texts))
 
@@ -111,24 +113,25 @@ class Model:
                         flush()
         if parts:
             flush()
+        level = 2 / max(1, len(self.languages)) - 1
         for k in np.flatnonzero(weight).tolist():
-            z = total[k] / weight[k] / TEMPERATURE
+            mean = total[k] / weight[k]
+            z = mean / TEMPERATURE
             p = np.exp(z - z.max())
             best = int(p.argmax())
-            out[k] = (self.languages[best], float(p[best] / p.sum()))
+            out[k] = (self.languages[best], float(p[best] / p.sum()), float((mean[best] - level) / (1 - level)) if level < 1 else 1.0)
         return out
 
 
 def fit(rows: list[tuple[str, str]]) -> Model:
-    """rows: (text, language). Without rows the model knows no language."""
-    known = sorted({lang for _, lang in rows})
+    """rows: (text, language); all segments of every text are learned from. Without rows the model knows no language."""
+    known = sorted({lang for text, lang in rows if has_letter(text)})
     parts, y = [], []
     for text, lang in rows:
         if has_letter(text):
             own = segments(text)
-            for s in own[:: -(-len(own) // TRAIN_SEGMENTS)]:
-                parts.append(s)
-                y.append(known.index(lang))
+            parts += own
+            y += [known.index(lang)] * len(own)
     if not parts:
         return Model([], np.zeros((0, BUCKETS), np.float32), np.zeros((1, 0), np.float32))
     y = np.array(y)
@@ -136,58 +139,78 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     for k in range(len(known)):
         at = np.flatnonzero(y == k)
         rank[at] = np.arange(len(at))
-    chosen = np.argsort(rank * len(known) + y, kind="stable")[:LANDMARKS]
+    chosen = np.argsort(rank * len(known) + y, kind="stable")[: max(LANDMARKS, len(known))]
     landmarks = presence([parts[i] for i in chosen])
     k = np.concatenate([presence(parts[i : i + 512]) @ landmarks.T for i in range(0, len(parts), 512)])
-    k = np.hstack([k, np.ones((len(k), 1))]).astype(np.float64)
-    target = np.where(y[:, None] == np.arange(len(known)), 1.0, -1.0)
-    balance = 1.0 / np.bincount(y, minlength=len(known))[y][:, None]
-    inner = np.zeros((k.shape[1], k.shape[1]))
-    inner[:-1, :-1] = landmarks @ landmarks.T
-    gram = k.T @ (k * balance)
-    weights = np.linalg.solve(gram + RIDGE * (inner + 1e-6 * np.eye(len(inner))), k.T @ (target * balance))
-    return Model(known, landmarks, weights.astype(np.float32))
+    return Model(known, landmarks, ridge(k, landmarks @ landmarks.T, y, len(known)).astype(np.float32))
 
 
-def learn(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """A model from text and non-null lang of docs: per language at most rows / languages, the smallest by a hash of doc_id.
+def ridge(k: np.ndarray, inner: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """(landmarks + 1, n) weights of one-versus-rest kernel ridge regression, the last row the bias.
 
-    The number of languages is taken from all rows (at most 256). Only the chosen
-    rows come to the driver.
+    k: kernel values of each row with each landmark; inner: of landmarks among themselves; y: classes.
+    Rows weigh so that each class has the same sum.
     """
-    usable = docs.where("text is not null and text <> '' and lang is not null and doc_id is not null")
-    known = [r.lang for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).toLocalIterator()]
-    share = max(1, rows // max(1, len(known)))
-    out: list[tuple] = []
-    for lang in known:
-        of = usable.where(F.col("lang") == lang)
-        some = of.select("doc_id", "text").join(F.broadcast(chosen_ids(of, share)), "doc_id")
-        out += sorted((r.doc_id, r.text, lang) for r in some.toLocalIterator())[:share]
-    return fit([(text, lang) for _, text, lang in out])
+    k = np.hstack([k, np.ones((len(k), 1))]).astype(np.float64)
+    target = np.where(y[:, None] == np.arange(n), 1.0, -1.0)
+    balance = 1.0 / np.bincount(y, minlength=n)[y][:, None]
+    penalty = 1e-6 * np.eye(k.shape[1])
+    penalty[:-1, :-1] += inner
+    return np.linalg.solve(k.T @ (k * balance) + RIDGE * penalty, k.T @ (target * balance))
 
 
-def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "lang_score") -> DataFrame:
-    """docs with the predicted language and its score (0 to 1) added under those names.
+def learn(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
+    """A model from text and non-null lang of docs: per language at most rows / languages, one at least, chosen by a hash.
 
-    Null texts and texts without a letter are ``und`` with score 0, and so is all
+    All languages are learned; they are counted in one pass, and a second one takes the
+    chosen rows, which come to the driver. Equal rows count once. Texts of more than
+    ``chars`` characters, without a letter or without a doc_id are not learned from.
+    """
+    usable = docs.where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= chars))
+    known = {r["lang"]: r["n"] for r in docs.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).toLocalIterator()}
+    if not known:
+        return fit([])
+    share = max(1, rows // len(known))
+    spark = docs.sparkSession
+    most = spark.createDataFrame([(lang, min(1.0, (share + 5 * share**0.5 + 25) / n)) for lang, n in known.items()], "lang string, __share double")
+    h = F.xxhash64("doc_id", "text", F.lit(3))
+    some = usable.select("doc_id", "text", "lang", h.alias("__h")).join(F.broadcast(most), "lang")
+    some = some.where(F.pmod("__h", F.lit(1 << 31)) < F.col("__share") * (1 << 31)).groupBy("lang", "__h", "doc_id").agg(F.min("text").alias("text"))
+    some = some.withColumn("__k", F.row_number().over(Window.partitionBy("lang").orderBy("__h", "doc_id"))).where(F.col("__k") <= share)
+    got = sorted((r["lang"], r["__k"], r["text"]) for r in some.select("lang", "__k", "text").toLocalIterator())
+    return fit([(text, lang) for lang, _, text in got])
+
+
+def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "lang_score", margin: str | None = None) -> DataFrame:
+    """docs with the predicted language and its score (0 to 1) added under those names, and its margin where a name is given.
+
+    Null texts and texts without a letter are ``und`` with score and margin 0, and so is all
     where nothing was learned. Columns of docs that have these names are replaced.
     """
     prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c not in (lang, score)]
+    added = [lang, score, *([margin] if margin else [])]
+    kept = [c for c in docs.columns if c not in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = sent.value.predict(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=[*kept, lang, score]
-            )
+            columns = [pa.array([x[0] for x in got], pa.string()), *(pa.array([x[i] for x in got], pa.float64()) for i in range(1, len(added)))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], names=[*kept, *added])
 
-    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
+    kinds = [T.StringType(), *[T.DoubleType()] * (len(added) - 1)]
+    schema = T.StructType([*docs.select(*kept).schema.fields, *(T.StructField(n, t) for n, t in zip(added, kinds, strict=True))])
     return docs.select(*kept).mapInArrow(lambda batches: tidy(run(batches)), schema)
 
 
-def reject_unknown(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
-    """docs whose language is told with a score of at least ``least``; columns as in docs."""
-    named = predict(docs, model, "__lang", "__score")
-    return named.where((F.col("__lang") != UNDETERMINED) & (F.col("__score") >= least)).select(*docs.columns)
+def reject_unknown(docs: DataFrame, model: Model, least: float = LEAST_MARGIN) -> DataFrame:
+    """docs that are in one of the model's languages: their best margin is at least ``least``; columns as in docs.
+
+    The margin does not depend on the number of languages. Texts without a letter go.
+    Where nothing was learned no document is judged, and all stay.
+    """
+    if not model.languages:
+        return docs
+    names = [fresh(docs.columns, c) for c in ("lang", "score", "margin")]
+    named = predict(docs, model, *names)
+    return named.where((F.col(names[0]) != UNDETERMINED) & (F.col(names[2]) >= least)).select(*docs.columns)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, prepare
+from .common import Scratch, fresh, prepare
 
 WIDTH = 64
 LEVEL = 1
@@ -182,11 +182,18 @@ def resolve(pages: DataFrame, media: DataFrame) -> DataFrame:
     pages: sequence and other columns. media: digest (distinct; hex SHA-256) and
     other columns, null where a reference has no payload. References are the sources
     of the form ``sha256:<hex>``; others stay unresolved. Adds position, kind,
-    src and caption, so that items stay where and as they were.
+    src and caption, so that items stay where and as they were. Columns of pages that have
+    the name of an added column or of one of media's are replaced; so are media's columns
+    of the four names. A null or empty sequence gives no row.
     """
-    items = pages.select("*", F.explode("sequence").alias("__i")).where("__i.kind <> 'text'").drop("sequence")
-    items = items.select(*[c for c in items.columns if c != "__i"], "__i.position", "__i.kind", "__i.src", "__i.caption")
-    return items.join(media.withColumn("src", F.concat(F.lit("sha256:"), "digest")), "src", "left")
+    added = ["position", "kind", "src", "caption"]
+    brought = [c for c in media.columns if c not in added]
+    carried = [c for c in pages.columns if c not in ("sequence", *added, *brought)]
+    item, own = fresh(pages.columns, "item"), fresh(media.columns, "source")
+    items = pages.select(*carried, F.explode("sequence").alias(item)).where(f"{item}.kind <> 'text'")
+    items = items.select(*carried, *(F.col(f"{item}.{c}").alias(c) for c in added))
+    media = media.select(*brought, F.concat(F.lit("sha256:"), "digest").alias(own))
+    return items.join(media, items["src"] == media[own], "left").select("src", *carried, *added[:2], "caption", *brought)
 
 
 def store(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:

@@ -26,7 +26,7 @@ WINDOW = 2
 HIDDEN = 32
 #: Words whose contexts are added up at a time, and tasks at least that do so: each makes up to ROWS rows.
 CHUNK, TASKS = 1 << 18, 64
-#: Labelled rows that are taken to the driver at most, half of them of each class where there are as many.
+#: Labelled rows that are taken to the driver at most, half of them of each class where there are as many, weighted to the true shares.
 TRAIN_ROWS = 3000
 EPOCHS = 60
 
@@ -161,22 +161,29 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit(texts: list[str], y: list[int], vectors: np.ndarray) -> Model:
-    """The network (Adam on the log loss) over given word vectors, and its temperature."""
+def best_temperature(z: np.ndarray, yes: np.ndarray, weight: np.ndarray) -> float:
+    """Of a grid, the number that logits are best divided by: the least weighted log loss."""
+    loss = {s: float(np.average(np.logaddexp(0, -np.where(yes, z, -z) / s), weights=weight)) for s in np.geomspace(0.5, 8, 41)}
+    return float(min(loss, key=loss.get))
+
+
+def fit(texts: list[str], y: list[int], vectors: np.ndarray, weight: list[float] | None = None) -> Model:
+    """The network (Adam on the log loss) over given word vectors, and its temperature; weight: of each text's loss, 1 if not given."""
     rng = np.random.default_rng(5)
+    own = np.ones(len(y)) if weight is None else np.array(weight, np.float64)
     x = np.concatenate([pooled(texts, vectors, _Rows()), np.zeros((0, 2 * DIM + KINDS + 4), np.float32)])
     target = np.array(y, np.float64)
     order = rng.permutation(len(y))
     held, used = order[: len(y) // 5], order[len(y) // 5 :]
     mean, std = (x[used].mean(axis=0), x[used].std(axis=0) + 1e-3) if len(used) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
-    share = min(max(float(target.mean()) if len(y) else 0.5, 1e-3), 1 - 1e-3)
+    share = min(max(float(np.average(target, weights=own)) if len(y) else 0.5, 1e-3), 1 - 1e-3)
     w = [rng.normal(0, x.shape[1] ** -0.5, (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN) * 0.1 * bool(len(used)), np.log(share / (1 - share))]
     m, v, t = [np.zeros_like(p) for p in w], [np.zeros_like(p) for p in w], 0
     for _ in range(EPOCHS if len(used) else 0):
         for part in np.array_split(rng.permutation(used), -(-len(used) // 64)):
             a = (x[part] - mean) / std
             h = np.maximum(a @ w[0] + w[1], 0)
-            g = (1 / (1 + np.exp(-np.clip(h @ w[2] + w[3], -35, 35))) - target[part]) / len(part)
+            g = (1 / (1 + np.exp(-np.clip(h @ w[2] + w[3], -35, 35))) - target[part]) * own[part] / len(part)
             back = np.outer(g, w[2]) * (h > 0)
             t += 1
             for i, d in enumerate((a.T @ back + 1e-4 * w[0], back.sum(axis=0), h.T @ g + 1e-4 * w[2], g.sum())):
@@ -184,9 +191,7 @@ def fit(texts: list[str], y: list[int], vectors: np.ndarray) -> Model:
                 w[i] = w[i] - 3e-3 * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
     model = Model(vectors, (mean, std), w, 1.0)
     if len(held):
-        z, yes = model.logits(x[held]), target[held]
-        loss = {s: float(np.mean(np.logaddexp(0, -np.where(yes > 0, z, -z) / s))) for s in np.geomspace(0.5, 8, 41)}
-        model.temperature = float(min(loss, key=loss.get))
+        model.temperature = best_temperature(model.logits(x[held]), target[held] > 0, own[held])
     return model
 
 
@@ -198,7 +203,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, label: str
     See labelled_sample(). Without labelled rows every score is 0.5.
     """
     got = labelled_sample(docs, labels, rows, label)
-    return fit([t for t, _ in got], [y for _, y in got], word_vectors(docs))
+    return fit([t for t, _, _ in got], [y for _, y, _ in got], word_vectors(docs), [w for _, _, w in got])
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:

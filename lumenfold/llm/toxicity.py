@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from .common import ASCII_WORDS, labelled_sample, mix, prepare
 
 BITS = 20
-#: Labelled rows that are taken to the driver at most, half of them of each class where there are as many.
+#: Labelled rows that are taken to the driver at most, half of them of each class where there are as many, weighted to the true shares.
 TRAIN_ROWS = 12_000
 EPOCHS = 8
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.3
@@ -75,8 +75,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit(texts: list[str], y: list[int], bits: int = BITS, epochs: int = EPOCHS) -> Model:
-    """FTRL-proximal (McMahan et al. 2013) over the texts in the order given, several times."""
+def fit(texts: list[str], y: list[int], bits: int = BITS, epochs: int = EPOCHS, weight: list[float] | None = None) -> Model:
+    """FTRL-proximal (McMahan et al. 2013) over the texts, several times in random orders; weight: of each text's loss, 1 if not given."""
+    weight = [1.0] * len(y) if weight is None else weight
     size = 1 << bits
     z, n = np.zeros(size + 1), np.zeros(size + 1)
     hashes = _Hashes()
@@ -96,7 +97,7 @@ def fit(texts: list[str], y: list[int], bits: int = BITS, epochs: int = EPOCHS)
         for k in order.permutation(len(rows)).tolist():
             at = rows[k]
             w = weights(at)
-            g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y[k]
+            g = weight[k] * (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y[k])
             step = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
             z[at] += g - step * w
             n[at] += g * g
@@ -111,7 +112,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, label: str
     See labelled_sample(). Without labelled rows every score is 0.5.
     """
     got = labelled_sample(docs, labels, rows, label)
-    return fit([t for t, _ in got], [y for _, y in got])
+    return fit([t for t, _, _ in got], [y for _, y, _ in got], weight=[w for _, _, w in got])
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:

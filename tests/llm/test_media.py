@@ -57,3 +57,24 @@ def test_resolving_keeps_unknown_references(spark):
     got = media.resolve(media.sequences(pages), known).orderBy("position").collect()
     assert [(r.page_id, r.position, r.caption, r["size"]) for r in got] == [(1, 0, "x", 7), (1, 1, None, None)]
     assert media.resolve(media.sequences(pages.limit(0)), known).count() == 0
+
+
+def test_resolving_keeps_order_beside_clashing_columns(spark, small):
+    """Pages with several blocks and media each: every item keeps its place, source and caption, and meets its payload."""
+    made = [f'<p>a{k}</p><figure><img src="sha256:{k % 5:02d}"><figcaption>c{k}</figcaption></figure><p>b</p><img src="sha256:{k % 3 + 3:02d}" alt="d{k}"><video src="v{k}.mp4"></video>' for k in range(30)]
+    real = [r.html for r in spark.read.parquet(f"{small}/pages.parquet").collect()]
+    pages = spark.createDataFrame(list(enumerate(made + real)), "page_id long, html string")
+    for c in ("position", "kind", "src", "caption", "item", "__item", "bytes"):
+        pages = pages.withColumn(c, F.lit(c))
+    known = spark.createDataFrame([(f"{k:02d}", 10 * k) for k in range(5)], "digest string, bytes int").withColumn("__source", F.lit("s"))
+    out = media.resolve(media.sequences(pages), known)
+    assert sorted(out.columns) == sorted(["page_id", "item", "__item", "position", "kind", "src", "caption", "digest", "bytes", "__source"])
+    got = sorted((r.page_id, r.position, r.kind, r.src, r.caption, r.bytes) for r in out.collect())
+    want = []
+    for k, html in enumerate(made + real):
+        for i in media.interleave(html):
+            if i["kind"] != "text":
+                digest = i["src"].removeprefix("sha256:")
+                want.append((k, i["position"], i["kind"], i["src"], i["caption"], 10 * int(digest) if i["src"].startswith("sha256:0") and int(digest) < 5 else None))
+    key = lambda x: (x[0], x[1])
+    assert sorted(got, key=key) == sorted(want, key=key) and [g[1] for g in got if g[0] == 7] == [1, 3, 4]

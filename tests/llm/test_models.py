@@ -1,9 +1,12 @@
+import math
+import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenfold.llm import language_id, quality, queries, toxicity
+from lumenfold.llm import common, language_id, quality, queries, toxicity
 
 
 def fold(doc, k):
@@ -50,7 +53,12 @@ def test_defined_cases_of_languages(spark):
     assert got[4][0] == got[None][0] == "en" and got[5][0] == "de"
     assert sorted(r.doc_id or 0 for r in language_id.reject_unknown(docs, model).collect()) == [0, 4, 4, 5]
     assert language_id.reject_unknown(docs, model).columns == docs.columns
+    junk = spark.createDataFrame([(1, "qxzj wvkq pfzx jqvw xkzq " * 20), (2, "这是一个句子" * 50), (3, "the of and to in is the of and")], "doc_id long, text string").withColumn("__lang", F.lit("l")).withColumn("__MARGIN", F.lit("m"))
+    kept = language_id.reject_unknown(junk, model)
+    assert [tuple(r) for r in kept.collect()] == [(3, "the of and to in is the of and", "l", "m")] and kept.columns == junk.columns
     nothing = language_id.learn(train.limit(0))
+    unlabelled = language_id.learn(train.withColumn("lang", F.lit(None).cast("string")))
+    assert unlabelled.languages == [] and language_id.reject_unknown(docs, unlabelled).count() == docs.count()
     assert {r.lang_pred for r in language_id.predict(docs, nothing).collect()} == {"und"}
     assert language_id.predict(docs.limit(0), model).count() == 0
 
@@ -85,3 +93,105 @@ def test_word_vectors_come_from_all_documents(spark):
     index = quality.index_vectors()
     want = sum(index[row[w]] for w in (b"xylem", b"unlabelled", b"grows", b"beside"))
     assert abs(got[row[b"xylem"]] - (5 * (want - index[row[b"xylem"]]) + index[row[b"xylem"]]) / max(1e-6, ((5 * (want - index[row[b"xylem"]]) + index[row[b"xylem"]]) ** 2).sum() ** 0.5)).max() < 1e-5
+
+
+def test_many_languages_ties_and_repeated_rows_are_learned(spark):
+    rng = random.Random(4)
+    words = {f"l{k:03d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(8)] for k in range(300)}
+    rows = [(i, " ".join(rng.choice(ws) for _ in range(12)), lang) for lang, ws in words.items() for i in range(2)] + [(7, "the same text", "l000")] * 50
+    model = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=600)
+    assert model.languages == sorted(words) and len(model.landmarks) == 300
+    assert sum(p[0] == lang for p, lang in zip(model.predict([" ".join(words[x]) for x in sorted(words)]), sorted(words), strict=True)) >= 285
+
+
+def test_kernel_and_ridge_against_plain_python():
+    texts = ["the cat and the dog", "der hund und die katze", "le chien et le chat", "the of and to", "und der die das", "et le la les"]
+
+    def grams(raw):
+        return {(n, raw[i : i + n]) for n in range(1, 5) for i in range(len(raw) - n + 1)}
+
+    parts = [language_id.segments(t)[0] for t in texts]
+    x = language_id.presence(parts)
+    for i, a in enumerate(parts):
+        for j, b in enumerate(parts):
+            want = len(grams(a) & grams(b)) / math.sqrt(len(grams(a)) * len(grams(b)))
+            assert abs(float(x[i] @ x[j]) - want) < 0.06  # hashed n-grams may share a bucket
+    k, y, n = x @ x[:4].T, np.array([0, 1, 2, 0, 1, 2]), 3
+    got = language_id.ridge(k, x[:4] @ x[:4].T, y, n)
+    wide = np.hstack([k, np.ones((6, 1))]).astype(float)
+    for c in range(n):  # the gradient of the balanced, penalised squared loss is 0
+        r = wide @ got[:, c] - np.where(y == c, 1.0, -1.0)
+        penalty = 1e-6 * got[:, c] + np.append(x[:4] @ x[:4].T @ got[:4, c], 0)
+        assert np.abs(wide.T @ (r / 2) + language_id.RIDGE * penalty).max() < 1e-6
+
+
+def test_ftrl_against_plain_python():
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(12)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 9))) for _ in range(10)]
+    y, weight = [k % 2 for k in range(10)], [0.5 + k / 5 for k in range(10)]
+    bits, epochs = 14, 30
+    model = toxicity.fit(texts, y, bits=bits, epochs=epochs, weight=weight)
+    hashes = toxicity._Hashes()
+    rows = [sorted(set(toxicity.features([t], hashes, bits)[1].tolist())) for t in texts]
+    z, n = {}, {}
+
+    def w(f):
+        l1, zf = 0.0 if f == "bias" else toxicity.L1, z.get(f, 0.0)
+        return 0.0 if abs(zf) <= l1 else -math.copysign(abs(zf) - l1, zf) / ((toxicity.BETA + math.sqrt(n.get(f, 0.0))) / toxicity.ALPHA + toxicity.L2)
+
+    order = np.random.default_rng(11)
+    for _ in range(epochs):
+        for k in order.permutation(10).tolist():
+            own = [*rows[k], "bias"]
+            now = {f: w(f) for f in own}
+            g = weight[k] * (1 / (1 + math.exp(-sum(now.values()))) - y[k])
+            for f in own:
+                z[f] = z.get(f, 0.0) + g - (math.sqrt(n.get(f, 0.0) + g * g) - math.sqrt(n.get(f, 0.0))) / toxicity.ALPHA * now[f]
+                n[f] = n.get(f, 0.0) + g * g
+    want = {f: w(f) for f in z if f != "bias" and w(f)}
+    assert want and set(model.index.tolist()) == set(want) and abs(model.bias - w("bias")) < 1e-9
+    assert all(abs(v - want[f]) < 1e-5 for f, v in zip(model.index.tolist(), model.weight.tolist(), strict=True))
+    # n-grams of a text: words, neighbours and those with one word left out
+    assert len(toxicity.features(["a b c"], hashes, bits)[1]) == 6
+
+
+def test_temperature_restores_probabilities():
+    rng = np.random.default_rng(3)
+    z = rng.normal(0, 2, 40_000)
+    yes = rng.random(40_000) < 1 / (1 + np.exp(-z))
+    for stretch in (0.7, 1.0, 3.0):
+        assert abs(quality.best_temperature(z * stretch, yes, np.ones(len(z))) / stretch - 1) < 0.08
+    keep = yes | (rng.random(40_000) < 0.25)  # three of four zeros are left out: weights bring them back
+    weight = np.where(yes, 1.0, 4.0)[keep]
+    assert abs(quality.best_temperature(z[keep] * 3, yes[keep], weight) / 3 - 1) < 0.1
+
+
+def test_samples_keep_both_classes_and_true_shares(spark):
+    rows = [(k % 10, f"text {k}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(10)] + [(3, 1), (4, 4), (5, 0), (None, 1)], "doc_id long, label int")
+    got = common.labelled_sample(docs, labels, 20, "label")
+    assert sorted(got) == sorted((min(t for d, t in rows if d == k), k % 2, w) for k in range(10) if k != 5 for w in [got[0][2]])  # 5 has both labels
+    assert common.labelled_sample(docs, labels.limit(0), 20, "label") == [] and common.labelled_sample(docs.limit(0), labels, 20, "label") == []
+    many = spark.range(4000).selectExpr("id AS doc_id", "concat('t', id) AS text")
+    skewed = spark.range(4000).selectExpr("id AS doc_id", "CAST(id % 20 = 0 AS INT) AS label")
+    sample = common.labelled_sample(many, skewed, 300, "label")
+    assert len(sample) == 300 and sum(y for _, y, _ in sample) == 150
+    assert abs(sum(w for _, y, w in sample if y) / sum(w for *_, w in sample) - 0.05) < 1e-9 and abs(sum(w for *_, w in sample) - 300) < 1e-6
+    assert common.labelled_sample(spark.createDataFrame([(1, "x" * 50), (2, "y")], "doc_id long, text string"), labels, 9, "label", chars=10)[0][0] == "y"
+
+
+def test_scores_do_not_depend_on_whether_the_bound_is_reached(spark):
+    rng = random.Random(8)
+    words = ["fine", "good", "kind", "calm", "plain", "awful", "vile"]
+    rows, labels = [], []
+    for k in range(3000):
+        bad = rng.random() < 0.1
+        rows.append((k, " ".join(rng.choice(words[4:] if bad and rng.random() < 0.9 else words[:5]) for _ in range(10))))
+        labels.append((k, int(bad)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, label int")
+    for module, most in ((toxicity, 0.04), (quality, 0.04)):
+        a, b = ({r.doc_id: r.score for r in module.score(docs, module.learn(docs, labels, rows=n)).collect()} for n in (3000, 1500))
+        assert abs(np.mean(list(a.values())) - 0.1) < 0.02 and abs(np.mean(list(b.values())) - 0.1) < 0.02
+        assert np.mean([abs(a[k] - b[k]) for k in a]) < most
