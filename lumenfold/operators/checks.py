@@ -12,6 +12,12 @@ def labelled(df: DataFrame, rules: dict[str, Column], label: str = "problem") ->
     return df.withColumn(label, F.explode(F.filter(broken, lambda x: x.isNotNull())))
 
 
+def large_enough(width: str, depth: str, height: str, side: float = 1.0, base: float = 4.0) -> Column:
+    """Whether an obstacle is worth keeping: each side and the ground that it covers (in metres and square metres)."""
+    w, d = F.col(width), F.col(depth)
+    return (w >= side) & (d >= side) & (F.col(height) >= side) & (w * d >= base)
+
+
 def dense_index(points: DataFrame, key: str, index: str) -> DataFrame:
     """key, n, top, distinct, ok: whether each key's index runs from 0 without gaps or repeats."""
     out = points.groupBy(key).agg(F.count("*").alias("n"), F.max(index).alias("top"), F.countDistinct(index).alias("distinct"))
@@ -43,16 +49,17 @@ def outline_edges(tiles: DataFrame) -> DataFrame:
     return edges.groupBy("x1", "y1", "x2", "y2").agg(F.count("*").alias("n")).where("n = 1").drop("n")
 
 
-def components(tiles: DataFrame, most_rounds: int = 64) -> DataFrame:
+def components(tiles: DataFrame) -> DataFrame:
     """tiles (i, j) with component: the smallest (i, j) reachable over shared sides, as a struct.
 
     Each round takes the smallest label around and then that label's own, so that
-    rounds grow with the logarithm of a component's extent. Results are written to
-    the checkpoint folder, which cuts lineage.
+    rounds grow with the logarithm of a component's extent; they end when no label changes.
+    Results are written to the checkpoint folder, which cuts lineage.
     """
     steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))))
     now = tiles.select("i", "j").distinct().withColumn("c", F.struct("i", "j"))
-    for _ in range(most_rounds):
+    changed = True
+    while changed:
         told = now.select("i", "j", "c", F.explode(steps).alias("s")).select((F.col("i") + F.col("s.a")).alias("i"), (F.col("j") + F.col("s.b")).alias("j"), F.col("c").alias("o"))
         low = now.join(told.groupBy("i", "j").agg(F.min("o").alias("o")), ["i", "j"]).select("i", "j", F.least("c", "o").alias("c"), F.col("c").alias("was"))
         jump = low.select(F.struct("i", "j").alias("at"), F.col("c").alias("further"))
@@ -60,8 +67,6 @@ def components(tiles: DataFrame, most_rounds: int = 64) -> DataFrame:
         low = cut(low)
         changed = not low.where("c <> was").isEmpty()
         now = low.drop("was")
-        if not changed:
-            break
     return now.withColumnRenamed("c", "component")
 
 

@@ -13,14 +13,19 @@ def phases(lines: DataFrame) -> DataFrame:
 
 
 def tiles_with_calls(lines: DataFrame) -> DataFrame:
-    """For each tile line the latest call line (kind ipc) since the tile line before it, if any: tile_line, ipc_line.
+    """For each tile line of each log: the latest call line (kind ipc) since the tile line before it, and the first merge
+    and write lines before the next one; null where there is none. log, tile_line, ipc_line, merge_line, write_line.
 
-    lines: log, line_no, kind. A call that one tile took is not taken again. Logs
-    are worked on apart from each other, each in one task, in the order of its lines.
+    lines: log, line_no, kind. A call that one tile took is not taken again. Each log is
+    numbered in the order of its lines, apart from the others.
     """
-    before = Window.partitionBy("log").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    group = F.coalesce(F.count(F.when(F.col("kind") == "tile", 1)).over(before), F.lit(0))
-    each = lines.withColumn("g", group).groupBy("log", "g").agg(
-        F.max(F.when(F.col("kind") == "tile", F.col("line_no"))).alias("tile_line"), F.max(F.when(F.col("kind") == "ipc", F.col("line_no"))).alias("ipc_line")
+    ordered = Window.partitionBy("log").orderBy("line_no")
+    tile = F.when(F.col("kind") == "tile", 1)
+    before = F.coalesce(F.count(tile).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    line = lambda k: F.when(F.col("kind") == k, F.col("line_no"))
+    # A call belongs to the tile after it, the rest to the tile before them.
+    each = lines.withColumn("__before", before).withColumn("k", F.col("__before") - F.when(F.col("kind").isin("tile", "ipc"), 0).otherwise(1))
+    out = each.groupBy("log", "k").agg(
+        F.max(line("tile")).alias("tile_line"), F.max(line("ipc")).alias("ipc_line"), F.min(line("merge")).alias("merge_line"), F.min(line("write")).alias("write_line")
     )
-    return each.where("tile_line is not null").drop("g")
+    return out.where("tile_line is not null").drop("k")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.numbers import half_up
+from . import spatial
 
 
 def cell_of(at: str, low: str, high: str, n: str, flip: bool = False) -> Column:
@@ -20,19 +21,28 @@ def cell_of(at: str, low: str, high: str, n: str, flip: bool = False) -> Column:
     return F.greatest(F.lit(0), F.least(F.floor(ratio * F.col(n)), F.col(n) - 1)).cast("int")
 
 
+def tiles_by_cell(tiles: DataFrame, side: float) -> DataFrame:
+    """__cx, __cy and __tiles: the tiles (in order) that meet each cell of that side."""
+    n = lambda c: F.floor(F.col(c) / side).cast("bigint")
+    cells = tiles.withColumn("__cx", F.explode(F.sequence(n("min_x"), n("max_x")))).withColumn("__cy", F.explode(F.sequence(n("min_y"), n("max_y"))))
+    one = F.struct("tile", "min_x", "min_y", "max_x", "max_y", "width", "height")
+    return cells.groupBy("__cx", "__cy").agg(F.array_sort(F.collect_list(one)).alias("__tiles"))
+
+
 def sample(points: DataFrame, tiles: DataFrame, cells: DataFrame) -> DataFrame:
     """points (sx, sy) with the value of the nearest cell below them, null outside all tiles or without data.
 
-    tiles (tile, min_x, min_y, max_x, max_y, width, height) are metadata rows and
-    join by range; cells (tile, rx, ry, value) join by key. Where tiles overlap the first by tile counts.
+    tiles (tile, min_x, min_y, max_x, max_y, width, height) are metadata rows; points meet
+    them by cells as large as the largest tile, and where tiles overlap the first by tile
+    counts. cells (tile, rx, ry, value) join by key. Every point keeps its row, repeated ones too.
     """
-    inside = F.col("sx").between(F.col("min_x"), F.col("max_x")) & F.col("sy").between(F.col("min_y"), F.col("max_y"))
-    keyed = points.withColumn("__row", F.struct(*points.columns))
-    on = keyed.join(F.broadcast(tiles) if tiles.limit(100_001).count() <= 100_000 else tiles, inside, "left")
+    side = tiles.agg(F.max(F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")))).first()[0] or 1.0
+    n = lambda c: F.floor(F.col(c) / side).cast("bigint")
+    near = points.withColumn("__cx", n("sx")).withColumn("__cy", n("sy")).join(tiles_by_cell(tiles, side), ["__cx", "__cy"], "left")
+    inside = lambda t: F.col("sx").between(t["min_x"], t["max_x"]) & F.col("sy").between(t["min_y"], t["max_y"])
+    on = near.withColumn("__t", F.get(F.filter("__tiles", inside), F.lit(0))).select(*points.columns, "__t.*")
     on = on.withColumn("rx", cell_of("sx", "min_x", "max_x", "width")).withColumn("ry", cell_of("sy", "min_y", "max_y", "height", flip=True))
-    first = on.groupBy("__row").agg(F.min(F.struct("tile", "rx", "ry")).alias("c"))
-    found = first.select("__row", F.col("c.tile").alias("tile"), F.col("c.rx").alias("rx"), F.col("c.ry").alias("ry"))
-    return found.join(cells, ["tile", "rx", "ry"], "left").select("__row.*", "value")
+    return on.select(*points.columns, "tile", "rx", "ry").join(cells, ["tile", "rx", "ry"], "left").select(*points.columns, "value")
 
 
 def march(rays: DataFrame, step: float, reach: float) -> DataFrame:
@@ -62,6 +72,24 @@ def vegetation_blocked(sampled: DataFrame, key: str, min_clearance: float = 4.0)
     return hit.groupBy(key).agg(F.min(F.struct("dist", "angle")).alias("b")).select(key, F.col("b.dist").alias("distance"), half_up("b.angle", 3).alias("angle"))
 
 
+def all_masks(rays: DataFrame, tiles: DataFrame, cells: DataFrame, obstacles: DataFrame, key: str, reach: float = 400.0) -> DataFrame:
+    """key, terrain, buildings, vegetation, sun, sun_without_vegetation of rays (x, y, z, azimuth, altitude).
+
+    A ray that the ground blocks is not tested further: its buildings and vegetation are false.
+    """
+    def of(hits: DataFrame, name: str) -> DataFrame:
+        return hits.select(key).distinct().withColumn(name, F.lit(True))
+
+    ground = of(terrain_blocked(sample(march(rays, 5, 500), tiles, cells), key), "__t")
+    plants = of(vegetation_blocked(sample(march(rays, 2, 120), tiles, cells), key), "__g")
+    walls = of(spatial.nearest_blocker(rays, obstacles, reach, key=key).where("blocked"), "__b")
+    out = rays.select(key).join(ground, key, "left").join(walls, key, "left").join(plants, key, "left")
+    t, b, g = (F.coalesce(c, F.lit(False)) for c in ("__t", "__b", "__g"))
+    return out.select(
+        key, t.alias("terrain"), (~t & b).alias("buildings"), (~t & g).alias("vegetation"), (~t & ~b & ~g).alias("sun"), (~t & ~b).alias("sun_without_vegetation")
+    )
+
+
 def horizon_profile(centres: DataFrame, tiles: DataFrame, cells: DataFrame, key: str, step: float, reach: float, refraction: float = 0.13) -> DataFrame:
     """key, az_bin, angle, distance, peak for each whole degree around each centre (lat, lon): the highest angle of the ground.
 

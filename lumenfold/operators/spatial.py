@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, rings
 from ..functions.numbers import half_up
+from .checks import cut
 
 #: Side of the grid cells that obstacles are indexed by, in metres.
 CELL = 64.0
@@ -151,6 +152,57 @@ def tiles_of_points(points: DataFrame, size: int = 250) -> DataFrame:
     return points.withColumn("tile_e", F.floor(F.col("e") / size) * size).withColumn("tile_n", F.floor(F.col("n") / size) * size)
 
 
+def _around(points: DataFrame, cx: Column, cy: Column) -> DataFrame:
+    """points once for each of the nine cells around their own: __cx, __cy."""
+    near = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    return points.withColumn("__d", F.explode(near)).withColumn("__cx", cx + F.col("__d.i")).withColumn("__cy", cy + F.col("__d.j")).drop("__d")
+
+
+def _distance(chebyshev: bool) -> Column:
+    dx, dy = F.abs(F.col("x") - F.col("__x")), F.abs(F.col("y") - F.col("__y"))
+    return F.greatest(dx, dy) if chebyshev else F.sqrt(dx * dx + dy * dy)
+
+
+def nearest_within(left: DataFrame, right: DataFrame, key: str, tie: str, reach: float, chebyshev: bool = False) -> DataFrame:
+    """left's key with the nearest row (its tie column, distance) of right within reach, by cells of that size; both have x, y.
+
+    Equal distances go to the smallest tie. Keys without any are left out.
+    """
+    cell = lambda c: F.floor(F.col(c) / reach).cast("bigint")
+    r = _around(right.select(F.col(tie), F.col("x").alias("__x"), F.col("y").alias("__y")), F.floor(F.col("__x") / reach).cast("bigint"), F.floor(F.col("__y") / reach).cast("bigint"))
+    pairs = left.select(key, "x", "y").withColumn("__cx", cell("x")).withColumn("__cy", cell("y")).join(r, ["__cx", "__cy"])
+    best = pairs.withColumn("__s", _distance(chebyshev)).where(F.col("__s") <= reach).groupBy(key).agg(F.min(F.struct("__s", tie)).alias("b"))
+    return best.select(key, F.col(f"b.{tie}").alias(tie), F.col("b.__s").alias("distance"))
+
+
+def nearest_point(left: DataFrame, right: DataFrame, key: str, tie: str, size: float = CELL, chebyshev: bool = False) -> DataFrame:
+    """left's key with the nearest row of right, however far it is: key, tie, distance; both have x, y. Nothing if right is empty.
+
+    Rings of cells: rows that have none within ``size`` look within twice as much, and so
+    on up to the extent of both sides, so that only rows far from all of right meet many. Each
+    step is written to the checkpoint folder.
+    """
+    bounds = left.select("x", "y").unionByName(right.select("x", "y")).agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    extent = 2 * max((v for v in bounds if v is not None), default=0.0) + size
+    out, open_, reach = None, left.select(key, "x", "y"), size
+    while True:
+        found = cut(nearest_within(open_, right, key, tie, reach, chebyshev))
+        out = found if out is None else out.unionByName(found)
+        open_, reach = cut(open_.join(found.select(key), key, "left_anti")), reach * 2
+        if reach >= 2 * extent or open_.isEmpty():
+            return out
+
+
+def near_pairs(left: DataFrame, right: DataFrame, dlat: float, dlon: float) -> DataFrame:
+    """Rows of left (lat, lon) with each row of right closer than dlat and dlon; right's columns but lat and lon are added."""
+    cell = lambda c, d: F.floor(F.col(c) / d).cast("bigint")
+    r = right.withColumnsRenamed({"lat": "__lat", "lon": "__lon"})
+    r = _around(r, cell("__lat", dlat), cell("__lon", dlon))
+    at = left.withColumn("__cx", cell("lat", dlat)).withColumn("__cy", cell("lon", dlon))
+    close = (F.abs(F.col("lat") - F.col("__lat")) < dlat) & (F.abs(F.col("lon") - F.col("__lon")) < dlon)
+    return at.join(r, ["__cx", "__cy"]).where(close).drop("__cx", "__cy", "__lat", "__lon")
+
+
 def near_duplicates_of(left: DataFrame, right: DataFrame, dlat: float, dlon: float) -> DataFrame:
     """left (lat, lon) without rows that lie closer than dlat and dlon to a row of right.
 

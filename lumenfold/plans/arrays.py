@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits, rings
@@ -21,15 +21,17 @@ def _(t: Tables) -> DataFrame:
     return t.packed().select("vec_id", F.bit_count("mask").alias("n"))
 
 
-@query("arr03_pack_rows", "SELECT vec_id, CAST(sum(CASE WHEN bit THEN CAST(1 AS BIGINT) << i ELSE 0 END) AS BIGINT) AS mask FROM masks WHERE i < 40 GROUP BY vec_id", "masks")
+@query("arr03_pack_rows", "SELECT vec_id, CAST(i // 32 AS INTEGER) AS word, CAST(sum(CASE WHEN bit THEN CAST(1 AS BIGINT) << (i % 32) ELSE 0 END) AS BIGINT) AS mask FROM masks GROUP BY vec_id, i // 32", "masks")
 def _(t: Tables) -> DataFrame:
-    return t.masks().where("i < 40").groupBy("vec_id").agg(bits.pack_rows("bit", "i").alias("mask"))
+    m = t.masks().withColumn("word", F.floor(F.col("i") / 32).cast("int")).withColumn("k", F.col("i") % 32)
+    return m.groupBy("vec_id", "word").agg(bits.pack_rows("bit", "k").alias("mask"))
 
 
-@query("arr04_remap", "SELECT vec_id, CAST(sum(CASE WHEN bit THEN CAST(1 AS BIGINT) << ((i * 7) % 40) ELSE 0 END) AS BIGINT) AS mask FROM masks WHERE i < 40 GROUP BY vec_id", "masks")
+@query("arr04_remap", "SELECT vec_id, CAST(i * 7 % 64 // 32 AS INTEGER) AS word, CAST(sum(CASE WHEN bit THEN CAST(1 AS BIGINT) << (i * 7 % 32) ELSE 0 END) AS BIGINT) AS mask FROM masks GROUP BY 1, 2", "masks")
 def _(t: Tables) -> DataFrame:
-    cell = t.spark.range(40).select(F.col("id").cast("int").alias("i"), (F.col("id") * 7 % 40).cast("int").alias("cell"))
-    return t.masks().join(F.broadcast(cell), "i").groupBy("vec_id").agg(bits.pack_rows("bit", "cell").alias("mask"))
+    cell = t.spark.range(64).select(F.col("id").cast("int").alias("i"), (F.col("id") * 7 % 64).cast("int").alias("cell"))
+    m = t.masks().join(F.broadcast(cell), "i").withColumn("word", F.floor(F.col("cell") / 32).cast("int")).withColumn("k", F.col("cell") % 32)
+    return m.groupBy("vec_id", "word").agg(bits.pack_rows("bit", "k").alias("mask"))
 
 
 @query("arr05_mask_slice", "SELECT label, count(*) FILTER (WHERE bit) AS n FROM masks WHERE i BETWEEN 8 AND 15 GROUP BY label", "masks")
@@ -74,12 +76,11 @@ def _(t: Tables) -> DataFrame:
     return j.select("vec_id", F.bit_count(F.col("mask").bitwiseAND(F.col("o"))).alias("both"), F.bit_count(F.col("mask").bitwiseAND(F.bitwise_not("o"))).alias("only_a"))
 
 
-@query("agg11_repacked_timeline", "SELECT user_id, CAST(sum(CASE WHEN event_type <> 'error' THEN CAST(1 AS BIGINT) << r ELSE 0 END) AS BIGINT) AS mask FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS r FROM events) WHERE r < 60 GROUP BY user_id")
+@query("agg11_repacked_timeline", "SELECT user_id, CAST(r // 60 AS INTEGER) AS word, CAST(sum(CASE WHEN event_type <> 'error' THEN CAST(1 AS BIGINT) << (r % 60) ELSE 0 END) AS BIGINT) AS mask FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS r FROM events) GROUP BY 1, 2")
 def _(t: Tables) -> DataFrame:
-    from ..operators.windows import first_by
-
-    e = first_by(t.samples(), ["point"], [F.col("ts"), F.col("ord")], 60).withColumn("k", F.col("rank") - 1)
-    return e.groupBy(F.col("point").alias("user_id")).agg(bits.pack_rows("is_sunny", "k").alias("mask"))
+    r = F.row_number().over(Window.partitionBy("point").orderBy("ts", "ord")) - 1
+    e = t.samples().withColumn("r", r).withColumn("word", F.floor(F.col("r") / 60).cast("int")).withColumn("k", F.col("r") % 60)
+    return e.groupBy(F.col("point").alias("user_id"), "word").agg(bits.pack_rows("is_sunny", "k").alias("mask"))
 
 
 def _ring(t: Tables) -> DataFrame:
@@ -114,17 +115,26 @@ def _(t: Tables) -> DataFrame:
     return t.read("part").select(F.col("p_partkey").alias("id"), hit.alias("distance"))
 
 
-@query("arr07_without_repeats", "SELECT id, CAST(5 AS INTEGER) AS n FROM obstacles", "obstacles")
+@query("arr07_without_repeats", "SELECT id, CAST(3 + id % 3 AS INTEGER) AS n, (3 + id % 3) * center_x AS sum_x FROM obstacles", "obstacles")
 def _(t: Tables) -> DataFrame:
-    doubled = F.concat(F.slice("ring", 1, 1), F.col("ring"), F.slice("ring", 1, 1))
-    return _ring(t).select("id", F.size(rings.without_repeats(doubled)).alias("n"))
+    """Rings of 3 to 5 corners, each one to four times in a row, closed by the first."""
+    k = F.col("id")
+    corner = lambda i: F.struct((F.col("center_x") + i * 2 - (3 + k % 3) + 1).alias("x"), (F.col("center_y") + i * i).alias("y"))
+    many = F.flatten(F.transform(F.sequence(F.lit(0), (2 + k % 3).cast("int")), lambda i: F.array_repeat(corner(i), ((k + i) % 4 + 1).cast("int"))))
+    clean = rings.without_repeats("many")
+    out = t.obstacles().withColumn("many", F.concat(many, F.slice(many, 1, 1)))
+    return out.select("id", F.size(clean).alias("n"), F.aggregate(clean, F.lit(0.0), lambda a, p: a + p["x"]).alias("sum_x"))
 
 
-@query("arr08_without_collinear", "SELECT id, CAST(5 AS INTEGER) AS n FROM obstacles", "obstacles")
+@query("arr08_without_collinear", "SELECT id, CAST(CASE WHEN id % 4 = 0 THEN 4 ELSE 5 END AS INTEGER) AS n, (max_x - min_x) * (max_y - min_y) + (max_x - min_x) * (CASE WHEN id % 4 = 0 THEN 0 ELSE 2 END) / 2 AS area FROM obstacles", "obstacles")
 def _(t: Tables) -> DataFrame:
-    middle = F.struct(F.col("center_x").alias("x"), F.col("min_y").alias("y"))
-    longer = F.concat(F.slice("ring", 1, 1), F.array(middle), F.slice("ring", 2, 4))
-    return _ring(t).select("id", F.size(rings.without_collinear(longer)).alias("n"))
+    """Houses with up to six points along the floor; every fourth has a flat roof, whose ridge point is on the eaves' line."""
+    k = F.col("id")
+    floor = F.transform(F.sequence(F.lit(0), (k % 6).cast("int")), lambda i: F.struct((F.col("min_x") + (F.col("max_x") - F.col("min_x")) * i / 8).alias("x"), F.col("min_y").alias("y")))
+    flat = F.struct(F.col("center_x").alias("x"), F.col("max_y").alias("y"))
+    ring = F.concat(floor, F.slice("ring", 2, 2), F.array(F.when(k % 4 == 0, flat).otherwise(F.col("ring")[3])), F.slice("ring", 5, 1))
+    clean = rings.without_collinear("longer")
+    return _ring(t).withColumn("longer", ring).select("id", F.size(clean).alias("n"), rings.area(clean).alias("area"))
 
 
 @query("map01_tag_lookup", "SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), -1) AS k FROM events")

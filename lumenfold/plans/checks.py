@@ -63,12 +63,13 @@ def _(t: Tables) -> DataFrame:
 
 
 _NEAREST = "list_sort(list({v}))[least(count(*), CAST(floor({q} * count(*)) AS BIGINT) + 1)]"
+_RANKS = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 
 
 @query("agg27_nearest_rank", f"SELECT region, floor(avg(size) * 1e4 + 0.5) / 1e4 AS mean, {_NEAREST.format(v='size', q='0.5e0')} AS p50, {_NEAREST.format(v='size', q='0.95e0')} AS p95, {_NEAREST.format(v='size', q='0.99e0')} AS p99, max(size) AS top FROM runs GROUP BY region", "runs")
 def _(t: Tables) -> DataFrame:
-    q = {f"p{p}": windows.nearest_rank(F.col("size"), p / 100) for p in (50, 95, 99)}
-    return t.runs().groupBy("region").agg(half_up(F.avg("size"), 4).alias("mean"), *(c.alias(n) for n, c in q.items()), F.max("size").alias("top"))
+    rest = t.runs().groupBy("region").agg(half_up(F.avg("size"), 4).alias("mean"), F.max("size").alias("top"))
+    return rest.join(windows.nearest_ranks(t.runs(), ["region"], "size", _RANKS), "region")
 
 
 @query("agg29_sunny_histogram", "WITH p AS (SELECT point, avg(CASE WHEN is_sunny THEN 100e0 ELSE 0e0 END) AS pct FROM samples GROUP BY point) SELECT CAST(floor(pct / 5) * 5 AS INTEGER) AS bin, count(*) AS n, count(*) FILTER (WHERE pct > 85) AS suspects FROM p GROUP BY 1", "samples")
@@ -100,10 +101,13 @@ def _(t: Tables) -> DataFrame:
     return p.agg(F.sum("m").alias("mismatches"), F.count_if(F.col("m") > 0).alias("points"), half_up(F.avg("d"), 9).alias("mean_delta"), F.max("d").alias("max_delta"))
 
 
-@query("agg39_content_hash", "SELECT region, left(sha256(string_agg(CAST(run AS VARCHAR), ',' ORDER BY run)), 16) AS hash FROM runs GROUP BY region", "runs")
+@query("agg39_content_hash", "WITH d AS (SELECT region, day, sha256(string_agg(CAST(run AS VARCHAR), ',' ORDER BY run)) AS h FROM runs GROUP BY region, day) SELECT region, left(sha256(string_agg(h, ',' ORDER BY day)), 16) AS hash FROM d GROUP BY region", "runs")
 def _(t: Tables) -> DataFrame:
+    """A hash of the days' hashes, so that no region's runs are gathered in one place."""
     ids = F.array_join(F.transform(F.array_sort(F.collect_list("run")), lambda r: r.cast("string")), ",")
-    return t.runs().groupBy("region").agg(F.substring(F.sha2(ids, 256), 1, 16).alias("hash"))
+    days = t.runs().groupBy("region", "day").agg(F.sha2(ids, 256).alias("h"))
+    all_ = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("day", "h"))), lambda d: d["h"]), ",")
+    return days.groupBy("region").agg(F.substring(F.sha2(all_, 256), 1, 16).alias("hash"))
 
 
 @query("agg40_histogram_quantile", "WITH b AS (SELECT CAST(least(5000, floor(value * 100)) AS BIGINT) AS bin, count(*) AS n FROM events GROUP BY 1), c AS (SELECT bin, sum(n) OVER (ORDER BY bin) AS run FROM b) SELECT min(bin) AS p95 FROM c WHERE run >= 0.95e0 * (SELECT count(*) FROM events)")
@@ -126,27 +130,30 @@ def _(t: Tables) -> DataFrame:
     return was.groupBy("day").agg(F.count_if(F.col("p") != F.col("s")).alias("changed"), F.count_if(F.col("s") & ~F.col("p")).alias("became_sunny"), F.count_if(F.col("p") & ~F.col("s")).alias("became_shaded"))
 
 
-@query("agg44_phase_table", "SELECT phase, count(*) AS n, floor(avg(v) * 1e6 + 0.5) / 1e6 AS mean, max(v) AS top FROM (SELECT 'tax' AS phase, l_tax AS v FROM lineitem UNION ALL SELECT 'discount', l_discount FROM lineitem UNION ALL SELECT 'quantity', l_quantity FROM lineitem) GROUP BY phase")
-def _(t: Tables) -> DataFrame:
-    long = t.read("lineitem").select(F.col("l_tax").alias("tax"), F.col("l_discount").alias("discount"), F.col("l_quantity").alias("quantity")).unpivot([], ["tax", "discount", "quantity"], "phase", "v")
-    return long.groupBy("phase").agg(F.count("*").alias("n"), half_up(F.avg("v"), 6).alias("mean"), F.max("v").alias("top"))
+_PHASES = "SELECT {} AS phase, l_returnflag AS state, {} AS v FROM lineitem"
+_PHASE_SQL = " UNION ALL ".join(_PHASES.format(f"'{c}'", f"l_{c}") for c in ("tax", "discount", "quantity", "extendedprice"))
 
 
-@query("agg41_in_flight")
+@query("agg44_phase_table", f"WITH l AS ({_PHASE_SQL}), a AS (SELECT phase, state, count(*) AS n, avg(v) AS mean_, {', '.join(f'{_NEAREST.format(v=chr(118), q=repr(q) + chr(101) + chr(48))} AS {p}' for p, q in _RANKS.items())}, max(v) AS top FROM l GROUP BY phase, state) SELECT phase, state, n, floor(mean_ * 1e6 + 0.5) / 1e6 AS mean, p50, p95, p99, top, floor(100 * mean_ / sum(mean_) OVER (PARTITION BY state) * 1e6 + 0.5) / 1e6 AS pct FROM a")
 def _(t: Tables) -> DataFrame:
-    """Requests in flight by route at the end and at most; a decrement never goes below 0, so each route is folded in order."""
-    delta = F.when(F.col("event_type") == "error", -1).otherwise(1)
-    ordered = t.events().groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", delta.alias("d")))).alias("e"))
-    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
+    """Phases by state: mean, ranks, maximum and the share of the state's mean total."""
+    wide = t.read("lineitem").select(F.col("l_returnflag").alias("state"), *(F.col(f"l_{c}").alias(c) for c in ("tax", "discount", "quantity", "extendedprice")))
+    long = wide.unpivot(["state"], ["tax", "discount", "quantity", "extendedprice"], "phase", "v")
+    a = long.groupBy("phase", "state").agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.max("v").alias("top"))
+    a = a.withColumn("total", F.sum("m").over(Window.partitionBy("state"))).join(windows.nearest_ranks(long, ["phase", "state"], "v", _RANKS), ["phase", "state"])
+    return a.select("phase", "state", "n", half_up("m", 6).alias("mean"), *_RANKS, "top", half_up(100 * F.col("m") / F.col("total"), 6).alias("pct"))
 
-    def step(a, x):
-        now = F.greatest(F.lit(0), a["now"] + x["d"])
-        return F.struct(now.alias("now"), F.greatest(a["top"], now).alias("top"))
 
-    return ordered.select("user_id", F.aggregate("e", zero, step).alias("s")).select("user_id", "s.now", "s.top")
+@query("agg41_in_flight", """WITH d AS (SELECT user_id, list({'now': CASE event_type WHEN 'error' THEN -1 ELSE 1 END, 'top': 0} ORDER BY ts, event_id) AS e FROM events GROUP BY user_id),
+  f AS (SELECT user_id, list_reduce(list_prepend({'now': 0, 'top': 0}, e), lambda a, x: {'now': greatest(0, a.now + x.now), 'top': greatest(a.top, greatest(0, a.now + x.now))}) AS s FROM d) SELECT user_id, CAST(s.now AS BIGINT) AS now, CAST(s.top AS BIGINT) AS top FROM f""")
+def _(t: Tables) -> DataFrame:
+    """Requests in flight by route at the end and at most; a decrement never goes below 0."""
+    return windows.floored_sums(t.events().withColumn("d", F.when(F.col("event_type") == "error", -1).otherwise(1)), ["user_id"], ["ts", "event_id"], "d").groupBy("user_id").agg(
+        F.max_by("now", F.struct("ts", "event_id")).alias("now"), F.greatest(F.lit(0), F.max("now")).alias("top")
+    )
 
 
-@query("win07_accepted_warnings")
+@query("win07_accepted_warnings", """WITH RECURSIVE e AS (SELECT DISTINCT user_id, CAST(ts AS TIMESTAMP) AS ts FROM events), a AS (SELECT user_id, min(ts) AS ts FROM e GROUP BY user_id UNION ALL SELECT a.user_id, min(e.ts) AS ts FROM a JOIN e ON e.user_id = a.user_id AND e.ts >= a.ts + INTERVAL 1 HOUR GROUP BY a.user_id) SELECT user_id, ts FROM a""")
 def _(t: Tables) -> DataFrame:
     """Warnings at least an hour after the last accepted one of their user."""
     return windows.accepted_events(t.events(), ["user_id"], "ts", 3600)
@@ -170,32 +177,38 @@ def _(t: Tables) -> DataFrame:
     )
 
 
-@query("win06_hysteresis")
+@query("win06_hysteresis", "SELECT event_id, coalesce(last_value(CASE WHEN value > 8 THEN 'coarse' WHEN value < 2 THEN 'fine' END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'fine') AS mode FROM events")
 def _(t: Tables) -> DataFrame:
-    """Render mode by user: coarse above 8, fine below 2, else as before; folded in order of time."""
-    e = t.events().groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("e"))
-    mode = F.aggregate("e", F.lit("fine"), lambda m, x: F.when(x["value"] > 8, "coarse").when(x["value"] < 2, "fine").otherwise(m))
-    return e.select("user_id", mode.alias("mode"))
+    """Render mode of each event: coarse above 8, fine below 2, else as before."""
+    told = F.when(F.col("value") > 8, "coarse").when(F.col("value") < 2, "fine")
+    so_far = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return t.events().select("event_id", F.coalesce(F.last(told, True).over(so_far), F.lit("fine")).alias("mode"))
 
 
-_CELLS = "ce AS (SELECT DISTINCT id % 37 AS i, id % 23 AS j FROM obstacles WHERE id % 3 > 0 AND id < 900)"
+_CELLS = "ce AS (SELECT p_partkey % 211 AS i, p_partkey // 211 AS j FROM part WHERE p_size % 2 = 0)"
 
 
 def _cells(t: Tables) -> DataFrame:
-    return t.obstacles().where("id % 3 > 0 and id < 900").select((F.col("id") % 37).alias("i"), (F.col("id") % 23).alias("j")).distinct()
+    """A band of cells 211 wide, as long as the table, about half of which are taken."""
+    k = F.col("p_partkey")
+    return t.read("part").where("p_size % 2 = 0").select((k % 211).alias("i"), F.floor(k / 211).alias("j"))
 
 
-@query("set06_outline_edges", f"WITH {_CELLS}, e AS (SELECT i AS x1, j AS y1, i + 1 AS x2, j AS y2 FROM ce UNION ALL SELECT i, j + 1, i + 1, j + 1 FROM ce UNION ALL SELECT i, j, i, j + 1 FROM ce UNION ALL SELECT i + 1, j, i + 1, j + 1 FROM ce) SELECT x1, y1, x2, y2 FROM e GROUP BY ALL HAVING count(*) = 1", "obstacles")
+@query("set06_outline_edges", f"WITH {_CELLS}, e AS (SELECT i AS x1, j AS y1, i + 1 AS x2, j AS y2 FROM ce UNION ALL SELECT i, j + 1, i + 1, j + 1 FROM ce UNION ALL SELECT i, j, i, j + 1 FROM ce UNION ALL SELECT i + 1, j, i + 1, j + 1 FROM ce) SELECT x1, y1, x2, y2 FROM e GROUP BY ALL HAVING count(*) = 1")
 def _(t: Tables) -> DataFrame:
     return checks.outline_edges(_cells(t))
 
 
-@query("set09_components", f"""WITH RECURSIVE {_CELLS.replace('ce AS', 'obst AS MATERIALIZED (SELECT 1), ce AS')}, r(i, j, ci, cj) AS (SELECT i, j, i, j FROM ce UNION SELECT ce.i, ce.j, r.ci, r.cj FROM r JOIN ce ON abs(ce.i - r.i) + abs(ce.j - r.j) = 1) SELECT i, j, min((ci, cj))[1] AS ci, min((ci, cj))[2] AS cj FROM r GROUP BY i, j""".replace("FROM obstacles", "FROM (SELECT p_partkey AS id FROM part)"))
+@query("set09_components", f"""WITH RECURSIVE {_CELLS}, r(i, j, ci, cj) AS (SELECT i, j, i, j FROM ce UNION SELECT ce.i, ce.j, r.ci, r.cj FROM r JOIN ce ON abs(ce.i - r.i) + abs(ce.j - r.j) = 1) SELECT i, j, min((ci, cj))[1] AS ci, min((ci, cj))[2] AS cj FROM r GROUP BY i, j""")
 def _(t: Tables) -> DataFrame:
     return checks.components(_cells(t)).select("i", "j", F.col("component.i").alias("ci"), F.col("component.j").alias("cj"))
 
 
-@query("set10_filled")
+_STEPS = "(VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) s(a, b)"
+_PASSES = ", ".join(f"f{k} AS MATERIALIZED (SELECT i, j FROM f{k - 1} UNION SELECT i, j FROM (SELECT i + a AS i, j + b AS j FROM f{k - 1}, {_STEPS}) GROUP BY i, j HAVING count(*) >= 3)" for k in range(1, 21))
+
+
+@query("set10_filled", f"WITH {_CELLS}, f0 AS (SELECT i, j FROM ce), {_PASSES} SELECT i, j FROM f20")
 def _(t: Tables) -> DataFrame:
     return checks.filled(_cells(t))
 
@@ -206,12 +219,14 @@ def _(t: Tables) -> DataFrame:
     return windows.first_by(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["owner"], [F.col("src"), F.col("run")]).select("owner", "src", "run")
 
 
-@query("snk06_manifest_upsert", "WITH m AS (SELECT region, list_sort(list(DISTINCT owner) FILTER (WHERE run % 5 > 0)) AS ids, list_sort(list(DISTINCT owner) FILTER (WHERE run % 5 = 0)) AS bad FROM runs WHERE run < 2000 GROUP BY region) SELECT region, CAST(len(ids) AS INTEGER) AS n, CAST(len(list_filter(bad, lambda x: NOT list_contains(ids, x))) AS INTEGER) AS failed FROM m", "runs")
+@query("snk06_manifest_upsert", "WITH m AS (SELECT region, day, list_sort(list(DISTINCT owner) FILTER (WHERE size >= 50000)) AS ids, list_sort(list(DISTINCT owner) FILTER (WHERE size < 50000)) AS bad FROM runs GROUP BY region, day), n AS (SELECT region, day, coalesce(ids, []) AS ids, list_filter(coalesce(bad, []), lambda x: NOT list_contains(coalesce(ids, []), x)) AS failed FROM m) SELECT region, day, array_to_string(ids, ',') AS ids, array_to_string(failed, ',') AS failed, len(failed) = 0 AS complete FROM n", "runs")
 def _(t: Tables) -> DataFrame:
-    r = t.runs().where("run < 2000")
-    side = lambda c: r.where(c).groupBy("region").agg(F.collect_list(F.when(F.col("run") % 5 > 0, F.col("owner"))).alias("ids"), F.collect_list(F.when(F.col("run") % 5 == 0, F.col("owner"))).alias("failed"))
-    m = checks.merged_manifest(side("run < 1000"), side("run >= 1000"), ["region"], "ids", "failed")
-    return m.select("region", F.size("ids").alias("n"), F.size("failed").alias("failed"))
+    """One manifest for each region and day, united from its urgent and its other runs."""
+    r, some = t.runs(), F.col("size") >= 50000
+    side = lambda c: r.where(c).groupBy("region", "day").agg(F.collect_list(F.when(some, F.col("owner"))).alias("ids"), F.collect_list(F.when(~some, F.col("owner"))).alias("failed"))
+    m = checks.merged_manifest(side("priority < '3'"), side("priority >= '3'"), ["region", "day"], "ids", "failed")
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return m.select("region", "day", text("ids"), text("failed"), "complete")
 
 
 @query("dq01_dense_outdoor_index", "SELECT tile, count(*) AS n, max(az_b) AS top, max(az_b) + 1 = count(*) AND count(DISTINCT az_b) = count(*) AS ok FROM (SELECT DISTINCT tile, az_b FROM buckets) GROUP BY tile", "buckets")
@@ -253,10 +268,10 @@ def _(t: Tables) -> DataFrame:
     return t.buckets().where("value < 3").groupBy("tile").agg(F.count("*").alias("n")).where("n < 125")
 
 
-@query("dq09_repair_plan", "WITH d AS (SELECT DISTINCT tile FROM buckets WHERE alt_b = 7 AND value > 49), r AS (SELECT DISTINCT day FROM runs WHERE run < 200) SELECT tile, day FROM d, r", "buckets", "runs")
+@query("dq09_repair_plan", "WITH d AS (SELECT DISTINCT tile FROM buckets WHERE alt_b = 7 AND value > 49), r AS (SELECT DISTINCT day FROM runs) SELECT tile, day FROM d, r", "buckets", "runs")
 def _(t: Tables) -> DataFrame:
     drifted = t.buckets().where("alt_b = 7 and value > 49").select("tile").distinct()
-    days = t.runs().where("run < 200").select("day").distinct()
+    days = t.runs().select("day").distinct()
     return drifted.join(days, how="cross")
 
 

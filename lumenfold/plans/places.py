@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import hours, text
 from ..functions.numbers import half_up
 from ..operators import places as ops
-from ..operators import windows
+from ..operators import checks, windows
 from ..sources.tables import Tables
 from .registry import query
 
@@ -63,10 +63,10 @@ def _(t: Tables) -> DataFrame:
     return t.runs().where(F.col("priority").isin("1-URGENT", "2-HIGH")).select("run")
 
 
-@query("flt11_obstacle_size", "SELECT id FROM obstacles WHERE max_x - min_x >= 6 AND max_y - min_y >= 6 AND max_z - min_z >= 10 AND (max_x - min_x) * (max_y - min_y) >= 50", "obstacles")
+@query("flt11_obstacle_size", "SELECT id FROM (SELECT id, (max_x - min_x) / 8 AS w, (max_y - min_y) / 8 AS d, max_z / 20 AS h FROM obstacles) WHERE w >= 1 AND d >= 1 AND h >= 1 AND w * d >= 4", "obstacles")
 def _(t: Tables) -> DataFrame:
     w, d = F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")
-    return t.obstacles().where((w >= 6) & (d >= 6) & (F.col("max_z") - F.col("min_z") >= 10) & (w * d >= 50)).select("id")
+    return t.obstacles().select("*", (w / 8).alias("w"), (d / 8).alias("d"), (F.col("max_z") / 20).alias("h")).where(checks.large_enough("w", "d", "h")).select("id")
 
 
 @query("flt17_visible_venues", "SELECT p.id, s.s_name AS timeline FROM places p LEFT JOIN supplier s ON s.s_suppkey = p.id WHERE seating AND subcategory = 'bar' AND lon BETWEEN 6.55e0 AND 6.7e0", "places")
@@ -176,10 +176,10 @@ def _(t: Tables) -> DataFrame:
     return t.runs().select("run", F.max("size").over(w).alias("progress"))
 
 
-@query("win11_promote_current", "SELECT region, run, row_number() OVER (PARTITION BY region ORDER BY priority = '3-MEDIUM' DESC, run) AS pos FROM runs WHERE run < 400", "runs")
+@query("win11_promote_current", "SELECT region, run, row_number() OVER (PARTITION BY region ORDER BY priority = '3-MEDIUM' DESC, run) AS pos FROM runs", "runs")
 def _(t: Tables) -> DataFrame:
     w = Window.partitionBy("region").orderBy((F.col("priority") == "3-MEDIUM").desc(), "run")
-    return t.runs().where("run < 400").select("region", "run", F.row_number().over(w).cast("bigint").alias("pos"))
+    return t.runs().select("region", "run", F.row_number().over(w).cast("bigint").alias("pos"))
 
 
 @query("srt01_sunny_ranking", "SELECT id, sunny, name FROM (SELECT id, (id * 37) % 600 AS sunny, name FROM places) ORDER BY sunny DESC, name, id LIMIT 50", "places")
@@ -214,9 +214,9 @@ def _(t: Tables) -> DataFrame:
     return t.read("part").select(F.col("p_partkey").alias("id"), text.match_score("p_name", F.lit("1")).alias("score"))
 
 
-@query("srt10_keep_higher", "SELECT owner, max(size) AS size FROM runs GROUP BY owner ORDER BY size DESC, owner LIMIT 40", "runs")
+@query("srt10_keep_higher", "SELECT owner, max(size) AS size FROM runs GROUP BY owner", "runs")
 def _(t: Tables) -> DataFrame:
-    return t.runs().groupBy("owner").agg(F.max("size").alias("size")).orderBy(F.desc("size"), "owner").limit(40)
+    return t.runs().groupBy("owner").agg(F.max("size").alias("size")).orderBy(F.desc("size"), "owner")
 
 
 @query("srt11_worst_ten", "SELECT run, size FROM runs ORDER BY size, run LIMIT 10", "runs")

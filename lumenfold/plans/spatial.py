@@ -137,27 +137,31 @@ def _(t: Tables) -> DataFrame:
     return c.groupBy(label.alias("label")).agg(F.count("*").alias("n"))
 
 
-@query("join11_nearest_mesh", "WITH m AS (SELECT id AS mesh, source, center_x AS mx, center_y AS my FROM obstacles WHERE id % 3 = 0), s AS (SELECT o.id, m.mesh, sqrt(pow(center_x - mx, 2) + pow(center_y - my, 2)) / 10 AS score FROM obstacles o JOIN m ON o.source = m.source WHERE o.id % 3 = 1) SELECT id, arg_min(mesh, (score, mesh)) AS mesh FROM s WHERE score <= 6 GROUP BY id", "obstacles")
+@query("join11_nearest_mesh", "WITH m AS (SELECT s_suppkey AS mesh, s_suppkey * 7 % 1000 + 0.5e0 AS mx, s_suppkey * 11 % 800 + 0.25e0 AS my FROM supplier), s AS (SELECT o.id, m.mesh, sqrt(pow(center_x - mx, 2) + pow(center_y - my, 2)) AS score FROM obstacles o JOIN m ON abs(center_x - mx) <= 6 AND abs(center_y - my) <= 6) SELECT id, arg_min(mesh, (score, mesh)) AS mesh FROM s WHERE score <= 6 GROUP BY id", "obstacles")
 def _(t: Tables) -> DataFrame:
-    o = t.obstacles()
-    m = o.where("id % 3 = 0").select(F.col("id").alias("mesh"), "source", F.col("center_x").alias("mx"), F.col("center_y").alias("my"))
-    score = F.sqrt(F.pow(F.col("center_x") - F.col("mx"), 2) + F.pow(F.col("center_y") - F.col("my"), 2)) / 10
-    s = o.where("id % 3 = 1").join(m, "source").withColumn("score", score).where("score <= 6")
-    return s.groupBy("id").agg(F.min_by("mesh", F.struct("score", "mesh")).alias("mesh"))
+    k = F.col("s_suppkey")
+    m = t.read("supplier").select(k.alias("mesh"), (k * 7 % 1000 + 0.5).alias("x"), (k * 11 % 800 + 0.25).alias("y"))
+    o = t.obstacles().select("id", F.col("center_x").alias("x"), F.col("center_y").alias("y"))
+    return spatial.nearest_within(o, m, "id", "mesh", 6.0).select("id", "mesh")
 
 
-@query("join13_near_suggestions", "SELECT id FROM places a WHERE id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM places b WHERE b.id % 7 = 1 AND abs(a.lat - b.lat) < 0.0005e0 AND abs(a.lon - b.lon) < 0.0007e0)", "places")
+_FOUND = "sg AS (SELECT s_suppkey AS found, 46.4902e0 + (s_suppkey % 130) * 1e-3 AS lat, 6.5403e0 + (s_suppkey * 13 % 260) * 1e-3 AS lon FROM supplier)"
+
+
+def _found(t: Tables) -> DataFrame:
+    """Suggestions of a geocoder, part of them near places."""
+    k = F.col("s_suppkey")
+    return t.read("supplier").select(k.alias("found"), (46.4902 + (k % 130) * 0.001).alias("lat"), (6.5403 + (k * 13 % 260) * 0.001).alias("lon"))
+
+
+@query("join13_near_suggestions", f"WITH {_FOUND} SELECT found FROM sg a WHERE NOT EXISTS (SELECT 1 FROM places b WHERE abs(a.lat - b.lat) < 0.0005e0 AND abs(a.lon - b.lon) < 0.0007e0)", "places")
 def _(t: Tables) -> DataFrame:
-    p = t.places().select("id", "lat", "lon")
-    return spatial.near_duplicates_of(p.where("id % 2 = 0"), p.where("id % 7 = 1"), 0.0005, 0.0007).select("id")
+    return spatial.near_duplicates_of(_found(t), t.places().select("id", "lat", "lon"), 0.0005, 0.0007).select("found")
 
 
-@query("flt14_near_pairs", "SELECT a.id, b.id AS other FROM places a JOIN places b ON b.id % 7 = 1 AND a.id % 2 = 0 AND abs(a.lat - b.lat) < 0.0005e0 AND abs(a.lon - b.lon) < 0.0015e0", "places")
+@query("flt14_near_pairs", f"WITH {_FOUND} SELECT found, id FROM sg a JOIN places b ON abs(a.lat - b.lat) < 0.0005e0 AND abs(a.lon - b.lon) < 0.0007e0", "places")
 def _(t: Tables) -> DataFrame:
-    p = t.places().select("id", "lat", "lon", F.floor(F.col("lat") / 0.0005).alias("cell"))
-    b = p.where("id % 7 = 1").select(F.col("id").alias("other"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.explode(F.array(*(F.col("cell") + k for k in (-1, 0, 1)))).alias("cell"))
-    close = (F.abs(F.col("lat") - F.col("lat2")) < 0.0005) & (F.abs(F.col("lon") - F.col("lon2")) < 0.0015)
-    return p.where("id % 2 = 0").join(b, "cell").where(close).select("id", "other")
+    return spatial.near_pairs(_found(t), t.places().select("id", "lat", "lon"), 0.0005, 0.0007).select("found", "id")
 
 
 @query("join14_exclude_held", "SELECT id FROM places WHERE id NOT IN (SELECT s_suppkey FROM supplier)", "places")
@@ -185,8 +189,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("join22_closest_point", "SELECT probe, arg_min(id, (d, id)) AS id FROM (SELECT probe, id, pow(x - center_x, 2) + pow(y - center_y, 2) AS d FROM probes, obstacles) GROUP BY probe", "probes", "obstacles")
 def _(t: Tables) -> DataFrame:
-    score = F.pow(F.col("x") - F.col("center_x"), 2) + F.pow(F.col("y") - F.col("center_y"), 2)
-    return spatial.nearest(t.probes(), t.obstacles().select("id", "center_x", "center_y"), "probe", score, "id").select("probe", "id")
+    o = t.obstacles().select("id", F.col("center_x").alias("x"), F.col("center_y").alias("y"))
+    return spatial.nearest_point(t.probes().select("probe", "x", "y"), o, "probe", "id").select("probe", "id")
 
 
 @query("join28_nearest_named", "SELECT id, arg_min(region, (d, region)) AS region FROM (SELECT id, region, pow(lat - (min_lat + max_lat) / 2, 2) + pow((lon - (min_lon + max_lon) / 2) * 0.69e0, 2) AS d FROM places, regions_) GROUP BY id", "places", "regions_")
@@ -213,9 +217,10 @@ def _(t: Tables) -> DataFrame:
     return spatial.containing_region(o, t.regions(), "id").where("region is not null")
 
 
-@query("agg28_distance_histogram", """WITH a AS (SELECT id, CAST(floor(center_x / 20) AS BIGINT) AS i, CAST(floor(center_y / 20) AS BIGINT) AS j FROM obstacles WHERE id <= 400), d AS (SELECT a.id, min(greatest(abs(a.i - b.i), abs(a.j - b.j))) AS d FROM a JOIN a b ON b.id % 11 = 0 GROUP BY a.id) SELECT d AS distance, count(*) AS n FROM d GROUP BY d""", "obstacles")
+@query("agg28_distance_histogram", """WITH a AS (SELECT id, CAST(floor(center_x / 20) AS BIGINT) AS i, CAST(floor(center_y / 20) AS BIGINT) AS j FROM obstacles), b AS (SELECT DISTINCT CAST(floor(x / 20) AS BIGINT) AS i, CAST(floor(y / 20) AS BIGINT) AS j FROM probes), d AS (SELECT a.id, min(greatest(abs(a.i - b.i), abs(a.j - b.j))) AS d FROM a, b GROUP BY a.id) SELECT d AS distance, count(*) AS n FROM d GROUP BY d""", "obstacles", "probes")
 def _(t: Tables) -> DataFrame:
-    a = t.obstacles().where("id <= 400").select("id", F.floor(F.col("center_x") / 20).alias("i"), F.floor(F.col("center_y") / 20).alias("j"))
-    b = a.where("id % 11 = 0").select(F.col("id").alias("other"), F.col("i").alias("i2"), F.col("j").alias("j2"))
-    score = F.greatest(F.abs(F.col("i") - F.col("i2")), F.abs(F.col("j") - F.col("j2")))
-    return spatial.nearest(a, b, "id", score, "other").groupBy(F.col("score").alias("distance")).agg(F.count("*").alias("n"))
+    cell = lambda c: F.floor(F.col(c) / 20).cast("double")
+    a = t.obstacles().select("id", cell("center_x").alias("x"), cell("center_y").alias("y"))
+    b = t.probes().select("probe", cell("x").alias("x"), cell("y").alias("y"))
+    near = spatial.nearest_point(a, b, "id", "probe", size=2.0, chebyshev=True)
+    return near.groupBy(F.col("distance").cast("bigint").alias("distance")).agg(F.count("*").alias("n"))

@@ -12,9 +12,9 @@ from ..sources.tables import Tables
 from .registry import query
 
 
-@query("str01_folded", "SELECT doc_id, strip_accents(lower(left(text, 40))) AS folded FROM documents WHERE lang IN ('fr', 'es')")
+@query("str01_folded", "SELECT doc_id, strip_accents(lower(text)) AS folded FROM documents")
 def _(t: Tables) -> DataFrame:
-    return t.read("documents").where(F.col("lang").isin("fr", "es")).select("doc_id", text.folded(F.substring("text", 1, 40)).alias("folded"))
+    return t.read("documents").select("doc_id", text.folded("text").alias("folded"))
 
 
 @query("str04_clock", "SELECT event_id, strftime(ts, '%H:%M') AS clock FROM events")
@@ -104,9 +104,17 @@ def _(t: Tables) -> DataFrame:
     return logs.phases(t.events().select(F.col("event_id").alias("line_no"), line.alias("line"))).where("phase = 'click'").select("line_no", "ms")
 
 
-@query("join30_log_correlation", """WITH l AS (SELECT event_id AS line_no, CASE WHEN event_type = 'click' THEN 'ipc' WHEN event_type = 'view' THEN 'tile' END AS kind, event_id AS v FROM events), g AS (SELECT *, count(*) FILTER (WHERE kind = 'tile') OVER (ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS grp FROM l WHERE kind IS NOT NULL)
-  SELECT max(line_no) FILTER (WHERE kind = 'tile') AS tile_line, max(line_no) FILTER (WHERE kind = 'ipc') AS ipc_line FROM g GROUP BY grp HAVING count(*) FILTER (WHERE kind = 'tile') > 0""")
+_LOG = "l AS (SELECT user_id AS log, ts, event_id AS line_no, CASE event_type WHEN 'click' THEN 'ipc' WHEN 'view' THEN 'tile' WHEN 'purchase' THEN 'merge' WHEN 'signup' THEN 'write' END AS kind FROM events)"
+_GROUPS = "g AS (SELECT *, count(*) FILTER (WHERE kind = 'tile') OVER (PARTITION BY log ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_, count(*) FILTER (WHERE kind = 'tile') OVER (PARTITION BY log ORDER BY line_no) AS upto FROM l WHERE kind IS NOT NULL)"
+
+
+@query("join30_log_correlation", f"""WITH {_LOG}, {_GROUPS}, a AS (SELECT log, before_ AS k, max(line_no) FILTER (WHERE kind = 'tile') AS tile_line, max(line_no) FILTER (WHERE kind = 'ipc') AS ipc_line FROM g GROUP BY 1, 2 HAVING count(*) FILTER (WHERE kind = 'tile') > 0),
+  b AS (SELECT log, upto - 1 AS k, min(line_no) FILTER (WHERE kind = 'merge') AS merge_line, min(line_no) FILTER (WHERE kind = 'write') AS write_line FROM g GROUP BY 1, 2)
+  SELECT log, tile_line, ipc_line, merge_line, write_line FROM a LEFT JOIN b USING (log, k)""")
 def _(t: Tables) -> DataFrame:
-    kind = F.when(F.col("event_type") == "click", "ipc").when(F.col("event_type") == "view", "tile")
-    lines = t.events().select(F.lit(0).alias("log"), F.col("event_id").alias("line_no"), kind.alias("kind")).where("kind is not null")
-    return logs.tiles_with_calls(lines).select("tile_line", "ipc_line")
+    kinds = {"click": "ipc", "view": "tile", "purchase": "merge", "signup": "write"}
+    kind = F.lit(None).cast("string")
+    for event, k in kinds.items():
+        kind = F.when(F.col("event_type") == event, k).otherwise(kind)
+    lines = t.events().select(F.col("user_id").alias("log"), F.col("event_id").alias("line_no"), kind.alias("kind")).where("kind is not null")
+    return logs.tiles_with_calls(lines)

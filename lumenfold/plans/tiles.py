@@ -190,9 +190,9 @@ def _(t: Tables) -> DataFrame:
     return t.events().select("event_id", (F.floor((F.hour("ts") * 60 + F.minute("ts")) / 15) * 15).cast("int").alias("slot"))
 
 
-@query("mth18_next_weekends", "SELECT run, day + CAST((5 - dayofweek(day) + 7) % 7 AS INTEGER) + CAST(w * 7 + k AS INTEGER) AS day2, CAST(w AS INTEGER) AS weekend FROM runs, range(2) a(w), range(3) b(k) WHERE run % 50 = 7", "runs")
+@query("mth18_next_weekends", "SELECT run, day + CAST((5 - dayofweek(day) + 7) % 7 AS INTEGER) + CAST(w * 7 + k AS INTEGER) AS day2, CAST(w AS INTEGER) AS weekend FROM runs, range(2) a(w), range(3) b(k)", "runs")
 def _(t: Tables) -> DataFrame:
-    r = t.runs().where("run % 50 = 7")
+    r = t.runs()
     friday = F.date_add("day", F.pmod(6 - F.dayofweek("day"), F.lit(7)))
     each = r.select("run", friday.alias("f"), F.explode(F.sequence(F.lit(0), F.lit(1))).alias("weekend")).select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
     return each.select("run", F.date_add("f", F.col("weekend") * 7 + F.col("k")).alias("day2"), "weekend")
@@ -219,8 +219,8 @@ def _(t: Tables) -> DataFrame:
     return px.groupBy("tile", "px", "py").agg(F.count("*").alias("n"), (2 * F.count_if("sunny") >= F.count("*")).alias("box"), F.bool_or(~F.col("sunny")).alias("any_shadow"))
 
 
-@query("win12_dense_rows", "SELECT id, CAST(dense_rank() OVER (ORDER BY floor(min_y)) - 1 AS INTEGER) AS row FROM obstacles WHERE id <= 300", "obstacles")
+@query("win12_dense_rows", "SELECT id, CAST(dense_rank() OVER (ORDER BY floor(min_y)) - 1 AS INTEGER) AS row FROM obstacles", "obstacles")
 def _(t: Tables) -> DataFrame:
-    o = t.obstacles().where("id <= 300")
+    o = t.obstacles()  # the distinct rows of a grid are few, and only they are numbered in one task
     rows = o.select(F.floor("min_y").alias("y")).distinct().withColumn("row", F.row_number().over(Window.orderBy("y")) - 1)
     return o.withColumn("y", F.floor("min_y")).join(rows, "y").select("id", "row")
