@@ -38,8 +38,8 @@ COUNTED = 1 << 16
 #: Shares are smoothed by as many words as UNSEEN, so that few words tell nothing.
 COMMON, MOST_HALVINGS, UNSEEN = 2.0**-15, 6, 1 << 20
 #: Samples of a line are also kept as four bits each. Lines are compared if as many are equal as ALIKE: at the threshold
-#: two in three of the 48 are by chance, of lines that share only a band and common words 7.
-SKETCH_WORDS, ALIKE = BANDS * SAMPLES // 16, 12
+#: 33 of the 48 are on average (fewer than 20 with a chance of 2e-5), of lines that share only a band and common words 10.
+SKETCH_WORDS, ALIKE = BANDS * SAMPLES // 16, 20
 #: Lines of fewer words stay wherever they stand: they repeat by chance. A default.
 MIN_WORDS = 5
 PERCENT = 80
@@ -333,7 +333,8 @@ def duplicate_lines(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, m
         """The lengths allow the similarity, and the sketches do not speak against it."""
         return (100 * F.least(x("words"), y("words")) >= percent * F.greatest(x("words"), y("words"))) & (equal_samples(x, y) >= ALIKE)
 
-    edges = link_buckets(scratch, keys, verified, lines.select(F.col("h1").alias("id"), "words", *_SKETCH), fits)
+    carried = lines.select(F.col("h1").alias("id"), "words", *_SKETCH)
+    edges = link_buckets(scratch, keys, verified, carried, fits, lambda x, y: F.lit(BANDS * SAMPLES) - equal_samples(x, y))
     comp = scratch.save(connected_components(scratch, edges), "components")
     near = scratch.save(lines.select("h1", "h2", "at", "n").join(comp.withColumnRenamed("id", "h1"), "h1"), "near")
     first = scratch.save(near.groupBy("component").agg(F.min("at").alias("first"), F.count("*").alias("n")), "first")
