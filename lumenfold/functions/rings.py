@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numbers import D, col
+from .numbers import D, bound, col
 
 
 def edges(ring: D) -> Column:
@@ -17,7 +17,7 @@ def edges(ring: D) -> Column:
 
 def area(ring: D) -> Column:
     """Unsigned area by the shoelace formula."""
-    return F.abs(F.aggregate(edges(ring), F.lit(0.0), lambda s, e: s + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])) / 2
+    return bound(col(ring), lambda r: F.abs(F.aggregate(edges(r), F.lit(0.0), lambda s, e: s + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])) / 2)
 
 
 def contains(ring: D, x: D, y: D) -> Column:
@@ -85,7 +85,7 @@ def ray_to_triangle(o: tuple, d: tuple, a: tuple, b: tuple, c: tuple) -> Column:
     s = minus(o, a)
     q = cross(s, ab)
     u, v, t = dot(s, h) / det, dot(d, q) / det, dot(ac, q) / det
-    return F.when((F.abs(det) > 1e-9) & (u >= 0) & (u <= 1) & (v >= 0) & (u + v <= 1) & (t > 1e-6), t)
+    return F.when((F.abs(det) > 1e-9) & (u >= 0) & (u <= 1) & (v >= 0) & (u + v <= 1) & (t > 1e-9), t)
 
 
 def without_repeats(ring: D, apart: float = 1e-6) -> Column:
@@ -109,3 +109,95 @@ def without_collinear(ring: D) -> Column:
         return F.abs((p["x"] - before["x"]) * (after["y"] - p["y"]) - (p["y"] - before["y"]) * (after["x"] - p["x"])) > 1e-12
 
     return F.filter(r, kept)
+
+
+def _turn(a: Column, b: Column, c: Column) -> Column:
+    """Positive where a, b, c turn left."""
+    return (b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"])
+
+
+def hull(points: D) -> Column:
+    """The convex hull of array<struct<x, y>>, anticlockwise from the lowest (x, y), without points on its edges.
+
+    Two monotone chains over the sorted distinct points. A chain is convex, so the last place from
+    which the next point turns left is where it is continued.
+    """
+
+    def chain(p: Column) -> Column:
+        def add(stack: Column, q: Column) -> Column:
+            left = F.filter(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(stack))), lambda k: (F.size(stack) >= 2) & (_turn(F.get(stack, k - 2), F.get(stack, k - 1), q) > 0))
+            return F.concat(F.slice(stack, 1, F.coalesce(F.array_max(left), F.least(F.lit(1), F.size(stack)))), F.array(q))
+
+        return F.aggregate(p, F.slice(p, 1, 0), add)
+
+    def both(p: Column) -> Column:
+        half = lambda q: bound(chain(q), lambda c: F.slice(c, 1, F.size(c) - 1))
+        return F.when(F.size(p) < 3, p).otherwise(F.concat(half(p), half(F.reverse(p))))
+
+    return bound(F.array_sort(F.array_distinct(col(points))), both)
+
+
+def is_simple(ring: D) -> Column:
+    """Whether no two edges of the closed ring that are not neighbours cross or touch."""
+
+    def cross(e: Column, f: Column) -> Column:
+        a, b = _turn(e["a"], e["b"], f["a"]), _turn(e["a"], e["b"], f["b"])
+        c, d = _turn(f["a"], f["b"], e["a"]), _turn(f["a"], f["b"], e["b"])
+        apart = (F.greatest(e["a"]["x"], e["b"]["x"]) < F.least(f["a"]["x"], f["b"]["x"])) | (F.greatest(f["a"]["x"], f["b"]["x"]) < F.least(e["a"]["x"], e["b"]["x"]))
+        apart = apart | (F.greatest(e["a"]["y"], e["b"]["y"]) < F.least(f["a"]["y"], f["b"]["y"])) | (F.greatest(f["a"]["y"], f["b"]["y"]) < F.least(e["a"]["y"], e["b"]["y"]))
+        return ~apart & (F.signum(a) * F.signum(b) <= 0) & (F.signum(c) * F.signum(d) <= 0)
+
+    def none_meet(es: Column) -> Column:
+        n = F.size(es)
+        pairs = F.transform(es, lambda e, i: F.exists(F.filter(es, lambda f, j: (j > i + 1) & ~((i == 0) & (j == n - 1))), lambda f: cross(e, f)))
+        return ~F.exists(pairs, lambda x: x)
+
+    return bound(edges(ring), none_meet)
+
+
+def clip(ring: D, min_x: D, min_y: D, max_x: D, max_y: D) -> Column:
+    """The part of a ring within an upright box (Sutherland and Hodgman 1974): the area is right for every simple ring."""
+
+    none = F.array().cast("array<struct<x:double,y:double>>")
+
+    def half(r: Column, axis: str, limit: Column, sign: int) -> Column:
+        other = "y" if axis == "x" else "x"
+        inside = lambda p: p[axis] * sign <= limit * sign
+
+        def part(e: Column) -> Column:
+            a, b = e["a"], e["b"]
+            at = a[other] + (b[other] - a[other]) * (limit - a[axis]) / (b[axis] - a[axis])
+            met = {axis: limit.cast("double"), other: at}
+            point = F.struct(met["x"].alias("x"), met["y"].alias("y"))
+            return F.concat(F.when(inside(a) != inside(b), F.array(point)).otherwise(none), F.when(inside(b), F.array(b)).otherwise(none))
+
+        return bound(r, lambda q: F.flatten(F.transform(edges(q), part)))
+
+    out = F.transform(ring, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    for axis, limit, sign in (("x", col(max_x), 1), ("x", col(min_x), -1), ("y", col(max_y), 1), ("y", col(min_y), -1)):
+        out = half(out, axis, limit, sign)
+    return out
+
+
+def extruded(ring: D, low: D, high: D) -> Column:
+    """array<struct<part, a, b, c>> of a prism's triangles, points as struct<x, y, z>: the roof as a fan, the floor
+    the other way round, and two for each wall."""
+    z0, z1 = col(low), col(high)
+    up = lambda p, z: F.struct(p["x"].alias("x"), p["y"].alias("y"), z.cast("double").alias("z"))
+
+    def made(r: Column) -> Column:
+        tri = lambda part, a, b, c: F.struct(F.lit(part).alias("part"), a.alias("a"), b.alias("b"), c.alias("c"))
+        steps = F.sequence(F.lit(1), F.size(r) - 2)
+        p = lambda k, z: up(F.get(r, k), z)
+        roof = F.transform(steps, lambda k: tri("roof", p(F.lit(0), z1), p(k, z1), p(k + 1, z1)))
+        floor = F.transform(steps, lambda k: tri("floor", p(F.lit(0), z0), p(k + 1, z0), p(k, z0)))
+        walls = F.flatten(F.transform(edges(r), lambda e: F.array(tri("wall", up(e["a"], z0), up(e["b"], z0), up(e["b"], z1)), tri("wall", up(e["a"], z0), up(e["b"], z1), up(e["a"], z1)))))
+        return F.concat(roof, floor, walls)
+
+    return F.when(F.size(col(ring)) >= 3, bound(col(ring), made))
+
+
+def triangle_area(t: Column) -> Column:
+    u, v = ({k: t[p][k] - t["a"][k] for k in "xyz"} for p in "bc")
+    n = [u["y"] * v["z"] - u["z"] * v["y"], u["z"] * v["x"] - u["x"] * v["z"], u["x"] * v["y"] - u["y"] * v["x"]]
+    return F.sqrt(n[0] * n[0] + n[1] * n[1] + n[2] * n[2]) / 2

@@ -18,6 +18,12 @@ def large_enough(width: str, depth: str, height: str, side: float = 1.0, base: f
     return (w >= side) & (d >= side) & (F.col(height) >= side) & (w * d >= base)
 
 
+def without_elevation(points: DataFrame, key: str, outdoor: str, elevation: str) -> DataFrame:
+    """Keys that have outdoor points, none of which has an elevation: nothing can be computed for them."""
+    seen = points.groupBy(key).agg(F.count_if(F.col(outdoor)).alias("__n"), F.count_if(F.col(outdoor) & F.col(elevation).isNotNull()).alias("__known"))
+    return seen.where("__n > 0 AND __known = 0").select(key, F.col("__n").alias("points"))
+
+
 def dense_index(points: DataFrame, key: str, index: str) -> DataFrame:
     """key, n, top, distinct, ok: whether each key's index runs from 0 without gaps or repeats."""
     out = points.groupBy(key).agg(F.count("*").alias("n"), F.max(index).alias("top"), F.countDistinct(index).alias("distinct"))
@@ -42,11 +48,11 @@ def merged_manifest(old: DataFrame, new: DataFrame, keys: list[str], ids: str, f
 
 
 def outline_edges(tiles: DataFrame) -> DataFrame:
-    """tiles (i, j) to the unit edges on their outline: those that belong to one tile only. x1, y1, x2, y2."""
+    """tiles (i, j) to the unit edges on their outline: those that belong to one tile only. x1, y1, x2, y2 and the tile."""
     side = lambda a, b, c, d: F.struct((F.col("i") + a).alias("x1"), (F.col("j") + b).alias("y1"), (F.col("i") + c).alias("x2"), (F.col("j") + d).alias("y2"))
     sides = F.array(side(0, 0, 1, 0), side(0, 1, 1, 1), side(0, 0, 0, 1), side(1, 0, 1, 1))
-    edges = tiles.select("i", "j").distinct().select(F.explode(sides).alias("e")).select("e.*")
-    return edges.groupBy("x1", "y1", "x2", "y2").agg(F.count("*").alias("n")).where("n = 1").drop("n")
+    edges = tiles.select("i", "j").distinct().select("i", "j", F.explode(sides).alias("e")).select("i", "j", "e.*")
+    return edges.groupBy("x1", "y1", "x2", "y2").agg(F.count("*").alias("n"), F.min("i").alias("i"), F.min("j").alias("j")).where("n = 1").drop("n")
 
 
 def components(tiles: DataFrame) -> DataFrame:

@@ -147,6 +147,19 @@ def nearest(left: DataFrame, right: DataFrame, key: str, score: Column, tie: str
     return pairs.groupBy(key).agg(F.min(F.struct(F.col("__s").alias("score"), F.col(tie).alias(tie))).alias("b")).select(key, F.col(f"b.{tie}").alias(tie), F.col("b.score").alias("score"))
 
 
+def polygons_in_tiles(polygons: DataFrame, size: float = 250.0, ring: str = "ring") -> DataFrame:
+    """polygons once for each tile (tile_e, tile_n) that they share an area with, and that area.
+
+    The tiles that a polygon's box meets are enumerated, so nothing is joined; each is clipped.
+    """
+    lo = lambda a: F.floor(F.array_min(F.transform(ring, lambda p: p[a])) / size)
+    hi = lambda a: F.floor(F.array_max(F.transform(ring, lambda p: p[a])) / size)
+    out = polygons.where(F.size(ring) >= 3).withColumn("tile_e", F.explode(F.sequence(lo("x"), hi("x")))).withColumn("tile_n", F.explode(F.sequence(lo("y"), hi("y"))))
+    out = out.withColumn("tile_e", F.col("tile_e") * size).withColumn("tile_n", F.col("tile_n") * size)
+    part = rings.clip(ring, "tile_e", "tile_n", F.col("tile_e") + size, F.col("tile_n") + size)
+    return out.withColumn("shared", rings.area(part)).where("shared > 1e-9")
+
+
 def tiles_of_points(points: DataFrame, size: int = 250) -> DataFrame:
     """points (e, n) with tile_e, tile_n: the corner of the tile that holds each, by arithmetic alone."""
     return points.withColumn("tile_e", F.floor(F.col("e") / size) * size).withColumn("tile_n", F.floor(F.col("n") / size) * size)

@@ -94,6 +94,52 @@ def _(t: Tables) -> DataFrame:
     return _ring(t).select("id", rings.area("ring").alias("area"))
 
 
+@query("mth09_convex_hull", "SELECT id, CAST(CASE WHEN id % 2 = 0 THEN 5 ELSE 4 END AS INTEGER) AS corners, (max_x - min_x) * (max_y - min_y) + CASE WHEN id % 2 = 0 THEN max_x - min_x ELSE 0 END AS area, id % 2 = 0 AS simple FROM obstacles", "obstacles")
+def _(t: Tables) -> DataFrame:
+    """Hulls of scattered points of a house (of a box for odd ids), and whether a ring is simple: odd ids cross their walls."""
+    pt = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    cx, cy = F.col("center_x"), F.col("center_y")
+    inner = F.transform(F.sequence(F.lit(0), (F.col("id") % 7).cast("int")), lambda k: pt(cx + (k - 3) * 0.2, cy + (k * k % 5 - 2) * 0.3))
+    even = F.col("id") % 2 == 0
+    box = F.array(*(pt(F.col(x), F.col(y)) for x, y in (("min_x", "min_y"), ("max_x", "max_y"), ("max_x", "min_y"), ("min_x", "max_y"))))
+    points = F.concat(inner, box, F.when(even, F.slice("ring", 4, 1)).otherwise(F.slice("ring", 1, 1)))
+    out = _ring(t).select("id", rings.hull(points).alias("h"), F.when(even, rings.is_simple("ring")).otherwise(rings.is_simple(box)).alias("simple"))
+    return out.select("id", F.size("h").alias("corners"), rings.area("h").alias("area"), "simple")
+
+
+@query("join23_polygon_tiles", """WITH r AS (SELECT *, max_x + 3e0 AS tip, (min_y + max_y) / 2 AS mid FROM obstacles) SELECT id, CAST(count(*) AS BIGINT) AS tiles, floor(sum(a) * 1e6 + 0.5) / 1e6 AS area FROM (SELECT id, te, tn, (least(max_x, te + 16) - greatest(min_x, te)) * (least(max_y, tn + 16) - greatest(min_y, tn)) AS a FROM r, range(-2, 80) x(i), range(-2, 60) y(j), (SELECT 1), LATERAL (SELECT i * 16e0 AS te, j * 16e0 AS tn) q
+  WHERE te < max_x AND te + 16 > min_x AND tn < max_y AND tn + 16 > min_y) GROUP BY id""", "obstacles")
+def _(t: Tables) -> DataFrame:
+    from ..operators.spatial import polygons_in_tiles
+
+    o = t.obstacles().select("id", F.array(*(F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("min_x", "min_y"), ("max_x", "min_y"), ("max_x", "max_y"), ("min_x", "max_y")))).alias("ring"))
+    return polygons_in_tiles(o, 16.0).groupBy("id").agg(F.count("*").alias("tiles"), half_up(F.sum("shared"), 6).alias("area"))
+
+
+@query("arr09_stitched_rings", "SELECT id, CAST(4 + id % 5 AS INTEGER) AS n, true AS closed FROM obstacles", "obstacles")
+def _(t: Tables) -> DataFrame:
+    """Rings of 4 to 8 corners, cut into ways of one or two edges, every other one turned round, joined again."""
+    from ..operators.contours import stitched
+
+    n, k = (4 + F.col("id") % 5).cast("int"), F.col("id")
+    corner = lambda i: F.struct((F.col("center_x") + F.cos(i * 6.283185307179586 / n)).alias("x"), (F.col("center_y") + F.sin(i * 6.283185307179586 / n)).alias("y"))
+    way = lambda i: F.transform(F.sequence(i, F.least(i + 2, n)), lambda q: corner(q % n))
+    ways = F.transform(F.sequence(F.lit(0), n - 1, F.lit(2)), lambda i: F.struct(F.xxhash64(i, k).alias("ord"), F.when((i + k) % 4 < 2, way(i)).otherwise(F.reverse(way(i))).alias("points")))
+    lines = t.obstacles().select("id", F.explode(ways).alias("w")).select("id", "w.ord", "w.points")
+    return stitched(lines, "id").select("id", F.size("points").alias("n"), "closed")
+
+
+@query("arr10_isolines", "WITH c AS (SELECT p_partkey % 61 AS i, p_partkey // 61 AS j, CASE WHEN p_size % 7 > 2 THEN 1 ELSE 0 END AS v FROM part), q AS (SELECT a.i, a.j, a.v + b.v + c2.v + d.v AS s, a.v = c2.v AND b.v = d.v AND a.v <> b.v AS saddle FROM c a JOIN c b ON b.i = a.i + 1 AND b.j = a.j JOIN c c2 ON c2.i = a.i + 1 AND c2.j = a.j + 1 JOIN c d ON d.i = a.i AND d.j = a.j + 1) SELECT i, j, CAST(CASE WHEN saddle THEN 2 ELSE 1 END AS BIGINT) AS lines, CASE WHEN saddle THEN sqrt(0.5e0) * 2 WHEN s = 2 THEN 1e0 ELSE sqrt(0.5e0) END AS length FROM q WHERE s BETWEEN 1 AND 3")
+def _(t: Tables) -> DataFrame:
+    from ..operators.contours import isolines
+
+    k = F.col("p_partkey")
+    cells = t.read("part").select((k % 61).alias("i"), F.floor(k / 61).alias("j"), (F.col("p_size") % 7 > 2).cast("double").alias("value"))
+    a, b = F.col("points")[0], F.col("points")[1]
+    length = F.sqrt(F.pow(b["x"] - a["x"], 2) + F.pow(b["y"] - a["y"], 2))
+    return isolines(cells).groupBy("i", "j").agg(F.count("*").alias("lines"), F.sum(length).alias("length"))
+
+
 @query("flt12_point_in_ring", "SELECT o.id, p.probe FROM obstacles o JOIN probes p ON p.x > min_x AND p.x < max_x AND p.y > min_y AND p.y < max_y + 2 - abs(p.x - center_x) * 2 / (max_x - center_x)", "obstacles", "probes")
 def _(t: Tables) -> DataFrame:
     from ..operators.spatial import small

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up
-from ..operators import checks, windows
+from ..operators import checks, contours, windows
 from ..sources.tables import Tables
 from .registry import query
 
@@ -196,7 +196,23 @@ def _cells(t: Tables) -> DataFrame:
 
 @query("set06_outline_edges", f"WITH {_CELLS}, e AS (SELECT i AS x1, j AS y1, i + 1 AS x2, j AS y2 FROM ce UNION ALL SELECT i, j + 1, i + 1, j + 1 FROM ce UNION ALL SELECT i, j, i, j + 1 FROM ce UNION ALL SELECT i + 1, j, i + 1, j + 1 FROM ce) SELECT x1, y1, x2, y2 FROM e GROUP BY ALL HAVING count(*) = 1")
 def _(t: Tables) -> DataFrame:
-    return checks.outline_edges(_cells(t))
+    return checks.outline_edges(_cells(t)).select("x1", "y1", "x2", "y2")
+
+
+@query("set06_outline_rings", f"""WITH RECURSIVE {_CELLS}, r(i, j, ci, cj) AS (SELECT i, j, i, j FROM ce UNION SELECT ce.i, ce.j, r.ci, r.cj FROM r JOIN ce ON abs(ce.i - r.i) + abs(ce.j - r.j) = 1), k AS (SELECT i, j, min((ci, cj))[1] AS ci, min((ci, cj))[2] AS cj FROM r GROUP BY i, j),
+  n AS (SELECT a.i, a.j, count(b.i) AS n FROM ce a LEFT JOIN ce b ON abs(a.i - b.i) + abs(a.j - b.j) = 1 GROUP BY a.i, a.j) SELECT CAST(ci AS BIGINT) AS ci, CAST(cj AS BIGINT) AS cj, CAST(sum(4 - n) AS BIGINT) AS edges FROM k JOIN n USING (i, j) GROUP BY ci, cj""")
+def _(t: Tables) -> DataFrame:
+    """Every component's outline walked into closed rings; the rings' edges add up to the component's free sides."""
+    comp = checks.components(_cells(t)).select("i", "j", F.concat_ws(" ", "component.i", "component.j").alias("component"))
+    rings_ = contours.outline_rings(checks.outline_edges(_cells(t)), comp)
+    name = lambda k: F.split("component", " ")[k].cast("bigint")
+    return rings_.groupBy("component").agg(F.sum(F.when(F.col("closed"), F.size("points"))).alias("edges")).select(name(0).alias("ci"), name(1).alias("cj"), "edges")
+
+
+@query("dq05_no_elevation", "SELECT p_brand AS tile, count(*) AS points FROM part WHERE p_size % 5 > 0 GROUP BY p_brand HAVING count(*) FILTER (WHERE p_size > 45) = 0")
+def _(t: Tables) -> DataFrame:
+    p = t.read("part").select(F.col("p_brand").alias("tile"), (F.col("p_size") % 5 > 0).alias("outdoor"), F.when(F.col("p_size") > 45, F.col("p_retailprice")).alias("z"))
+    return checks.without_elevation(p, "tile", "outdoor", "z")
 
 
 @query("set09_components", f"""WITH RECURSIVE {_CELLS}, r(i, j, ci, cj) AS (SELECT i, j, i, j FROM ce UNION SELECT ce.i, ce.j, r.ci, r.cj FROM r JOIN ce ON abs(ce.i - r.i) + abs(ce.j - r.j) = 1) SELECT i, j, min((ci, cj))[1] AS ci, min((ci, cj))[2] AS cj FROM r GROUP BY i, j""")

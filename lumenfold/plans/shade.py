@@ -128,12 +128,12 @@ def _(t: Tables) -> DataFrame:
     return t.events().select("event_id", clamp(F.col("value") * 5 - 25, -20.0, 20.0).alias("bias"))
 
 
-@query("shd22_wall_triangles", "SELECT o.id, CAST(e AS INTEGER) AS edge, CAST(k AS INTEGER) AS part, floor((CASE e % 2 WHEN 0 THEN max_x - min_x ELSE max_y - min_y END) * max_z / 2 * 1e6 + 0.5) / 1e6 AS area FROM obstacles o, range(4) a(e), range(2) b(k)", "obstacles")
+@query("shd22_wall_triangles", """WITH p AS (SELECT id, max_x - min_x AS w, max_y - min_y AS d, max_z AS h FROM obstacles) SELECT id, 'floor' AS part, CAST(2 AS BIGINT) AS n, floor(w * d * 1e6 + 0.5) / 1e6 AS area, 0e0 AS top FROM p UNION ALL SELECT id, 'roof', 2, floor(w * d * 1e6 + 0.5) / 1e6, h FROM p UNION ALL SELECT id, 'wall', 8, floor(2 * (w + d) * h * 1e6 + 0.5) / 1e6, h FROM p""", "obstacles")
 def _(t: Tables) -> DataFrame:
     from ..functions import rings
 
     pt = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    o = t.obstacles().withColumn("ring", F.array(pt("min_x", "min_y"), pt("max_x", "min_y"), pt("max_x", "max_y"), pt("min_x", "max_y")))
-    walls = o.select("id", "max_z", F.posexplode(rings.edges("ring")).alias("edge", "e")).withColumn("part", F.explode(F.array(F.lit(0), F.lit(1))))
-    length = F.sqrt(F.pow(F.col("e.b.x") - F.col("e.a.x"), 2) + F.pow(F.col("e.b.y") - F.col("e.a.y"), 2))
-    return walls.select("id", "edge", "part", half_up(length * F.col("max_z") / 2, 6).alias("area"))
+    ring = F.array(pt("min_x", "min_y"), pt("max_x", "min_y"), pt("max_x", "max_y"), pt("min_x", "max_y"))
+    o = t.obstacles().select("id", F.explode(rings.extruded(ring, "min_z", "max_z")).alias("t"))
+    top = F.greatest("t.a.z", "t.b.z", "t.c.z")
+    return o.groupBy("id", "t.part").agg(F.count("*").alias("n"), half_up(F.sum(rings.triangle_area(F.col("t"))), 6).alias("area"), F.max(top).alias("top"))
