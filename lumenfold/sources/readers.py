@@ -18,10 +18,10 @@ SELECTION = "region string, tile_id string, score double, `group` string"
 def places(spark: SparkSession, folder: str, region: str | None = None) -> DataFrame:
     """Places of all ``*-places.json`` files of a folder, one row for each id: the last file by name wins.
 
-    A file called ``all-places.json`` is the others' union and is passed over.
+    A file (or a folder of part files) called ``all-places.json`` is the others' union and is passed over.
     """
     files = spark.read.schema(PLACES_FILE).option("multiLine", True).json(f"{folder}/*-places.json").withColumn("__file", F.input_file_name())
-    rows = files.where(~F.col("__file").endswith("/all-places.json")).select("__file", F.explode("places").alias("p"))
+    rows = files.where(~F.col("__file").contains("/all-places.json")).select("__file", F.explode("places").alias("p"))
     if region:
         rows = rows.where(F.col("p.region") == region)
     return rows.groupBy("p.id").agg(F.max_by("p", "__file").alias("p")).select("p.*")
@@ -41,8 +41,14 @@ def extract_query(south: float, west: float, north: float, east: float, amenitie
     return f'[out:json][timeout:{seconds}];(nwr["amenity"~"^({kinds})$"]{box};nwr["leisure"="park"]{box};);out center tags;'
 
 
+def unreadable_manifests(spark: SparkSession, folder: str) -> DataFrame:
+    """file, bytes of the manifests that manifests() cannot read: broken JSON, or no region."""
+    rows = spark.read.schema(f"{MANIFEST}, _broken string").option("recursiveFileLookup", True).option("multiLine", True).option("columnNameOfCorruptRecord", "_broken").json(folder)
+    return rows.select(F.input_file_name().alias("file"), "region", "_broken").where("region is null or _broken is not null").select("file", F.octet_length("_broken").alias("bytes"))
+
+
 def manifests(spark: SparkSession, folder: str, region: str | None = None, hash_: str | None = None, first: str | None = None, last: str | None = None) -> DataFrame:
-    """Run manifests below a folder, by region, hash and dates (inclusive, either end open). Unreadable files are left out."""
+    """Run manifests below a folder, by region, hash and dates (inclusive, either end open). Unreadable files are left out; unreadable_manifests() names them."""
     out = spark.read.schema(MANIFEST).option("recursiveFileLookup", True).option("multiLine", True).option("mode", "DROPMALFORMED").json(folder).where("region is not null")
     for column, value in (("region", region), ("hash", hash_)):
         if value is not None:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.sinks import delete
+
 
 def event_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 4) -> DataFrame:
     """A stream of the Parquet files in a folder, so many for each micro-batch, ts as an instant."""
@@ -75,11 +77,18 @@ def run_to(stream: DataFrame, name: str, checkpoint: str, mode: str = "append")
     return q
 
 
+def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Work off all that is there into Parquet files of the shared file system, and stop. A batch is written once."""
+    q = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
 def accumulate(stream: DataFrame, path: str, checkpoint: str, keys: list[str], value: str) -> StreamingQuery:
     """Fold a stream into a Parquet table of sums by key, once for each micro-batch.
 
     The table is written anew beside the old one, under the batch's number, so a
-    batch that is repeated after a failure gives the same table.
+    batch that is repeated after a failure gives the same table. Tables before the last two go.
     """
     def fold(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -87,6 +96,8 @@ def accumulate(stream: DataFrame, path: str, checkpoint: str, keys: list[str], v
         if number:
             sums = spark.read.parquet(f"{path}/batch={number - 1}").select(*keys, value).unionByName(sums).groupBy(*keys).agg(F.sum(value).alias(value))
         sums.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if number > 1:
+            delete(spark, f"{path}/batch={number - 2}")
 
     q = stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
