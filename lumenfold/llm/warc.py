@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import BROADCAST_IDS, HEAVY_SHARE, Scratch, prepare
 
 VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads of fewer bytes are always stored.
 REVISIT_BYTES = 1000
-#: Records in one archive file at most.
-FILE_RECORDS = 400
+#: Records in one archive file at most, and bytes of their pages: a file is read whole by one task.
+FILE_RECORDS, FILE_BYTES = 400, 256 << 20
 #: Bytes that are inflated at a time.
 CHUNK = 1 << 16
 
@@ -182,24 +182,32 @@ def revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     """
     pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     keyed = pages.withColumn("__sha1", F.sha1("html")).withColumn("__n", F.octet_length("html"))
-    first = (
-        keyed.where(F.col("__n") >= least).groupBy("__sha1", "__n").agg(F.max("page_id").alias("__first"), F.count("*").alias("__k")).where("__k > 1")
-        .select("__sha1", "__n", "__first")
-    )
-    return keyed.join(first, ["__sha1", "__n"], "left").select(
-        "page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("__first")), F.col("__first")).alias("refers_to")
-    )
-
-
-def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", file_records: int = FILE_RECORDS) -> None:
+    first = keyed.where(F.col("__n") >= least).groupBy("__sha1", "__n").agg(F.max("page_id").alias("__first"), F.count("*").alias("__k"))
+    first = Scratch(pages.sparkSession, "revisits").save(first.where("__k > 1"), "first")
+    on = ["__sha1", "__n"]
+    if first.count() <= BROADCAST_IDS:
+        out = keyed.join(F.broadcast(first), on, "left")
+    else:  # payloads of many copies meet their page by broadcast; the others are few rows each
+        most = (first.agg(F.sum("__k")).first()[0] or 0) // HEAVY_SHARE
+        out = keyed.join(F.broadcast(first.where(F.col("__k") > most)), on, "left")
+        rest = out.where("__k is null").drop("__first", "__k").join(first.where(F.col("__k") <= most), on, "left")
+        out = out.where("__k is not null").unionByName(rest)
+    return out.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("__first")), F.col("__first")).alias("refers_to"))
+
+
+def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", file_records: int = FILE_RECORDS, file_bytes: int = FILE_BYTES) -> None:
     """Write pages (page_id, url, html, refers_to) as archives of at most file_records records into the folder path.
 
+    Fewer are in a file where the longest page, so many times, would exceed file_bytes.
+
     Spark's text writer puts one byte after each row. A gzip member ends with its
     size's highest byte, 0 below 16 MB; that byte is taken off the row, and the
     writer's separator, byte 0, stands in its place. Longer members are followed by
     an empty one, which has no record.
     """
     prepare(pages.sparkSession)
+    longest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    file_records = max(1, min(file_records, file_bytes // (longest + 1024)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
