@@ -228,6 +228,7 @@ def link_buckets(
     nodes: DataFrame | None = None,
     fits: Callable[[Carried, Carried], Column] | None = None,
     distance: Callable[[Carried, Carried], Column] | None = None,
+    few: int = 2,
 ) -> DataFrame:
     """Edges (a, b) that connect all ids that share a bucket and pass verification.
 
@@ -237,7 +238,8 @@ def link_buckets(
     tries only the nearest of its candidates.
 
     Buckets of two give their pair at once, from a count that is combined before the
-    shuffle. No larger bucket is expanded into all its pairs at once. In each round, every
+    shuffle; those of at most ``few`` members give their pairs that fit. No larger bucket is
+    expanded into all its pairs at once. In each round, every
     member is tried against one member of its bucket (first the most central one, which
     shares most buckets with others; later one by lot), and the components of all links so
     far are found. Links inside a component could not change it, so only buckets that hold
@@ -255,12 +257,17 @@ def link_buckets(
         side = lambda name: nodes.select(F.struct("*").alias(name))
         couples = couples.join(side("x"), F.col("a") == F.col("x.id")).join(side("y"), F.col("b") == F.col("y.id"))
         couples = couples.where(fits(Carried("x"), Carried("y"))).select("a", "b")
-    open_ = shared.join(shared.groupBy("id").agg(F.sum("n").alias("degree")), "id")
-    if nodes is not None:
-        open_ = open_.join(nodes, "id")
     carried = [c for c in (nodes.columns if nodes is not None else []) if c != "id"]
+    whole = shared if nodes is None else shared.join(nodes, "id")
+    if few > 2:
+        small = whole.where(F.col("n") <= few)
+        x, y = small.alias("x"), small.alias("y")
+        both = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))
+        pairs = x.join(y, both if fits is None else both & fits(Carried("x"), Carried("y")))
+        couples = couples.unionByName(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))).distinct()
+        whole, shared = whole.where(F.col("n") > few), shared.where(F.col("n") > few)
+    open_ = scratch.save(whole.join(shared.groupBy("id").agg(F.sum("n").alias("degree")), "id").withColumn("c", F.col("id")), "buckets")
     left = edges = None
-    open_ = scratch.save(open_.withColumn("c", F.col("id")), "buckets")
     for turn in range(ROUNDS):
         order = F.struct("degree", -F.col("id")) if turn == 0 else F.struct(F.xxhash64("id", F.lit(turn)), "id")
         lead = open_.groupBy("key").agg(F.max_by(F.struct("id", "c", *carried), order).alias("x"), F.max("n").alias("n"))

@@ -55,10 +55,13 @@ _SPACELESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3000-\u30ff\u
 
 
 def _normal(text: str) -> bytes:
+    if text.isascii():
+        return text.encode().translate(_NORMAL)
     text = text.lower()
-    if not text.isascii() and _SPACELESS.search(text):
-        text = _SPACELESS.sub(r" \g<0> ", text)
-    return text.encode("utf-8", "surrogatepass").translate(_NORMAL)
+    raw = text.encode("utf-8", "surrogatepass")
+    if np.frombuffer(raw, np.uint8).max() >= 0xE0:  # else there is no character from U+0800 on
+        raw = _SPACELESS.sub(r" \g<0> ", text).encode("utf-8", "surrogatepass")
+    return raw.translate(_NORMAL)
 
 
 def normal_lines(text: str) -> list[list[bytes]]:
@@ -163,21 +166,23 @@ def fingerprints(
     """
     bands, counts = np.zeros((n, BANDS), np.uint32), np.bincount(place, minlength=n)
     if len(words):
-        order = np.lexsort((words, place))
-        words, place = words[order], place[order]
-        new = np.concatenate(([True], (words[1:] != words[:-1]) | (place[1:] != place[:-1])))
-        first = np.flatnonzero(new)
-        number = np.arange(len(words)) - np.repeat(first, np.diff(np.append(first, len(words))))
-        members = mix(words + number.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+        own = mix(words ^ mix(place.astype(np.uint64) + np.uint64(1)))  # equal for a line's equal words only
+        order = np.argsort(own, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], np.diff(own[order]) != 0)))
+        number = np.empty(len(words), np.uint64)
+        number[order] = np.arange(len(words)) - np.repeat(first, np.diff(np.append(first, len(words))))
+        members = mix(words + number * np.uint64(0xD1B54A32D192ED03))
         starts = np.flatnonzero(np.diff(place, prepend=-1))
         lines = place[starts]
         # A sample is the member of the smallest value; the values of a word halved k times are 2**k as large.
         down = np.uint64(MOST_HALVINGS) - (0 if halved is None else halved[(words % np.uint64(COUNTED)).astype(np.int64)].astype(np.uint64))
+        values = np.empty_like(members)
         for i in range(BANDS):
             band = np.zeros(len(starts), np.uint64)
             for k in range(i * SAMPLES, (i + 1) * SAMPLES):
-                values = (members ^ _MASKS[k]) * _FACTORS[k]
-                values >>= down
+                np.bitwise_xor(members, _MASKS[k], out=values)
+                np.multiply(values, _FACTORS[k], out=values)
+                np.right_shift(values, down, out=values)
                 low = np.minimum.reduceat(values, starts)
                 band = mix(band ^ low)
                 if sketches is not None:
@@ -204,6 +209,8 @@ def _unpacked(packed: np.ndarray) -> np.ndarray:
     return np.stack([wide >> np.uint64(32), wide & np.uint64(0xFFFFFFFF)], axis=2).reshape(len(wide), -1).astype(np.uint32)
 
 
+#: Buckets of so many lines give all their pairs whose sketches agree.
+FEW_LINES = 32
 #: The columns that hold the bands, and those of the sketch.
 _COLUMNS = [f"b{i}" for i in range(BANDS // 2)]
 _SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
@@ -334,7 +341,7 @@ def duplicate_lines(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, m
         return (100 * F.least(x("words"), y("words")) >= percent * F.greatest(x("words"), y("words"))) & (equal_samples(x, y) >= ALIKE)
 
     carried = lines.select(F.col("h1").alias("id"), "words", *_SKETCH)
-    edges = link_buckets(scratch, keys, verified, carried, fits, lambda x, y: F.lit(BANDS * SAMPLES) - equal_samples(x, y))
+    edges = link_buckets(scratch, keys, verified, carried, fits, lambda x, y: F.lit(BANDS * SAMPLES) - equal_samples(x, y), few=FEW_LINES)
     comp = scratch.save(connected_components(scratch, edges), "components")
     near = scratch.save(lines.select("h1", "h2", "at", "n").join(comp.withColumnRenamed("id", "h1"), "h1"), "near")
     first = scratch.save(near.groupBy("component").agg(F.min("at").alias("first"), F.count("*").alias("n")), "first")
