@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.numbers import half_up
+from .windows import first_by
 
 VENUES = ("cafe", "bar", "pub", "restaurant", "biergarten", "fast_food", "food_court")
 DRINKS, SNACKS, MEALS = ("bar", "pub", "biergarten"), ("fast_food", "food_court"), ("restaurant", "cafe")
@@ -28,7 +29,7 @@ def normalise(elements: DataFrame, region: str) -> DataFrame:
     covered = tag("outdoor_seating:covered")
     out = elements.withColumn("subcategory", kind).where(F.col("subcategory").isNotNull() & lat.isNotNull() & lon.isNotNull())
     return out.select(
-        F.concat_ws(":", F.lit("osm"), "type", "id").alias("id"), F.col("type").alias("osm_type"), F.col("id").alias("osm_id"),
+        F.concat_ws(":", F.lit("osm"), "type", "id").alias("id"), F.lit("osm").alias("source"), F.col("type").alias("osm_type"), F.col("id").alias("osm_id"),
         F.coalesce(tag("name"), F.concat_ws("-", "subcategory", "type", "id")).alias("name"),
         F.when(F.col("subcategory") == "park", "park").otherwise("terrace_candidate").alias("category"), "subcategory",
         F.coalesce(tag("outdoor_seating") == "yes", F.lit(False)).alias("has_outdoor_seating"),
@@ -84,11 +85,13 @@ def weight(category: Column, subcategory: Column, seating: Column) -> Column:
 def tile_scores(places: DataFrame, keys: list[str], samples: int = 8) -> DataFrame:
     """For each tile: score, places, seated, parks and the first names (by name, then id)."""
     w = weight(F.col("category"), F.col("subcategory"), F.col("seating"))
-    names = F.slice(F.array_sort(F.collect_list(F.struct("name", "id"))), 1, samples)
-    return places.groupBy(*keys).agg(
-        F.sum(w).alias("score"), F.count("*").alias("places"), F.count_if("seating").alias("seated"), F.count_if(F.col("category") == "park").alias("parks"),
-        F.transform(names, lambda n: n["name"]).alias("names"),
+    sums = places.groupBy(*keys).agg(
+        F.sum(w).alias("score"), F.count("*").alias("places"), F.count_if("seating").alias("seated"), F.count_if(F.col("category") == "park").alias("parks")
     )
+    # A rank's limit is applied before the shuffle too, so no tile's names are all gathered.
+    few = first_by(places.select(*keys, "name", "id"), keys, [F.col("name"), F.col("id")], samples, "__rank")
+    names = few.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__rank", "name"))), lambda n: n["name"]).alias("names"))
+    return sums.join(names, keys)
 
 
 def histogram(rows: DataFrame, keys: list[str], of: str) -> DataFrame:
