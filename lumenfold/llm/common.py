@@ -229,6 +229,7 @@ def link_buckets(
     fits: Callable[[Carried, Carried], Column] | None = None,
     distance: Callable[[Carried, Carried], Column] | None = None,
     few: int = 2,
+    tries: int = FEW,
 ) -> DataFrame:
     """Edges (a, b) that connect all ids that share a bucket and pass verification.
 
@@ -243,8 +244,8 @@ def link_buckets(
     member is tried against one member of its bucket (first the most central one, which
     shares most buckets with others; later one by lot), and the components of all links so
     far are found. Links inside a component could not change it, so only buckets that hold
-    several components go on. When rounds no longer join much, all pairs of different
-    components that share a bucket are tried, tile by tile, so the components are those of
+    several components go on. When rounds no longer join much, or members have about ``tries``
+    others in their buckets at most, all pairs of different components that share a bucket are tried, tile by tile, so the components are those of
     all links. A large bucket is dealt over parts of about PART members throughout.
     """
     sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"))
@@ -297,7 +298,7 @@ def link_buckets(
         before, left = left, size.n or 0
         if not left:
             return edges
-        if size.pairs <= FEW * left or (before is not None and left > ENOUGH * before):
+        if size.pairs <= tries * left or (before is not None and left > ENOUGH * before):
             break
     x, y = _tiled(open_).alias("x"), _tiled(open_).alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi")) & (F.col("x.c") < F.col("y.c"))

@@ -209,8 +209,9 @@ def _unpacked(packed: np.ndarray) -> np.ndarray:
     return np.stack([wide >> np.uint64(32), wide & np.uint64(0xFFFFFFFF)], axis=2).reshape(len(wide), -1).astype(np.uint32)
 
 
-#: Buckets of so many lines give all their pairs whose sketches agree.
-FEW_LINES = 32
+#: Buckets of so many lines give all their pairs whose sketches agree; so many sketches a line are compared at most on
+#: average when rounds end.
+FEW_LINES, TRIES = 32, 256
 #: The columns that hold the bands, and those of the sketch.
 _COLUMNS = [f"b{i}" for i in range(BANDS // 2)]
 _SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
@@ -341,7 +342,7 @@ def duplicate_lines(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, m
         return (100 * F.least(x("words"), y("words")) >= percent * F.greatest(x("words"), y("words"))) & (equal_samples(x, y) >= ALIKE)
 
     carried = lines.select(F.col("h1").alias("id"), "words", *_SKETCH)
-    edges = link_buckets(scratch, keys, verified, carried, fits, lambda x, y: F.lit(BANDS * SAMPLES) - equal_samples(x, y), few=FEW_LINES)
+    edges = link_buckets(scratch, keys, verified, carried, fits, lambda x, y: F.lit(BANDS * SAMPLES) - equal_samples(x, y), few=FEW_LINES, tries=TRIES)
     comp = scratch.save(connected_components(scratch, edges), "components")
     near = scratch.save(lines.select("h1", "h2", "at", "n").join(comp.withColumnRenamed("id", "h1"), "h1"), "near")
     first = scratch.save(near.groupBy("component").agg(F.min("at").alias("first"), F.count("*").alias("n")), "first")
