@@ -315,8 +315,17 @@ def is_contaminated(share: int = 20, prefix: str = ""):
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
     """The documents that are not contaminated, unchanged; columns as in docs."""
-    found = matches(docs, benchmark, window, prefix="__")
-    return found.where(~is_contaminated(share, "__")).select(*docs.columns)
+    own = _free_prefix(docs)
+    found = matches(docs, benchmark, window, prefix=own)
+    return found.where(~is_contaminated(share, own)).select(*docs.columns)
+
+
+def _free_prefix(docs: DataFrame) -> str:
+    """What makes the names of FOUND differ from all columns of docs."""
+    out, taken = "__", {c.lower() for c in docs.columns}
+    while any(out + c in taken for c in FOUND):
+        out += "_"
+    return out
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_words: int = WINDOW, share: float = 0.5) -> DataFrame:
@@ -325,15 +334,16 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
     A span is cut if it has at least min_words words. What stands around it is
     joined by one space; the rest of the text keeps its characters.
     """
-    found = matches(docs, benchmark, window, prefix="__").where(n_hit("__") <= share * F.col("__n_words"))
-    kept = docs.columns
-    found = found.select(*kept, "__spans")
+    own = _free_prefix(docs)
+    found = matches(docs, benchmark, window, prefix=own).where(n_hit(own) <= share * F.col(own + "n_words"))
+    kept, spans_of = docs.columns, own + "spans"
+    found = found.select(*kept, spans_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [
                 cut(t, [(s["start"], s["end"]) for s in spans if s["end"] - s["start"] >= min_words])
-                for t, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True)
+                for t, spans in zip(batch.column("text").to_pylist(), batch.column(spans_of).to_pylist(), strict=True)
             ]
             columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in kept]
             yield pa.RecordBatch.from_arrays(columns, names=kept)

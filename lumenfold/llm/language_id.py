@@ -36,7 +36,7 @@ RIDGE = 1e-3
 TEMPERATURE = 0.25
 #: A text whose best language stands out from the others by less than this share of what the training's targets do
 #: (1 for a text's language, -1 for the others) is in none of them.
-LEAST_MARGIN = 0.25
+LEAST_MARGIN = 0.18
 
 _LETTER = re.compile(r"[^\W\d_]")
 #: ASCII letters in lower case and non-ASCII bytes stay; other bytes are a space.
@@ -149,14 +149,15 @@ def ridge(k: np.ndarray, inner: np.ndarray, y: np.ndarray, n: int) -> np.ndarray
     """(landmarks + 1, n) weights of one-versus-rest kernel ridge regression, the last row the bias.
 
     k: kernel values of each row with each landmark; inner: of landmarks among themselves; y: classes.
-    Rows weigh so that each class has the same sum.
+    Rows weigh so that each class has the same sum. The bias is the targets' mean, so that a text
+    that shares nothing with any landmark stands out in no class.
     """
-    k = np.hstack([k, np.ones((len(k), 1))]).astype(np.float64)
-    target = np.where(y[:, None] == np.arange(n), 1.0, -1.0)
+    level = 2 / n - 1
+    target = np.where(y[:, None] == np.arange(n), 1.0, -1.0) - level
     balance = 1.0 / np.bincount(y, minlength=n)[y][:, None]
-    penalty = 1e-6 * np.eye(k.shape[1])
-    penalty[:-1, :-1] += inner
-    return np.linalg.solve(k.T @ (k * balance) + RIDGE * penalty, k.T @ (target * balance))
+    k = k.astype(np.float64)
+    weights = np.linalg.solve(k.T @ (k * balance) + RIDGE * (inner + 1e-6 * np.eye(len(inner))), k.T @ (target * balance))
+    return np.vstack([weights, np.full((1, n), level)])
 
 
 def learn(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:

@@ -118,11 +118,11 @@ def test_kernel_and_ridge_against_plain_python():
             assert abs(float(x[i] @ x[j]) - want) < 0.06  # hashed n-grams may share a bucket
     k, y, n = x @ x[:4].T, np.array([0, 1, 2, 0, 1, 2]), 3
     got = language_id.ridge(k, x[:4] @ x[:4].T, y, n)
-    wide = np.hstack([k, np.ones((6, 1))]).astype(float)
+    assert np.allclose(got[4], 2 / n - 1)
     for c in range(n):  # the gradient of the balanced, penalised squared loss is 0
-        r = wide @ got[:, c] - np.where(y == c, 1.0, -1.0)
-        penalty = 1e-6 * got[:, c] + np.append(x[:4] @ x[:4].T @ got[:4, c], 0)
-        assert np.abs(wide.T @ (r / 2) + language_id.RIDGE * penalty).max() < 1e-6
+        r = k.astype(float) @ got[:4, c] + got[4, c] - np.where(y == c, 1.0, -1.0)
+        penalty = x[:4] @ x[:4].T @ got[:4, c] + 1e-6 * got[:4, c]
+        assert np.abs(k.T.astype(float) @ (r / 2) + language_id.RIDGE * penalty).max() < 1e-6
 
 
 def test_ftrl_against_plain_python():
