@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import (
     decontaminate,
+    importance,
     language_id,
     license_scan,
     line_dedup,
@@ -119,11 +120,17 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's features, weight, score and, of the quarter drawn towards the benchmark's texts, rank."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_minhash_near_dedup, op3_toxicity, op4_decontamination, op5_warc,
         op6_best_fit_packing, op7_language_id, op8_quality, op9_license_scan, op10_media_columns,
+        op13_importance_resampling,
     )
 }
 
@@ -157,4 +164,42 @@ SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha
 FROM (SELECT *, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS m FROM pages)
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_decontamination": _DECONTAMINATION, "op5_warc": _WARC}
+_IMPORTANCE = r"""
+WITH RECURSIVE bits AS (
+  SELECT i AS byte, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT byte, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), tab AS (SELECT list(c ORDER BY byte) AS tab FROM bits WHERE k = 8),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), f AS (
+  SELECT r, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM d
+), bf AS (SELECT unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM b),
+code AS (
+  SELECT g, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, CAST(strlen(g) AS BIGINT) + 1), lambda i: CAST('0x' || hex(encode(g))[2 * i - 1 : 2 * i] AS BIGINT))),
+    lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT g FROM f UNION SELECT g FROM bf), tab
+), fb AS (SELECT r, bucket FROM f JOIN code USING (g)),
+s AS (SELECT bucket, count(*) AS n FROM fb GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM bf JOIN code USING (g) GROUP BY bucket),
+al AS (SELECT (SELECT coalesce(sum(n), 0) FROM s) AS s_all, (SELECT coalesce(sum(n), 0) FROM t) AS t_all),
+gain AS (
+  SELECT s.bucket, CAST(floor(1000 * ln(CAST(coalesce(t.n, 0) + 1 AS DOUBLE) * CAST(s_all + 10000 AS DOUBLE) / (CAST(s.n + 1 AS DOUBLE) * CAST(t_all + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+  FROM al, s LEFT JOIN t USING (bucket)
+), w AS (SELECT r, count(*) AS n, sum(gain) AS total FROM fb JOIN gain USING (bucket) GROUP BY r),
+sc AS (
+  SELECT d.r, doc_id, len(d.w) AS n_words, coalesce(n, 0) AS n_features, CASE WHEN n > 0 THEN CAST((total - ((total % n) + n) % n) // n AS BIGINT) ELSE 0 END AS weight,
+    CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS g
+  FROM d LEFT JOIN w USING (r)
+), o AS (SELECT r, row_number() OVER (ORDER BY weight + g DESC, doc_id NULLS LAST, r) AS rank, count(*) OVER () AS n_all FROM sc WHERE n_words >= 20)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, CAST(weight + g AS BIGINT) AS score, CASE WHEN rank <= 25 * n_all // 100 THEN rank END AS rank
+FROM sc LEFT JOIN o USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": _DECONTAMINATION, "op5_warc": _WARC, "op13_importance_resampling": _IMPORTANCE,
+}
