@@ -17,6 +17,7 @@ from . import (
     near_dedup,
     packing,
     quality,
+    sanitise,
     toxicity,
     warc,
 )
@@ -120,6 +121,19 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document by kind, and the words that disclose it; only Spark's own expressions."""
+    found = sanitise.find(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    named = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    base = F.transform("pii_base", named)
+    terms = F.transform("pii_terms", lambda s: F.concat_ws(":", F.lit("term"), s["start"].cast("string"), s["end"].cast("string")))
+    count = lambda kind: F.size(F.filter("pii_base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *(count(kind) for kind, _, _ in sanitise.KINDS), F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
+        F.array_join(F.concat(base, terms), ",").alias("spans"),
+    )
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's features, weight, score and, of the quarter drawn towards the benchmark's texts, rank."""
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -130,7 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_line_dedup, op2_minhash_near_dedup, op3_toxicity, op4_decontamination, op5_warc,
         op6_best_fit_packing, op7_language_id, op8_quality, op9_license_scan, op10_media_columns,
-        op13_importance_resampling,
+        op12_pii, op13_importance_resampling,
     )
 }
 
@@ -164,6 +178,62 @@ SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha
 FROM (SELECT *, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS m FROM pages)
 """
 
+_PII = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+k AS (
+  SELECT * FROM (VALUES (1, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'), (2, 'ip', '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'),
+    (3, 'card', '[0-9]([\x20-]?[0-9])+'), (4, 'phone', '\+[0-9][\x20().0-9-]+[0-9]')) t(o, kind, re)
+), m AS (
+  SELECT r, o, kind, unnest(range(1, len(vs) + 1)) AS i, unnest(vs) AS v, unnest(ps[:len(vs)]) AS p, unnest(ps[2:]) AS q
+  FROM (SELECT r, o, kind, regexp_extract_all(text, re) AS vs, string_split_regex(text, re) AS ps FROM d, k WHERE regexp_matches(text, re))
+), s AS (
+  SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS dg, e - length(v) AS b
+  FROM (SELECT *, CAST(sum(length(p) + length(v)) OVER (PARTITION BY r, o ORDER BY i) AS BIGINT) AS e FROM m)
+), base AS (
+  SELECT r, o, kind, b, e,
+    kind || ':' || CASE kind WHEN 'email' THEN translate(v, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') WHEN 'ip' THEN v ELSE dg END AS entity,
+    CASE WHEN length(p) <= 80 THEN p ELSE regexp_replace("right"(p, 80), '^[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', '') END AS before,
+    CASE WHEN length(q) <= 80 THEN q ELSE regexp_replace("left"(q, 80), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+$', '') END AS after
+  FROM s
+  WHERE kind = 'email' OR (kind = 'phone' AND length(dg) BETWEEN 8 AND 15)
+    OR (kind = 'ip' AND regexp_matches(v, '^0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(\.0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$'))
+    OR (kind = 'card' AND length(dg) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, CAST(length(dg) AS BIGINT) + 1),
+      lambda j: list_sum(list_transform(string_split(CAST(CAST(reverse(dg)[j] AS INTEGER) * (2 - j % 2) AS VARCHAR), ''), lambda c: CAST(c AS INTEGER))))) % 10 = 0)
+), c AS (
+  SELECT r, entity, b - length(before) AS begins, before AS x FROM base UNION ALL SELECT r, entity, e, after FROM base
+), cw AS (
+  SELECT r, entity, begins, n, unnest(range(1, len(vs) + 1)) AS i, unnest(vs) AS v, unnest(ps[:len(vs)]) AS p
+  FROM (SELECT *, row_number() OVER () AS n, regexp_extract_all(x, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS vs,
+    string_split_regex(x, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ps FROM c)
+), w AS (
+  SELECT r, entity, translate(v, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term, e - length(v) AS b, e
+  FROM (SELECT *, begins + CAST(sum(length(p) + length(v)) OVER (PARTITION BY n ORDER BY i) AS BIGINT) AS e FROM cw)
+), t AS (SELECT DISTINCT r, entity, term, b, e FROM w WHERE length(term) BETWEEN 3 AND 64),
+counts AS (
+  SELECT term, count(*) AS n FROM (
+    SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+  ) GROUP BY term
+), total AS (SELECT CAST(sum(n) AS DOUBLE) AS n FROM counts),
+near AS (SELECT entity, count(*) AS n FROM t GROUP BY entity),
+pairs AS (SELECT entity, term, count(*) AS n FROM t GROUP BY entity, term HAVING count(*) >= 2),
+tells AS (
+  SELECT entity, term FROM pairs JOIN near USING (entity) JOIN counts USING (term), total
+  WHERE log2(pairs.n * total.n / (counts.n * near.n)) * 1.1 >= log2(total.n / near.n)
+), more AS (
+  SELECT DISTINCT r, b, e FROM t JOIN tells USING (entity, term)
+  WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.r = t.r AND base.b < t.e AND t.b < base.e)
+), told AS (
+  SELECT r, o, b, kind || ':' || b || ':' || e AS x FROM base UNION ALL SELECT r, 5, b, 'term:' || b || ':' || e FROM more
+), g AS (
+  SELECT r, count(*) FILTER (o = 1) AS n_email, count(*) FILTER (o = 2) AS n_ip, count(*) FILTER (o = 3) AS n_card, count(*) FILTER (o = 4) AS n_phone,
+    sha256(coalesce(string_agg(x, ',' ORDER BY o, b) FILTER (o < 5), '')) AS base_sha256, string_agg(x, ',' ORDER BY o, b) AS spans
+  FROM told GROUP BY r
+)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+  coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (r)
+"""
+
 _IMPORTANCE = r"""
 WITH RECURSIVE bits AS (
   SELECT i AS byte, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) t(i)
@@ -201,5 +271,5 @@ FROM sc LEFT JOIN o USING (r)
 """
 
 ORACLE_SQL: dict[str, str] = {
-    "op4_decontamination": _DECONTAMINATION, "op5_warc": _WARC, "op13_importance_resampling": _IMPORTANCE,
+    "op4_decontamination": _DECONTAMINATION, "op5_warc": _WARC, "op12_pii": _PII, "op13_importance_resampling": _IMPORTANCE,
 }
