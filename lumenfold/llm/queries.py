@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import (
     decontaminate,
+    hard_negatives,
     importance,
     language_id,
     license_scan,
@@ -121,6 +122,14 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten hard negatives for each of the five positives of every hundredth vector; every seventh label is moved on first."""
+    label = F.col("label").cast("bigint")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    rows = hard_negatives.whole_rows(table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding"))
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
 def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document by kind, and the words that disclose it; only Spark's own expressions."""
     found = sanitise.find(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
@@ -144,7 +153,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_line_dedup, op2_minhash_near_dedup, op3_toxicity, op4_decontamination, op5_warc,
         op6_best_fit_packing, op7_language_id, op8_quality, op9_license_scan, op10_media_columns,
-        op12_pii, op13_importance_resampling,
+        op11_hard_negatives, op12_pii, op13_importance_resampling,
     )
 }
 
@@ -178,6 +187,22 @@ SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha
 FROM (SELECT *, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS m FROM pages)
 """
 
+_NEGATIVES = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM s WHERE same QUALIFY k <= 5),
+n AS (
+  SELECT p.a, p.b, p.score AS ps, s.b AS nb, s.score AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS nth
+  FROM p JOIN s ON p.a = s.a AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score QUALIFY nth <= 10
+)
+SELECT a AS anchor_id, b AS positive_id, CAST(nth AS INTEGER) AS rank, nb AS negative_id, ps AS positive_score, ns AS negative_score FROM n
+"""
+
 _PII = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 k AS (
@@ -271,5 +296,5 @@ FROM sc LEFT JOIN o USING (r)
 """
 
 ORACLE_SQL: dict[str, str] = {
-    "op4_decontamination": _DECONTAMINATION, "op5_warc": _WARC, "op12_pii": _PII, "op13_importance_resampling": _IMPORTANCE,
+    "op4_decontamination": _DECONTAMINATION, "op5_warc": _WARC, "op11_hard_negatives": _NEGATIVES, "op12_pii": _PII, "op13_importance_resampling": _IMPORTANCE,
 }
