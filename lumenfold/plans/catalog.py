@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import angles, arrays, checks, places, rankings, shade, spatial, stores, strings, tiles, verdicts  # noqa: F401
+from . import angles, arrays, checks, files, places, rankings, shade, spatial, stores, strings, tiles, verdicts  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "win01_sunny_windows"
