@@ -47,12 +47,12 @@ def merged_manifest(old: DataFrame, new: DataFrame, keys: list[str], ids: str, f
     return both.select(*keys, done.alias(ids), left.alias(failed), (F.size(left) == 0).alias("complete"))
 
 
-def outline_edges(tiles: DataFrame) -> DataFrame:
-    """tiles (i, j) to the unit edges on their outline: those that belong to one tile only. x1, y1, x2, y2 and the tile."""
+def outline_edges(tiles: DataFrame, *keys: str) -> DataFrame:
+    """tiles (i, j) to the unit edges on their outline: those that belong to one tile only. x1, y1, x2, y2 and the tile; keys keep grids apart."""
     side = lambda a, b, c, d: F.struct((F.col("i") + a).alias("x1"), (F.col("j") + b).alias("y1"), (F.col("i") + c).alias("x2"), (F.col("j") + d).alias("y2"))
     sides = F.array(side(0, 0, 1, 0), side(0, 1, 1, 1), side(0, 0, 0, 1), side(1, 0, 1, 1))
-    edges = tiles.select("i", "j").distinct().select("i", "j", F.explode(sides).alias("e")).select("i", "j", "e.*")
-    return edges.groupBy("x1", "y1", "x2", "y2").agg(F.count("*").alias("n"), F.min("i").alias("i"), F.min("j").alias("j")).where("n = 1").drop("n")
+    edges = tiles.select(*keys, "i", "j").distinct().select(*keys, "i", "j", F.explode(sides).alias("e")).select(*keys, "i", "j", "e.*")
+    return edges.groupBy(*keys, "x1", "y1", "x2", "y2").agg(F.count("*").alias("n"), F.min("i").alias("i"), F.min("j").alias("j")).where("n = 1").drop("n")
 
 
 def components(tiles: DataFrame) -> DataFrame:

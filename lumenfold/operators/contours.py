@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import sinks
+from . import checks
+
 RINGS = "ring int, closed boolean, points array<struct<x:double,y:double>>"
 
 
@@ -59,15 +62,133 @@ def stitched(lines: DataFrame, key: str) -> DataFrame:
     return fit.where("size(points) >= 2").groupBy(key).applyInPandas(run, f"{key} {kind}, {RINGS}")
 
 
+#: By how many quarter turns to the left an edge goes on: rather left, then straight, then right. (Fixed values.)
+TURNS = (1, 0, 3)
+
+
+def ranked(links: DataFrame) -> DataFrame:
+    """id, ring, pos, closed of links (id, after: the id that follows, or null): the order of every chain.
+
+    A closed ring is named after its smallest id and begins there, an open one after its last id. Every id follows
+    at most one other. Pointers jump over twice as many links in each round, so rounds
+    grow with the logarithm of the longest chain, which is never gathered anywhere; each is an equi-join of
+    distinct ids, written once to a table in the shared folder.
+    """
+    return _ranked(_kept(links))
+
+
+def _ranked(links: DataFrame) -> DataFrame:
+    jumped = _jump(links.select("id", F.col("after").alias("to"), F.col("id").alias("low"), F.lit(1).cast("bigint").alias("hops"), F.col("id").alias("last")))
+    round_ = jumped.where("to is not null").select("id", F.col("low").alias("ring"))
+    opened = links.join(round_, "id").select("id", F.when(F.col("after") != F.col("ring"), F.col("after")).alias("to"), F.col("id").alias("low"), F.lit(1).cast("bigint").alias("hops"), F.col("id").alias("last"))
+    of_rings = _jump(opened).join(round_, "id").select("id", "ring", "hops", F.lit(True).alias("closed"))
+    of_lines = jumped.where("to is null").select("id", F.col("last").alias("ring"), "hops", F.lit(False).alias("closed"))
+    both = of_rings.unionByName(of_lines)
+    length = both.groupBy("ring", "closed").agg(F.max("hops").alias("n"))
+    return both.join(length, ["ring", "closed"]).select("id", "ring", (F.col("n") - F.col("hops")).alias("pos"), "closed")
+
+
+def _jump(state: DataFrame) -> DataFrame:
+    """state (id, to, low, hops, last) with pointers that have jumped until chains have ended and rings know their smallest id."""
+    before = None
+    while True:
+        there = state.select(F.col("id").alias("__id"), F.col("to").alias("__to"), F.col("low").alias("__low"), F.col("hops").alias("__hops"), F.col("last").alias("__last"))
+        went = F.col("__id").isNotNull()
+        after = state.join(there, F.col("to") == F.col("__id"), "left").select(
+            "id", F.when(went, F.col("__to")).alias("to"), F.when(went, F.least("low", "__low")).otherwise(F.col("low")).alias("low"),
+            F.when(went, F.col("hops") + F.col("__hops")).otherwise(F.col("hops")).alias("hops"), F.when(went, F.col("__last")).otherwise(F.col("last")).alias("last"),
+            (went & (F.col("__low") < F.col("low"))).alias("lower"),
+        )
+        after = _kept(after)
+        mark = after.agg(F.count_if("lower").alias("lower"), F.count_if(F.col("to").isNull()).alias("ended")).first()
+        state = after.drop("lower")
+        if mark.lower == 0 and mark.ended == before:
+            return state
+        before = mark.ended
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: written once (a checkpoint would work it out twice), it cuts lineage."""
+    path = sinks.scratch_folder(df.sparkSession, "contours")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def outline_links(edges: DataFrame, *keys: str) -> DataFrame:
+    """id, after of edges (x1, y1, x2, y2 and their tile i, j; see outline_edges()): each with its tile on the left.
+
+    id: struct<keys, x, y, d> of the edge's start and direction (0 east, 1 north, 2 west, 3 south). Where four edges meet, tiles that touch by a corner alone
+    stay apart (TURNS).
+    """
+    south, west = (F.col("y1") == F.col("y2")) & (F.col("y1") == F.col("j")), (F.col("x1") == F.col("x2")) & (F.col("x1") == F.col("i"))
+    level = F.col("y1") == F.col("y2")
+    d = F.when(south, 0).when(level, 2).when(west, 3).otherwise(1)
+    at = lambda c: F.when(d < 2, F.least(f"{c}1", f"{c}2")).otherwise(F.greatest(f"{c}1", f"{c}2"))
+    to = lambda c: F.when(d < 2, F.greatest(f"{c}1", f"{c}2")).otherwise(F.least(f"{c}1", f"{c}2"))
+    e = edges.select(*keys, F.struct(*keys, at("x").alias("x"), at("y").alias("y"), d.alias("d")).alias("id"), to("x").alias("tx"), to("y").alias("ty"))
+    other = e.select(*keys, F.col("id").alias("next"), F.col("id.x").alias("tx"), F.col("id.y").alias("ty"))
+    turn = F.pmod(F.col("next.d") - F.col("id.d"), F.lit(4))
+    return e.join(other, [*keys, "tx", "ty"]).groupBy("id").agg(F.min_by("next", F.array_position(F.array(*map(F.lit, TURNS)), turn)).alias("after"))
+
+
+def outline_points(edges: DataFrame, *keys: str) -> DataFrame:
+    """ring, pos, x, y, d, corner: the edges' starts and directions along every closed outline, as rows, however long it is.
+
+    Outer rings run anticlockwise, those of holes clockwise. A ring is named after its smallest edge.
+    """
+    links = _kept(outline_links(edges, *keys))
+    turned = links.select(F.col("after").alias("id"), (F.col("after.d") != F.col("id.d")).alias("corner"))
+    return _ranked(links).join(turned, "id").select("ring", "pos", F.col("id.x").alias("x"), F.col("id.y").alias("y"), F.col("id.d").alias("d"), "corner")
+
+
 def outline_rings(edges: DataFrame, components: DataFrame) -> DataFrame:
-    """The closed outlines of each component of tiles: component, ring, closed, points.
+    """The closed outlines of each component of tiles: component, ring, closed, points (every unit edge's start).
 
-    edges: outline_edges() with the tile (i, j) that each belongs to; components: i, j, component.
+    edges: outline_edges() with the tile (i, j) that each belongs to; components: i, j, component. A ring is put
+    in order by ranked(); only its own points meet in its row.
+    """
+    of_tile = components.select("component", "i", "j")
+    d = F.col("ring.d")
+    i = F.when(d == 0, F.col("ring.x")).when(d == 1, F.col("ring.x") - 1).when(d == 2, F.col("ring.x") - 1).otherwise(F.col("ring.x"))
+    j = F.when(d == 0, F.col("ring.y")).when(d == 1, F.col("ring.y")).when(d == 2, F.col("ring.y") - 1).otherwise(F.col("ring.y") - 1)
+    point = F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    rings = outline_points(edges).groupBy("ring").agg(F.array_sort(F.collect_list(F.struct("pos", point.alias("p")))).alias("ps"))
+    rings = rings.select("ring", F.transform("ps", lambda q: q["p"]).alias("points"), i.alias("i"), j.alias("j")).join(of_tile, ["i", "j"])
+    nth = F.row_number().over(Window.partitionBy("component").orderBy("ring")) - 1
+    return rings.select("component", nth.alias("ring"), F.lit(True).alias("closed"), "points")
+
+
+def filled(cells: DataFrame) -> DataFrame:
+    """cells (i, j, outdoor, sunny) on one grid with those that are indoors or missing filled: i, j, outdoor, sunny, known.
+
+    Such a cell within the grid's bounds takes sunny from the first outdoor one of its neighbours south, north, west, east (by j, then i);
+    without one it is not sunny and ``lit`` is null. known: whether the cell was there. Of repeated cells the largest (outdoor, sunny) counts.
+    """
+    own = cells.groupBy("i", "j").agg(F.max(F.struct("outdoor", "sunny")).alias("c")).select("i", "j", "c.outdoor", "c.sunny")
+    out = own.where("outdoor")
+    bounds = own.agg(*(f(c).alias(f"{n}_{c}") for c in "ij" for n, f in (("lo", F.min), ("hi", F.max))))
+    steps = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (a, b) in enumerate(((0, -1), (0, 1), (-1, 0), (1, 0)))))
+    near = out.withColumn("s", F.explode(steps)).select((F.col("i") - F.col("s.a")).alias("i"), (F.col("j") - F.col("s.b")).alias("j"), "s.k", "sunny")
+    near = near.join(F.broadcast(bounds), F.col("i").between(F.col("lo_i"), F.col("hi_i")) & F.col("j").between(F.col("lo_j"), F.col("hi_j")))
+    near = near.groupBy("i", "j").agg(F.min_by("sunny", "k").alias("near"))
+    both = own.withColumn("known", F.lit(True)).join(near, ["i", "j"], "full")
+    lit = F.when(F.coalesce("outdoor", F.lit(False)), F.col("sunny")).otherwise(F.col("near"))
+    return both.select("i", "j", F.coalesce("outdoor", F.lit(False)).alias("outdoor"), lit.alias("lit"), F.coalesce("known", F.lit(False)).alias("known"))
+
+
+def unified_contours(cells: DataFrame) -> DataFrame:
+    """layer (sunny, shadow, buildings), ring, pos, x, y of the lines at one half over all tiles' cells (i, j, outdoor, sunny).
+
+    Cells of neighbouring tiles share one grid, so lines run on over their borders; gaps and indoor cells are filled() first. Buildings are the
+    indoor cells themselves. At one half a line passes through the middles of the sides between cells that are in
+    the layer and cells that are not; diagonal cells stay apart.
     """
-    at = edges.join(components, ["i", "j"])
-    pt = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    lines = at.select(F.col("component").alias("component"), F.struct("x1", "y1", "x2", "y2").alias("e"), F.array(pt("x1", "y1"), pt("x2", "y2")).alias("points"))
-    return stitched(lines.select("component", F.concat_ws(" ", "e.x1", "e.y1", "e.x2", "e.y2").alias("ord"), "points"), "component")
+    known = filled(cells)
+    of = F.array_compact(F.array(F.when(F.col("lit"), "sunny"), F.when(~F.col("lit"), "shadow"), F.when(F.col("known") & ~F.col("outdoor"), "buildings")))
+    points = outline_points(checks.outline_edges(known.select("i", "j", F.explode(of).alias("layer")), "layer"), "layer")
+    d = F.col("d")
+    on = lambda c, plus, minus: (F.col(c) + F.when(d == plus, 0.5).when(d == minus, -0.5).otherwise(0.0)).alias(c)
+    return points.select("ring.layer", "ring", "pos", on("x", 0, 2), on("y", 1, 3))
 
 
 def isolines(cells: DataFrame, level: float = 0.5) -> DataFrame:

@@ -209,6 +209,48 @@ def _(t: Tables) -> DataFrame:
     return rings_.groupBy("component").agg(F.sum(F.when(F.col("closed"), F.size("points"))).alias("edges")).select(name(0).alias("ci"), name(1).alias("cj"), "edges")
 
 
+#: Directed sides with their tile on the left, what follows each (left before straight before right), and every ring's edges from each of its own.
+_WALK = """e AS (SELECT layer, i AS x, j AS y, 0 AS d, i + 1 AS tx, j AS ty FROM tl a WHERE NOT EXISTS (FROM tl b WHERE b.layer = a.layer AND b.i = a.i AND b.j = a.j - 1)
+    UNION ALL SELECT layer, i + 1, j, 1, i + 1, j + 1 FROM tl a WHERE NOT EXISTS (FROM tl b WHERE b.layer = a.layer AND b.i = a.i + 1 AND b.j = a.j)
+    UNION ALL SELECT layer, i + 1, j + 1, 2, i, j + 1 FROM tl a WHERE NOT EXISTS (FROM tl b WHERE b.layer = a.layer AND b.i = a.i AND b.j = a.j + 1)
+    UNION ALL SELECT layer, i, j + 1, 3, i, j FROM tl a WHERE NOT EXISTS (FROM tl b WHERE b.layer = a.layer AND b.i = a.i - 1 AND b.j = a.j)),
+  nx AS (SELECT a.layer, (a.x, a.y, a.d) AS s, a.tx, a.ty, a.d AS d, arg_min((b.x, b.y, b.d), CASE (b.d - a.d + 4) % 4 WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE 2 END) AS t FROM e a JOIN e b ON a.layer = b.layer AND a.tx = b.x AND a.ty = b.y GROUP BY ALL),
+  wk(layer, s, t) AS (SELECT layer, s, t FROM nx UNION SELECT wk.layer, wk.s, nx.t FROM wk JOIN nx ON wk.layer = nx.layer AND wk.t = nx.s),
+  rg AS (SELECT layer, s, min(t) AS ring FROM wk GROUP BY layer, s)"""
+
+
+@query("set06_ring_corners", f"""WITH RECURSIVE {_CELLS}, tl AS (SELECT 0 AS layer, i, j FROM ce), {_WALK}
+  SELECT CAST(ring[1] AS BIGINT) AS x, CAST(ring[2] AS BIGINT) AS y, CAST(count(*) AS BIGINT) AS edges, CAST(count(*) FILTER (t[3] <> d) AS BIGINT) AS corners, CAST(sum(s[1] * ty - tx * s[2]) / 2 AS DOUBLE) AS area FROM nx JOIN rg USING (layer, s) GROUP BY layer, ring""")
+def _(t: Tables) -> DataFrame:
+    """Edges, corners and signed area of every outline, outer ones and holes; no ring is gathered."""
+    p = contours.outline_points(checks.outline_edges(_cells(t)))
+    d = F.col("d")
+    ahead = lambda c, plus, minus: F.col(c) + F.when(d == plus, 1).when(d == minus, -1).otherwise(0)
+    cross = F.col("x") * ahead("y", 1, 3) - ahead("x", 0, 2) * F.col("y")
+    return p.groupBy("ring").agg(F.count("*").alias("edges"), F.count_if("corner").alias("corners"), (F.sum(cross) / 2).cast("double").alias("area")).select(
+        F.col("ring.x").cast("bigint").alias("x"), F.col("ring.y").cast("bigint").alias("y"), "edges", "corners", "area"
+    )
+
+
+@query("arr10_unified_contours", f"""WITH RECURSIVE cu AS (SELECT p_partkey % 97 AS i, p_partkey // 97 AS j, p_size % 5 <> 0 AS outdoor, p_size % 2 = 0 AS sunny FROM part WHERE p_partkey % 13 <> 0),
+  bd AS (SELECT min(i) AS li, max(i) AS hi, min(j) AS lj, max(j) AS hj FROM cu), gd AS (SELECT x.i, y.j FROM bd, LATERAL (SELECT unnest(range(li, hi + 1)) AS i) x, LATERAL (SELECT unnest(range(lj, hj + 1)) AS j) y),
+  nb AS (SELECT g.i, g.j, arg_min(c.sunny, k) AS near FROM gd g, (VALUES (0, 0, -1), (1, 0, 1), (2, -1, 0), (3, 1, 0)) s(k, a, b) JOIN cu c ON c.outdoor AND c.i = g.i + a AND c.j = g.j + b GROUP BY g.i, g.j),
+  fl AS (SELECT g.i, g.j, coalesce(c.outdoor, false) AS outdoor, CASE WHEN c.outdoor THEN c.sunny ELSE near END AS lit, c.i IS NOT NULL AS known FROM gd g LEFT JOIN cu c ON c.i = g.i AND c.j = g.j LEFT JOIN nb ON nb.i = g.i AND nb.j = g.j),
+  tl AS (SELECT 'sunny' AS layer, i, j FROM fl WHERE lit UNION ALL SELECT 'shadow', i, j FROM fl WHERE NOT lit UNION ALL SELECT 'buildings', i, j FROM fl WHERE known AND NOT outdoor), {_WALK},
+  md AS (SELECT layer, s, ring, s[1] + CASE s[3] WHEN 0 THEN 0.5e0 WHEN 2 THEN -0.5e0 ELSE 0 END AS x, s[2] + CASE s[3] WHEN 1 THEN 0.5e0 WHEN 3 THEN -0.5e0 ELSE 0 END AS y FROM rg)
+  SELECT a.layer, CAST(a.ring[1] AS BIGINT) AS rx, CAST(a.ring[2] AS BIGINT) AS ry, count(*) AS points, sum(a.x * b.y - b.x * a.y) / 2 AS area FROM md a JOIN nx ON nx.layer = a.layer AND nx.s = a.s JOIN md b ON b.layer = a.layer AND b.s = nx.t GROUP BY a.layer, a.ring""")
+def _(t: Tables) -> DataFrame:
+    """Points and area of every line around sun, shade and buildings, over tiles with gaps."""
+    k = F.col("p_partkey")
+    cells = t.read("part").where("p_partkey % 13 <> 0").select((k % 97).alias("i"), F.floor(k / 97).alias("j"), (F.col("p_size") % 5 != 0).alias("outdoor"), (F.col("p_size") % 2 == 0).alias("sunny"))
+    p = checks.cut(contours.unified_contours(cells))
+    size = p.groupBy("layer", "ring").agg(F.count("*").alias("n"))
+    after = p.join(size, ["layer", "ring"]).select("layer", "ring", F.pmod(F.col("pos") - 1, F.col("n")).alias("pos"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    both = p.join(after, ["layer", "ring", "pos"])
+    area = F.sum(F.col("x") * F.col("by") - F.col("bx") * F.col("y")) / 2
+    return both.groupBy("layer", "ring").agg(F.count("*").alias("points"), area.alias("area")).select("layer", F.col("ring.x").cast("bigint").alias("rx"), F.col("ring.y").cast("bigint").alias("ry"), "points", "area")
+
+
 @query("dq05_no_elevation", "SELECT p_brand AS tile, count(*) AS points FROM part WHERE p_size % 5 > 0 GROUP BY p_brand HAVING count(*) FILTER (WHERE p_size > 45) = 0")
 def _(t: Tables) -> DataFrame:
     p = t.read("part").select(F.col("p_brand").alias("tile"), (F.col("p_size") % 5 > 0).alias("outdoor"), F.when(F.col("p_size") > 45, F.col("p_retailprice")).alias("z"))
