@@ -179,20 +179,82 @@ def clip(ring: D, min_x: D, min_y: D, max_x: D, max_y: D) -> Column:
     return out
 
 
+def anticlockwise(ring: D) -> Column:
+    """The ring turned round if it runs clockwise."""
+    twice = lambda r: F.aggregate(edges(r), F.lit(0.0), lambda n, e: n + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])
+    return bound(col(ring), lambda r: F.when(twice(r) < 0, F.reverse(r)).otherwise(r))
+
+
+def ears(ring: D) -> Column:
+    """array<struct<a, b, c>> of anticlockwise triangles that fill a simple ring, convex or not (null or under three points: none).
+
+    In each step of a fold the first ear goes: a corner that turns left and whose triangle holds no other point. Corners on a straight line go
+    without a triangle; where rounding leaves no ear, the corner that turns left the most goes.
+    """
+    point = "struct<x:double,y:double>"
+    none = F.array().cast(f"array<struct<a:{point},b:{point},c:{point}>>")
+
+    def corner(r: Column, k: Column) -> tuple[Column, Column, Column]:
+        n = F.size(r)
+        return F.get(r, F.pmod(k - 1, n)), F.get(r, k), F.get(r, F.pmod(k + 1, n))
+
+    def clear(r: Column, k: Column) -> Column:
+        a, b, c = corner(r, k)
+        within = lambda p: (p != a) & (p != b) & (p != c) & (_turn(a, b, p) >= 0) & (_turn(b, c, p) >= 0) & (_turn(c, a, p) >= 0)
+        turn = _turn(a, b, c)
+        return (turn == 0) | ((turn > 0) & ~F.exists(r, within))
+
+    def step(acc: Column, _: Column) -> Column:
+        def cut(r: Column) -> Column:
+            places = F.sequence(F.lit(0), F.size(r) - 1)
+            most = F.array_max(F.transform(places, lambda k: F.struct(_turn(*corner(r, k)).alias("t"), (-k).alias("k"))))
+            return bound(F.coalesce(F.get(F.filter(places, lambda k: clear(r, k)), F.lit(0)), -most["k"]), lambda k: took(r, k))
+
+        def took(r: Column, k: Column) -> Column:
+            a, b, c = corner(r, k)
+            one = F.when(_turn(a, b, c) > 0, F.array(F.struct(a.alias("a"), b.alias("b"), c.alias("c")))).otherwise(none)
+            return F.struct(F.filter(r, lambda _, i: i != k).alias("rest"), F.concat(acc["done"], one).alias("done"))
+
+        return F.when(F.size(acc["rest"]) < 3, acc).otherwise(bound(acc["rest"], cut))
+
+    def fold(r: Column) -> Column:
+        steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(r) - 2))
+        return F.aggregate(steps, F.struct(r.alias("rest"), none.alias("done")), step, lambda s: s["done"])
+
+    plain = F.transform(without_repeats(ring, 0.0), lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    return F.coalesce(bound(anticlockwise(plain), fold), none)
+
+
+def first_of_each_place(ring: D, digits: int = 3) -> Column:
+    """The ring's points but those that equal an earlier one to so many digits."""
+    k = float(10**digits)
+    place = lambda p: F.struct(F.floor(p["x"] * k + 0.5).alias("x"), F.floor(p["y"] * k + 0.5).alias("y"))
+    return bound(col(ring), lambda r: bound(F.transform(r, place), lambda ps: F.filter(r, lambda p, i: F.array_position(ps, place(p)) == i + 1)))
+
+
+def sharp_corners(ring: D, degrees: float) -> Column:
+    """How many corners of the closed ring are of at most so many degrees, whichever way they turn."""
+    def angle(r: Column, k: Column) -> Column:
+        n = F.size(r)
+        a, b, c = F.get(r, F.pmod(k - 1, n)), F.get(r, k), F.get(r, F.pmod(k + 1, n))
+        u, v = ((p["x"] - b["x"], p["y"] - b["y"]) for p in (a, c))
+        long = F.hypot(*u) * F.hypot(*v)
+        return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (u[0] * v[0] + u[1] * v[1]) / long))))
+
+    return bound(col(ring), lambda r: F.size(F.filter(F.sequence(F.lit(0), F.size(r) - 1), lambda k: angle(r, k) <= degrees)))
+
+
 def extruded(ring: D, low: D, high: D) -> Column:
-    """array<struct<part, a, b, c>> of a prism's triangles, points as struct<x, y, z>: the roof as a fan, the floor
-    the other way round, and two for each wall."""
+    """array<struct<part, a, b, c>> of a prism's triangles, points as struct<x, y, z>: the roof cut into
+    ears (so footprints may be concave), the floor the other way round, and two for each wall."""
     z0, z1 = col(low), col(high)
     up = lambda p, z: F.struct(p["x"].alias("x"), p["y"].alias("y"), z.cast("double").alias("z"))
 
     def made(r: Column) -> Column:
         tri = lambda part, a, b, c: F.struct(F.lit(part).alias("part"), a.alias("a"), b.alias("b"), c.alias("c"))
-        steps = F.sequence(F.lit(1), F.size(r) - 2)
-        p = lambda k, z: up(F.get(r, k), z)
-        roof = F.transform(steps, lambda k: tri("roof", p(F.lit(0), z1), p(k, z1), p(k + 1, z1)))
-        floor = F.transform(steps, lambda k: tri("floor", p(F.lit(0), z0), p(k + 1, z0), p(k, z0)))
+        both = lambda t: F.array(tri("roof", up(t["a"], z1), up(t["b"], z1), up(t["c"], z1)), tri("floor", up(t["a"], z0), up(t["c"], z0), up(t["b"], z0)))
         walls = F.flatten(F.transform(edges(r), lambda e: F.array(tri("wall", up(e["a"], z0), up(e["b"], z0), up(e["b"], z1)), tri("wall", up(e["a"], z0), up(e["b"], z1), up(e["a"], z1)))))
-        return F.concat(roof, floor, walls)
+        return F.concat(F.flatten(F.transform(ears(r), both)), walls)
 
     return F.when(F.size(col(ring)) >= 3, bound(col(ring), made))
 

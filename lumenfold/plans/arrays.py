@@ -107,6 +107,42 @@ def _(t: Tables) -> DataFrame:
     return out.select("id", F.size("h").alias("corners"), rings.area("h").alias("area"), "simple")
 
 
+def _crooked(t: Tables) -> DataFrame:
+    """By number: a bow tie, a star of eight spikes, an L begun at its foot's end, and a box with a spike that runs out and back."""
+    pt = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    x0, y0, x1, y1, cx, cy = (F.col(c) for c in ("min_x", "min_y", "max_x", "max_y", "center_x", "center_y"))
+    tip = lambda k: F.when(k % 2 == 0, 30.0).otherwise(1.0)
+    star = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: pt(cx + tip(k) * F.cos(k * 0.39269908169872414), cy + tip(k) * F.sin(k * 0.39269908169872414)))
+    bow = F.array(pt(x0, y0), pt(x1, y1), pt(x1, y0), pt(x0, y1))
+    ell = F.array(pt(x1, y0), pt(x1, cy), pt(cx, cy), pt(cx, y1), pt(x0, y1), pt(x0, y0), pt(x1, y0))
+    spike = F.array(pt(x0, y0), pt(x1, y0), pt(x1, y1), pt(cx, y1), pt(cx, y1 + 5), pt(cx, y1 + 1), pt(x0, y1 + 1))
+    n = F.col("id") % 4
+    return t.obstacles().withColumn("ring", F.when(n == 0, bow).when(n == 1, star).when(n == 2, ell).otherwise(spike))
+
+
+@query("mth09_repaired", """SELECT id, CAST(CASE id % 4 WHEN 0 THEN 3 WHEN 1 THEN 8 WHEN 2 THEN 6 ELSE 6 END AS INTEGER) AS corners, id % 4 = 1 AS used_hull,
+  floor(1e6 * CASE id % 4 WHEN 0 THEN w * d / 4 WHEN 1 THEN 8 * 900 * sin(pi() / 4) / 2 WHEN 2 THEN w * d * 0.75e0 ELSE w * d + w / 2 END + 0.5) / 1e6 AS area FROM (SELECT id, max_x - min_x AS w, max_y - min_y AS d FROM obstacles)""", "obstacles")
+def _(t: Tables) -> DataFrame:
+    """Bow ties become a triangle, stars their hull, spikes without an area go, L shapes stay."""
+    from ..operators import footprints
+
+    out = footprints.normalised(_crooked(t))
+    return out.select("id", F.size("footprint").alias("corners"), "used_hull", half_up(rings.area("footprint"), 6).alias("area"))
+
+
+@query("shd22_concave_roofs", """SELECT id, part, CAST(CASE WHEN part = 'wall' THEN 2 * n ELSE n - 2 END AS BIGINT) AS triangles, floor(1e6 * CASE WHEN part = 'wall' THEN p * h ELSE a END + 0.5) / 1e6 AS area FROM
+  (SELECT id, max_z AS h, CASE WHEN id % 2 = 0 THEN 6 ELSE 8 END AS n, w * d * CASE WHEN id % 2 = 0 THEN 0.75e0 ELSE 0.875e0 END AS a, 2 * (w + d) + CASE WHEN id % 2 = 0 THEN 0 ELSE d END AS p FROM (SELECT *, max_x - min_x AS w, max_y - min_y AS d FROM obstacles)), (VALUES ('roof'), ('floor'), ('wall')) v(part)""", "obstacles")
+def _(t: Tables) -> DataFrame:
+    """Roofs, floors and walls over L shapes, and over U shapes that run clockwise."""
+    pt = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    x0, y0, x1, y1, cx, cy = (F.col(c) for c in ("min_x", "min_y", "max_x", "max_y", "center_x", "center_y"))
+    ell = F.array(pt(x1, y0), pt(x1, cy), pt(cx, cy), pt(cx, y1), pt(x0, y1), pt(x0, y0))
+    a, b = cx - (x1 - x0) / 8, cx + (x1 - x0) / 8
+    u = F.array(pt(x0, y0), pt(x0, y1), pt(a, y1), pt(a, cy), pt(b, cy), pt(b, y1), pt(x1, y1), pt(x1, y0))
+    o = t.obstacles().withColumn("ring", F.when(F.col("id") % 2 == 0, ell).otherwise(u)).select("id", F.explode(rings.extruded("ring", "min_z", "max_z")).alias("t"))
+    return o.groupBy("id", "t.part").agg(F.count("*").alias("triangles"), half_up(F.sum(rings.triangle_area(F.col("t"))), 6).alias("area"))
+
+
 @query("join23_polygon_tiles", """WITH r AS (SELECT *, max_x + 3e0 AS tip, (min_y + max_y) / 2 AS mid FROM obstacles) SELECT id, CAST(count(*) AS BIGINT) AS tiles, floor(sum(a) * 1e6 + 0.5) / 1e6 AS area FROM (SELECT id, te, tn, (least(max_x, te + 16) - greatest(min_x, te)) * (least(max_y, tn + 16) - greatest(min_y, tn)) AS a FROM r, range(-2, 80) x(i), range(-2, 60) y(j), (SELECT 1), LATERAL (SELECT i * 16e0 AS te, j * 16e0 AS tn) q
   WHERE te < max_x AND te + 16 > min_x AND tn < max_y AND tn + 16 > min_y) GROUP BY id""", "obstacles")
 def _(t: Tables) -> DataFrame:
