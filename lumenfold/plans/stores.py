@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources import readers, sinks, tilefiles
 from ..sources.tables import Tables
-from ..streaming import streams
+from ..streaming import results, streams
 from .registry import query
 
 
@@ -185,3 +185,49 @@ def _(t: Tables) -> DataFrame:
 @query("stm08_accepted", "WITH RECURSIVE e AS (SELECT DISTINCT user_id, CAST(ts AS TIMESTAMP) AS ts FROM events), a AS (SELECT user_id, min(ts) AS ts FROM e GROUP BY user_id UNION ALL SELECT a.user_id, min(e.ts) AS ts FROM a JOIN e ON e.user_id = a.user_id AND e.ts >= a.ts + INTERVAL 5 HOUR GROUP BY a.user_id) SELECT user_id, ts FROM a")
 def _(t: Tables) -> DataFrame:
     return _worked_off(t, streams.accepted(_stream(t).select("user_id", "ts"), "user_id", 5 * 3600))
+
+
+@query("stm01_timeline_log", """WITH k AS (SELECT 'start' AS kind, CAST(1 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS points UNION ALL SELECT 'tile', count(*), CAST(sum(event_id % 50) AS BIGINT) FROM events
+  UNION ALL SELECT 'places', count(*) FILTER (event_id % 3 > 0), CAST(sum(event_id % 3) AS BIGINT) FROM events UNION ALL SELECT 'done', 1, CAST(sum(event_id % 50) AS BIGINT) FROM events) SELECT kind, n, points, true AS in_order FROM k""")
+def _(t: Tables) -> DataFrame:
+    """The log of a stream of tiles: rows and points by kind; places follow their tile, and numbers have no gap."""
+    folder = sinks.scratch_folder(t.spark, "timeline")
+    k = F.col("event_id")
+    tiles = _stream(t).select(F.format_string("t%010d", k).alias("tile"), (k % 50).alias("points"), (k % 3).alias("places"))
+    results.publish(tiles, f"{folder}/log", f"{folder}/checkpoint", t.read("events").count())
+    log = results.read_log(t.spark, f"{folder}/log")
+    sizes = log.agg((F.max("seq") + 1 == F.count("*")).alias("dense"))
+    before = log.where("kind = 'tile'").select((F.col("seq") + 1).alias("seq"), F.col("tile").alias("of"))
+    shown = log.where("kind <> 'progress'").join(before, "seq", "left").withColumn("follows", (F.col("kind") != "places") | (F.col("of") == F.col("tile")))
+    out = shown.groupBy("kind").agg(F.count("*").alias("n"), F.sum("n").alias("points"), F.bool_and("follows").alias("follows"))
+    return out.join(F.broadcast(sizes)).select("kind", "n", "points", (F.col("follows") & F.col("dense")).alias("in_order"))
+
+
+@query("stm03_partial_batches", "SELECT CAST(k AS INTEGER) AS batch, least(30, n - 30 * k) AS points FROM (SELECT count(*) AS n FROM supplier), LATERAL (SELECT unnest(range((n + 29) // 30)) AS k)")
+def _(t: Tables) -> DataFrame:
+    """Points in batches of at most thirty, by a source that knows where it stopped."""
+    folder = sinks.scratch_folder(t.spark, "points")
+    t.probes().select("probe", "x", "y").coalesce(1).write.parquet(f"{folder}/in")
+    results.run_in_batches(results.partial_points(t.spark, f"{folder}/in", "probe bigint, x double, y double", 30), f"{folder}/out", f"{folder}/checkpoint")
+    out = t.spark.read.schema("probe bigint, x double, y double, batch int").parquet(f"{folder}/out")
+    return out.groupBy("batch").agg(F.countDistinct("probe").alias("points"))
+
+
+@query("stm06_evictions", """WITH e AS (SELECT user_id AS client, event_id AS ord, 't' || event_id % 23 AS tile, row_number() OVER (PARTITION BY user_id ORDER BY CAST(ts AS TIMESTAMP), event_id) AS k FROM events),
+  u AS (SELECT *, coalesce(lead(k) OVER (PARTITION BY client, tile ORDER BY k), 1e9) AS nxt FROM e), f AS (SELECT u.client, u.tile, u.k, b.tile AS other, min(b.k) AS hit FROM u JOIN e b ON b.client = u.client AND b.k > u.k AND b.k < u.nxt GROUP BY ALL),
+  g AS (SELECT client, tile, k, hit, row_number() OVER (PARTITION BY client, tile, k ORDER BY hit) AS nth FROM f) SELECT g.client, e.ord, g.tile AS evicted, CAST(8 AS BIGINT) AS size FROM g JOIN e ON e.client = g.client AND e.k = g.hit WHERE nth = 8""")
+def _(t: Tables) -> DataFrame:
+    """Tiles that leave a cache of eight for each user, and the event that pushes each out."""
+    k = F.col("event_id")
+    events = _stream(t).select(F.col("user_id").alias("client"), F.concat(F.lit("t"), k % 23).alias("tile"), F.lit(True).alias("put"), "ts", k.alias("ord"))
+    return _worked_off(t, results.evictions(events, 8))
+
+
+@query("stm04_changes", """WITH o AS (SELECT o_custkey AS job, o_orderkey AS revision, o_orderstatus AS status FROM orders), f AS (SELECT job, min(revision) AS ends FROM o WHERE status = 'F' GROUP BY job)
+  SELECT o.job, 'job' AS kind, revision, status FROM o LEFT JOIN f USING (job) WHERE ends IS NULL OR revision <= ends UNION ALL SELECT o.job, 'done', revision, status FROM o JOIN f ON o.job = f.job AND revision = ends""")
+def _(t: Tables) -> DataFrame:
+    """Revisions of every customer's job until one is final."""
+    jobs = t.spark.readStream.schema(t.read("orders").schema).parquet(f"{t.dir}/orders.parque[t]").select(F.col("o_custkey").alias("job"), F.col("o_orderkey").alias("revision"), F.col("o_orderstatus").alias("status"))
+    folder, feed = sinks.scratch_folder(t.spark, "feed"), results.changes(jobs, 3600.0, ("F",))
+    results.run_once(feed, f"{folder}/out", f"{folder}/log")
+    return t.spark.read.schema(feed.schema).parquet(f"{folder}/out")
