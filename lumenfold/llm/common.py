@@ -139,8 +139,17 @@ def only_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     return df.join(ids, on, "left_semi")
 
 
-#: Texts of more characters are not learned from, so that a sample of n rows has n times so many at most.
-TRAIN_CHARS = 100_000
+#: Characters of a text that are learned from. A longer one gives so many in TRAIN_PIECES even pieces over its whole
+#: length, so that a sample of n rows has n times so many at most.
+TRAIN_CHARS, TRAIN_PIECES = 100_000, 16
+
+
+def bounded(text: Column, chars: int = TRAIN_CHARS, pieces: int = TRAIN_PIECES) -> Column:
+    """text, or of one of more than ``chars`` characters pieces of ``chars / pieces`` each, evenly spread from its start to its end, joined by spaces."""
+    each = max(1, chars // pieces)
+    begin = lambda i: (F.floor(i * (F.length(text) - each) / max(1, pieces - 1)) + 1).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substring(text, begin(i), F.lit(each)))
+    return F.when(text.isNull() | (F.length(text) <= chars), text).otherwise(F.array_join(cut, " "))
 
 
 def lowest(rows: DataFrame, hashed: Column, n: int, total: int) -> DataFrame:
@@ -152,27 +161,29 @@ def lowest(rows: DataFrame, hashed: Column, n: int, total: int) -> DataFrame:
     return rows if share == 1 else rows.where(F.pmod(hashed, F.lit(1 << 31)) < int(share * (1 << 31)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, label: str, chars: int = TRAIN_CHARS) -> list[tuple[str, int, float]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, label: str, chars: int | None = None) -> list[tuple[str, int, float]]:
     """At most ``rows`` (text, label, weight) for the driver, in a fixed order.
 
     labels (doc_id, label): other values than 0 and 1 and null ids are not used, nor are ids
-    that have both labels, documents without text, and those of more than ``chars``
-    characters. Each class gives half, chosen by a hash of doc_id; where one has fewer, the
+    that have both labels, ids without a document, documents without text, and, where it is given, those of more than ``chars``
+    characters. All others can be chosen; long texts come as bounded() has them. Each class gives half, chosen by a hash of doc_id; where one has fewer, the
     other fills up. Weights restore the classes' true shares (their sum is the number of rows), so
     that scores mean the same whether or not the bound is reached. A doc_id with several texts
-    counts with the smallest of them. Ids are chosen first and are few enough to be
-    broadcast, so documents are scanned once and only chosen ones are grouped.
+    counts with the smallest of them. Ids are chosen first, among those that have a text (a join of
+    ids alone), and are few enough to be broadcast, so texts are read once and only chosen ones are grouped.
     """
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    texts = texts if chars is None else texts.where(F.length("text") <= chars)
     usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id")
     usable = usable.agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("__z")).where("y = __z").select("doc_id", "y")
+    usable = usable.join(texts.select("doc_id"), "doc_id", "left_semi")
     n = {0: 0, 1: 0} | {r.y: r.n for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
     few = min(n, key=n.get)
     take = {few: min(n[few], rows // 2)}
     take[1 - few] = min(n[1 - few], rows - take[few])
     h = F.xxhash64("doc_id", F.lit(3))
     ids = [lowest(usable.where(F.col("y") == k), h, take[k], n[k]).orderBy(h, "doc_id").limit(take[k]) for k in (0, 1)]
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= chars))
-    texts = texts.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    texts = texts.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").withColumn("text", bounded(F.col("text"))).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     got = sorted((r.doc_id, r.text, r.y) for r in texts.toLocalIterator())
     held = {k: sum(y == k for _, _, y in got) for k in (0, 1)}
     weight = {k: n[k] / max(1, n[0] + n[1]) * len(got) / max(1, held[k]) for k in (0, 1)}

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TRAIN_CHARS, fresh, prepare, tidy
+from .common import bounded, fresh, prepare, tidy
 
 UNDETERMINED = "und"
 #: Buckets of hashed n-grams; the hash gives each order n its own share.
@@ -160,15 +160,15 @@ def ridge(k: np.ndarray, inner: np.ndarray, y: np.ndarray, n: int) -> np.ndarray
     return np.vstack([weights, np.full((1, n), level)])
 
 
-def learn(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
+def learn(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """A model from text and non-null lang of docs: per language at most rows / languages, one at least, chosen by a hash.
 
     All languages are learned; they are counted in one pass, and a second one takes the
-    chosen rows, which come to the driver. Equal rows count once. Texts of more than
-    ``chars`` characters, without a letter or without a doc_id are not learned from.
+    chosen rows, which come to the driver. Equal rows count once. Texts without a letter or without a doc_id are not
+    learned from (nor is a language that has no others); long ones come as bounded() has them.
     """
-    usable = docs.where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= chars))
-    known = {r["lang"]: r["n"] for r in docs.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).toLocalIterator()}
+    usable = docs.where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    known = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).toLocalIterator()}
     if not known:
         return fit([])
     share = max(1, rows // len(known))
@@ -176,7 +176,7 @@ def learn(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) ->
     most = spark.createDataFrame([(lang, min(1.0, (share + 5 * share**0.5 + 25) / n)) for lang, n in known.items()], "lang string, __share double")
     h = F.xxhash64("doc_id", "text", F.lit(3))
     some = usable.select("doc_id", "text", "lang", h.alias("__h")).join(F.broadcast(most), "lang")
-    some = some.where(F.pmod("__h", F.lit(1 << 31)) < F.col("__share") * (1 << 31)).groupBy("lang", "__h", "doc_id").agg(F.min("text").alias("text"))
+    some = some.where(F.pmod("__h", F.lit(1 << 31)) < F.col("__share") * (1 << 31)).withColumn("text", bounded(F.col("text"))).groupBy("lang", "__h", "doc_id").agg(F.min("text").alias("text"))
     some = some.withColumn("__k", F.row_number().over(Window.partitionBy("lang").orderBy("__h", "doc_id"))).where(F.col("__k") <= share)
     got = sorted((r["lang"], r["__k"], r["text"]) for r in some.select("lang", "__k", "text").toLocalIterator())
     return fit([(text, lang) for lang, _, text in got])

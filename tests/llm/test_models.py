@@ -195,3 +195,27 @@ def test_scores_do_not_depend_on_whether_the_bound_is_reached(spark):
         a, b = ({r.doc_id: r.score for r in module.score(docs, module.learn(docs, labels, rows=n)).collect()} for n in (3000, 1500))
         assert abs(np.mean(list(a.values())) - 0.1) < 0.02 and abs(np.mean(list(b.values())) - 0.1) < 0.02
         assert np.mean([abs(a[k] - b[k]) for k in a]) < most
+
+
+def test_labels_without_documents_take_no_place(spark):
+    docs = spark.createDataFrame([(k * 100, f"text {k}") for k in range(20)] + [(5, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k // 100 % 2) for k in range(2000)], "doc_id long, label int")
+    got = common.labelled_sample(docs, labels, 100, "label")
+    assert len(got) == 20 and sum(y for _, y, _ in got) == 10 and abs(sum(w for _, _, w in got) - 20) < 1e-9
+
+
+def test_classes_and_languages_of_long_texts_are_learned(spark):
+    long = "wort und noch eines " * 20_000
+    docs = spark.createDataFrame([(k, f"{k} {long}" if k % 2 else f"short text {k}", "de" if k % 2 else "en") for k in range(20)] + [(99, "12 34", "xx")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, label int")
+    got = common.labelled_sample(docs, labels, 20, "label")
+    assert [y for _, y, _ in got] == [k % 2 for k in range(20)] and all(len(t) <= common.TRAIN_CHARS + common.TRAIN_PIECES for t, _, _ in got)
+    assert language_id.learn(docs).languages == ["de", "en"]
+
+
+def test_bounded_texts_reach_from_start_to_end(spark):
+    text = "".join(chr(0x4E00 + k) for k in range(5000))
+    got = spark.createDataFrame([(text,), (text[:64],), ("",), (None,)], "t string").select(common.bounded(F.col("t"), 64, 8).alias("b")).collect()
+    assert got[1].b == text[:64] and got[2].b == "" and got[3].b is None
+    parts = got[0].b.split(" ")
+    assert len(parts) == 8 and parts[0] == text[:8] and parts[-1] == text[-8:] and all(p in text for p in parts)
