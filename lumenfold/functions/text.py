@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .numbers import D, col
 
 
+@lru_cache(maxsize=1)
+def _marked_letters() -> tuple[str, str]:
+    """Letters of the Latin, Greek and Cyrillic blocks that decompose into one letter and marks, each with its letter; then the marks, which go."""
+    marks = "".join(map(chr, range(0x300, 0x370)))
+    found = {}
+    for c in map(chr, [*range(0xC0, 0x530), *range(0x1E00, 0x2000)]):
+        base = "".join(x for x in unicodedata.normalize("NFD", c) if x not in marks)
+        if len(base) == 1 and base != c:
+            found[c] = base
+    return "".join(found) + "".join(m for m in marks if m not in found), "".join(found.values())
+
+
 def folded(c: D) -> Column:
-    """Lower case without accents and other combining marks of the Latin, Greek and Cyrillic letters in common use."""
-    marks = "àáâãäåāăąçćčďđèéêëēėęěğìíîïīįłñńňòóôõöøōőřśšşťţùúûüūůűųýÿźžż"
-    plain = "aaaaaaaaacccddeeeeeeeegiiiiiilnnnoooooooorsssttuuuuuuuuyyzzz"
-    return F.translate(F.lower(col(c)), marks, plain)
+    """Lower case without accents and other combining marks: by Unicode's decomposition, so letters that have none (ø, ł, ß) stay."""
+    marked, plain = _marked_letters()
+    return F.translate(F.lower(col(c)), marked, plain)
 
 
 def match_score(text: D, needle: D) -> Column:
