@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import half_up
+
 
 def labelled(df: DataFrame, rules: dict[str, Column], label: str = "problem") -> DataFrame:
     """df with a row for each rule that a row breaks: label is the rule's name. Null conditions count as kept."""
@@ -47,6 +49,27 @@ def merged_manifest(old: DataFrame, new: DataFrame, keys: list[str], ids: str, f
     return both.select(*keys, done.alias(ids), left.alias(failed), (F.size(left) == 0).alias("complete"))
 
 
+#: Counters of a core that are busy time; the other one is idle. (Fixed values.)
+BUSY = ("user", "nice", "sys", "irq")
+
+
+def busy_shares(snapshots: DataFrame) -> DataFrame:
+    """at, cores, average, highest: how busy the cores were, in percent, between each snapshot and the one before it.
+
+    snapshots: at, core and the counters of BUSY and idle, which only grow. A core's share is busy / (busy + idle) of what its counters grew by, 0 where they
+    did not grow or went back, to one digit; the average is that of those shares. A core's first snapshot has none before it and takes no part, nor has one with a null.
+    """
+    whole = snapshots.dropna(subset=["at", "core", *BUSY, "idle"])
+    before = Window.partitionBy("core").orderBy("at")
+    grew = lambda c: F.col(c) - F.lag(c).over(before)
+    deltas = whole.select("at", "core", sum((grew(c) for c in BUSY[1:]), grew(BUSY[0])).alias("busy"), grew("idle").alias("rest")).where("busy is not null")
+    total = F.col("busy") + F.col("rest")
+    share = half_up(F.when(total > 0, F.col("busy") / total * 100).otherwise(0.0), 1)
+    n, tenths = F.count("*"), F.sum(F.round(F.col("share") * 10).cast("bigint"))  # summed as whole numbers, so that the order of rows does not tell
+    average = F.floor((2 * tenths + n) / (2 * n)) / 10
+    return deltas.withColumn("share", share).groupBy("at").agg(n.alias("cores"), average.alias("average"), F.max("share").alias("highest"))
+
+
 def outline_edges(tiles: DataFrame, *keys: str) -> DataFrame:
     """tiles (i, j) to the unit edges on their outline: those that belong to one tile only. x1, y1, x2, y2 and the tile; keys keep grids apart."""
     side = lambda a, b, c, d: F.struct((F.col("i") + a).alias("x1"), (F.col("j") + b).alias("y1"), (F.col("i") + c).alias("x2"), (F.col("j") + d).alias("y2"))

@@ -166,6 +166,19 @@ def _(t: Tables) -> DataFrame:
     return d.groupBy("user_id").agg(half_up(F.avg(F.when(F.col("p") != 0, (F.col("value") - F.col("p")) / F.col("p"))), 6).alias("mean"))
 
 
+@query("win13_busy_shares", """WITH g AS (SELECT CAST(ts AS DATE) AS day, user_id % 8 AS core, event_type AS kind, CAST(sum(CAST(floor(value * 100) AS BIGINT)) AS BIGINT) AS v FROM events GROUP BY ALL),
+  w AS (SELECT day, core, coalesce(sum(v) FILTER (kind <> 'error'), 0) AS busy, coalesce(sum(v) FILTER (kind = 'error'), 0) AS rest FROM g GROUP BY ALL), f AS (SELECT core, min(day) AS a FROM w GROUP BY core),
+  s AS (SELECT day, floor(busy * 1e0 / (busy + rest) * 100 * 10 + 0.5) / 10 AS share FROM w JOIN f USING (core) WHERE day > a AND busy + rest > 0 UNION ALL SELECT day, 0 FROM w JOIN f USING (core) WHERE day > a AND busy + rest = 0)
+  SELECT day AS "at", count(*) AS cores, floor((2 * sum(CAST(round(share * 10) AS BIGINT)) + count(*)) / (2 * count(*))) / 10 AS average, max(share) AS highest FROM s GROUP BY day""")
+def _(t: Tables) -> DataFrame:
+    """Daily snapshots of eight cores, whose counters grow with the values of their events: how busy they were from day to day."""
+    kinds = {"view": "user", "signup": "nice", "click": "sys", "purchase": "irq", "error": "idle"}
+    e = t.events().select(F.to_date("ts").alias("at"), (F.col("user_id") % 8).alias("core"), "event_type", F.floor(F.col("value") * 100).alias("v"))
+    day = e.groupBy("at", "core").agg(*(F.coalesce(F.sum(F.when(F.col("event_type") == k, F.col("v"))), F.lit(0)).alias(c) for k, c in kinds.items()))
+    so_far = Window.partitionBy("core").orderBy("at")
+    return checks.busy_shares(day.select("at", "core", *(F.sum(c).over(so_far).alias(c) for c in kinds.values())))
+
+
 @query("win15_first_transitions", "WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, hour(ts) * 60 + minute(ts) AS m, event_type = 'error' AS b, lag(event_type = 'error') OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS p FROM events) SELECT user_id, day, min(m) FILTER (WHERE b AND NOT p AND m >= 720) AS first_blocked, min(m) FILTER (WHERE p AND NOT b AND m <= 720) AS first_release FROM d GROUP BY 1, 2")
 def _(t: Tables) -> DataFrame:
     day, b = F.to_date("ts"), F.col("event_type") == "error"

@@ -73,3 +73,10 @@ def test_lines_run_on_over_tile_borders(spark):
     assert n == {("sunny", 1, 1): 24, ("shadow", 0, 0): 32, ("shadow", 1, 1): 24, ("buildings", 3, 3): 4}
     box = got.where("layer = 'buildings'").agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     assert tuple(box) == (3.0, 4.0, 3.0, 4.0)
+
+
+def test_busy_shares(spark):
+    rows = [(1, 0, 10, 0, 0, 0, 10), (2, 0, 16, 1, 1, 1, 13), (3, 0, 16, 1, 1, 1, 13), (4, 0, 0, 0, 0, 0, 0), (1, 1, 0, 0, 0, 0, 0), (2, 1, 0, 0, 0, 0, 9), (2, 2, 5, 5, 5, 5, 5), (3, None, 1, 1, 1, 1, 1), (3, 1, None, 1, 1, 1, 1)]
+    df = spark.createDataFrame(rows, "at int, core int, user long, nice long, sys long, irq long, idle long")
+    got = {r.at: (r.cores, r.average, r.highest) for r in checks.busy_shares(df).collect()}
+    assert got == {2: (2, 37.5, 75.0), 3: (1, 0.0, 0.0), 4: (1, 0.0, 0.0)}
