@@ -104,7 +104,7 @@ rays AS (SELECT row_number() OVER () AS probe, row_number() OVER () AS ray, tile
 
 
 def _masks_sql(blocked: str, horizon: bool, all_blockers: bool = False) -> str:
-    hidden = "ray IN (SELECT probe FROM tr)" + (f" OR altitude <= (SELECT angle FROM horizon WHERE az_bin = CAST(floor(azimuth + 0.5) AS INTEGER) % 360)" if horizon else "")
+    hidden = "ray IN (SELECT probe FROM tr)" + (" OR coalesce(altitude <= (SELECT angle FROM horizon WHERE az_bin = CAST(floor(azimuth + 0.5) AS INTEGER) % 360), false)" if horizon else "")
     open_ = "true" if all_blockers else "NOT t"
     masks = ", ".join(f"string_agg({m}, ':' ORDER BY w) AS {m}" for m in evaluator.MASKS)
     words = ", ".join(f"CAST(bit_or(CASE WHEN {m} THEN CAST(1 AS BIGINT) << (i % 32) ELSE 0 END) AS VARCHAR) AS {m}" for m in evaluator.MASKS)
@@ -131,11 +131,10 @@ def _shown(masks: DataFrame) -> DataFrame:
 
 @query("udf03_batch_masks", _masks_sql(_PRISMS, True), "obstacles", "horizon")
 def _(t: Tables) -> DataFrame:
-    """All five masks of every tile at every hour: horizon, ground, buildings as prisms, vegetation."""
+    """All five masks of every tile at every hour: horizon (a degree without an angle hides nothing), ground, buildings as prisms, vegetation."""
     surface = shade._surface(t)
-    low = t.horizon().withColumn("angle", F.col("angle"))
     return _shown(evaluator.frame_masks(
-        _points(t), _suns(t), _RESOLUTION, profile=low, ground=evaluator.terrain(*surface), built=evaluator.buildings(t.obstacles(), reach=_REACH), green=evaluator.vegetation(*surface),
+        _points(t), _suns(t), _RESOLUTION, profile=t.horizon(), ground=evaluator.terrain(*surface), built=evaluator.buildings(t.obstacles(), reach=_REACH), green=evaluator.vegetation(*surface),
     ))
 
 
