@@ -7,7 +7,8 @@ member of the two lines, rare words rather than common ones, and is equal if it
 a shared one: where edits fall on words without regard to their frequency with a chance of
 two in three at the threshold. A band of three is then equal with 0.296, and any of BANDS
 with 0.996 (at a similarity of 0.9 with 0.999997). Weights keep lines apart that have
-nothing but common words in common. Lines that share a band are linked if their edit
+nothing but common words in common. They are gentle, so that lines still meet where edits
+fall on the rarest words of a large corpus: 0.96 and more at the threshold (a test). Lines that share a band are linked if their edit
 similarity, in words, is high enough. Of each connected group of lines, the first
 occurrence in the corpus stays.
 
@@ -34,9 +35,12 @@ from .common import BROADCAST_IDS, Carried, Scratch, connected_components, fresh
 BANDS, SAMPLES = 16, 3
 #: Rows of the table of word counts: words share a row where their hashes do.
 COUNTED = 1 << 16
-#: A word's chance to be sampled is halved for every fourfold of this share of all words, so many times at most.
-#: Shares are smoothed by as many words as UNSEEN, so that few words tell nothing.
+#: A word's share of all words is told in fourfolds of COMMON, so many at most. Shares are smoothed by as many words as
+#: UNSEEN, so that few words tell nothing.
 COMMON, MOST_HALVINGS, UNSEEN = 2.0**-15, 6, 1 << 20
+#: So many fourfolds halve a word's chance to be sampled once. With one, lines whose edits fall on their rarest words meet
+#: too seldom in large corpora; with more, common words alone make lines meet.
+GENTLE = 2
 #: Samples of a line are also kept as four bits each. Lines are compared if as many are equal as ALIKE: at the threshold
 #: 33 of the 48 are on average (fewer than 20 with a chance of 2e-5), of lines that share only a band and common words 10.
 SKETCH_WORDS, ALIKE = BANDS * SAMPLES // 16, 20
@@ -124,7 +128,7 @@ def hashed_lines(words: np.ndarray, line: np.ndarray, least: int = MIN_WORDS) ->
 
 
 def halvings(counts: np.ndarray) -> np.ndarray:
-    """How many times the chance of a word to be sampled is halved, by its row in the table of word counts."""
+    """How many fourfolds of COMMON a word's share is, by its row in the table of word counts: GENTLE of them halve its chance to be sampled."""
     share = counts / (int(counts.sum()) + UNSEEN)
     return np.clip(np.floor(np.log2(np.maximum(share, 1e-30) / COMMON) / 2), 0, MOST_HALVINGS).astype(np.uint8)
 
@@ -175,7 +179,7 @@ def fingerprints(
         starts = np.flatnonzero(np.diff(place, prepend=-1))
         lines = place[starts]
         # A sample is the member of the smallest value; the values of a word halved k times are 2**k as large.
-        down = np.uint64(MOST_HALVINGS) - (0 if halved is None else halved[(words % np.uint64(COUNTED)).astype(np.int64)].astype(np.uint64))
+        down = np.uint64(MOST_HALVINGS // GENTLE) - (0 if halved is None else (halved // GENTLE)[(words % np.uint64(COUNTED)).astype(np.int64)].astype(np.uint64))
         values = np.empty_like(members)
         for i in range(BANDS):
             band = np.zeros(len(starts), np.uint64)

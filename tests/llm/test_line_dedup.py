@@ -3,6 +3,8 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.llm import common
@@ -197,6 +199,41 @@ def test_lines_above_the_threshold_meet():
         assert recall >= 0.99
 
 
+@pytest.mark.parametrize("rarest", [False, True])
+def test_recall_with_the_weights_of_a_large_corpus(rarest):
+    """Real lines with a fifth of their words replaced, the rarest ones or any, and weights of the same words in a corpus
+    a thousand times as large: the share that shares a band and passes the sketches, by the number of words."""
+    rng = random.Random(11)
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist() if t]
+    row = lambda w: int(ld.hashed_words(w.decode())[0][0] % np.uint64(ld.COUNTED))
+    counts = np.zeros(ld.COUNTED, np.int64)
+    for t in texts:
+        counts += np.bincount((ld.hashed_words(t)[0] % np.uint64(ld.COUNTED)).astype(np.int64), minlength=ld.COUNTED)
+    halved = ld.halvings(counts * 1000)
+    held = [ws for ws in sorted({tuple(ws) for t in texts for ws in ld.normal_lines(t)}) if 5 <= len(ws) <= 60]
+    lines = rng.sample(held, 1500)
+    others = []
+    for ws in lines:
+        places = rng.sample(range(len(ws)), len(ws))
+        if rarest:
+            places.sort(key=lambda k: counts[row(ws[k])])
+        gone = set(places[: len(ws) // 5])
+        others.append([b"zq%d" % rng.randrange(10**9) if k in gone else w for k, w in enumerate(ws)])
+
+    def prints(which):
+        words, line = ld.hashed_words(b"\n".join(b" ".join(ws) for ws in which).decode())
+        sketches = np.zeros((len(which), ld.SKETCH_WORDS), np.uint64)
+        bands = ld.fingerprints(words, line, len(which), halved, sketches)[0]
+        return bands, (sketches[:, :, None] >> (4 * np.arange(16, dtype=np.uint64))) & np.uint64(15)
+
+    (bands, samples), (bands2, samples2) = prints(lines), prints(others)
+    found = (bands == bands2).any(1) & ((samples == samples2).sum((1, 2)) >= ld.ALIKE)
+    size = np.array([len(ws) for ws in lines])
+    for lo, hi in ((5, 8), (8, 12), (12, 20), (20, 61)):
+        assert found[(size >= lo) & (size < hi)].mean() >= 0.93
+    assert found.mean() >= 0.96
+
+
 def test_near_lines_go_by_the_rule_alone(spark):
     """Against all pairs of lines, without the key condition."""
     rng = random.Random(11)
