@@ -182,8 +182,8 @@ FROM d LEFT JOIN h USING (r) LEFT JOIN it USING (r)
 
 _WARC = """
 SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
-  CASE WHEN strlen(coalesce(html, '')) >= 1000 AND page_id < m THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN strlen(coalesce(html, '')) >= 1000 AND page_id < m THEN m END AS refers_to
+  CASE WHEN strlen(coalesce(html, '')) >= 1000 AND page_id IS DISTINCT FROM m AND m IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN strlen(coalesce(html, '')) >= 1000 AND page_id IS DISTINCT FROM m THEN m END AS refers_to
 FROM (SELECT *, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS m FROM pages)
 """
 

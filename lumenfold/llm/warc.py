@@ -27,6 +27,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 REVISIT_BYTES = 1000
 #: Records in one archive file at most, and bytes of their pages: a file is read whole by one task.
 FILE_RECORDS, FILE_BYTES = 400, 256 << 20
+#: Classes of pages by bytes: of each, files have records of a like length. Longer ones than the last but one are alone or few in a file.
+LENGTHS = (1 << 16, 1 << 20, 1 << 24, 1 << 31)
 #: Bytes that are inflated at a time.
 CHUNK = 1 << 16
 
@@ -198,7 +200,9 @@ def revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
 def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", file_records: int = FILE_RECORDS, file_bytes: int = FILE_BYTES) -> None:
     """Write pages (page_id, url, html, refers_to) as archives of at most file_records records into the folder path.
 
-    Fewer are in a file where the longest page, so many times, would exceed file_bytes.
+    Pages are written by classes of their length, and a class's files take as many records as file_bytes hold of its
+    longest page. So one very long page makes no small files of the others. Classes are few, and those without a page
+    are not written.
 
     Spark's text writer puts one byte after each row. A gzip member ends with its
     size's highest byte, 0 below 16 MB; that byte is taken off the row, and the
@@ -206,8 +210,11 @@ def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", file_
     an empty one, which has no record.
     """
     prepare(pages.sparkSession)
-    longest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
-    file_records = max(1, min(file_records, file_bytes // (longest + 1024)))
+    bytes_ = F.coalesce(F.octet_length("html"), F.lit(0))
+    upto = F.lit(LENGTHS[-1])
+    for most in reversed(LENGTHS[:-1]):
+        upto = F.when(bytes_ <= most, most).otherwise(upto)
+    classes = {r.upto: r.longest for r in pages.groupBy(upto.alias("upto")).agg(F.max(bytes_).alias("longest")).collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,8 +226,11 @@ def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", file_
                 rows.append(data[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["value"])
 
-    out = pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, "value binary")
-    out.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\u0000").option("maxRecordsPerFile", file_records).text(path)
+    for k, (most, longest) in enumerate(sorted(classes.items()) or [(LENGTHS[0], 0)]):
+        held = pages.where(upto == most) if len(classes) > 1 else pages
+        out = held.select("page_id", "url", "html", "refers_to").mapInArrow(run, "value binary")
+        records = max(1, min(file_records, file_bytes // (longest + 1024)))
+        out.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\u0000").option("maxRecordsPerFile", records).mode("append" if k else "errorifexists").text(path)
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:

@@ -40,6 +40,20 @@ def test_files_are_plain_gzip_members(spark, tmp_path):
     assert sum(gzip.decompress(f.read_bytes()).count(b"WARC/1.1\r\n") for f in files) == 9
 
 
+def test_a_long_page_makes_no_small_files_of_others(spark, tmp_path):
+    path = tmp_path / "w"
+    rows = [(k, "u", f"page {k}") for k in range(100)] + [(k, "u", str(k) * 700_000) for k in range(1000, 1003)]
+    warc.write(pages(spark, rows).selectExpr("*", "cast(null as bigint) as refers_to").coalesce(1), str(path), file_bytes=4 << 20)
+    assert len(list(path.glob("part-*"))) == 4  # one of all short pages, one for each long one
+    assert sorted(warc.page_of(r.id) for r in warc.scan(spark, str(path)).collect()) == sorted(k for k, _, _ in rows)
+
+
+def test_extra_columns_of_clashing_names(spark, tmp_path):
+    rows = [(1, "u", "x" * 1200, "a", 7), (2, "u", "x" * 1200, "b", 8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, refers_to string, value long")
+    assert {(warc.page_of(r.id), r.type) for r in read_back(spark, df, str(tmp_path / "w"))} == {(1, "revisit"), (2, "response")}
+
+
 def test_empty_table(spark, tmp_path):
     assert read_back(spark, pages(spark, [(1, "u", "x")]).limit(0), str(tmp_path / "w")) == []
 
