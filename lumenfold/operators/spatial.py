@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, rings
@@ -36,15 +36,52 @@ def containing_region(points: DataFrame, regions: DataFrame, key: str) -> DataFr
     return points.select(key).join(first, key, "left")
 
 
+def boxes_meeting(boxes: DataFrame, others: DataFrame, prefix: str = "q_", degrees: float = 0.1) -> DataFrame:
+    """boxes (columns with prefix) with each of others that they meet, edges included, once a pair.
+
+    Both sides are cut into cells of so many degrees, so the join has an equal key. Of the
+    cells that a pair shares, the one that holds the lower left corner of what both cover gives it.
+    """
+    cell = lambda c: F.floor(c / degrees).cast("bigint")
+    cells = lambda lo, hi: F.explode(F.sequence(cell(F.col(lo)), cell(F.col(hi))))
+
+    def cut_up(df: DataFrame, p: str) -> DataFrame:
+        held = df.where(f"{p}min_lon <= {p}max_lon AND {p}min_lat <= {p}max_lat")
+        return held.withColumn("__cx", cells(f"{p}min_lon", f"{p}max_lon")).withColumn("__cy", cells(f"{p}min_lat", f"{p}max_lat"))
+
+    pairs = cut_up(boxes, prefix).join(cut_up(others, ""), ["__cx", "__cy"]).where(geo.boxes_meet(prefix, ""))
+    corner = [cell(F.greatest(f"{prefix}min_{axis}", f"min_{axis}")) for axis in ("lon", "lat")]
+    return pairs.where((F.col("__cx") == corner[0]) & (F.col("__cy") == corner[1])).drop("__cx", "__cy")
+
+
 def region_of_box(boxes: DataFrame, regions: DataFrame, key: str, prefix: str = "q_") -> DataFrame:
     """key and the region of each box: one that contains it, else the one with the largest overlap; ties by ord."""
-    pairs = boxes.join(small(regions), geo.boxes_meet(prefix, "")).withColumn("__area", geo.overlap_area(prefix, "")).withColumn("__in", geo.box_contains("", prefix))
+    pairs = boxes_meeting(boxes, regions, prefix).withColumn("__area", geo.overlap_area(prefix, "")).withColumn("__in", geo.box_contains("", prefix))
     pairs = pairs.where(F.col("__in") | (F.col("__area") > 0))
     whole = F.when(F.col("__in"), F.lit(0.0)).otherwise(-F.col("__area"))
     rank = F.struct(F.when(F.col("__in"), 0).otherwise(1).alias("a"), whole.alias("b"), F.col("ord").alias("c"))
     return boxes.select(key).join(pairs.groupBy(key).agg(F.min_by("region", rank).alias("region")), key, "left")
 
 
+def _at_cell(points: DataFrame, cell: float) -> DataFrame:
+    return points.withColumn("cx", F.floor(F.col("x") / cell).cast("int")).withColumn("cy", F.floor(F.col("y") / cell).cast("int"))
+
+
+_IN_BOX = "x >= min_x AND x <= max_x AND y >= min_y AND y <= max_y"
+
+
+def boxes_with_points(boxes: DataFrame, points: DataFrame, cell: float = CELL) -> DataFrame:
+    """boxes (min_x and so on) with each of the points (x, y) that they hold, edges included; joined by cell."""
+    return obstacle_cells(boxes, cell).join(_at_cell(points, cell), ["cx", "cy"]).where(_IN_BOX).drop("cx", "cy")
+
+
+def outside_all(points: DataFrame, boxes: DataFrame, cell: float = CELL) -> DataFrame:
+    """points (x, y) that no box holds, edges included; joined by cell."""
+    b = obstacle_cells(boxes.select("min_x", "min_y", "max_x", "max_y"), cell).withColumnsRenamed({"cx": "__cx", "cy": "__cy"})
+    on = (F.col("cx") == F.col("__cx")) & (F.col("cy") == F.col("__cy")) & F.expr(_IN_BOX)
+    return _at_cell(points, cell).join(b, on, "left_anti").drop("cx", "cy")
+
+
 def obstacle_cells(obstacles: DataFrame, cell: float = CELL) -> DataFrame:
     """obstacles with a row for each grid cell (cx, cy) that their box meets."""
     n = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell).cast("int"), F.floor(F.col(hi) / cell).cast("int")))
@@ -188,22 +225,47 @@ def nearest_within(left: DataFrame, right: DataFrame, key: str, tie: str, reach:
     return best.select(key, F.col(f"b.{tie}").alias(tie), F.col("b.__s").alias("distance"))
 
 
+def _levels(right: DataFrame, size: float, x0: float, y0: float, extent: float) -> list[DataFrame]:
+    """Occupied cells of right by level, each with the box of its points: sides of size, 4 * size and so on to one cell in all."""
+    at = right.withColumn("cx", F.floor((F.col("x") - x0) / size).cast("bigint")).withColumn("cy", F.floor((F.col("y") - y0) / size).cast("bigint"))
+    box = [F.min("x").alias("lo_x"), F.max("x").alias("hi_x"), F.min("y").alias("lo_y"), F.max("y").alias("hi_y")]
+    out = [cut(at.where("cx is not null and cy is not null").groupBy("cx", "cy").agg(*box))]
+    while size <= extent:
+        up = out[-1].groupBy(F.floor(F.col("cx") / 4).alias("cx"), F.floor(F.col("cy") / 4).alias("cy"))
+        out.append(cut(up.agg(F.min("lo_x").alias("lo_x"), F.max("hi_x").alias("hi_x"), F.min("lo_y").alias("lo_y"), F.max("hi_y").alias("hi_y"))))
+        size *= 4
+    return out
+
+
 def nearest_point(left: DataFrame, right: DataFrame, key: str, tie: str, size: float = CELL, chebyshev: bool = False) -> DataFrame:
     """left's key with the nearest row of right, however far it is: key, tie, distance; both have x, y. Nothing if right is empty.
 
-    Rings of cells: rows that have none within ``size`` look within twice as much, and so
-    on up to the extent of both sides, so that only rows far from all of right meet many. Each
-    step is written to the checkpoint folder.
+    Rows that have one within ``size`` find it by cell. The others go down the levels of right's
+    occupied cells, of which each is a sixteenth of the one above: of a row's cells stay those that begin no farther
+    than the nearest cell's box ends, so that few do at every level, however far the row is, and only points of
+    the last ones are met. Equal distances go to the smallest tie. Rows with a null in x or y are left out.
     """
-    bounds = left.select("x", "y").unionByName(right.select("x", "y")).agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
-    extent = 2 * max((v for v in bounds if v is not None), default=0.0) + size
-    out, open_, reach = None, left.select(key, "x", "y"), size
-    while True:
-        found = cut(nearest_within(open_, right, key, tie, reach, chebyshev))
-        out = found if out is None else out.unionByName(found)
-        open_, reach = cut(open_.join(found.select(key), key, "left_anti")), reach * 2
-        if reach >= 2 * extent or open_.isEmpty():
-            return out
+    held = left.select(key, "x", "y").where("x is not null and y is not null")
+    found = cut(nearest_within(held, right, key, tie, size, chebyshev))
+    open_ = cut(held.join(found.select(key), key, "left_anti"))
+    x0, x1, y0, y1 = right.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if x0 is None or y0 is None or open_.isEmpty():
+        return found
+    levels = _levels(right.select("x", "y"), size, x0, y0, max(x1 - x0, y1 - y0))
+    both = lambda dx, dy: F.greatest(dx, dy) if chebyshev else F.sqrt(dx * dx + dy * dy)
+    begins = both(*(F.greatest(F.lit(0.0), F.col(f"lo_{c}") - F.col(c), F.col(c) - F.col(f"hi_{c}")) for c in "xy"))
+    ends = both(*(F.greatest(F.abs(F.col(c) - F.col(f"lo_{c}")), F.abs(F.col(c) - F.col(f"hi_{c}"))) for c in "xy"))
+    reached = open_.select(key, "x", "y", F.lit(0).cast("bigint").alias("cx"), F.lit(0).cast("bigint").alias("cy"))
+    for cells in reversed(levels[:-1]):
+        below = cells.withColumn("__px", F.floor(F.col("cx") / 4)).withColumn("__py", F.floor(F.col("cy") / 4))
+        on = reached.withColumnsRenamed({"cx": "__px", "cy": "__py"}).join(small(below), ["__px", "__py"])
+        on = on.withColumn("__begins", begins).withColumn("__most", F.min(ends).over(Window.partitionBy(key)))
+        reached = on.where("__begins <= __most").select(key, "x", "y", "cx", "cy")
+    points = right.select(
+        F.col(tie), F.col("x").alias("__x"), F.col("y").alias("__y"), F.floor((F.col("x") - x0) / size).cast("bigint").alias("cx"), F.floor((F.col("y") - y0) / size).cast("bigint").alias("cy")
+    )
+    best = reached.join(points, ["cx", "cy"]).withColumn("__s", _distance(chebyshev)).groupBy(key).agg(F.min(F.struct("__s", tie)).alias("b"))
+    return found.unionByName(best.select(key, F.col(f"b.{tie}").alias(tie), F.col("b.__s").alias("distance")))
 
 
 def near_pairs(left: DataFrame, right: DataFrame, dlat: float, dlon: float) -> DataFrame:

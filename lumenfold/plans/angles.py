@@ -286,9 +286,9 @@ def _(t: Tables) -> DataFrame:
     return f.where(~((F.col("alt") > 2) & (F.col("sunny") == 0))).groupBy("day").agg(F.count("*").alias("kept"))
 
 
-@query("shd05_horizon_margin", f"WITH {_SUN} SELECT count(*) AS n FROM sun WHERE altitude > (SELECT max(angle) FROM horizon WHERE az_bin < 3) + 0.25 - 12", "horizon")
+@query("shd05_horizon_margin", f"WITH {_SUN} SELECT count(*) AS n FROM sun WHERE altitude > (SELECT max(angle) FROM horizon) + 0.25 - 12", "horizon")
 def _(t: Tables) -> DataFrame:
-    top = t.horizon().where("az_bin < 3").agg(F.max("angle").alias("top"))
+    top = t.horizon().agg(F.max("angle").alias("top"))
     return _sun(t).join(F.broadcast(top), F.col("altitude") > F.col("top") + 0.25 - 12).agg(F.count("*").alias("n"))
 
 

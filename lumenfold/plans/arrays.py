@@ -178,10 +178,10 @@ def _(t: Tables) -> DataFrame:
 
 @query("flt12_point_in_ring", "SELECT o.id, p.probe FROM obstacles o JOIN probes p ON p.x > min_x AND p.x < max_x AND p.y > min_y AND p.y < max_y + 2 - abs(p.x - center_x) * 2 / (max_x - center_x)", "obstacles", "probes")
 def _(t: Tables) -> DataFrame:
-    from ..operators.spatial import small
+    from ..operators.spatial import boxes_with_points
 
-    near = (F.col("x") >= F.col("min_x")) & (F.col("x") <= F.col("max_x")) & (F.col("y") >= F.col("min_y")) & (F.col("y") <= F.col("max_y") + 2)
-    return _ring(t).join(small(t.probes()), near).where(rings.contains("ring", "x", "y")).select("id", "probe")
+    boxes = _ring(t).withColumn("max_y", F.col("max_y") + 2)
+    return boxes_with_points(boxes, t.probes().select("probe", "x", "y")).where(rings.contains("ring", "x", "y")).select("id", "probe")
 
 
 @query("shd12_ray_to_ring", "SELECT id, floor((min_x - (center_x - 100)) * 1e6 + 0.5) / 1e6 AS distance FROM obstacles", "obstacles")

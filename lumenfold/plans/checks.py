@@ -25,10 +25,11 @@ def _(t: Tables) -> DataFrame:
     return j.select("az_b", "alt_b", F.when(F.col("a"), "left only").otherwise("right only").alias("direction")).orderBy("az_b", "alt_b").limit(200)
 
 
-@query("set07_unmatched", "SELECT (SELECT count(*) FROM (SELECT az_b FROM buckets WHERE tile = 1 AND alt_b = 1 EXCEPT SELECT az_b FROM buckets WHERE tile = 2 AND alt_b = 1)) AS only_a, (SELECT count(*) FROM (SELECT az_b FROM buckets WHERE tile = 2 AND alt_b = 1 EXCEPT SELECT az_b FROM buckets WHERE tile = 1 AND alt_b = 1)) AS only_b, (SELECT count(*) FROM (SELECT az_b FROM buckets WHERE tile = 2 AND alt_b = 1 INTERSECT SELECT az_b FROM buckets WHERE tile = 1 AND alt_b = 1)) AS both", "buckets")
+@query("set07_unmatched", """WITH a AS (SELECT DISTINCT az_b, alt_b FROM buckets WHERE tile = 1), b AS (SELECT DISTINCT az_b, alt_b FROM buckets WHERE tile = 2)
+  SELECT (SELECT count(*) FROM (FROM a EXCEPT FROM b)) AS only_a, (SELECT count(*) FROM (FROM b EXCEPT FROM a)) AS only_b, (SELECT count(*) FROM (FROM a INTERSECT FROM b)) AS both""", "buckets")
 def _(t: Tables) -> DataFrame:
-    b = t.buckets().where("alt_b = 1")
-    return checks.unmatched(b.where("tile = 1"), b.where("tile = 2"), "az_b")
+    b = t.buckets().withColumn("bucket", F.struct("az_b", "alt_b"))
+    return checks.unmatched(b.where("tile = 1"), b.where("tile = 2"), "bucket")
 
 
 @query("agg14_distinct_warnings", "SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS warnings FROM events WHERE value < 0.5 GROUP BY user_id")

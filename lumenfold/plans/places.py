@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import hours, text
 from ..functions.numbers import half_up
 from ..operators import places as ops
-from ..operators import checks, windows
+from ..operators import checks, spatial, windows
 from ..sources.tables import Tables
 from .registry import query
 
@@ -82,13 +82,15 @@ def _(t: Tables) -> DataFrame:
     return t.obstacles().where(F.col("center_x") <= limit).select("id")
 
 
-@query("flt15_covered_view", "SELECT CAST(r AS INTEGER) AS view, NOT EXISTS (SELECT 1 FROM range(9) a(i), range(9) b(j) WHERE NOT EXISTS (SELECT 1 FROM obstacles o WHERE o.id % 3 = 0 AND r * 20 + i * 5 BETWEEN o.min_x - 20 AND o.max_x + 20 AND r * 10 + j * 5 BETWEEN o.min_y - 20 AND o.max_y + 20)) AS covered FROM range(30) v(r)", "obstacles")
+@query("flt15_covered_view", "SELECT probe AS view, NOT EXISTS (SELECT 1 FROM range(9) a(i), range(9) b(j) WHERE NOT EXISTS (SELECT 1 FROM obstacles o WHERE x + i * 5 BETWEEN o.min_x - 8 AND o.max_x + 8 AND y + j * 5 BETWEEN o.min_y - 8 AND o.max_y + 8)) AS covered FROM probes", "probes", "obstacles")
 def _(t: Tables) -> DataFrame:
-    grid = t.spark.range(30 * 81).select(F.floor(F.col("id") / 81).cast("int").alias("view"), (F.floor(F.col("id") / 9) % 9).alias("i"), (F.col("id") % 9).alias("j"))
-    pts = grid.select("view", (F.col("view") * 20 + F.col("i") * 5).alias("px"), (F.col("view") * 10 + F.col("j") * 5).alias("py"))
-    held = t.obstacles().where("id % 3 = 0").select("min_x", "max_x", "min_y", "max_y")
-    bare = pts.join(held, (F.col("px").between(F.col("min_x") - 20, F.col("max_x") + 20)) & (F.col("py").between(F.col("min_y") - 20, F.col("max_y") + 20)), "left_anti")
-    return pts.select("view").distinct().join(bare.groupBy("view").agg(F.count("*").alias("n")), "view", "left").select("view", F.col("n").isNull().alias("covered"))
+    """A view at each probe is covered where rectangles held hold each of its 9 x 9 sample points."""
+    steps = lambda: F.explode(F.sequence(F.lit(0), F.lit(40), F.lit(5)))
+    views = t.probes().select(F.col("probe").alias("view"), "x", "y")
+    pts = views.withColumn("i", steps()).withColumn("j", steps()).select("view", (F.col("x") + F.col("i")).alias("x"), (F.col("y") + F.col("j")).alias("y"))
+    held = t.obstacles().select(*((F.col(f"{end}_{c}") + by).alias(f"{end}_{c}") for end, by in (("min", -8), ("max", 8)) for c in "xy"))
+    bare = spatial.outside_all(pts, held).groupBy("view").agg(F.count("*").alias("n"))
+    return views.select("view").join(bare, "view", "left").select("view", F.col("n").isNull().alias("covered"))
 
 
 @query("flt16_overlapping_recent", "SELECT id FROM obstacles WHERE min_x <= 500 AND max_x >= 200 ORDER BY id DESC LIMIT 25", "obstacles")

@@ -15,9 +15,9 @@ def _(t: Tables) -> DataFrame:
     return t.runs().where("region = 'P'").orderBy("priority", F.desc("size"), "day", "run").limit(30).select("run", "priority", "size")
 
 
-@query("srt05_bucket_order", "SELECT tile, az_b, alt_b, row_number() OVER (PARTITION BY tile ORDER BY alt_b, az_b) AS pos FROM (SELECT DISTINCT tile, az_b, alt_b FROM buckets WHERE tile < 3)", "buckets")
+@query("srt05_bucket_order", "SELECT tile, az_b, alt_b, row_number() OVER (PARTITION BY tile ORDER BY alt_b, az_b) AS pos FROM (SELECT DISTINCT tile, az_b, alt_b FROM buckets)", "buckets")
 def _(t: Tables) -> DataFrame:
-    b = t.buckets().where("tile < 3").select("tile", "az_b", "alt_b").distinct()
+    b = t.buckets().select("tile", "az_b", "alt_b").distinct()
     return b.withColumn("pos", F.row_number().over(Window.partitionBy("tile").orderBy("alt_b", "az_b")).cast("bigint"))
 
 

@@ -39,12 +39,12 @@ def _(t: Tables) -> DataFrame:
 
 @query("flt02_boxes_meet", f"WITH {_BOX_SQL} SELECT id, region FROM bxs, regions_ WHERE qa <= max_lon AND qc >= min_lon AND qb <= max_lat AND qd >= min_lat", "places", "regions_")
 def _(t: Tables) -> DataFrame:
-    return _boxes(t).join(spatial.small(t.regions()), geo.boxes_meet("q_", "")).select("id", "region")
+    return spatial.boxes_meeting(_boxes(t), t.regions()).select("id", "region")
 
 
 @query("flt03_box_contains", f"WITH {_BOX_SQL} SELECT id, region FROM bxs, regions_ WHERE min_lon <= qa AND max_lon >= qc AND min_lat <= qb AND max_lat >= qd", "places", "regions_")
 def _(t: Tables) -> DataFrame:
-    return _boxes(t).join(spatial.small(t.regions()), geo.box_contains("", "q_")).select("id", "region")
+    return spatial.boxes_meeting(_boxes(t), t.regions()).where(geo.box_contains("", "q_")).select("id", "region")
 
 
 @query("join04_point_to_tile", "SELECT id, CAST(floor(center_x / 250) * 250 AS BIGINT) AS tile_e, CAST(floor(center_y / 250) * 250 AS BIGINT) AS tile_n FROM obstacles", "obstacles")

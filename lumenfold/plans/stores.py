@@ -107,19 +107,20 @@ def _(t: Tables) -> DataFrame:
     return sizes.groupBy(F.regexp_extract("folder", "region=([^/]+)", 1).alias("region")).agg(F.count("*").alias("files"))
 
 
-@query("snk02_tile_files", "SELECT point AS tile, CAST(minute AS INTEGER) AS minute, count(*) AS n, CAST(sum(CASE WHEN is_sunny THEN 1 ELSE 0 END) AS BIGINT) AS sunny FROM (SELECT point, hour(ts) * 60 + minute(ts) AS minute, is_sunny FROM samples) GROUP BY 1, 2", "samples")
+@query("snk02_tile_files", "SELECT point AS tile, CAST(minute AS INTEGER) AS minute, count(*) AS n, CAST(sum(CASE WHEN is_sunny THEN 1 ELSE 0 END) AS BIGINT) AS sunny, string_agg(CASE WHEN is_sunny THEN '1' ELSE '0' END, '' ORDER BY ord) AS flags FROM (SELECT point, ord, hour(ts) * 60 + minute(ts) AS minute, is_sunny FROM samples) GROUP BY 1, 2", "samples")
 def _(t: Tables) -> DataFrame:
-    """Tile artifacts of a frame for each minute, a byte for each point, through the binary form and back."""
+    """Tile artifacts of a frame for each minute, a byte for each sample in order, through the binary form and back."""
     path = sinks.scratch_folder(t.spark, "tiles")
-    s = t.samples().select("point", (F.hour("ts") * 60 + F.minute("ts")).alias("minute"), "is_sunny")
-    bytes_ = F.encode(F.array_join(F.collect_list(F.when(F.col("is_sunny"), "1").otherwise("0")), ""), "UTF-8")
+    s = t.samples().select("point", "ord", (F.hour("ts") * 60 + F.minute("ts")).alias("minute"), "is_sunny")
+    flags = F.array_sort(F.collect_list(F.struct("ord", F.when(F.col("is_sunny"), "1").otherwise("0").alias("flag"))))
+    bytes_ = F.encode(F.array_join(F.transform(flags, lambda f: f["flag"]), ""), "UTF-8")
     frames = s.groupBy("point", "minute").agg(bytes_.alias("mask"), F.count("*").alias("n"))
     frame = F.struct(F.col("minute").cast("int").alias("minute"), (F.col("minute") / 10.0).cast("double").alias("altitude"), "mask")
     tiles = frames.groupBy(F.col("point").alias("tile")).agg(F.sum("n").cast("int").alias("points"), F.array_sort(F.collect_list(frame)).alias("frames"))
     tilefiles.encoded(tiles, "tile").write.parquet(path)
     back = tilefiles.decoded(t.spark.read.parquet(path), "tile").select("tile", F.explode("frames").alias("f"))
     text = F.decode("f.mask", "UTF-8")
-    return back.select("tile", "f.minute", F.length(text).cast("bigint").alias("n"), F.length(F.replace(text, F.lit("0"), F.lit(""))).cast("bigint").alias("sunny"))
+    return back.select("tile", "f.minute", F.length(text).cast("bigint").alias("n"), F.length(F.replace(text, F.lit("0"), F.lit(""))).cast("bigint").alias("sunny"), text.alias("flags"))
 
 
 @query("snk05_codecs", "SELECT id, name FROM places", "places")

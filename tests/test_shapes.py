@@ -86,6 +86,35 @@ def test_isolines_close_around_a_peak(spark):
     assert ring.closed and {(p.x, p.y) for p in ring.points} == {(1.5, 2.0), (2.5, 2.0), (2.0, 1.5), (2.0, 2.5)}
 
 
+def test_nearest_points_far_from_all_by_levels_of_cells(spark):
+    rng = random.Random(4)
+    right = [(k, rng.choice((-3000.0, 0.0, 5000.0)) + rng.uniform(0, 60), rng.uniform(-40, 40)) for k in range(300)] + [(300, None, 1.0), (301, -3000.0, 9000.0), (302, -3000.0, 9000.0)]
+    left = [(k, rng.uniform(-9000, 9000), rng.uniform(-9000, 9000)) for k in range(200)] + [(200, -3000.0, 9000.0), (201, None, 0.0)]
+    a, b = spark.createDataFrame(left, "k int, x double, y double"), spark.createDataFrame(right, "o int, x double, y double")
+    for square in (False, True):
+        dist = (lambda p, q: max(abs(p[1] - q[1]), abs(p[2] - q[2]))) if square else (lambda p, q: math.dist(p[1:], q[1:]))
+        got = {r.k: (r.o, r.distance) for r in spatial.nearest_point(a, b, "k", "o", 8.0, square).collect()}
+        assert sorted(got) == list(range(201)) and got[200] == (301, 0.0)
+        for p in left[:201]:
+            assert abs(got[p[0]][1] - min(dist(p, q) for q in right if q[1] is not None)) < 1e-9
+
+
+def test_boxes_and_points_by_cell_against_all_pairs(spark):
+    rng = random.Random(6)
+    boxes = [(k, x, y, x + rng.choice((0.0, 3.0, 90.0)), y + rng.uniform(0, 40)) for k in range(40) for x, y in [(rng.uniform(-100, 100), rng.uniform(-100, 100))]]
+    points = [(k, rng.uniform(-150, 150), rng.uniform(-150, 150)) for k in range(200)] + [(200, boxes[3][1], boxes[3][2])]
+    b, p = spark.createDataFrame(boxes, "id int, min_x double, min_y double, max_x double, max_y double"), spark.createDataFrame(points, "k int, x double, y double")
+    want = {(i, k) for i, x0, y0, x1, y1 in boxes for k, x, y in points if x0 <= x <= x1 and y0 <= y <= y1}
+    got = [(r.id, r.k) for r in spatial.boxes_with_points(b, p, 16.0).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert {r.k for r in spatial.outside_all(p, b, 16.0).collect()} == set(range(201)) - {k for _, k in want}
+    names = ["min_lon", "min_lat", "max_lon", "max_lat"]
+    q = b.toDF("a", *(f"q_{n}" for n in names))
+    met = [(r.a, r.id) for r in spatial.boxes_meeting(q, b.toDF("id", *names), degrees=16.0).select("a", "id").collect()]
+    assert len(met) == len(set(met))
+    assert set(met) == {(m[0], n[0]) for m in boxes for n in boxes if m[1] <= n[3] and m[3] >= n[1] and m[2] <= n[4] and m[4] >= n[2]}
+
+
 def test_nearest_points_against_all_pairs(spark):
     rng = random.Random(9)
     left = [(k, rng.uniform(0, 1000), rng.uniform(0, 50)) for k in range(60)] + [(99, 4000.0, -5.0)]
