@@ -53,6 +53,46 @@ def _(t: Tables) -> DataFrame:
     return readers.index_keys(t.spark, path).groupBy("tile_id").agg(F.count("*").alias("n"), F.min_by("az_b", F.struct("alt_b", "az_b")).alias("first_az"))
 
 
+@query("src17_broken_keys", f"WITH {_INDEX} SELECT tile_id, az_b, alt_b FROM ix", "buckets")
+def _(t: Tables) -> DataFrame:
+    """Keys beside the index of all tiles but those of one region, whose files hold something else: those come from the index."""
+    index, keys = (sinks.scratch_folder(t.spark, name) for name in ("index", "keys"))
+    rows = _index(t)
+    sinks.write_index(rows, index)
+    sinks.write_index_keys(rows.where("region <> 'r0'"), keys)
+    rows.where("region = 'r0'").select("tile_id").write.mode("append").text(keys)
+    return readers.index_keys_beside(t.spark, keys, index).select("tile_id", "az_b", "alt_b")
+
+
+@query("src14_dated_tiles", """SELECT CAST(ts AS DATE) AS day, CAST(point AS VARCHAR) AS tile, CAST(hour(ts) * 60 AS INTEGER) AS minute, string_agg(CASE WHEN is_sunny THEN '1' ELSE '0' END, '' ORDER BY ord) AS flags FROM samples
+  WHERE CAST(ts AS DATE) BETWEEN (SELECT CAST(min(ts) AS DATE) + 3 FROM samples) AND (SELECT CAST(min(ts) AS DATE) + 12 FROM samples) GROUP BY 1, 2, 3""", "samples")
+def _(t: Tables) -> DataFrame:
+    """Tile artifacts by day with a frame for each hour; ten days of them are read back."""
+    path = sinks.scratch_folder(t.spark, "dated")
+    s = t.samples().withColumn("day", F.to_date("ts")).withColumn("minute", (F.hour("ts") * 60).cast("int"))
+    flags = F.array_sort(F.collect_list(F.struct("ord", F.when(F.col("is_sunny"), "1").otherwise("0").alias("flag"))))
+    frames = s.groupBy("day", "point", "minute").agg(F.encode(F.array_join(F.transform(flags, lambda f: f["flag"]), ""), "UTF-8").alias("mask"), F.count("*").alias("n"))
+    frame = F.struct("minute", F.lit(0.0).alias("altitude"), "mask")
+    tiles = frames.groupBy("day", "point").agg(F.max("n").cast("int").alias("points"), F.array_sort(F.collect_list(frame)).alias("frames"))
+    stored = tiles.withColumn("key", F.concat_ws("|", F.col("day").cast("string"), F.col("point").cast("string")))
+    blobs = tilefiles.encoded(stored, "key").select(F.expr("substring(key, 12)").alias("tile"), "artifact", F.to_date(F.substring("key", 1, 10)).alias("day"))
+    blobs.repartition("day").write.partitionBy("day").parquet(path)
+    start = t.samples().agg(F.to_date(F.min("ts")).alias("d")).select(F.date_add("d", 3).cast("string"), F.date_add("d", 12).cast("string")).first()
+    return readers.dated_tiles(t.spark, path, *start).select("day", "tile", F.explode("frames").alias("f")).select("day", "tile", "f.minute", F.decode("f.mask", "UTF-8").alias("flags"))
+
+
+@query("src07_degree_cells", """WITH b AS (SELECT s_suppkey AS id, s_suppkey % 40 - 20 + s_acctbal / 10000 AS min_lon, s_suppkey % 25 + s_acctbal / 10000 AS min_lat, s_nationkey / 10e0 AS side FROM supplier),
+  s AS (SELECT id, unnest(range(CAST(floor(min_lat) AS BIGINT), CAST(greatest(floor(min_lat), ceil(min_lat + side) - 1) AS BIGINT) + 1)) AS south, min_lon, side FROM b),
+  c AS (SELECT id, south, unnest(range(CAST(floor(min_lon) AS BIGINT), CAST(greatest(floor(min_lon), ceil(min_lon + side) - 1) AS BIGINT) + 1)) AS west FROM s)
+  SELECT CAST(south AS INTEGER) AS south, CAST(west AS INTEGER) AS west, count(*) AS boxes FROM c GROUP BY south, west""")
+def _(t: Tables) -> DataFrame:
+    """Which whole-degree elevation cells the boxes of all suppliers need, and for how many of them."""
+    off = F.col("s_acctbal") / 10000
+    b = t.read("supplier").select((F.col("s_suppkey") % 40 - 20 + off).alias("min_lon"), (F.col("s_suppkey") % 25 + off).alias("min_lat"), (F.col("s_nationkey") / 10.0).alias("side"))
+    b = b.withColumn("max_lon", F.col("min_lon") + F.col("side")).withColumn("max_lat", F.col("min_lat") + F.col("side"))
+    return readers.degree_cells(b).groupBy("south", "west").agg(F.count("*").alias("boxes"))
+
+
 @query("snk03_index_buckets_asked_for", f"WITH {_INDEX} SELECT tile_id, az_b, alt_b, value FROM ix WHERE (az_b, alt_b) IN (SELECT CAST(event_id % 480 AS INTEGER), CAST(1 + event_id % 7 AS INTEGER) FROM events WHERE event_type = 'purchase')", "buckets")
 def _(t: Tables) -> DataFrame:
     path = sinks.scratch_folder(t.spark, "index")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import tilefiles
+
 PLACE = (
     "id string, source string, osm_type string, osm_id bigint, name string, category string, subcategory string, has_outdoor_seating boolean, "
     "has_outdoor_seating_unknown boolean, lat double, lon double, region string, tags map<string,string>"
@@ -95,6 +97,30 @@ def index_keys(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("tile_id", "az_b", "alt_b").distinct()
 
 
+def index_keys_beside(spark: SparkSession, keys: str, index: str) -> DataFrame:
+    """tile_id, alt_b, az_b of every bucket: from the keys written beside the index, whose broken or half-written files are
+    passed over; tiles without keys there are read from the index itself (its key columns alone)."""
+    schema = "tile_id string, held array<struct<alt_b:int,az_b:int>>"
+    beside = spark.read.schema(schema).option("ignoreCorruptFiles", True).parquet(keys).where("tile_id is not null and held is not null")
+    lost = spark.read.parquet(index).select("tile_id", "alt_b", "az_b").join(beside.select("tile_id"), "tile_id", "left_anti").distinct()
+    return beside.select("tile_id", F.explode("held").alias("k")).select("tile_id", "k.alt_b", "k.az_b").distinct().unionByName(lost)
+
+
+def dated_tiles(spark: SparkSession, path: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """day, tile, points, frames of tile artifacts stored by day, within the days first to last (inclusive, either end open).
+
+    Folders of other days are not listed among the files to read. A damaged artifact fails the job.
+    """
+    rows = spark.read.schema("tile string, artifact binary, day date").parquet(path)
+    if first is not None:
+        rows = rows.where(F.col("day") >= F.lit(first).cast("date"))
+    if last is not None:
+        rows = rows.where(F.col("day") <= F.lit(last).cast("date"))
+    key = F.concat_ws("|", F.col("day").cast("string"), "tile").alias("key")
+    out = tilefiles.decoded(rows.select(key, "artifact"), "key")
+    return out.select(F.to_date(F.substring("key", 1, 10)).alias("day"), F.expr("substring(key, 12)").alias("tile"), "points", "frames")
+
+
 def file_sizes(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """folder, files, bytes below a folder, from the listing; no file is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder).select("path", "length")

@@ -23,6 +23,12 @@ def write_index(buckets: DataFrame, path: str, rows_per_file: int = 1_000_000, m
     dealt.write.mode(mode).option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).partitionBy("region", "res").parquet(path)
 
 
+def write_index_keys(buckets: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Write which buckets each tile of the angle index has: a row for each tile, beside the index, far smaller than it."""
+    held = F.array_sort(F.collect_set(F.struct("alt_b", "az_b")))
+    buckets.groupBy("tile_id").agg(held.alias("held")).write.mode(mode).option("compression", "zstd").parquet(path)
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder in the one that the cluster shares: the session's checkpoint folder, else under its warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
@@ -50,7 +56,7 @@ def write_places(places: DataFrame, folder: str, file: str) -> None:
     as one called ``file``; a document is one JSON object, so its places are gathered."""
     own = [c for c in places.columns if c != "__file"]
     doc = places.groupBy("__file" if "__file" in places.columns else F.lit(file).alias("__file")).agg(F.lit("now").alias("generated_at"), F.collect_list(F.struct(*own)).alias("places"))
-    doc.select("generated_at", "places").repartition(1).write.mode("overwrite").option("maxRecordsPerFile", 1).json(f"{folder}/{file}-places.json")
+    doc.select("generated_at", "places").write.mode("overwrite").option("maxRecordsPerFile", 1).json(f"{folder}/{file}-places.json")
 
 
 def write_by_region(places: DataFrame, path: str) -> None:

@@ -1,3 +1,4 @@
+import datetime
 import io
 import struct
 import zipfile
@@ -6,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql.datasource import EqualTo, GreaterThan, LessThanOrEqual
 
-from lumenfold.sources import buildingfiles, rasterfiles
+from lumenfold.sources import buildingfiles, rasterfiles, readers, sinks, tilefiles
 
 
 def grid(kind="f4", shape=(37, 53)):
@@ -165,3 +166,29 @@ def test_what_lies_outside_of_entities_is_passed_over():
              "0", "LINE", "10", "9", "0", "VERTEX", "10", "9", "20", "9", "30", "9", "0", "POLYLINE", "0", "VERTEX", "10", "4", "20", "4", "30", "4", "0", "ENDSEC", "0", "EOF"]
     got = list(buildingfiles.polyfaces("\n".join(pairs).split("\n")))
     assert [p.points for p in got] == [[(1.0, 2.0, 3.0)], [(4.0, 4.0, 4.0)]]
+
+
+def test_broken_keys_come_from_the_index(spark, tmp_path):
+    index, keys = str(tmp_path / "index"), tmp_path / "keys"
+    rows = [("r", 0.75, f"t{k % 3}", k % 7, k % 5, float(k)) for k in range(70)]
+    buckets = spark.createDataFrame(rows, "region string, res double, tile_id string, az_b int, alt_b int, value double")
+    sinks.write_index(buckets, index)
+    sinks.write_index_keys(buckets.where("tile_id <> 't1'").repartition(4, "tile_id"), str(keys))
+    for name, garbage in (("part-x.parquet", b"PAR1 cut short"), ("part-y.parquet", b"")):
+        (keys / name).write_bytes(garbage)
+    want = {(r[2], r[3], r[4]) for r in rows}
+    got = [(r.tile_id, r.az_b, r.alt_b) for r in readers.index_keys_beside(spark, str(keys), index).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_dated_tiles_prune_days(spark, tmp_path):
+    frames = [{"minute": 60, "altitude": 1.5, "mask": b"\x01"}]
+    days = [datetime.date(2024, 1, d) for d in range(1, 6)]
+    tiles = spark.createDataFrame([(f"{d}|a|b", 8, frames) for d in days], f"key string, points int, frames {tilefiles.FRAMES}")
+    stored = tilefiles.encoded(tiles, "key").selectExpr("substring(key, 12) AS tile", "artifact", "to_date(substring(key, 1, 10)) AS day")
+    stored.write.partitionBy("day").parquet(str(tmp_path / "t"))
+    got = readers.dated_tiles(spark, str(tmp_path / "t"), "2024-01-02", "2024-01-04")
+    assert sorted((r.day, r.tile, r.points) for r in got.collect()) == [(d, "a|b", 8) for d in days[1:4]]
+    assert readers.dated_tiles(spark, str(tmp_path / "t")).count() == 5
+    spark.read.parquet(str(tmp_path / "t")).limit(1).selectExpr("tile", "cast('x' as binary) as artifact").write.parquet(str(tmp_path / "t" / "day=2024-01-09"))
+    assert got.count() == 3  # the damaged artifact of another day is not opened
