@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up
+from ..sources import sinks
 
 
 def labelled(df: DataFrame, rules: dict[str, Column], label: str = "problem") -> DataFrame:
@@ -81,21 +82,23 @@ def outline_edges(tiles: DataFrame, *keys: str) -> DataFrame:
 def components(tiles: DataFrame) -> DataFrame:
     """tiles (i, j) with component: the smallest (i, j) reachable over shared sides, as a struct.
 
-    Each round takes the smallest label around and then that label's own, so that
-    rounds grow with the logarithm of a component's extent; they end when no label changes.
-    Results are written to the checkpoint folder, which cuts lineage.
+    Each round gives all tiles of a label the smallest label beside any of them, and follows that label's own. Every label that is not the
+    least around it goes in a round, so rounds grow with the logarithm of a component's extent; they end when none goes.
+    Results are written to the shared folder (cut()).
     """
-    steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))))
-    now = tiles.select("i", "j").distinct().withColumn("c", F.struct("i", "j"))
-    changed = True
-    while changed:
-        told = now.select("i", "j", "c", F.explode(steps).alias("s")).select((F.col("i") + F.col("s.a")).alias("i"), (F.col("j") + F.col("s.b")).alias("j"), F.col("c").alias("o"))
-        low = now.join(told.groupBy("i", "j").agg(F.min("o").alias("o")), ["i", "j"]).select("i", "j", F.least("c", "o").alias("c"), F.col("c").alias("was"))
-        jump = low.select(F.struct("i", "j").alias("at"), F.col("c").alias("further"))
-        low = low.join(jump, low.c == jump["at"], "left").select("i", "j", F.least("c", F.coalesce("further", "c")).alias("c"), "was")
-        low = cut(low)
-        changed = not low.where("c <> was").isEmpty()
-        now = low.drop("was")
+    steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))))
+    own = tiles.select("i", "j").distinct().withColumn("c", F.struct("i", "j"))
+    beside = own.select("c", F.explode(steps).alias("s")).select("c", (F.col("c.i") + F.col("s.a")).alias("i"), (F.col("c.j") + F.col("s.b")).alias("j"))
+    sides = cut(beside.join(own.select("i", "j", F.col("c").alias("o")), ["i", "j"]).select("c", "o"))
+    now = cut(own)
+    while not sides.isEmpty():
+        low = cut(sides.groupBy("c").agg(F.min("o").alias("o")).select("c", F.least("c", "o").alias("to")))
+        went, on = low, low.select(F.col("c").alias("to"), F.col("to").alias("further"))
+        for _ in range(5):
+            went = went.join(on, "to").select("c", F.col("further").alias("to"))
+        went = cut(went.where("c <> to").withColumnRenamed("to", "further"))
+        told = lambda df, c: df.join(went.withColumnsRenamed({"c": c, "further": "__to"}), c, "left").withColumn(c, F.coalesce("__to", c)).drop("__to")  # noqa: B023, E731
+        now, sides = cut(told(now, "c")), cut(told(told(sides, "c"), "o").where("c <> o").distinct())
     return now.withColumnRenamed("c", "component")
 
 
@@ -113,9 +116,11 @@ def filled(tiles: DataFrame, passes: int = 20, neighbours: int = 3) -> DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the session's checkpoint folder; one under the warehouse is set only where none is."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
-    return df.checkpoint()
+    """df as a table in the shared folder: written once, it cuts lineage.
+
+    A checkpoint would keep the size that the plan before it was estimated at, and joins multiply estimates: in a loop the number's digits
+    grow by a factor each round, until the driver has no room for them.
+    """
+    path = sinks.scratch_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

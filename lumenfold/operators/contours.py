@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources import sinks
 from . import checks
 
 RINGS = "ring int, closed boolean, points array<struct<x:double,y:double>>"
@@ -74,7 +73,7 @@ def ranked(links: DataFrame) -> DataFrame:
     grow with the logarithm of the longest chain, which is never gathered anywhere; each is an equi-join of
     distinct ids, written once to a table in the shared folder.
     """
-    return _ranked(_kept(links))
+    return _ranked(checks.cut(links))
 
 
 def _ranked(links: DataFrame) -> DataFrame:
@@ -99,7 +98,7 @@ def _jump(state: DataFrame) -> DataFrame:
             F.when(went, F.col("hops") + F.col("__hops")).otherwise(F.col("hops")).alias("hops"), F.when(went, F.col("__last")).otherwise(F.col("last")).alias("last"),
             (went & (F.col("__low") < F.col("low"))).alias("lower"),
         )
-        after = _kept(after)
+        after = checks.cut(after)
         mark = after.agg(F.count_if("lower").alias("lower"), F.count_if(F.col("to").isNull()).alias("ended")).first()
         state = after.drop("lower")
         if mark.lower == 0 and mark.ended == before:
@@ -107,13 +106,6 @@ def _jump(state: DataFrame) -> DataFrame:
         before = mark.ended
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: written once (a checkpoint would work it out twice), it cuts lineage."""
-    path = sinks.scratch_folder(df.sparkSession, "contours")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def outline_links(edges: DataFrame, *keys: str) -> DataFrame:
     """id, after of edges (x1, y1, x2, y2 and their tile i, j; see outline_edges()): each with its tile on the left.
 
@@ -136,7 +128,7 @@ def outline_points(edges: DataFrame, *keys: str) -> DataFrame:
 
     Outer rings run anticlockwise, those of holes clockwise. A ring is named after its smallest edge.
     """
-    links = _kept(outline_links(edges, *keys))
+    links = checks.cut(outline_links(edges, *keys))
     turned = links.select(F.col("after").alias("id"), (F.col("after.d") != F.col("id.d")).alias("corner"))
     return _ranked(links).join(turned, "id").select("ring", "pos", F.col("id.x").alias("x"), F.col("id.y").alias("y"), F.col("id.d").alias("d"), "corner")
 
