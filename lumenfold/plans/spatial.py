@@ -122,11 +122,13 @@ def _(t: Tables) -> DataFrame:
 
 @query("agg34_culling_yield", f"WITH {_RAYS} SELECT (SELECT count(*) FROM obstacles) AS total, count(DISTINCT c.id) AS kept, count(DISTINCT h.id) AS impacted FROM cand c LEFT JOIN (SELECT DISTINCT id FROM hits WHERE altitude <= angle) h USING (id)", "probes", "obstacles")
 def _(t: Tables) -> DataFrame:
-    kept = spatial.ray_candidates(t.probes(), t.obstacles(), 400.0)
-    hit = spatial.ray_hits(kept, 400.0).select(F.lit("impacted").alias("what"), "id")
-    each = kept.select(F.lit("kept").alias("what"), "id").union(hit).union(t.obstacles().select(F.lit("total"), "id"))
-    n = lambda w: F.countDistinct(F.when(F.col("what") == w, F.col("id"))).alias(w)
-    return each.agg(n("total"), n("kept"), n("impacted"))
+    c = spatial.ray_candidates(t.probes(), t.obstacles(), 400.0)
+    box = rings.ray_to_box("x", "y", "dx", "dy", "min_x", "min_y", "max_x", "max_y")
+    angle = F.degrees(F.atan2(F.col("max_z") - F.col("z"), F.greatest(F.lit(1.0), box)))
+    blocks = F.coalesce((box <= 400) & (F.col("max_z") > F.col("z")) & (F.col("altitude") <= angle), F.lit(False))
+    kept = c.select("id", F.lit(True).alias("kept"), blocks.alias("hit"))
+    each = kept.unionByName(t.obstacles().select("id", F.lit(False).alias("kept"), F.lit(False).alias("hit"))).groupBy("id").agg(F.bool_or("kept").alias("kept"), F.bool_or("hit").alias("hit"))
+    return each.agg(F.count("*").alias("total"), F.count_if("kept").alias("kept"), F.count_if("hit").alias("impacted"))
 
 
 @query("udf05_rejections", f"""WITH {_RAYS}, b2 AS (SELECT CASE WHEN NOT (distance <= leave) THEN 'box missed' WHEN distance > 400 THEN 'too far' WHEN max_z <= z THEN 'too low' WHEN altitude > degrees(atan2(max_z - z, greatest(1, distance))) THEN 'below the sun' ELSE 'blocks' END AS label FROM b1) SELECT label, count(*) AS n FROM b2 GROUP BY label""", "probes", "obstacles")
