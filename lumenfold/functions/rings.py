@@ -33,6 +33,18 @@ def contains(ring: D, x: D, y: D) -> Column:
     return F.size(F.filter(edges(ring), crossed)) % 2 == 1
 
 
+def on_edge(ring: D, x: D, y: D) -> Column:
+    """Whether the point lies on an edge of the closed ring."""
+    x, y = col(x), col(y)
+
+    def met(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        within = x.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & y.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
+        return within & ((b["x"] - a["x"]) * (y - a["y"]) == (b["y"] - a["y"]) * (x - a["x"]))
+
+    return F.exists(edges(ring), met)
+
+
 def ray_to_segment(x: D, y: D, dx: D, dy: D, ax: D, ay: D, bx: D, by: D) -> Column:
     """Distance along the ray to the segment, null where they do not meet."""
     x, y, dx, dy, ax, ay, bx, by = map(col, (x, y, dx, dy, ax, ay, bx, by))
