@@ -27,12 +27,12 @@ MASKS = ("terrain", "buildings", "vegetation", "sun", "sun_without_vegetation")
 
 def terrain(tiles: DataFrame, cells: DataFrame, step: float = 5.0, reach: float = 500.0) -> Evaluator:
     """The ground of rasters (see rasters.sample) marched over."""
-    return lambda rays: rasters.terrain_blocked(rasters.sample(rasters.march(rays, step, reach), tiles, cells), "ray").select("ray")
+    return lambda rays: rasters.terrain_blocked(rasters.marched(rays, tiles, cells, step, reach), "ray").select("ray")
 
 
 def vegetation(tiles: DataFrame, cells: DataFrame, step: float = 2.0, reach: float = 120.0) -> Evaluator:
     """The canopy of rasters marched over."""
-    return lambda rays: rasters.vegetation_blocked(rasters.sample(rasters.march(rays, step, reach), tiles, cells), "ray").select("ray")
+    return lambda rays: rasters.vegetation_blocked(rasters.marched(rays, tiles, cells, step, reach), "ray").select("ray")
 
 
 def buildings(obstacles: DataFrame, mode: str = "prism", triangles: DataFrame | None = None, reach: float = 400.0) -> Evaluator:

@@ -38,7 +38,7 @@ def sample(points: DataFrame, tiles: DataFrame, cells: DataFrame) -> DataFrame:
     """
     side = tiles.agg(F.max(F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")))).first()[0] or 1.0
     n = lambda c: F.floor(F.col(c) / side).cast("bigint")
-    near = points.withColumn("__cx", n("sx")).withColumn("__cy", n("sy")).join(tiles_by_cell(tiles, side), ["__cx", "__cy"], "left")
+    near = points.withColumn("__cx", n("sx")).withColumn("__cy", n("sy")).join(spatial.small(tiles_by_cell(tiles, side)), ["__cx", "__cy"], "left")
     inside = lambda t: F.col("sx").between(t["min_x"], t["max_x"]) & F.col("sy").between(t["min_y"], t["max_y"])
     on = near.withColumn("__t", F.get(F.filter("__tiles", inside), F.lit(0))).select(*points.columns, "__t.*")
     on = on.withColumn("rx", cell_of("sx", "min_x", "max_x", "width")).withColumn("ry", cell_of("sy", "min_y", "max_y", "height", flip=True))
@@ -53,6 +53,35 @@ def march(rays: DataFrame, step: float, reach: float) -> DataFrame:
     return out.withColumn("sx", F.col("x") + F.sin(turn) * F.col("dist")).withColumn("sy", F.col("y") + F.cos(turn) * F.col("dist"))
 
 
+def _within(cells: DataFrame, tiles: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """The cells that points of a box (low x, low y, high x, high y) can lie in."""
+    ends = tiles
+    for name, at in zip(("lx", "ly", "hx", "hy"), box, strict=True):
+        ends = ends.withColumn(f"__{name}", F.lit(float(at)))
+    ends = ends.select(
+        "tile", cell_of("__lx", "min_x", "max_x", "width").alias("__x0"), cell_of("__hx", "min_x", "max_x", "width").alias("__x1"),
+        cell_of("__hy", "min_y", "max_y", "height", flip=True).alias("__y0"), cell_of("__ly", "min_y", "max_y", "height", flip=True).alias("__y1"),
+    )
+    on = cells.join(ends, "tile")
+    return on.where(F.col("rx").between(F.col("__x0"), F.col("__x1")) & F.col("ry").between(F.col("__y0"), F.col("__y1"))).select(cells.columns)
+
+
+def marched(rays: DataFrame, tiles: DataFrame, cells: DataFrame, step: float, reach: float) -> DataFrame:
+    """sample() of march() for rays (x, y, z, azimuth, altitude) above the horizon, without the steps at which they pass above every cell.
+
+    Only cells of the rays' own surroundings take part; where they are few they come to the rays, and no step is moved.
+    """
+    up = rays.where("altitude > 0")
+    lo_x, lo_y, hi_x, hi_y = up.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    if lo_x is None or lo_y is None:
+        return sample(march(up, step, reach), tiles, cells)
+    far = reach + step
+    near = spatial.cut(_within(cells, tiles, (lo_x - far, lo_y - far, hi_x + far, hi_y + far)))
+    top = near.agg(F.max("value")).first()[0]
+    low = F.col("dist") * F.tan(F.radians("altitude")) <= F.lit(top).cast("double") - F.col("z") + 1e-6
+    return sample(march(spatial.dealt(up, spatial.RAYS), step, reach).where(low), tiles, spatial.small(near))
+
+
 def terrain_blocked(sampled: DataFrame, key: str, gate: float = 30.0) -> DataFrame:
     """key, distance, angle of the first step at which the ground stands above the ray (strictly).
 
@@ -80,8 +109,8 @@ def all_masks(rays: DataFrame, tiles: DataFrame, cells: DataFrame, obstacles: Da
     def of(hits: DataFrame, name: str) -> DataFrame:
         return hits.select(key).distinct().withColumn(name, F.lit(True))
 
-    ground = of(terrain_blocked(sample(march(rays, 5, 500), tiles, cells), key), "__t")
-    plants = of(vegetation_blocked(sample(march(rays, 2, 120), tiles, cells), key), "__g")
+    ground = of(terrain_blocked(marched(rays, tiles, cells, 5, 500), key), "__t")
+    plants = of(vegetation_blocked(marched(rays, tiles, cells, 2, 120), key), "__g")
     walls = of(spatial.nearest_blocker(rays, obstacles, reach, key=key).where("blocked"), "__b")
     out = rays.select(key).join(ground, key, "left").join(walls, key, "left").join(plants, key, "left")
     t, b, g = (F.coalesce(c, F.lit(False)) for c in ("__t", "__b", "__g"))

@@ -49,13 +49,13 @@ def _(t: Tables) -> DataFrame:
 
 @query("shd08_terrain_march", f"WITH {_SURFACE}, {_RAYS}, {_march_sql(5, 500)}, h AS (SELECT probe, min(dist) AS distance FROM v WHERE altitude > 0 AND altitude < 30 AND value > z AND value - z > dist * tan(radians(altitude)) GROUP BY probe) SELECT * FROM h", "probes")
 def _(t: Tables) -> DataFrame:
-    seen = rasters.sample(rasters.march(_rays(t), 5, 500), *_surface(t))
+    seen = rasters.marched(_rays(t), *_surface(t), 5, 500)
     return rasters.terrain_blocked(seen, "probe").select("probe", "distance")
 
 
 @query("shd09_vegetation_march", f"WITH {_SURFACE}, {_RAYS}, {_march_sql(2, 120)} SELECT probe, min(dist) AS distance FROM v WHERE altitude > 0 AND value - z >= 4 AND altitude <= degrees(atan2(value - z, dist)) GROUP BY probe", "probes")
 def _(t: Tables) -> DataFrame:
-    seen = rasters.sample(rasters.march(_rays(t), 2, 120), *_surface(t))
+    seen = rasters.marched(_rays(t), *_surface(t), 2, 120)
     return rasters.vegetation_blocked(seen, "probe").select("probe", "distance")
 
 

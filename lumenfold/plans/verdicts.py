@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sun
-from ..operators import evaluator, meshes, spatial
+from ..operators import evaluator, meshes
 from ..sources.tables import LAT, LON, Tables
 from . import angles, shade
 from .registry import query
@@ -54,8 +54,7 @@ _PROBES = "rays AS (SELECT s_suppkey * 12 + d AS ray, s_suppkey * 9.7e0 % 990e0
 @query("shd14_mesh_hits", f"WITH {_PROBES}, {_PRISM_HITS}, {_MESH} SELECT ray, id, floor(distance * 1e3 + 0.5) / 1e3 AS distance FROM mesh", "obstacles")
 def _(t: Tables) -> DataFrame:
     """Where rays meet the meshes of the buildings whose prisms block them."""
-    hits = spatial.ray_hits(spatial.ray_candidates(_probes(t), t.obstacles(), _REACH, key="ray"), _REACH)
-    return meshes.mesh_hits(hits, _triangles(t), _REACH, "ray")
+    return meshes.hits_by_shape(_probes(t), t.obstacles(), _triangles(t), _REACH, "ray")
 
 
 def _mode_sql(near: float, steps: int) -> str:
