@@ -93,6 +93,14 @@ def parse_week(spec: D) -> Column:
     return F.when(c == "24/7", whole).when(c != "", bound(readable, named))
 
 
+def week_rows(week: D) -> Column:
+    """array<struct<day, intervals>>: a week (parse_week) from Monday, of neighbouring days with equal hours the first."""
+    def first(days: Column) -> Column:
+        return F.filter(days, lambda d, i: (i == 0) | ~F.get(days, i - 1)["intervals"].eqNullSafe(d["intervals"]))
+
+    return bound(F.concat(F.slice(col(week), 2, 6), F.slice(col(week), 1, 1)), first)
+
+
 def with_weeks(df: DataFrame, spec: str, name: str = "week") -> DataFrame:
     """df with parse_week() of its specs, each distinct one of which is parsed once.
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,17 +50,33 @@ def stitched(lines: DataFrame, key: str) -> DataFrame:
     """key, ring, closed, points: the ways of each key joined at equal ends, in any order and direction.
 
     lines: key, ord, points array<struct<x,y>>. A key's lines (a relation's ways, a component's
-    edges) are walked in one task. Lines of fewer than two points are passed over.
+    edges) are walked together, many keys in a batch. Lines of fewer than two points are passed over.
     """
-    kind = lines.schema[key].dataType.simpleString()
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        own = [[(p["x"], p["y"]) for p in points] for points in group.sort_values("ord")["points"]]
-        rows = [(group[key].iloc[0], n, closed, [{"x": x, "y": y} for x, y in points]) for n, (closed, points) in enumerate(walk(own))]
-        return pd.DataFrame(rows, columns=[key, "ring", "closed", "points"])
-
     fit = lines.select(key, "ord", F.transform("points", lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))).alias("points"))
-    return fit.where("size(points) >= 2").groupBy(key).applyInPandas(run, f"{key} {kind}, {RINGS}")
+    own = F.array_sort(F.collect_list(F.struct(F.col("ord").isNull().alias("last"), "ord", "points")))
+    rows = fit.where("size(points) >= 2").groupBy(key).agg(F.transform(own, lambda w: w["points"]).alias("lines"))
+    return rows.mapInArrow(_walked, f"{key} {lines.schema[key].dataType.simpleString()}, {RINGS}")
+
+
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """walk() of the rows of (key, lines) of each batch: key, and RINGS."""
+    for batch in batches:
+        ways = batch.column(1).flatten()
+        at = ways.flatten()
+        xy = list(zip(at.field("x").to_pylist(), at.field("y").to_pylist(), strict=True))
+        ends = [0, *np.cumsum(ways.value_lengths().to_numpy(zero_copy_only=False)).tolist()]
+        upto = [0, *np.cumsum(batch.column(1).value_lengths().to_numpy(zero_copy_only=False)).tolist()]
+        of, ring, closed, size, found = [], [], [], [0], []
+        for row, (a, b) in enumerate(zip(upto, upto[1:], strict=False)):
+            for n, (shut, points) in enumerate(walk([xy[ends[k] : ends[k + 1]] for k in range(a, b)])):
+                of.append(row)
+                ring.append(n)
+                closed.append(shut)
+                found += points
+                size.append(len(found))
+        corners = pa.StructArray.from_arrays([pa.array([p[k] for p in found], pa.float64()) for k in (0, 1)], ["x", "y"])
+        columns = [batch.column(0).take(pa.array(of, pa.int64())), pa.array(ring, pa.int32()), pa.array(closed, pa.bool_()), pa.ListArray.from_arrays(pa.array(size, pa.int32()), corners)]
+        yield pa.RecordBatch.from_arrays(columns, [batch.schema.names[0], "ring", "closed", "points"])
 
 
 #: By how many quarter turns to the left an edge goes on: rather left, then straight, then right. (Fixed values.)

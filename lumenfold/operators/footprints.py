@@ -13,6 +13,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions import rings
 from ..functions.numbers import D, col
+from . import spatial
 
 #: A ring of at least so many corners, at least so many of them of at most so many degrees, that fills at most this share of
 #: its hull is spiky. (Fixed values.)
@@ -131,7 +132,7 @@ def normalised(df: DataFrame, ring: D = "ring") -> DataFrame:
     is not simple either, its hull. A spiky one becomes its hull. Only rings that cross themselves reach Python.
     """
     fit = F.transform(col(ring), lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
-    out = df.withColumn("__r", rings.without_repeats(rings.first_of_each_place(fit)))
+    out = spatial.dealt(df, spatial.RINGS).withColumn("__r", rings.without_repeats(rings.first_of_each_place(fit)))
     out = out.withColumn("__r", F.when(F.size("__r") >= 3, F.col("__r"))).withColumn("__ok", F.when(F.col("__r").isNotNull(), rings.is_simple("__r")))
     out = out.withColumn("__u", _united(F.when(~F.col("__ok"), F.col("__r"))))
     good = F.col("__u").isNotNull() & rings.is_simple("__u")

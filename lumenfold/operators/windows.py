@@ -8,6 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .checks import cut
+from .spatial import small
+
 
 def islands(df: DataFrame, keys: list[str], order: list, value: Column, name: str = "island") -> DataFrame:
     """Number the runs of equal value within each key: equal (keys, value, island) means one contiguous run."""
@@ -82,17 +85,17 @@ def nearest_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, f
 
     Two passes: counts by bin between each key's least and greatest value find the bin that
     holds a rank, then the distinct values of those bins are counted. So no key's values are
-    gathered or sorted in one place. Nulls do not count.
+    gathered or sorted in one place, and rows meet keys and bins where they are. Nulls do not count.
     """
     rows = df.select(*keys, F.col(value).cast("double").alias("__v")).where("__v is not null")
-    span = rows.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count("*").alias("__n"))
+    span = small(cut(rows.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count("*").alias("__n"))))
     step = F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * bins)
     binned = rows.join(span, keys).withColumn("__bin", F.least(F.lit(bins - 1), F.coalesce(F.when(F.col("__hi") > F.col("__lo"), step), F.lit(0))).cast("int"))
     upto = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
     counts = binned.groupBy(*keys, "__bin").agg(F.count("*").alias("__k"), F.first("__n").alias("__n")).withColumn("__upto", F.sum("__k").over(upto))
     asked = F.array(*(F.struct(F.lit(name).alias("name"), F.least(F.col("__n"), F.floor(F.lit(float(q)) * F.col("__n")) + 1).alias("rank")) for name, q in ranks.items()))
     at = counts.withColumn("__q", F.explode(asked)).where((F.col("__q.rank") <= F.col("__upto")) & (F.col("__q.rank") > F.col("__upto") - F.col("__k")))
-    at = at.select(*keys, "__bin", F.col("__q.name").alias("__name"), (F.col("__q.rank") - F.col("__upto") + F.col("__k")).alias("__rank"))
+    at = small(cut(at.select(*keys, "__bin", F.col("__q.name").alias("__name"), (F.col("__q.rank") - F.col("__upto") + F.col("__k")).alias("__rank"))))
     held = binned.join(at, [*keys, "__bin"]).groupBy(*keys, "__name", "__rank", "__v").agg(F.count("*").alias("__k"))
     run = Window.partitionBy(*keys, "__name").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     found = held.withColumn("__upto", F.sum("__k").over(run)).where("__upto >= __rank").groupBy(*keys, "__name").agg(F.min("__v").alias("__v"))

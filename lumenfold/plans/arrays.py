@@ -134,12 +134,14 @@ def _(t: Tables) -> DataFrame:
   (SELECT id, max_z AS h, CASE WHEN id % 2 = 0 THEN 6 ELSE 8 END AS n, w * d * CASE WHEN id % 2 = 0 THEN 0.75e0 ELSE 0.875e0 END AS a, 2 * (w + d) + CASE WHEN id % 2 = 0 THEN 0 ELSE d END AS p FROM (SELECT *, max_x - min_x AS w, max_y - min_y AS d FROM obstacles)), (VALUES ('roof'), ('floor'), ('wall')) v(part)""", "obstacles")
 def _(t: Tables) -> DataFrame:
     """Roofs, floors and walls over L shapes, and over U shapes that run clockwise."""
+    from ..operators.spatial import RINGS, dealt
+
     pt = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
     x0, y0, x1, y1, cx, cy = (F.col(c) for c in ("min_x", "min_y", "max_x", "max_y", "center_x", "center_y"))
     ell = F.array(pt(x1, y0), pt(x1, cy), pt(cx, cy), pt(cx, y1), pt(x0, y1), pt(x0, y0))
     a, b = cx - (x1 - x0) / 8, cx + (x1 - x0) / 8
     u = F.array(pt(x0, y0), pt(x0, y1), pt(a, y1), pt(a, cy), pt(b, cy), pt(b, y1), pt(x1, y1), pt(x1, y0))
-    o = t.obstacles().withColumn("ring", F.when(F.col("id") % 2 == 0, ell).otherwise(u)).select("id", F.explode(rings.extruded("ring", "min_z", "max_z")).alias("t"))
+    o = dealt(t.obstacles(), RINGS).withColumn("ring", F.when(F.col("id") % 2 == 0, ell).otherwise(u)).select("id", F.explode(rings.extruded("ring", "min_z", "max_z")).alias("t"))
     return o.groupBy("id", "t.part").agg(F.count("*").alias("triangles"), half_up(F.sum(rings.triangle_area(F.col("t"))), 6).alias("area"))
 
 

@@ -265,7 +265,5 @@ def _(t: Tables) -> DataFrame:
 
 @query("win05_week_rows", f"WITH {_SPEC_SQL} SELECT run, CASE k WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 2 WHEN 4 THEN 3 ELSE 0 END::BIGINT AS rows FROM sp WHERE k < 5", "runs")
 def _(t: Tables) -> DataFrame:
-    w = hours.with_weeks(_specs(t), "spec", "w").where("w is not null").select("run", F.explode("w").alias("d"))
-    rows = w.select("run", ((F.col("d.day") + 6) % 7).alias("ord"), F.coalesce(F.to_json("d.intervals"), F.lit("closed")).alias("key"))
-    runs = windows.islands(rows, ["run"], ["ord"], F.col("key"))
-    return runs.groupBy("run").agg(F.countDistinct("key", "island").alias("rows"))
+    w = hours.with_weeks(_specs(t), "spec", "w").where("w is not null")
+    return w.select("run", F.size(hours.week_rows("w")).cast("bigint").alias("rows"))

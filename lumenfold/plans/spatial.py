@@ -197,7 +197,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("join28_nearest_named", "SELECT id, arg_min(region, (d, region)) AS region FROM (SELECT id, region, pow(lat - (min_lat + max_lat) / 2, 2) + pow((lon - (min_lon + max_lon) / 2) * 0.69e0, 2) AS d FROM places, regions_) GROUP BY id", "places", "regions_")
 def _(t: Tables) -> DataFrame:
-    score = F.pow(F.col("lat") - (F.col("min_lat") + F.col("max_lat")) / 2, 2) + F.pow((F.col("lon") - (F.col("min_lon") + F.col("max_lon")) / 2) * 0.69, 2)
+    score = lambda r: F.pow(F.col("lat") - (r["min_lat"] + r["max_lat"]) / 2, 2) + F.pow((F.col("lon") - (r["min_lon"] + r["max_lon"]) / 2) * 0.69, 2)
     return spatial.nearest(t.places().select("id", "lat", "lon"), t.regions(), "id", score, "region").select("id", "region")
 
 
