@@ -102,13 +102,11 @@ def ray_to_triangle(o: tuple, d: tuple, a: tuple, b: tuple, c: tuple) -> Column:
 
 def without_repeats(ring: D, apart: float = 1e-6) -> Column:
     """The ring without points that lie on the one before them (the first: on the last)."""
-    r = col(ring)
-
-    def kept(p: Column, i: Column) -> Column:
+    def kept(r: Column, p: Column, i: Column) -> Column:
         before = F.element_at(r, F.when(i == 0, F.size(r)).otherwise(i))
         return (F.size(r) == 1) | (F.abs(p["x"] - before["x"]) > apart) | (F.abs(p["y"] - before["y"]) > apart)
 
-    return F.filter(r, kept)
+    return bound(col(ring), lambda r: F.filter(r, lambda p, i: kept(r, p, i)))
 
 
 def without_collinear(ring: D) -> Column:
