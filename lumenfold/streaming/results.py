@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery, StreamingQueryListener
@@ -97,11 +97,13 @@ class PointReader(SimpleDataSourceStreamReader):
     """Rows of the Parquet files of a folder, in the order of their names, so many at a time.
 
     An offset is a file's number and a row in it. A batch ends with its file, so what lies between two offsets is
-    one read of one file; it passes through the driver, which is why it is small.
+    one read of one file; it passes through the driver, which is why it is small. With the option batches, so many batches at most come
+    together, each row with its batch's number at its end, and the offset counts the batches as well.
     """
 
     def __init__(self, options: dict[str, str]):
         self.most = int(options.get("points", PARTIAL))
+        self.batches = int(options.get("batches", 0))
         path = options["path"]
         self.fs, at = pafs.FileSystem.from_uri(path) if ":" in path else (pafs.LocalFileSystem(), path)
         found = self.fs.get_file_info(pafs.FileSelector(at, recursive=True))
@@ -113,9 +115,12 @@ class PointReader(SimpleDataSourceStreamReader):
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         at, row = start["file"], start["row"]
         while at < len(self.files):
-            rows = self.rows(at, row, row + self.most)
+            rows = self.rows(at, row, row + self.most * max(1, self.batches))
             if rows:
-                return iter(rows), {"file": at, "row": row + len(rows)}
+                end = {"file": at, "row": row + len(rows)}
+                if self.batches:
+                    end["batch"] = start.get("batch", 0) + -(-len(rows) // self.most)
+                return self.numbered(rows, start), end
             if at + 1 == len(self.files):
                 break  # stay at the last file's end, so that the offset does not move without rows
             at, row = at + 1, 0
@@ -123,7 +128,12 @@ class PointReader(SimpleDataSourceStreamReader):
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         """The same rows again after a failure."""
-        return iter(self.rows(end["file"], start["row"] if start["file"] == end["file"] else 0, end["row"]))
+        return self.numbered(self.rows(end["file"], start["row"] if start["file"] == end["file"] else 0, end["row"]), start)
+
+    def numbered(self, rows: list[tuple], start: dict) -> Iterator[tuple]:
+        if not self.batches:
+            return iter(rows)
+        return iter([(*r, start.get("batch", 0) + k // self.most) for k, r in enumerate(rows)])  # Spark copies the iterator
 
     def rows(self, number: int, first: int, last: int) -> list[tuple]:
         out, before = [], 0
@@ -149,10 +159,14 @@ class Points(DataSource):
         return PointReader({**self.options})
 
 
-def partial_points(spark: SparkSession, path: str, schema: str, points: int = PARTIAL) -> DataFrame:
-    """A stream of the rows of the Parquet files below path, at most ``points`` for each micro-batch."""
+def partial_points(spark: SparkSession, path: str, schema: str, points: int = PARTIAL, batches: int = 0) -> DataFrame:
+    """A stream of the rows of the Parquet files below path, at most ``points`` for each micro-batch.
+
+    batches: so many batches at most for each micro-batch instead, which costs far more than a batch of few points; schema
+    then ends with an int, the row's batch from 0.
+    """
     spark.dataSource.register(Points)
-    return spark.readStream.format(Points.name()).schema(schema).option("points", points).load(path)
+    return spark.readStream.format(Points.name()).schema(schema).option("points", points).option("batches", batches).load(path)
 
 
 def run_in_batches(stream: DataFrame, path: str, checkpoint: str) -> None:
@@ -231,29 +245,26 @@ class Changes(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "revision bigint, ended boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        revision, ended = self.last.get() if self.last.exists() else (None, False)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before = self.last.get()
+        revision, ended = before if before is not None else (None, False)
         out = []
-        for r in pd.concat(rows).sort_values("revision").itertuples():
+        for r in sorted(rows, key=lambda r: r.revision):
             if ended or (revision is not None and r.revision <= revision):
                 continue
-            revision, ended = int(r.revision), r.status in self.final
-            out += [("job", revision, r.status)] + [("done", revision, r.status)] * ended
+            revision, ended = r.revision, r.status in self.final
+            out += [(key[0], "job", revision, r.status)] + [(key[0], "done", revision, r.status)] * ended
         self.last.update((revision, ended))
-        for t in list(self.handle.listTimers()):
+        for t in list(self.handle.listTimers()) if before is not None else ():  # a new job has none
             self.handle.deleteTimer(t if isinstance(t, int) else t[0])
         if not ended:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(1000 * self.pause))
-        yield self.rows(key, out)
+        return (Row(job=a, kind=b, revision=c, status=d) for a, b, c, d in out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         revision, _ = self.last.get()
         self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(1000 * self.pause))
-        yield self.rows(key, [("heartbeat", revision, None)])
-
-    @staticmethod
-    def rows(key: tuple, out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame({"job": [key[0]] * len(out), "kind": [a for a, _, _ in out], "revision": [b for _, b, _ in out], "status": [c for _, _, c in out]})
+        yield Row(job=key[0], kind="heartbeat", revision=revision, status=None)
 
     def close(self) -> None:
         pass
@@ -267,7 +278,7 @@ def changes(jobs: DataFrame, pause: float = 1.0, final: Iterable[str] = ("comple
     """
     jobs.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     out = "job bigint, kind string, revision bigint, status string"
-    return jobs.select("job", "revision", "status").groupBy("job").transformWithStateInPandas(Changes(pause, tuple(final)), out, "Append", "ProcessingTime")
+    return jobs.select("job", "revision", "status").groupBy("job").transformWithState(Changes(pause, tuple(final)), out, "Append", "ProcessingTime")
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
