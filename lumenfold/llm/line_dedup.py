@@ -20,7 +20,7 @@ a line would be needed for a recall of 0.9.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -202,22 +202,16 @@ def block_keys(bands: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate(keys), np.tile(at, BANDS)
 
 
-def _packed(bands: np.ndarray) -> np.ndarray:
-    """(lines, BANDS / 2) of 64 bits."""
-    wide = bands.astype(np.uint64)
-    return ((wide[:, ::2] << np.uint64(32)) | wide[:, 1::2]).view(np.int64)
-
-
-def _unpacked(packed: np.ndarray) -> np.ndarray:
-    wide = packed.view(np.uint64)
-    return np.stack([wide >> np.uint64(32), wide & np.uint64(0xFFFFFFFF)], axis=2).reshape(len(wide), -1).astype(np.uint32)
-
-
-#: Buckets of so many lines give all their pairs whose sketches agree.
-FEW_LINES = 32
-#: The columns that hold the bands, and those of the sketch.
-_COLUMNS = [f"b{i}" for i in range(BANDS // 2)]
+#: Keys that a part holds on average and those that a task gathers before it deals them; parts are as many as LEAST_PARTS at least.
+PART_KEYS, HELD_KEYS, LEAST_PARTS = 1 << 21, 1 << 20, 64
+#: Buckets of so many lines are looked through many at once.
+FEW_LINES = 16
+#: Buckets of more lines are dealt over tasks (link_buckets()); those of fewer are looked through in one.
+LARGE = 5000
+#: The columns that hold a line's sketch.
 _SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
+#: More than any line's number in its document.
+POSITIONS = 1 << 31
 
 
 def _chunks(docs: list, texts: pa.Array) -> Iterator[tuple[list[tuple[int, int, int]], str]]:
@@ -250,7 +244,7 @@ def _pieces(text: str) -> Iterator[str]:
 
 
 def _occurrence_batches(batches: Iterator[pa.RecordBatch], halved: np.ndarray | None = None, least: int = MIN_WORDS) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "pos", "h1", "h2", "words", *_COLUMNS, *_SKETCH]
+    names = ["doc_id", "pos", "h1", "h2", "words", "bands", *_SKETCH]
     for batch in batches:
         docs = batch.column("doc_id").to_pylist()
         for owners, text in _chunks(docs, batch.column("text")):
@@ -258,23 +252,193 @@ def _occurrence_batches(batches: Iterator[pa.RecordBatch], halved: np.ndarray |
             numbers, h1, h2, place = hashed_lines(words, line, least)
             sketches = np.zeros((len(numbers), SKETCH_WORDS), np.uint64)
             bands, n_words = fingerprints(words[place >= 0], place[place >= 0], len(numbers), halved, sketches)
-            bands, sketches = _packed(bands), sketches.view(np.int64)
+            offsets = pa.py_buffer(np.arange(0, 4 * BANDS * len(bands) + 1, 4 * BANDS, dtype=np.int32))
+            bands, sketches = pa.Array.from_buffers(pa.binary(), len(bands), [None, offsets, pa.py_buffer(bands)]), sketches.view(np.int64)
             which, first, done = (np.array(x, np.int64) for x in zip(*owners, strict=True))
             at = np.searchsorted(first, numbers, "right") - 1
             ids = np.array(docs, np.int64)[which[at]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids), pa.array((numbers - first[at] + done[at]).astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(n_words),
-                 *(pa.array(np.ascontiguousarray(x[:, i])) for x in (bands, sketches) for i in range(x.shape[1]))],
+                 bands, *(pa.array(np.ascontiguousarray(sketches[:, i])) for i in range(SKETCH_WORDS))],
                 names=names,
             )
 
 
-def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _key_batches(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Keys dealt over parts, gathered: a row is many keys of one part and the lines that they are of, as bytes, so that few rows are moved."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
-        bands = _unpacked(np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in _COLUMNS], axis=1))
+        bands = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.uint32).reshape(-1, BANDS)
         keys, at = block_keys(bands, np.ones(len(bands), np.int64))
-        ids = batch.column("h1").to_numpy(zero_copy_only=False)[at]
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], names=["key", "id"])
+        held.append((keys, batch.column("h1").to_numpy(zero_copy_only=False)[at]))
+        if sum(len(keys) for keys, _ in held) >= HELD_KEYS:
+            yield _dealt_keys(held, parts)
+            held = []
+    if held:
+        yield _dealt_keys(held, parts)
+
+
+def _dealt_keys(held: list[tuple[np.ndarray, np.ndarray]], parts: int) -> pa.RecordBatch:
+    keys, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+    part = (keys.view(np.uint64) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    starts = np.flatnonzero(np.diff(part[order], prepend=-1))
+    offsets = pa.py_buffer((8 * np.append(starts, len(order))).astype(np.int32))
+    blobs = [pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(x[order])]) for x in (keys, ids)]
+    return pa.RecordBatch.from_arrays([pa.array(part[order][starts]), *blobs], names=["part", "keys", "ids"])
+
+
+def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, id, n) of the keys that n > 1 lines have, from rows of _key_batches() in order of their parts.
+
+    A part is held until it is whole. Keys of more than LARGE lines are given on (with n of LARGE + 1 or more) where they would make it much larger than others.
+    """
+    now, held, size, bound, wide = None, [], 0, 4 * PART_KEYS, np.empty(0, np.int64)
+    for batch in batches:
+        for part, *blobs in zip(batch.column("part").to_pylist(), batch.column("keys"), batch.column("ids"), strict=True):
+            if part != now:
+                if held:
+                    yield _shared(*_runs(held))
+                now, held, size, bound, wide = part, [], 0, 4 * PART_KEYS, wide[:0]
+            keys, ids = (np.frombuffer(x.as_buffer(), np.int64) for x in blobs)
+            if len(wide):
+                gone = np.isin(keys, wide)
+                if gone.any():
+                    yield _shared(keys[gone], ids[gone], np.full(gone.sum(), LARGE + 1))
+                keys, ids = keys[~gone], ids[~gone]
+            held.append((keys, ids))
+            size += len(keys)
+            if size >= bound:
+                keys, ids, n = _runs(held)
+                over = n > LARGE
+                if over.any():
+                    yield _shared(keys[over], ids[over], n[over])
+                wide = np.union1d(wide, keys[over])
+                held = [(keys[~over], ids[~over])]
+                size = int((~over).sum())
+                bound = max(bound, 2 * size)
+    if held:
+        yield _shared(*_runs(held))
+
+
+def _runs(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """keys and ids in order of the keys, and how many rows each one's key has."""
+    keys, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(keys)
+    keys, ids = keys[order], ids[order]
+    starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+    n = np.diff(np.append(starts, len(keys)))
+    return keys, ids, np.repeat(n, n)
+
+
+def _shared(keys: np.ndarray, ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    many = n > 1
+    return pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (keys, ids, n.astype(np.int32))], names=["key", "id", "n"])
+
+
+def _alike(x: np.ndarray, y: np.ndarray, words: np.ndarray, other_words: np.ndarray, connected: np.ndarray, percent: int) -> np.ndarray:
+    """How many samples of sketches (their last axis) are equal; 0 where the pair does not fit or is connected already."""
+    x = x ^ y
+    x = x | (x >> np.uint64(1))
+    x = x | (x >> np.uint64(2))
+    same = BANDS * SAMPLES - np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(-1, dtype=np.int64)
+    fit = (100 * np.minimum(words, other_words) >= percent * np.maximum(words, other_words)) & (same >= ALIKE) & ~connected
+    return np.where(fit, same, 0)
+
+
+class _Bucket:
+    """The lines of one key: which pairs may be alike, a row of the square at a time."""
+
+    def __init__(self, ids: np.ndarray, words: np.ndarray, sketches: np.ndarray, own: np.ndarray, percent: int):
+        self.ids, self.words, self.sketches, self.own, self.percent = ids, words, sketches, own, percent
+
+    def alike(self, k: int, among: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """How many samples of the k-th line's are equal in each line, 0 where the pair does not fit or is connected already."""
+        return _alike(self.sketches[among], self.sketches[k], self.words[among], self.words[k], self.own[among] == self.own[k], self.percent)
+
+    def forest(self) -> Iterator[tuple[int, int, int]]:
+        """(of, with, alike) that connect all that pairs that fit connect: from the most central line on, each with one before it."""
+        some = np.arange(0, len(self.ids), max(1, len(self.ids) // 64))
+        central = sum(self.alike(k) for k in some.tolist())
+        left = np.ones(len(self.ids), bool)
+        for first in np.argsort(-central, kind="stable").tolist():
+            if not left[first]:
+                continue
+            left[first], front = False, [first]
+            while front and left.any():
+                k = front.pop(0)
+                same = self.alike(k)
+                found = np.flatnonzero((same > 0) & left)
+                left[found] = False
+                front += found.tolist()
+                yield from zip(found.tolist(), [k] * len(found), same[found].tolist(), strict=True)
+
+    def all_pairs(self) -> Iterator[tuple[int, int, int]]:
+        for k in range(len(self.ids) - 1):
+            same = self.alike(k, slice(k + 1, None))
+            for j in np.flatnonzero(same).tolist():
+                yield k + 1 + j, k, int(same[j])
+
+    def closest(self) -> Iterator[tuple[int, int, int]]:
+        """Of the pairs of each two components the one with the most equal samples."""
+        best: dict[tuple, tuple[int, int, int]] = {}
+        for pair in self.all_pairs():
+            ends = tuple(sorted((self.own[pair[0]], self.own[pair[1]])))
+            if ends not in best or pair[2] > best[ends][2]:
+                best[ends] = pair
+        yield from best.values()
+
+
+def _pair_batches(batches: Iterator[pa.RecordBatch], which: str, percent: int) -> Iterator[pa.RecordBatch]:
+    """(key, a, b, ca, cb, alike, more) from members (key, id, n, words, sketch, c) in order of their keys; more: the key's lines have other pairs that fit."""
+    tail = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch] if tail is None else [tail, batch]).combine_chunks()
+        keys = rows.column("key").to_numpy()
+        cut = len(keys) - int((keys == keys[-1]).sum()) if len(keys) else 0
+        tail = rows.slice(cut).combine_chunks().to_batches()[0] if cut < len(keys) else None
+        if cut:
+            yield _pairs_of(rows.slice(0, cut), which, percent)
+    if tail is not None:
+        yield _pairs_of(pa.Table.from_batches([tail]), which, percent)
+
+
+def _pairs_of(rows: pa.Table, which: str, percent: int) -> pa.RecordBatch:
+    col = {c: rows.column(c).to_numpy() for c in ("key", "id", "words", "c", *_SKETCH)}
+    sketches = np.stack([col[c] for c in _SKETCH], axis=1).view(np.uint64)
+    starts = np.flatnonzero(np.concatenate(([True], col["key"][1:] != col["key"][:-1])))
+    ends = np.append(starts[1:], len(col["key"]))
+    found, more, open_ = [], [], ends - starts > FEW_LINES
+    for n in range(2, FEW_LINES + 1):  # buckets of one size at once
+        at = starts[ends - starts == n]
+        x, y = np.triu_indices(n, 1)
+        for some in np.array_split(at, max(1, len(at) * len(x) // 200_000)):
+            of, to = some[:, None] + y, some[:, None] + x
+            same = _alike(sketches[of], sketches[to], col["words"][of], col["words"][to], col["c"][of] == col["c"][to], percent)
+            hits = np.count_nonzero(same, axis=1)
+            if which == "forest" and n > 2:
+                square = np.zeros((len(some), n, n), np.int64)
+                square[:, x, y] = square[:, y, x] = same
+                central = square.sum(axis=2)
+                lead = central.argmax(axis=1)
+                star = square[np.arange(len(some)), lead]  # in most buckets it reaches all lines that have a pair
+                whole = np.count_nonzero(star, axis=1) + 1 == np.count_nonzero(central, axis=1)
+                open_ |= np.isin(starts, some[(hits > 0) & ~whole])
+                bucket, line = np.nonzero(star * whole[:, None])
+                of, to, same = some[bucket] + line, some[bucket] + lead[bucket], star[bucket, line]
+            else:
+                bucket, pair = np.nonzero(same)
+                of, to, same = of[bucket, pair], to[bucket, pair], same[bucket, pair]
+            found += zip(of.tolist(), to.tolist(), same.tolist(), strict=True)
+            more += (hits[bucket] > 1).tolist()
+    for lo, hi in zip(starts[open_].tolist(), ends[open_].tolist(), strict=True):
+        bucket = _Bucket(*(c[lo:hi] for c in (col["id"], col["words"], sketches, col["c"])), percent)
+        mine = [(lo + i, lo + j, n) for i, j, n in getattr(bucket, which)()]
+        found += mine
+        more += [len(mine) > 1] * len(mine)
+    of, to, same = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
+    columns = [col["key"][of], col["id"][of], col["id"][to], col["c"][of], col["c"][to], same.astype(np.int32), np.array(more, bool)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "a", "b", "ca", "cb", "alike", "more"])
 
 
 def coded(words: list[bytes]) -> str:
@@ -305,15 +469,14 @@ def duplicate_lines(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, m
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     halved = docs.sparkSession.sparkContext.broadcast(halvings(word_counts(docs)))
-    schema = f"doc_id bigint, pos int, h1 bigint, h2 bigint, words bigint, {', '.join(f'{c} bigint' for c in _COLUMNS + _SKETCH)}"
+    schema = f"doc_id bigint, pos int, h1 bigint, h2 bigint, words bigint, bands binary, {', '.join(f'{c} bigint' for c in _SKETCH)}"
     found = scratch.save(docs.mapInArrow(lambda b: tidy(_occurrence_batches(b, halved.value, min_words)), schema), "occurrences")
-    lines = scratch.save(
-        found.groupBy("h1", "h2").agg(
-            F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("at"), *(F.any_value(c).alias(c) for c in ["words", *_COLUMNS, *_SKETCH])
-        ),
-        "lines",
+    lines = found.groupBy("h1", "h2").agg(
+        F.count("*").alias("n"), F.min(F.col("doc_id").cast("decimal(19,0)") * F.lit(POSITIONS) + F.col("pos")).alias("at"), F.any_value("bands").alias("bands"), *(F.max(c).alias(c) for c in ["words", *_SKETCH])
     )
-    keys = lines.select("h1", *_COLUMNS).mapInArrow(lambda b: tidy(_key_batches(b)), "key bigint, id bigint")
+    pos = F.pmod("at", F.lit(POSITIONS)).cast("int")
+    at = F.struct(F.expr(f"(at - pmod(at, {POSITIONS})) div {POSITIONS}").cast("bigint").alias("doc_id"), pos.alias("pos"))
+    lines = scratch.save(lines.withColumn("at", at), "lines")
     slim = scratch.save(found.select("doc_id", "pos", "h1", "h2"), "slim")
     scratch.drop(found)
     texts: list[DataFrame] = []
@@ -345,8 +508,7 @@ def duplicate_lines(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, m
         return (100 * F.least(x("words"), y("words")) >= percent * F.greatest(x("words"), y("words"))) & (equal_samples(x, y) >= ALIKE)
 
     carried = lines.select(F.col("h1").alias("id"), "words", *_SKETCH)
-    edges = link_buckets(scratch, keys, verified, carried, fits, lambda x, y: F.lit(BANDS * SAMPLES) - equal_samples(x, y), few=FEW_LINES)
-    comp = scratch.save(connected_components(scratch, edges), "components")
+    comp = _connected(scratch, lines, carried, verified, fits, percent)
     near = scratch.save(lines.select("h1", "h2", "at", "n").join(comp.withColumnRenamed("id", "h1"), "h1"), "near")
     first = scratch.save(near.groupBy("component").agg(F.min("at").alias("first"), F.count("*").alias("n")), "first")
     near = join_counted(near.withColumnRenamed("n", "many"), first, ["component"], near.count())
@@ -361,6 +523,60 @@ def duplicate_lines(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, m
     return out
 
 
+def _joined(scratch: Scratch, comp: DataFrame, links: DataFrame) -> DataFrame:
+    """comp (id, component) with further links (a, b): only components that they join are worked on."""
+    of = lambda c: comp.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    low = scratch.save(connected_components(scratch, ends), "joined")
+    told = comp.join(low.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left")
+    told = told.select("id", F.coalesce("to", "component").alias("component"))
+    return scratch.save(told.unionByName(low.join(comp, "id", "left_anti")), "components")
+
+
+def _connected(scratch: Scratch, lines: DataFrame, carried: DataFrame, verified: Callable[[DataFrame], DataFrame], fits: Callable[[Carried, Carried], Column], percent: int) -> DataFrame:
+    """(id, component) of all lines that are linked: that share a band and are similar, or are connected by such lines.
+
+    Each line is tried first with one line of its buckets, the nearest of those that their most central lines led to; then of each two
+    components that share a bucket the closest pair; then all pairs of different components. Links inside a component could not change it.
+    """
+    parts = max(LEAST_PARTS, -(-BANDS * lines.count() // PART_KEYS))
+    keys = lines.select("h1", "bands").mapInArrow(lambda b: tidy(_key_batches(b, parts)), "part int, keys binary, ids binary")
+    shared = keys.repartition("part").sortWithinPartitions("part").mapInArrow(lambda b: tidy(_shared_batches(b)), "key bigint, id bigint, n int")
+    shared = scratch.save(shared, "shared")
+    members = scratch.save(shared.where(F.col("n") <= LARGE).select("key", "id").join(carried, "id"), "members")
+    schema = "key bigint, a bigint, b bigint, ca bigint, cb bigint, alike int, more boolean"
+    pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    comp = None
+    for which in ("forest", "closest", "all_pairs"):
+        named = members.withColumn("c", F.col("id"))
+        if comp is not None:
+            named = members.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+        got = named.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b, how=which: tidy(_pair_batches(b, how, percent)), schema)
+        got = tried = scratch.save(got, "pairs")
+        if which == "forest":
+            tried = got.groupBy("a").agg(F.max_by("b", "alike").alias("b"))
+        elif which == "closest":
+            tried = got.groupBy(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).agg(F.max_by(F.struct("a", "b"), "alike").alias("p")).select("p.a", "p.b")
+        tried = scratch.save(tried.select(*pair).distinct(), "candidates")
+        if comp is not None and tried.isEmpty():
+            break
+        links = scratch.save(verified(tried), "links")
+        comp = scratch.save(connected_components(scratch, links), "components") if comp is None else _joined(scratch, comp, links)
+        if which == "all_pairs":
+            break
+        # Pairs of a bucket are left where it has more than one, or where its one gave way to another or was not the last of its components.
+        again = got
+        if which == "forest":
+            again = got.where("more").select("key").unionByName(got.select("key", *pair).join(tried, ["a", "b"], "left_anti").select("key"))
+        again = scratch.save(again.select("key").distinct(), "again")
+        members = scratch.save(members.join(F.broadcast(again) if again.count() <= BROADCAST_IDS else again, "key", "left_semi"), "members")
+    wide = shared.where(F.col("n") > LARGE).select("key", "id")
+    if not wide.isEmpty():
+        more = link_buckets(scratch, wide, verified, carried, fits, lambda x, y: F.lit(BANDS * SAMPLES) - equal_samples(x, y))
+        comp = _joined(scratch, comp, more)
+    return comp
+
+
 def equal_samples(x: Carried, y: Carried) -> Column:
     """How many of the samples' four bits are equal in two sketches."""
     out = F.lit(BANDS * SAMPLES)

@@ -260,3 +260,40 @@ def test_scripts_without_spaces(spark):
     rows = [(1, line), (2, line), (3, near), (4, "それぞれの文書に一度だけ現れる別の行です")]
     got = ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.text for r in got} == {1: line, 2: "", 3: "", 4: rows[3][1]}
+
+
+def test_lines_of_one_large_group_meet_few_others(spark, monkeypatch):
+    """Variants of one line: a few pairs a line are tried, not all pairs of every small bucket, and one line stays."""
+    rng = random.Random(3)
+    base = [f"w{k:02}" for k in range(40)]
+    rows = [(d, " ".join(w if rng.random() > 0.05 else f"x{rng.randrange(10**6)}" for w in base)) for d in range(400)]
+    alone = [(1000 + d, " ".join(f"y{rng.randrange(10**6)}" for _ in range(8))) for d in range(50)]
+    tried = []
+    save = common.Scratch.save
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        if name == "candidates":
+            tried.append(out.count())
+        return out
+
+    monkeypatch.setattr(common.Scratch, "save", counted)
+    got = {r.doc_id: r.text for r in ld.dedup_lines(spark.createDataFrame(rows + alone, "doc_id long, text string")).collect()}
+    assert got == {d: t if d in (0, *range(1000, 1050)) else "" for d, t in rows + alone}
+    assert sum(tried) <= 4 * len(rows)
+
+
+def test_shared_keys_of_parts_of_any_size(monkeypatch):
+    """Keys that two lines have, with parts that are looked through before they are whole."""
+    rng = np.random.default_rng(4)
+    keys = np.concatenate((rng.integers(0, 3000, 4000), np.full(700, 5000), np.full(300, 5001)))
+    keys = rng.permutation(keys) * 64 + 7
+    ids = np.arange(len(keys))
+    monkeypatch.setattr(ld, "LARGE", 40)
+    held = [ld._dealt_keys([(keys[i : i + 250], ids[i : i + 250])], 64) for i in range(0, 5000, 250)]
+    want = {(k, i) for k, i in zip(keys.tolist(), ids.tolist(), strict=True) if (keys == k).sum() > 1}
+    for size in (1 << 20, 200):
+        monkeypatch.setattr(ld, "PART_KEYS", size)
+        got = [r for b in ld._shared_batches(iter(held)) for r in b.to_pylist()]
+        assert len(got) == len(want) and {(r["key"], r["id"]) for r in got} == want
+        assert all((r["n"] > 40) == ((keys == r["key"]).sum() > 40) for r in got)
