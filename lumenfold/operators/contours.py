@@ -95,9 +95,11 @@ def ranked(links: DataFrame) -> DataFrame:
 
 
 def _ranked(links: DataFrame) -> DataFrame:
-    jumped = _jump(links.select("id", F.col("after").alias("to"), F.col("id").alias("low"), F.lit(1).cast("bigint").alias("hops"), F.col("id").alias("last")))
+    """ranked(); where links have n, an id counts as so many."""
+    hops = (F.col("n") if "n" in links.columns else F.lit(1)).cast("bigint").alias("hops")
+    jumped = _jump(links.select("id", F.col("after").alias("to"), F.col("id").alias("low"), hops, F.col("id").alias("last")))
     round_ = jumped.where("to is not null").select("id", F.col("low").alias("ring"))
-    opened = links.join(round_, "id").select("id", F.when(F.col("after") != F.col("ring"), F.col("after")).alias("to"), F.col("id").alias("low"), F.lit(1).cast("bigint").alias("hops"), F.col("id").alias("last"))
+    opened = links.join(round_, "id").select("id", F.when(F.col("after") != F.col("ring"), F.col("after")).alias("to"), F.col("id").alias("low"), hops, F.col("id").alias("last"))
     of_rings = _jump(opened).join(round_, "id").select("id", "ring", "hops", F.lit(True).alias("closed"))
     of_lines = jumped.where("to is null").select("id", F.col("last").alias("ring"), "hops", F.lit(False).alias("closed"))
     both = of_rings.unionByName(of_lines)
@@ -144,11 +146,63 @@ def outline_links(edges: DataFrame, *keys: str) -> DataFrame:
 def outline_points(edges: DataFrame, *keys: str) -> DataFrame:
     """ring, pos, x, y, d, corner: the edges' starts and directions along every closed outline, as rows, however long it is.
 
-    Outer rings run anticlockwise, those of holes clockwise. A ring is named after its smallest edge.
+    Outer rings run anticlockwise, those of holes clockwise. A ring is named after its smallest edge. Edges are walked
+    within blocks of tiles first, so that only the chains between blocks' borders are put in order by pointers.
     """
-    links = checks.cut(outline_links(edges, *keys))
-    turned = links.select(F.col("after").alias("id"), (F.col("after.d") != F.col("id.d")).alias("corner"))
-    return _ranked(links).join(turned, "id").select("ring", "pos", F.col("id.x").alias("x"), F.col("id.y").alias("y"), F.col("id.d").alias("d"), "corner")
+    links = outline_links(edges, *keys)
+    own = {f.name: f.dataType.simpleString() for f in links.schema["id"].dataType}
+    named = lambda c: F.struct(*keys, *(F.col(f"{c}{k}").cast(own[k]).alias(k) for k in "xyd"))
+    flat = links.select(*(F.col(f"id.{k}").alias(k) for k in keys), *(F.col(f"{c}.{k}").cast("bigint").alias(f"{n}{k}") for c, n in (("id", ""), ("after", "a")) for k in "xyd"))
+    blocks = flat.withColumn("bx", F.floor(F.col("x") / BLOCK)).withColumn("by", F.floor(F.col("y") / BLOCK)).groupBy(*keys, "bx", "by")
+    schema = ", ".join([*(f"{k} {own[k]}" for k in keys), *(f"{c} bigint" for c in _WALKED), "turned boolean", "shut boolean"])
+    walked = checks.cut(blocks.applyInArrow(_block_walk, schema))
+    chains = checks.cut(walked.where("not shut and off = 0").select(named("").alias("id"), named("a").alias("after"), "n", named("l").alias("low"), "lowoff", "ends_turned"))
+    order = checks.cut(_ranked(chains.select("id", "after", "n")))
+    whole = chains.join(order, "id")
+    rings = whole.groupBy("ring").agg(F.min(F.struct("low", (F.col("pos") + F.col("lowoff")).alias("at"))).alias("low"), F.sum("n").alias("length"))
+    comes = chains.select(F.col("after").alias("id"), F.col("ends_turned").alias("corner"))
+    heads = whole.join(rings.withColumnRenamed("low", "first"), "ring").join(comes, "id").select(F.col("id").alias("head"), F.col("first.low").alias("ring"), F.col("first.at").alias("at"), "pos", "length", F.col("corner").cast("boolean").alias("corner"))
+    at = [F.col(k).cast(own[k]).alias(k) for k in "xyd"]
+    open_ = walked.where("not shut").withColumn("head", named("h")).join(heads, "head")
+    open_ = open_.select("ring", F.pmod(F.col("pos") + F.col("off") - F.col("at"), F.col("length")).alias("pos"), *at, F.when(F.col("off") == 0, F.col("corner")).otherwise(F.col("turned")).alias("corner"))
+    return open_.unionByName(walked.where("shut").select(named("h").alias("ring"), F.col("off").alias("pos"), *at, F.col("turned").alias("corner")))
+
+
+#: Side of the blocks of tiles in which outlines are walked at once: a block has at most four edges for each of its tiles.
+BLOCK = 64
+#: An edge's start and direction, its chain's first edge and its place after that; of a chain's first edge also what follows the chain's last,
+#: how many it has, its smallest edge with its place, and whether the edge after the chain turns.
+_WALKED = ("x", "y", "d", "hx", "hy", "hd", "off", "ax", "ay", "ad", "n", "lx", "ly", "ld", "lowoff", "ends_turned")
+
+
+def _block_walk(edges: pa.Table) -> pa.Table:
+    """The edges of one block along the chains that they make in it. shut: the chain is a whole ring, which then begins at its smallest edge; turned: the edge before goes another way."""
+    ids, after = (list(zip(*(edges.column(f"{n}{k}").to_pylist() for k in "xyd"), strict=True)) for n in ("", "a"))
+    at = {e: k for k, e in enumerate(ids)}
+    follows = [at.get(e) for e in after]
+    led = {k for k in follows if k is not None}
+    done, rows, taken = [False] * len(ids), [], []
+    in_order = sorted(range(len(ids)), key=ids.__getitem__)
+    for first in [*(k for k in in_order if k not in led), *in_order]:
+        if done[first]:
+            continue
+        chain, k = [], first
+        while k is not None and not done[k]:
+            done[k] = True
+            chain.append(k)
+            k = follows[k]
+        shut, last = k is not None, chain[-1]
+        low = min(range(len(chain)), key=lambda j: ids[chain[j]])
+        told = (*after[last], len(chain), *ids[chain[low]], low, int(after[last][2] != ids[last][2]))
+        for off, e in enumerate(chain):
+            before = ids[chain[off - 1]][2] if off or shut else None
+            rows.append((*ids[e], *ids[first], off, *(told if off == 0 else (None,) * len(told)), None if before is None else before != ids[e][2], shut))
+        taken += chain
+    keys = [c for c in edges.column_names if c not in ("x", "y", "d", "ax", "ay", "ad", "bx", "by")]
+    columns = dict(zip((*_WALKED, "turned", "shut"), zip(*rows, strict=True), strict=True))
+    own = edges.select(keys).take(pa.array(taken, pa.int64())) if keys else None
+    arrays = [*(own.column(k) for k in keys), *(pa.array(columns[c], pa.int64()) for c in _WALKED), *(pa.array(columns[c], pa.bool_()) for c in ("turned", "shut"))]
+    return pa.table(arrays, [*keys, *_WALKED, "turned", "shut"])
 
 
 def outline_rings(edges: DataFrame, components: DataFrame) -> DataFrame:

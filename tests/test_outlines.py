@@ -80,3 +80,20 @@ def test_busy_shares(spark):
     df = spark.createDataFrame(rows, "at int, core int, user long, nice long, sys long, irq long, idle long")
     got = {r.at: (r.cores, r.average, r.highest) for r in checks.busy_shares(df).collect()}
     assert got == {2: (2, 37.5, 75.0), 3: (1, 0.0, 0.0), 4: (1, 0.0, 0.0)}
+
+
+def test_rings_over_many_blocks_are_whole(spark, monkeypatch):
+    """Rings within blocks and over several: the same rows with any blocks, and only chains between blocks are put in order by pointers."""
+    rng = random.Random(8)
+    cells = [(i - 10, j - 10) for i in range(24) for j in range(24) if rng.random() < 0.6]
+    ranks = []
+    ranked = contours._ranked
+    monkeypatch.setattr(contours, "_ranked", lambda links: ranks.append(links.count()) or ranked(links))
+    got = {}
+    for block in (64, 5):
+        monkeypatch.setattr(contours, "BLOCK", block)
+        got[block] = points(spark, cells)
+        assert all(abs(ax - bx) + abs(ay - by) == 1 for r in got[block] for (ax, ay, _), (bx, by, _) in zip(r, r[1:] + r[:1], strict=True))
+    edges = sum(len(r) for r in got[64])
+    assert got[5] == got[64] and sum(area(r) for r in got[5]) == len(cells)
+    assert edges == checks.outline_edges(tiles(spark, cells)).count() and max(ranks) < 0.5 * edges
