@@ -20,7 +20,7 @@ a line would be needed for a recall of 0.9.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,8 @@ GENTLE = 2
 #: Samples of a line are also kept as four bits each. Lines are compared if as many are equal as ALIKE: at the threshold
 #: 33 of the 48 are on average (fewer than 20 with a chance of 2e-5), of lines that share only a band and common words 10.
 SKETCH_WORDS, ALIKE = BANDS * SAMPLES // 16, 20
+#: A line's words are also counted, modulo four, in so many cells by their hashes: see profiles().
+PROFILE = 128
 #: Lines of fewer words stay wherever they stand: they repeat by chance. A default.
 MIN_WORDS = 5
 PERCENT = 80
@@ -154,9 +156,9 @@ def word_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
-#: One odd factor and one mask for each sample.
-_FACTORS = mix(np.arange(1, 2 * BANDS * SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_MASKS, _FACTORS = _FACTORS[BANDS * SAMPLES :], _FACTORS[: BANDS * SAMPLES] | np.uint64(1)
+#: One odd factor and one mask for each sample; 32 bits tell a line's members apart and are worked on faster than 64.
+_FACTORS = (mix(np.arange(1, 2 * BANDS * SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+_MASKS, _FACTORS = _FACTORS[BANDS * SAMPLES :], _FACTORS[: BANDS * SAMPLES] | np.uint32(1)
 
 
 def fingerprints(
@@ -171,15 +173,15 @@ def fingerprints(
     bands, counts = np.zeros((n, BANDS), np.uint32), np.bincount(place, minlength=n)
     if len(words):
         own = mix(words ^ mix(place.astype(np.uint64) + np.uint64(1)))  # equal for a line's equal words only
-        order = np.argsort(own, kind="stable")
+        order = np.argsort(own)  # which of the equal words gets which number does not matter
         first = np.flatnonzero(np.concatenate(([True], np.diff(own[order]) != 0)))
         number = np.empty(len(words), np.uint64)
         number[order] = np.arange(len(words)) - np.repeat(first, np.diff(np.append(first, len(words))))
-        members = mix(words + number * np.uint64(0xD1B54A32D192ED03))
+        members = (mix(words + number * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(32)).astype(np.uint32)
         starts = np.flatnonzero(np.diff(place, prepend=-1))
         lines = place[starts]
         # A sample is the member of the smallest value; the values of a word halved k times are 2**k as large.
-        down = np.uint64(MOST_HALVINGS // GENTLE) - (0 if halved is None else (halved // GENTLE)[(words % np.uint64(COUNTED)).astype(np.int64)].astype(np.uint64))
+        down = np.uint32(MOST_HALVINGS // GENTLE) - (0 if halved is None else (halved // GENTLE)[(words % np.uint64(COUNTED)).astype(np.int64)].astype(np.uint32))
         values = np.empty_like(members)
         for i in range(BANDS):
             band = np.zeros(len(starts), np.uint64)
@@ -187,7 +189,7 @@ def fingerprints(
                 np.bitwise_xor(members, _MASKS[k], out=values)
                 np.multiply(values, _FACTORS[k], out=values)
                 np.right_shift(values, down, out=values)
-                low = np.minimum.reduceat(values, starts)
+                low = np.minimum.reduceat(values, starts).astype(np.uint64)
                 band = mix(band ^ low)
                 if sketches is not None:
                     sketches[lines, k // 16] |= (mix(low) >> np.uint64(60)) << np.uint64(4 * (k % 16))
@@ -195,6 +197,28 @@ def fingerprints(
     return bands, counts
 
 
+def profiles(words: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+    """(n lines, PROFILE / 32): how many of each line's words fall into each cell, modulo four: all the counts' low bits, then their high bits.
+
+    words and place as in fingerprints(). An edit changes one count by one, or two counts where it replaces a word.
+    """
+    out = np.empty((n, PROFILE // 32), np.uint64)
+    cell = ((words >> np.uint64(20)) % np.uint64(PROFILE)).astype(np.int64)
+    for lo in range(0, n, PROFILED):
+        hi = min(n, lo + PROFILED)
+        a, b = np.searchsorted(place, (lo, hi))
+        counts = np.bincount((place[a:b] - lo) * PROFILE + cell[a:b], minlength=(hi - lo) * PROFILE).astype(np.uint8).reshape(-1, PROFILE)
+        planes = [np.packbits((counts >> bit) & 1, axis=1, bitorder="little").view(np.uint64) for bit in (0, 1)]
+        out[lo:hi] = np.concatenate(planes, axis=1)
+    return out
+
+
+def profile_distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """By how much two profiles' counts (last axis) differ in all: twice the edit distance of the lines at most."""
+    low, high = np.split(x ^ y, 2, axis=-1)
+    return (np.bitwise_count(low) + 2 * np.bitwise_count(~low & high)).sum(-1, dtype=np.int64)
+
+
 def block_keys(bands: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit keys, and the line that each is of: one for every band of a line that has words."""
     at = np.flatnonzero(counts > 0)
@@ -204,12 +228,16 @@ def block_keys(bands: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
 
 #: Keys that a part holds on average and those that a task gathers before it deals them; parts are as many as LEAST_PARTS at least.
 PART_KEYS, HELD_KEYS, LEAST_PARTS = 1 << 21, 1 << 20, 64
-#: Buckets of so many lines are looked through many at once.
-FEW_LINES = 16
+#: Buckets of so many lines are looked through many at once, those of up to SQUARE lines as a square, larger ones some rows at a time.
+FEW_LINES, SQUARE = 16, 512
+#: Members that a task gathers before it looks through their buckets, pairs of one bucket that it gathers, and lines whose profiles are counted at once.
+HELD_ROWS, HELD_PAIRS, PROFILED = 1 << 16, 1 << 18, 4096
 #: Buckets of more lines are dealt over tasks (link_buckets()); those of fewer are looked through in one.
 LARGE = 5000
 #: The columns that hold a line's sketch.
 _SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
+#: Those that hold its bands (two in each) and its profile.
+_BANDS, _PROFILE = [f"b{i}" for i in range(BANDS // 2)], [f"p{i}" for i in range(PROFILE // 32)]
 #: More than any line's number in its document.
 POSITIONS = 1 << 31
 
@@ -244,22 +272,22 @@ def _pieces(text: str) -> Iterator[str]:
 
 
 def _occurrence_batches(batches: Iterator[pa.RecordBatch], halved: np.ndarray | None = None, least: int = MIN_WORDS) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "pos", "h1", "h2", "words", "bands", *_SKETCH]
+    names = ["doc_id", "pos", "h1", "h2", "words", *_BANDS, *_SKETCH, *_PROFILE]
     for batch in batches:
         docs = batch.column("doc_id").to_pylist()
         for owners, text in _chunks(docs, batch.column("text")):
             words, line = hashed_words(text)
             numbers, h1, h2, place = hashed_lines(words, line, least)
             sketches = np.zeros((len(numbers), SKETCH_WORDS), np.uint64)
-            bands, n_words = fingerprints(words[place >= 0], place[place >= 0], len(numbers), halved, sketches)
-            offsets = pa.py_buffer(np.arange(0, 4 * BANDS * len(bands) + 1, 4 * BANDS, dtype=np.int32))
-            bands, sketches = pa.Array.from_buffers(pa.binary(), len(bands), [None, offsets, pa.py_buffer(bands)]), sketches.view(np.int64)
+            words, place = words[place >= 0], place[place >= 0]
+            bands, n_words = fingerprints(words, place, len(numbers), halved, sketches)
+            wide = np.concatenate((bands.view(np.int64), sketches.view(np.int64), profiles(words, place, len(numbers)).view(np.int64)), axis=1)
             which, first, done = (np.array(x, np.int64) for x in zip(*owners, strict=True))
             at = np.searchsorted(first, numbers, "right") - 1
             ids = np.array(docs, np.int64)[which[at]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids), pa.array((numbers - first[at] + done[at]).astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(n_words),
-                 bands, *(pa.array(np.ascontiguousarray(sketches[:, i])) for i in range(SKETCH_WORDS))],
+                 *(pa.array(np.ascontiguousarray(c)) for c in wide.T)],
                 names=names,
             )
 
@@ -268,7 +296,7 @@ def _key_batches(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.R
     """Keys dealt over parts, gathered: a row is many keys of one part and the lines that they are of, as bytes, so that few rows are moved."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
-        bands = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.uint32).reshape(-1, BANDS)
+        bands = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in _BANDS], axis=1).view(np.uint32)
         keys, at = block_keys(bands, np.ones(len(bands), np.int64))
         held.append((keys, batch.column("h1").to_numpy(zero_copy_only=False)[at]))
         if sum(len(keys) for keys, _ in held) >= HELD_KEYS:
@@ -346,21 +374,48 @@ def _alike(x: np.ndarray, y: np.ndarray, words: np.ndarray, other_words: np.ndar
     return np.where(fit, same, 0)
 
 
+class _Members:
+    """Rows (key, id, words, sketch, c and, where there is one, profile) of whole buckets: which pairs of them may be alike."""
+
+    def __init__(self, rows: pa.Table, percent: int):
+        self.percent = percent
+        self.key, self.id, self.words, self.own = (rows.column(c).to_numpy() for c in ("key", "id", "words", "c"))
+        self.sketches, self.profiles = (
+            np.stack([rows.column(c).to_numpy() for c in names], axis=1).view(np.uint64) if names[0] in rows.column_names else None for names in (_SKETCH, _PROFILE)
+        )
+
+    def alike(self, of: np.ndarray, to: np.ndarray | int) -> np.ndarray:
+        """How many samples of the rows' lines are equal, 0 where a pair does not fit or is connected already."""
+        same = _alike(self.sketches[of], self.sketches[to], self.words[of], self.words[to], self.own[of] == self.own[to], self.percent)
+        if self.profiles is not None:
+            at = np.nonzero(same)
+            x, y = (np.broadcast_to(rows, same.shape)[at] for rows in (of, to))
+            most = (100 - self.percent) * np.maximum(self.words[x], self.words[y]) // 100
+            same[at] *= profile_distance(self.profiles[x], self.profiles[y]) <= 2 * most
+        return same
+
+    def batch(self, of: np.ndarray, to: np.ndarray, same: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+        columns = [self.key[of], self.id[of], self.id[to], self.own[of], self.own[to], same.astype(np.int32), more]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "a", "b", "ca", "cb", "alike", "more"])
+
+
 class _Bucket:
-    """The lines of one key: which pairs may be alike, a row of the square at a time."""
+    """The lines of one key, in rows [lo, hi) of members: which pairs may be alike, (of, with, alike) each."""
 
-    def __init__(self, ids: np.ndarray, words: np.ndarray, sketches: np.ndarray, own: np.ndarray, percent: int):
-        self.ids, self.words, self.sketches, self.own, self.percent = ids, words, sketches, own, percent
+    def __init__(self, members: _Members, lo: int, hi: int, whole: bool):
+        self.members, self.lo, self.n = members, lo, hi - lo
+        rows = np.arange(lo, hi)
+        self.rows, self.square = rows, members.alike(rows[:, None], rows[None, :]) if whole and self.n <= SQUARE else None
 
-    def alike(self, k: int, among: np.ndarray | slice = slice(None)) -> np.ndarray:
+    def alike(self, k: int) -> np.ndarray:
         """How many samples of the k-th line's are equal in each line, 0 where the pair does not fit or is connected already."""
-        return _alike(self.sketches[among], self.sketches[k], self.words[among], self.words[k], self.own[among] == self.own[k], self.percent)
+        return self.members.alike(self.rows, self.lo + k) if self.square is None else self.square[k]
 
-    def forest(self) -> Iterator[tuple[int, int, int]]:
-        """(of, with, alike) that connect all that pairs that fit connect: from the most central line on, each with one before it."""
-        some = np.arange(0, len(self.ids), max(1, len(self.ids) // 64))
-        central = sum(self.alike(k) for k in some.tolist())
-        left = np.ones(len(self.ids), bool)
+    def forest(self) -> Iterator[np.ndarray]:
+        """Pairs that connect all that pairs that fit connect: from the most central line on, each with one before it."""
+        some = np.arange(0, self.n, max(1, self.n // 64))
+        central = sum(self.alike(k) for k in some.tolist()) if self.square is None else self.square[some].sum(axis=0)
+        left = np.ones(self.n, bool) if self.square is None else self.square.any(axis=1)
         for first in np.argsort(-central, kind="stable").tolist():
             if not left[first]:
                 continue
@@ -369,52 +424,73 @@ class _Bucket:
                 k = front.pop(0)
                 same = self.alike(k)
                 found = np.flatnonzero((same > 0) & left)
-                left[found] = False
-                front += found.tolist()
-                yield from zip(found.tolist(), [k] * len(found), same[found].tolist(), strict=True)
-
-    def all_pairs(self) -> Iterator[tuple[int, int, int]]:
-        for k in range(len(self.ids) - 1):
-            same = self.alike(k, slice(k + 1, None))
-            for j in np.flatnonzero(same).tolist():
-                yield k + 1 + j, k, int(same[j])
-
-    def closest(self) -> Iterator[tuple[int, int, int]]:
+                if len(found):
+                    left[found] = False
+                    front += found.tolist()
+                    yield np.stack((found, np.full(len(found), k), same[found]))
+
+    def all_pairs(self) -> Iterator[np.ndarray]:
+        step = max(1, SQUARE * SQUARE // self.n)
+        for k in range(0, self.n, step):
+            same = np.triu(self.members.alike(self.rows[k : k + step, None], self.rows[None, k:]), 1)
+            of, to = np.nonzero(same)
+            if len(of):
+                yield np.stack((k + to, k + of, same[of, to]))
+
+    def closest(self) -> Iterator[np.ndarray]:
         """Of the pairs of each two components the one with the most equal samples."""
-        best: dict[tuple, tuple[int, int, int]] = {}
-        for pair in self.all_pairs():
-            ends = tuple(sorted((self.own[pair[0]], self.own[pair[1]])))
-            if ends not in best or pair[2] > best[ends][2]:
-                best[ends] = pair
-        yield from best.values()
+        best = np.empty((3, 0), np.int64)
+        for pairs in _gathered(self.all_pairs()):
+            best = np.concatenate((best, pairs), axis=1)
+            ends = np.sort(self.members.own[self.lo + best[:2]], axis=0)
+            best = best[:, np.lexsort((-best[2], ends[1], ends[0]))]
+            ends = np.sort(self.members.own[self.lo + best[:2]], axis=0)
+            best = best[:, np.concatenate(([True], (ends[:, 1:] != ends[:, :-1]).any(axis=0)))]
+        if best.size:
+            yield best
+
+
+def _gathered(pairs: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """The same pairs, about HELD_PAIRS at a time."""
+    held, n = [], 0
+    for some in pairs:
+        held.append(some)
+        n += some.shape[1]
+        if n >= HELD_PAIRS:
+            yield np.concatenate(held, axis=1)
+            held, n = [], 0
+    if held:
+        yield np.concatenate(held, axis=1)
 
 
 def _pair_batches(batches: Iterator[pa.RecordBatch], which: str, percent: int) -> Iterator[pa.RecordBatch]:
-    """(key, a, b, ca, cb, alike, more) from members (key, id, n, words, sketch, c) in order of their keys; more: the key's lines have other pairs that fit."""
-    tail = None
+    """(key, a, b, ca, cb, alike, more) from members in order of their keys; more: the key's lines have other pairs that fit."""
+    held, size = [], 0
     for batch in batches:
-        rows = pa.Table.from_batches([batch] if tail is None else [tail, batch]).combine_chunks()
-        keys = rows.column("key").to_numpy()
-        cut = len(keys) - int((keys == keys[-1]).sum()) if len(keys) else 0
-        tail = rows.slice(cut).combine_chunks().to_batches()[0] if cut < len(keys) else None
-        if cut:
-            yield _pairs_of(rows.slice(0, cut), which, percent)
-    if tail is not None:
-        yield _pairs_of(pa.Table.from_batches([tail]), which, percent)
-
-
-def _pairs_of(rows: pa.Table, which: str, percent: int) -> pa.RecordBatch:
-    col = {c: rows.column(c).to_numpy() for c in ("key", "id", "words", "c", *_SKETCH)}
-    sketches = np.stack([col[c] for c in _SKETCH], axis=1).view(np.uint64)
-    starts = np.flatnonzero(np.concatenate(([True], col["key"][1:] != col["key"][:-1])))
-    ends = np.append(starts[1:], len(col["key"]))
-    found, more, open_ = [], [], ends - starts > FEW_LINES
+        held.append(batch)
+        size += batch.num_rows
+        if size >= HELD_ROWS:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            keys = rows.column("key").to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1]))
+            if cut:
+                yield from _pairs_of(rows.slice(0, cut), which, percent)
+            held, size = rows.slice(cut).combine_chunks().to_batches(), len(keys) - cut
+    if size:
+        yield from _pairs_of(pa.Table.from_batches(held).combine_chunks(), which, percent)
+
+
+def _pairs_of(rows: pa.Table, which: str, percent: int) -> Iterator[pa.RecordBatch]:
+    members = _Members(rows, percent)
+    starts = np.flatnonzero(np.concatenate(([True], members.key[1:] != members.key[:-1])))
+    ends = np.append(starts[1:], len(members.key))
+    open_ = ends - starts > FEW_LINES
     for n in range(2, FEW_LINES + 1):  # buckets of one size at once
         at = starts[ends - starts == n]
         x, y = np.triu_indices(n, 1)
         for some in np.array_split(at, max(1, len(at) * len(x) // 200_000)):
             of, to = some[:, None] + y, some[:, None] + x
-            same = _alike(sketches[of], sketches[to], col["words"][of], col["words"][to], col["c"][of] == col["c"][to], percent)
+            same = members.alike(of, to)
             hits = np.count_nonzero(same, axis=1)
             if which == "forest" and n > 2:
                 square = np.zeros((len(some), n, n), np.int64)
@@ -429,16 +505,16 @@ def _pairs_of(rows: pa.Table, which: str, percent: int) -> pa.RecordBatch:
             else:
                 bucket, pair = np.nonzero(same)
                 of, to, same = of[bucket, pair], to[bucket, pair], same[bucket, pair]
-            found += zip(of.tolist(), to.tolist(), same.tolist(), strict=True)
-            more += (hits[bucket] > 1).tolist()
-    for lo, hi in zip(starts[open_].tolist(), ends[open_].tolist(), strict=True):
-        bucket = _Bucket(*(c[lo:hi] for c in (col["id"], col["words"], sketches, col["c"])), percent)
-        mine = [(lo + i, lo + j, n) for i, j, n in getattr(bucket, which)()]
-        found += mine
-        more += [len(mine) > 1] * len(mine)
-    of, to, same = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
-    columns = [col["key"][of], col["id"][of], col["id"][to], col["c"][of], col["c"][to], same.astype(np.int32), np.array(more, bool)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "a", "b", "ca", "cb", "alike", "more"])
+            if len(of):
+                yield members.batch(of, to, same, hits[bucket] > 1)
+    for of, to, same, more in _gathered(_open_pairs(members, zip(starts[open_].tolist(), ends[open_].tolist(), strict=True), which)):
+        yield members.batch(of, to, same, more > 0)
+
+
+def _open_pairs(members: _Members, buckets: Iterable[tuple[int, int]], which: str) -> Iterator[np.ndarray]:
+    for lo, hi in buckets:
+        for of, to, same in _gathered(getattr(_Bucket(members, lo, hi, which == "forest"), which)()):
+            yield np.stack((lo + of, lo + to, same, np.full(len(of), len(of) > 1)))
 
 
 def coded(words: list[bytes]) -> str:
@@ -453,11 +529,11 @@ def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         ids, texts = [], []
         for text, wanted in zip(batch.column("text"), batch.column("wanted").to_pylist(), strict=True):
-            lines = normal_lines(text.as_py())
+            lines = text.as_py().split("\n")
             for w in wanted:
                 if w["pos"] < len(lines):
                     ids.append(w["h1"])
-                    texts.append(coded(lines[w["pos"]]))
+                    texts.append(coded(normal_lines(lines[w["pos"]])[0]))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["id", "line"])
 
 
@@ -469,10 +545,10 @@ def duplicate_lines(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, m
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     halved = docs.sparkSession.sparkContext.broadcast(halvings(word_counts(docs)))
-    schema = f"doc_id bigint, pos int, h1 bigint, h2 bigint, words bigint, bands binary, {', '.join(f'{c} bigint' for c in _SKETCH)}"
+    schema = f"doc_id bigint, pos int, h1 bigint, h2 bigint, words bigint, {', '.join(f'{c} bigint' for c in [*_BANDS, *_SKETCH, *_PROFILE])}"
     found = scratch.save(docs.mapInArrow(lambda b: tidy(_occurrence_batches(b, halved.value, min_words)), schema), "occurrences")
     lines = found.groupBy("h1", "h2").agg(
-        F.count("*").alias("n"), F.min(F.col("doc_id").cast("decimal(19,0)") * F.lit(POSITIONS) + F.col("pos")).alias("at"), F.any_value("bands").alias("bands"), *(F.max(c).alias(c) for c in ["words", *_SKETCH])
+        F.count("*").alias("n"), F.min(F.col("doc_id").cast("decimal(19,0)") * F.lit(POSITIONS) + F.col("pos")).alias("at"), *(F.max(c).alias(c) for c in ["words", *_BANDS, *_SKETCH, *_PROFILE])
     )
     pos = F.pmod("at", F.lit(POSITIONS)).cast("int")
     at = F.struct(F.expr(f"(at - pmod(at, {POSITIONS})) div {POSITIONS}").cast("bigint").alias("doc_id"), pos.alias("pos"))
@@ -523,6 +599,11 @@ def duplicate_lines(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, m
     return out
 
 
+def _small(saved: DataFrame) -> DataFrame:
+    """A saved table of two numbers a row, broadcast if it is no larger than BROADCAST_IDS ids."""
+    return F.broadcast(saved) if 2 * saved.count() <= BROADCAST_IDS else saved
+
+
 def _joined(scratch: Scratch, comp: DataFrame, links: DataFrame) -> DataFrame:
     """comp (id, component) with further links (a, b): only components that they join are worked on."""
     of = lambda c: comp.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
@@ -540,17 +621,17 @@ def _connected(scratch: Scratch, lines: DataFrame, carried: DataFrame, verified:
     components that share a bucket the closest pair; then all pairs of different components. Links inside a component could not change it.
     """
     parts = max(LEAST_PARTS, -(-BANDS * lines.count() // PART_KEYS))
-    keys = lines.select("h1", "bands").mapInArrow(lambda b: tidy(_key_batches(b, parts)), "part int, keys binary, ids binary")
+    keys = lines.select("h1", *_BANDS).mapInArrow(lambda b: tidy(_key_batches(b, parts)), "part int, keys binary, ids binary")
     shared = keys.repartition("part").sortWithinPartitions("part").mapInArrow(lambda b: tidy(_shared_batches(b)), "key bigint, id bigint, n int")
     shared = scratch.save(shared, "shared")
-    members = scratch.save(shared.where(F.col("n") <= LARGE).select("key", "id").join(carried, "id"), "members")
+    members = scratch.save(shared.where(F.col("n") <= LARGE).select("key", "id").join(carried.hint("shuffle_hash"), "id"), "members")
     schema = "key bigint, a bigint, b bigint, ca bigint, cb bigint, alike int, more boolean"
     pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     comp = None
     for which in ("forest", "closest", "all_pairs"):
         named = members.withColumn("c", F.col("id"))
         if comp is not None:
-            named = members.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+            named = members.join(_small(comp), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
         got = named.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b, how=which: tidy(_pair_batches(b, how, percent)), schema)
         got = tried = scratch.save(got, "pairs")
         if which == "forest":
@@ -567,9 +648,12 @@ def _connected(scratch: Scratch, lines: DataFrame, carried: DataFrame, verified:
         # Pairs of a bucket are left where it has more than one, or where its one gave way to another or was not the last of its components.
         again = got
         if which == "forest":
-            again = got.where("more").select("key").unionByName(got.select("key", *pair).join(tried, ["a", "b"], "left_anti").select("key"))
+            again = got.where("more").select("key").unionByName(got.select("key", *pair).join(_small(tried), ["a", "b"], "left_anti").select("key"))
         again = scratch.save(again.select("key").distinct(), "again")
-        members = scratch.save(members.join(F.broadcast(again) if again.count() <= BROADCAST_IDS else again, "key", "left_semi"), "members")
+        members = members.join(F.broadcast(again) if again.count() <= BROADCAST_IDS else again, "key", "left_semi")
+        if which == "forest":  # from now on pairs also have to pass their profiles
+            members = members.join(lines.select(F.col("h1").alias("id"), *_PROFILE), "id")
+        members = scratch.save(members, "members")
     wide = shared.where(F.col("n") > LARGE).select("key", "id")
     if not wide.isEmpty():
         more = link_buckets(scratch, wide, verified, carried, fits, lambda x, y: F.lit(BANDS * SAMPLES) - equal_samples(x, y))

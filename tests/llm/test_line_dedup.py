@@ -297,3 +297,86 @@ def test_shared_keys_of_parts_of_any_size(monkeypatch):
         got = [r for b in ld._shared_batches(iter(held)) for r in b.to_pylist()]
         assert len(got) == len(want) and {(r["key"], r["id"]) for r in got} == want
         assert all((r["n"] > 40) == ((keys == r["key"]).sum() > 40) for r in got)
+
+
+def test_profiles_bound_the_edit_distance():
+    """Words replaced, taken out and put in: profiles differ by twice the edit distance at most."""
+    rng = random.Random(9)
+    for _ in range(200):
+        a = [WORDS[rng.randrange(300)] for _ in range(rng.randint(1, 300))]
+        b = list(a)
+        for _ in range(rng.randint(0, 12)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randint(0, 1)] = [WORDS[rng.randrange(300)] for _ in range(rng.randint(0, 1))]
+        if b:
+            words, line = ld.hashed_words(b"\n".join(b" ".join(ws) for ws in (a, b)).decode())
+            x, y = ld.profiles(words, line, 2)
+            assert ld.profile_distance(x, y) <= 2 * edits(a, b)
+
+
+def test_lines_that_only_look_alike_are_not_tried_in_all_pairs(spark, monkeypatch):
+    """Lines with the same half of their words share bands and many samples; beyond the first pass none of their pairs is tried."""
+    rng = random.Random(6)
+    base = [f"w{k:02}" for k in range(40)]
+    rows = []
+    for d in range(80):
+        gone = set(rng.sample(range(40), 10))
+        rows.append((d, " ".join(f"x{rng.randrange(10**6)}" if k in gone else w for k, w in enumerate(base))))
+    tried = []
+    save = common.Scratch.save
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        if name == "candidates":
+            tried.append(out.count())
+        return out
+
+    monkeypatch.setattr(common.Scratch, "save", counted)
+    got = {r.doc_id: r.text for r in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) == dict(rows)
+    assert 0 < sum(tried) <= len(rows)
+
+
+def test_pairs_of_buckets_of_any_size(monkeypatch):
+    """Forests connect what all pairs that fit connect, and the closest pairs are the best ones, whatever is looked through at once."""
+    rng = np.random.default_rng(8)
+    n = 300
+    key = np.sort(np.concatenate((np.repeat([1, 2, 3], [120, 40, 14]), rng.integers(10, 50, n - 174))))
+    near = rng.integers(0, 2**63, (9, ld.SKETCH_WORDS))[rng.integers(0, 9, n)]
+    c = rng.integers(0, 6, n)
+    cols = {"key": key, "id": np.arange(n), "words": np.full(n, 20), "c": c} | {f"s{i}": near[:, i] ^ (rng.integers(0, 2, n) << 62) for i in range(ld.SKETCH_WORDS)}
+    table = pa.table(cols)
+
+    def found(which):
+        return [(r["key"], r["a"], r["b"], r["alike"]) for b in ld._pair_batches(iter(table.to_batches(max_chunksize=30)), which, 80) for r in b.to_pylist()]
+
+    for square, few, held in ((512, 16, 1 << 16), (20, 3, 50), (1, 1, 1)):
+        for name, value in (("SQUARE", square), ("FEW_LINES", few), ("HELD_ROWS", held)):
+            monkeypatch.setattr(ld, name, value)
+        pairs = {(k, max(a, b), min(a, b)): s for k, a, b, s in found("all_pairs")}
+        sketches = np.stack([cols[f"s{i}"] for i in range(ld.SKETCH_WORDS)], axis=1).view(np.uint64)
+        every = [(a, b) for a in range(n) for b in range(a) if key[a] == key[b] and c[a] != c[b]]
+        want = {(int(key[a]), a, b): s for a, b in every if (s := int(ld._alike(sketches[a], sketches[b], 20, 20, np.bool_(False), 80)))}
+        assert pairs == want and len(want) > 500
+        best = {}
+        for (k, a, b), s in pairs.items():
+            ends = (k, *sorted((int(c[a]), int(c[b]))))
+            best[ends] = max(s, best.get(ends, 0))
+        closest = [((k, *sorted((int(c[a]), int(c[b])))), s) for k, a, b, s in found("closest")]
+        if few > 3:  # buckets that are looked through many at once give all their pairs
+            closest = [x for x in closest if (key == x[0][0]).sum() > few]
+            best = {e: s for e, s in best.items() if (key == e[0]).sum() > few}
+        assert {e: max(s for f, s in closest if f == e) for e, _ in closest} == best
+        root = {(int(k), i): (int(k), i) for i, k in enumerate(key)}
+
+        def groups(edges, root=root):
+            at = dict(root)
+            for _ in range(n):
+                before = dict(at)
+                for k, a, b in edges:
+                    at[k, a] = at[k, b] = min(at[k, a], at[k, b])
+                if at == before:
+                    return at
+
+        forest = [(k, a, b) for k, a, b, _ in found("forest")]
+        assert groups(forest) == groups(want) and len(forest) < n
