@@ -555,6 +555,7 @@ def duplicate_lines(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, m
     lines = scratch.save(lines.withColumn("at", at), "lines")
     slim = scratch.save(found.select("doc_id", "pos", "h1", "h2"), "slim")
     scratch.drop(found)
+    scratch.release()
     texts: list[DataFrame] = []
 
     def read(ids: DataFrame) -> DataFrame:
@@ -601,7 +602,7 @@ def duplicate_lines(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, m
 
 def _small(saved: DataFrame) -> DataFrame:
     """A saved table of two numbers a row, broadcast if it is no larger than BROADCAST_IDS ids."""
-    return F.broadcast(saved) if 2 * saved.count() <= BROADCAST_IDS else saved
+    return saved.hint("broadcast") if 2 * saved.count() <= BROADCAST_IDS else saved
 
 
 def _joined(scratch: Scratch, comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -624,7 +625,9 @@ def _connected(scratch: Scratch, lines: DataFrame, carried: DataFrame, verified:
     keys = lines.select("h1", *_BANDS).mapInArrow(lambda b: tidy(_key_batches(b, parts)), "part int, keys binary, ids binary")
     shared = keys.repartition("part").sortWithinPartitions("part").mapInArrow(lambda b: tidy(_shared_batches(b)), "key bigint, id bigint, n int")
     shared = scratch.save(shared, "shared")
+    scratch.release()
     members = scratch.save(shared.where(F.col("n") <= LARGE).select("key", "id").join(carried.hint("shuffle_hash"), "id"), "members")
+    scratch.release()
     schema = "key bigint, a bigint, b bigint, ca bigint, cb bigint, alike int, more boolean"
     pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     comp = None
@@ -634,6 +637,7 @@ def _connected(scratch: Scratch, lines: DataFrame, carried: DataFrame, verified:
             named = members.join(_small(comp), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
         got = named.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b, how=which: tidy(_pair_batches(b, how, percent)), schema)
         got = tried = scratch.save(got, "pairs")
+        scratch.release()
         if which == "forest":
             tried = got.groupBy("a").agg(F.max_by("b", "alike").alias("b"))
         elif which == "closest":
@@ -645,10 +649,13 @@ def _connected(scratch: Scratch, lines: DataFrame, carried: DataFrame, verified:
         comp = scratch.save(connected_components(scratch, links), "components") if comp is None else _joined(scratch, comp, links)
         if which == "all_pairs":
             break
-        # Pairs of a bucket are left where it has more than one, or where its one gave way to another or was not the last of its components.
-        again = got
+        # Pairs of a bucket are left only where those found lie in different components still, and a bucket's one pair was not refused.
+        of = lambda c: _small(comp).select(F.col("id").alias(c), F.col("component").alias(f"now_{c}"))  # noqa: B023, E731
+        apart = got.select("key", *pair, "more").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        apart = apart.where(F.coalesce("now_a", "a") != F.coalesce("now_b", "b"))
+        again = apart
         if which == "forest":
-            again = got.where("more").select("key").unionByName(got.select("key", *pair).join(_small(tried), ["a", "b"], "left_anti").select("key"))
+            again = apart.where("more").select("key").unionByName(apart.where("not more").join(_small(tried), ["a", "b"], "left_anti").select("key"))
         again = scratch.save(again.select("key").distinct(), "again")
         members = members.join(F.broadcast(again) if again.count() <= BROADCAST_IDS else again, "key", "left_semi")
         if which == "forest":  # from now on pairs also have to pass their profiles
