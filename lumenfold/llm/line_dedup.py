@@ -45,7 +45,7 @@ GENTLE = 2
 #: 33 of the 48 are on average (fewer than 20 with a chance of 2e-5), of lines that share only a band and common words 10.
 SKETCH_WORDS, ALIKE = BANDS * SAMPLES // 16, 20
 #: A line's words are also counted, modulo four, in so many cells by their hashes: see profiles().
-PROFILE = 128
+PROFILE = 256
 #: Lines of fewer words stay wherever they stand: they repeat by chance. A default.
 MIN_WORDS = 5
 PERCENT = 80
