@@ -45,6 +45,28 @@ def on_edge(ring: D, x: D, y: D) -> Column:
     return F.exists(edges(ring), met)
 
 
+def inside(ring: D, x: D, y: D) -> Column:
+    """Whether the point lies within the ring, its edges left out.
+
+    A sloping edge's height at x is taken from its higher end, and both sides of the edge and the edge itself are told by that one number.
+    """
+    x, y = col(x), col(y)
+
+    def at(e: Column) -> Column:
+        top, foot = F.when(e["a"]["y"] >= e["b"]["y"], e["a"]).otherwise(e["b"]), F.when(e["a"]["y"] >= e["b"]["y"], e["b"]).otherwise(e["a"])
+        return (foot["y"] - top["y"]) * (x - top["x"]) / (foot["x"] - top["x"]) + top["y"]
+
+    def met(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        wall = (x == a["x"]) & y.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
+        return F.when(a["x"] == b["x"], wall).otherwise(x.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & (y == at(e)))
+
+    def above(e: Column) -> Column:
+        return F.when((e["a"]["x"] > x) != (e["b"]["x"] > x), y < at(e)).otherwise(F.lit(False))
+
+    return (F.size(F.filter(edges(ring), above)) % 2 == 1) & ~F.exists(edges(ring), met)
+
+
 def ray_to_segment(x: D, y: D, dx: D, dy: D, ax: D, ay: D, bx: D, by: D) -> Column:
     """Distance along the ray to the segment, null where they do not meet."""
     x, y, dx, dy, ax, ay, bx, by = map(col, (x, y, dx, dy, ax, ay, bx, by))

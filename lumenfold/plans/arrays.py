@@ -183,7 +183,7 @@ def _(t: Tables) -> DataFrame:
     from ..operators.spatial import boxes_with_points
 
     boxes = _ring(t).withColumn("max_y", F.col("max_y") + 2)
-    return boxes_with_points(boxes, t.probes().select("probe", "x", "y")).where(rings.contains("ring", "x", "y") & ~rings.on_edge("ring", "x", "y")).select("id", "probe")
+    return boxes_with_points(boxes, t.probes().select("probe", "x", "y")).where(rings.inside("ring", "x", "y")).select("id", "probe")
 
 
 @query("shd12_ray_to_ring", "SELECT id, floor((min_x - (center_x - 100)) * 1e6 + 0.5) / 1e6 AS distance FROM obstacles", "obstacles")
