@@ -89,7 +89,7 @@ def ranked(links: DataFrame) -> DataFrame:
     A closed ring is named after its smallest id and begins there, an open one after its last id. Every id follows
     at most one other. Pointers jump over twice as many links in each round, so rounds
     grow with the logarithm of the longest chain, which is never gathered anywhere; each is an equi-join of
-    distinct ids, written once to a table in the shared folder.
+    distinct ids, written once to a table in the shared folder. Tables pack to a small part of their rows' size, so none is left to be broadcast by it.
     """
     return _ranked(checks.cut(links))
 
@@ -98,20 +98,20 @@ def _ranked(links: DataFrame) -> DataFrame:
     """ranked(); where links have n, an id counts as so many."""
     hops = (F.col("n") if "n" in links.columns else F.lit(1)).cast("bigint").alias("hops")
     jumped = _jump(links.select("id", F.col("after").alias("to"), F.col("id").alias("low"), hops, F.col("id").alias("last")))
-    round_ = jumped.where("to is not null").select("id", F.col("low").alias("ring"))
+    round_ = jumped.where("to is not null").select("id", F.col("low").alias("ring")).hint("merge")
     opened = links.join(round_, "id").select("id", F.when(F.col("after") != F.col("ring"), F.col("after")).alias("to"), F.col("id").alias("low"), hops, F.col("id").alias("last"))
     of_rings = _jump(opened).join(round_, "id").select("id", "ring", "hops", F.lit(True).alias("closed"))
     of_lines = jumped.where("to is null").select("id", F.col("last").alias("ring"), "hops", F.lit(False).alias("closed"))
     both = of_rings.unionByName(of_lines)
     length = both.groupBy("ring", "closed").agg(F.max("hops").alias("n"))
-    return both.join(length, ["ring", "closed"]).select("id", "ring", (F.col("n") - F.col("hops")).alias("pos"), "closed")
+    return both.join(length.hint("merge"), ["ring", "closed"]).select("id", "ring", (F.col("n") - F.col("hops")).alias("pos"), "closed")
 
 
 def _jump(state: DataFrame) -> DataFrame:
     """state (id, to, low, hops, last) with pointers that have jumped until chains have ended and rings know their smallest id."""
     before = None
     while True:
-        there = state.select(F.col("id").alias("__id"), F.col("to").alias("__to"), F.col("low").alias("__low"), F.col("hops").alias("__hops"), F.col("last").alias("__last"))
+        there = state.select(F.col("id").alias("__id"), F.col("to").alias("__to"), F.col("low").alias("__low"), F.col("hops").alias("__hops"), F.col("last").alias("__last")).hint("merge")
         went = F.col("__id").isNotNull()
         after = state.join(there, F.col("to") == F.col("__id"), "left").select(
             "id", F.when(went, F.col("__to")).alias("to"), F.when(went, F.least("low", "__low")).otherwise(F.col("low")).alias("low"),
@@ -140,13 +140,13 @@ def outline_links(edges: DataFrame, *keys: str) -> DataFrame:
     e = edges.select(*keys, F.struct(*keys, at("x").alias("x"), at("y").alias("y"), d.alias("d")).alias("id"), to("x").alias("tx"), to("y").alias("ty"))
     other = e.select(*keys, F.col("id").alias("next"), F.col("id.x").alias("tx"), F.col("id.y").alias("ty"))
     turn = F.pmod(F.col("next.d") - F.col("id.d"), F.lit(4))
-    return e.join(other, [*keys, "tx", "ty"]).groupBy("id").agg(F.min_by("next", F.array_position(F.array(*map(F.lit, TURNS)), turn)).alias("after"))
+    return e.join(other.hint("merge"), [*keys, "tx", "ty"]).groupBy("id").agg(F.min_by("next", F.array_position(F.array(*map(F.lit, TURNS)), turn)).alias("after"))
 
 
 def outline_points(edges: DataFrame, *keys: str) -> DataFrame:
-    """ring, pos, x, y, d, corner: the edges' starts and directions along every closed outline, as rows, however long it is.
+    """ring, pos, x, y, d, came, corner: the edges' starts and directions along every closed outline, as rows, however long it is.
 
-    Outer rings run anticlockwise, those of holes clockwise. A ring is named after its smallest edge. Edges are walked
+    came: the direction of the edge before; corner: whether it is another. Outer rings run anticlockwise, those of holes clockwise. A ring is named after its smallest edge. Edges are walked
     within blocks of tiles first, so that only the chains between blocks' borders are put in order by pointers.
     """
     links = outline_links(edges, *keys)
@@ -154,29 +154,30 @@ def outline_points(edges: DataFrame, *keys: str) -> DataFrame:
     named = lambda c: F.struct(*keys, *(F.col(f"{c}{k}").cast(own[k]).alias(k) for k in "xyd"))
     flat = links.select(*(F.col(f"id.{k}").alias(k) for k in keys), *(F.col(f"{c}.{k}").cast("bigint").alias(f"{n}{k}") for c, n in (("id", ""), ("after", "a")) for k in "xyd"))
     blocks = flat.withColumn("bx", F.floor(F.col("x") / BLOCK)).withColumn("by", F.floor(F.col("y") / BLOCK)).groupBy(*keys, "bx", "by")
-    schema = ", ".join([*(f"{k} {own[k]}" for k in keys), *(f"{c} bigint" for c in _WALKED), "turned boolean", "shut boolean"])
+    schema = ", ".join([*(f"{k} {own[k]}" for k in keys), *(f"{c} bigint" for c in _WALKED), "came bigint", "shut boolean"])
     walked = checks.cut(blocks.applyInArrow(_block_walk, schema))
-    chains = checks.cut(walked.where("not shut and off = 0").select(named("").alias("id"), named("a").alias("after"), "n", named("l").alias("low"), "lowoff", "ends_turned"))
+    chains = checks.cut(walked.where("not shut and off = 0").select(named("").alias("id"), named("a").alias("after"), "n", named("l").alias("low"), "lowoff", "ends"))
     order = checks.cut(_ranked(chains.select("id", "after", "n")))
-    whole = chains.join(order, "id")
+    whole = chains.join(order.hint("merge"), "id")
     rings = whole.groupBy("ring").agg(F.min(F.struct("low", (F.col("pos") + F.col("lowoff")).alias("at"))).alias("low"), F.sum("n").alias("length"))
-    comes = chains.select(F.col("after").alias("id"), F.col("ends_turned").alias("corner"))
-    heads = whole.join(rings.withColumnRenamed("low", "first"), "ring").join(comes, "id").select(F.col("id").alias("head"), F.col("first.low").alias("ring"), F.col("first.at").alias("at"), "pos", "length", F.col("corner").cast("boolean").alias("corner"))
+    comes = chains.select(F.col("after").alias("id"), F.col("ends").alias("led"))
+    heads = whole.join(rings.withColumnRenamed("low", "first").hint("merge"), "ring").join(comes.hint("merge"), "id").select(F.col("id").alias("head"), F.col("first.low").alias("ring"), F.col("first.at").alias("at"), "pos", "length", "led")
     at = [F.col(k).cast(own[k]).alias(k) for k in "xyd"]
-    open_ = walked.where("not shut").withColumn("head", named("h")).join(heads, "head")
-    open_ = open_.select("ring", F.pmod(F.col("pos") + F.col("off") - F.col("at"), F.col("length")).alias("pos"), *at, F.when(F.col("off") == 0, F.col("corner")).otherwise(F.col("turned")).alias("corner"))
-    return open_.unionByName(walked.where("shut").select(named("h").alias("ring"), F.col("off").alias("pos"), *at, F.col("turned").alias("corner")))
+    open_ = walked.where("not shut").withColumn("head", named("h")).join(heads.hint("merge"), "head")
+    open_ = open_.select("ring", F.pmod(F.col("pos") + F.col("off") - F.col("at"), F.col("length")).alias("pos"), *at, F.when(F.col("off") == 0, F.col("led")).otherwise(F.col("came")).alias("came"))
+    both = open_.unionByName(walked.where("shut").select(named("h").alias("ring"), F.col("off").alias("pos"), *at, "came"))
+    return both.withColumn("corner", F.col("came") != F.col("d"))
 
 
 #: Side of the blocks of tiles in which outlines are walked at once: a block has at most four edges for each of its tiles.
 BLOCK = 64
 #: An edge's start and direction, its chain's first edge and its place after that; of a chain's first edge also what follows the chain's last,
-#: how many it has, its smallest edge with its place, and whether the edge after the chain turns.
-_WALKED = ("x", "y", "d", "hx", "hy", "hd", "off", "ax", "ay", "ad", "n", "lx", "ly", "ld", "lowoff", "ends_turned")
+#: how many it has, its smallest edge with its place, and the direction of its last.
+_WALKED = ("x", "y", "d", "hx", "hy", "hd", "off", "ax", "ay", "ad", "n", "lx", "ly", "ld", "lowoff", "ends")
 
 
 def _block_walk(edges: pa.Table) -> pa.Table:
-    """The edges of one block along the chains that they make in it. shut: the chain is a whole ring, which then begins at its smallest edge; turned: the edge before goes another way."""
+    """The edges of one block along the chains that they make in it. shut: the chain is a whole ring, which then begins at its smallest edge; came: the direction of the edge before, null where a chain begins."""
     ids, after = (list(zip(*(edges.column(f"{n}{k}").to_pylist() for k in "xyd"), strict=True)) for n in ("", "a"))
     at = {e: k for k, e in enumerate(ids)}
     follows = [at.get(e) for e in after]
@@ -193,16 +194,16 @@ def _block_walk(edges: pa.Table) -> pa.Table:
             k = follows[k]
         shut, last = k is not None, chain[-1]
         low = min(range(len(chain)), key=lambda j: ids[chain[j]])
-        told = (*after[last], len(chain), *ids[chain[low]], low, int(after[last][2] != ids[last][2]))
+        told = (*after[last], len(chain), *ids[chain[low]], low, ids[last][2])
         for off, e in enumerate(chain):
             before = ids[chain[off - 1]][2] if off or shut else None
-            rows.append((*ids[e], *ids[first], off, *(told if off == 0 else (None,) * len(told)), None if before is None else before != ids[e][2], shut))
+            rows.append((*ids[e], *ids[first], off, *(told if off == 0 else (None,) * len(told)), before, shut))
         taken += chain
     keys = [c for c in edges.column_names if c not in ("x", "y", "d", "ax", "ay", "ad", "bx", "by")]
-    columns = dict(zip((*_WALKED, "turned", "shut"), zip(*rows, strict=True), strict=True))
+    columns = dict(zip((*_WALKED, "came", "shut"), zip(*rows, strict=True), strict=True))
     own = edges.select(keys).take(pa.array(taken, pa.int64())) if keys else None
-    arrays = [*(own.column(k) for k in keys), *(pa.array(columns[c], pa.int64()) for c in _WALKED), *(pa.array(columns[c], pa.bool_()) for c in ("turned", "shut"))]
-    return pa.table(arrays, [*keys, *_WALKED, "turned", "shut"])
+    arrays = [*(own.column(k) for k in keys), *(pa.array(columns[c], pa.int64()) for c in (*_WALKED, "came")), pa.array(columns["shut"], pa.bool_())]
+    return pa.table(arrays, [*keys, *_WALKED, "came", "shut"])
 
 
 def outline_rings(edges: DataFrame, components: DataFrame) -> DataFrame:
@@ -241,7 +242,7 @@ def filled(cells: DataFrame) -> DataFrame:
 
 
 def unified_contours(cells: DataFrame) -> DataFrame:
-    """layer (sunny, shadow, buildings), ring, pos, x, y of the lines at one half over all tiles' cells (i, j, outdoor, sunny).
+    """layer (sunny, shadow, buildings), ring, pos, x, y of the lines at one half over all tiles' cells (i, j, outdoor, sunny), and bx, by of the point before.
 
     Cells of neighbouring tiles share one grid, so lines run on over their borders; gaps and indoor cells are filled() first. Buildings are the
     indoor cells themselves. At one half a line passes through the middles of the sides between cells that are in
@@ -250,9 +251,8 @@ def unified_contours(cells: DataFrame) -> DataFrame:
     known = filled(cells)
     of = F.array_compact(F.array(F.when(F.col("lit"), "sunny"), F.when(~F.col("lit"), "shadow"), F.when(F.col("known") & ~F.col("outdoor"), "buildings")))
     points = outline_points(checks.outline_edges(known.select("i", "j", F.explode(of).alias("layer")), "layer"), "layer")
-    d = F.col("d")
-    on = lambda c, plus, minus: (F.col(c) + F.when(d == plus, 0.5).when(d == minus, -0.5).otherwise(0.0)).alias(c)
-    return points.select("ring.layer", "ring", "pos", on("x", 0, 2), on("y", 1, 3))
+    on = lambda c, d, plus, minus: F.col(c) + F.when(F.col(d) == plus, 0.5).when(F.col(d) == minus, -0.5).otherwise(0.0)
+    return points.select("ring.layer", "ring", "pos", on("x", "d", 0, 2).alias("x"), on("y", "d", 1, 3).alias("y"), on("x", "came", 2, 0).alias("bx"), on("y", "came", 3, 1).alias("by"))
 
 
 def isolines(cells: DataFrame, level: float = 0.5) -> DataFrame:

@@ -257,12 +257,8 @@ def _(t: Tables) -> DataFrame:
     """Points and area of every line around sun, shade and buildings, over tiles with gaps."""
     k = F.col("p_partkey")
     cells = t.read("part").where("p_partkey % 13 <> 0").select((k % 97).alias("i"), F.floor(k / 97).alias("j"), (F.col("p_size") % 5 != 0).alias("outdoor"), (F.col("p_size") % 2 == 0).alias("sunny"))
-    p = checks.cut(contours.unified_contours(cells))
-    size = p.groupBy("layer", "ring").agg(F.count("*").alias("n"))
-    after = p.join(size, ["layer", "ring"]).select("layer", "ring", F.pmod(F.col("pos") - 1, F.col("n")).alias("pos"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    both = p.join(after, ["layer", "ring", "pos"])
-    area = F.sum(F.col("x") * F.col("by") - F.col("bx") * F.col("y")) / 2
-    return both.groupBy("layer", "ring").agg(F.count("*").alias("points"), area.alias("area")).select("layer", F.col("ring.x").cast("bigint").alias("rx"), F.col("ring.y").cast("bigint").alias("ry"), "points", "area")
+    area = F.sum(F.col("bx") * F.col("y") - F.col("x") * F.col("by")) / 2
+    return contours.unified_contours(cells).groupBy("layer", "ring").agg(F.count("*").alias("points"), area.alias("area")).select("layer", F.col("ring.x").cast("bigint").alias("rx"), F.col("ring.y").cast("bigint").alias("ry"), "points", "area")
 
 
 @query("dq05_no_elevation", "SELECT p_brand AS tile, count(*) AS points FROM part WHERE p_size % 5 > 0 GROUP BY p_brand HAVING count(*) FILTER (WHERE p_size > 45) = 0")
