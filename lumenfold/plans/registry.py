@@ -11,6 +11,9 @@ from ..sources.tables import Tables, sql
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+#: Bytes of a method beyond which HotSpot never compiles it: a stage whose generated loop is longer runs operator by operator instead. (Fixed value.)
+COMPILED = 8000
+
 
 def query(name: str, body: str | None = None, *logical: str) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
     """Register a function of the tables under a name; body is DuckDB's statement over the named logical tables."""
@@ -21,6 +24,7 @@ def query(name: str, body: str | None = None, *logical: str) -> Callable[[Callab
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            spark.conf.set("spark.sql.codegen.hugeMethodLimit", COMPILED)
             return f(Tables(spark, sf_dir))
 
         run.__name__, run.__doc__ = name, f.__doc__
