@@ -27,12 +27,12 @@ MASKS = ("terrain", "buildings", "vegetation", "sun", "sun_without_vegetation")
 
 def terrain(tiles: DataFrame, cells: DataFrame, step: float = 5.0, reach: float = 500.0) -> Evaluator:
     """The ground of rasters (see rasters.sample) marched over."""
-    return lambda rays: rasters.terrain_blocked(rasters.marched(rays, tiles, cells, step, reach), "ray").select("ray")
+    return lambda rays: rasters.first_blocked(rasters.terrain_blocked, rays, tiles, cells, step, reach, "ray").select("ray")
 
 
 def vegetation(tiles: DataFrame, cells: DataFrame, step: float = 2.0, reach: float = 120.0) -> Evaluator:
     """The canopy of rasters marched over."""
-    return lambda rays: rasters.vegetation_blocked(rasters.marched(rays, tiles, cells, step, reach), "ray").select("ray")
+    return lambda rays: rasters.first_blocked(rasters.vegetation_blocked, rays, tiles, cells, step, reach, "ray").select("ray")
 
 
 def buildings(obstacles: DataFrame, mode: str = "prism", triangles: DataFrame | None = None, reach: float = 400.0) -> Evaluator:
@@ -60,19 +60,19 @@ def verdicts(
     clear, hidden = rays, None
     if profile is not None:
         at = index.horizon_blocked(rays.withColumn("az_bin", sun.azimuth_bin("azimuth")), profile).where("blocked").select("ray")
-        hidden, clear = at, clear.join(at, "ray", "left_anti")
+        hidden, clear = at, clear.join(at.hint("merge"), "ray", "left_anti")
     if ground is not None:
         at = ground(clear).select("ray").distinct()
         hidden = at if hidden is None else hidden.unionByName(at)
     if hidden is not None:
         hidden = cut(hidden)  # used by all that follows: marched over once
-    open_ = rays if all_blockers or hidden is None else rays.join(hidden, "ray", "left_anti")
+    open_ = rays if all_blockers or hidden is None else rays.join(hidden.hint("merge"), "ray", "left_anti")
     out, flags = rays.select("ray"), []
     for name, blocked in (("terrain", hidden), ("buildings", built and built(open_).select("ray").distinct()), ("vegetation", green and green(open_).select("ray").distinct())):
         if blocked is None:
             flags.append(F.lit(False).alias(name))
             continue
-        out = out.join(blocked.withColumn(f"__{name}", F.lit(True)), "ray", "left")
+        out = out.join(blocked.withColumn(f"__{name}", F.lit(True)).hint("merge"), "ray", "left")
         flags.append(F.coalesce(F.col(f"__{name}"), F.lit(False)).alias(name))
     t, b, g = (f for f in flags)
     return out.select("ray", *flags, (~t & ~b & ~g).alias("sun"), (~t & ~b).alias("sun_without_vegetation"))

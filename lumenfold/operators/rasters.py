@@ -7,6 +7,8 @@ equi-join whatever the raster's size.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,11 +47,11 @@ def sample(points: DataFrame, tiles: DataFrame, cells: DataFrame) -> DataFrame:
     return on.select(*points.columns, "tile", "rx", "ry").join(cells, ["tile", "rx", "ry"], "left").select(*points.columns, "value")
 
 
-def march(rays: DataFrame, step: float, reach: float) -> DataFrame:
-    """rays (x, y, azimuth) with a row for each distance step, 2 step, ... up to reach: dist, sx, sy."""
+def march(rays: DataFrame, step: float, reach: float, after: int = 0) -> DataFrame:
+    """rays (x, y, azimuth) with a row for each distance step, 2 step, ... up to reach, the first ``after`` of them left out: dist, sx, sy."""
     n = int(reach // step)
     turn = F.radians("azimuth")
-    out = rays.withColumn("dist", F.explode(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: k * float(step))))
+    out = rays.withColumn("dist", F.explode(F.transform(F.sequence(F.lit(after + 1), F.lit(n)), lambda k: k * float(step))))
     return out.withColumn("sx", F.col("x") + F.sin(turn) * F.col("dist")).withColumn("sy", F.col("y") + F.cos(turn) * F.col("dist"))
 
 
@@ -66,7 +68,7 @@ def _within(cells: DataFrame, tiles: DataFrame, box: tuple[float, float, float,
     return on.where(F.col("rx").between(F.col("__x0"), F.col("__x1")) & F.col("ry").between(F.col("__y0"), F.col("__y1"))).select(cells.columns)
 
 
-def marched(rays: DataFrame, tiles: DataFrame, cells: DataFrame, step: float, reach: float) -> DataFrame:
+def marched(rays: DataFrame, tiles: DataFrame, cells: DataFrame, step: float, reach: float, after: int = 0) -> DataFrame:
     """sample() of march() for rays (x, y, z, azimuth, altitude) above the horizon, without the steps at which they pass above every cell.
 
     Only cells of the rays' own surroundings take part; where they are few they come to the rays, and no step is moved.
@@ -74,12 +76,25 @@ def marched(rays: DataFrame, tiles: DataFrame, cells: DataFrame, step: float, re
     up = rays.where("altitude > 0")
     lo_x, lo_y, hi_x, hi_y = up.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
     if lo_x is None or lo_y is None:
-        return sample(march(up, step, reach), tiles, cells)
+        return sample(march(up, step, reach, after), tiles, cells)
     far = reach + step
     near = spatial.cut(_within(cells, tiles, (lo_x - far, lo_y - far, hi_x + far, hi_y + far)))
     top = near.agg(F.max("value")).first()[0]
     low = F.col("dist") * F.tan(F.radians("altitude")) <= F.lit(top).cast("double") - F.col("z") + 1e-6
-    return sample(march(spatial.dealt(up, spatial.RAYS), step, reach).where(low), tiles, spatial.small(near))
+    return sample(march(spatial.dealt(up, spatial.RAYS), step, reach, after).where(low), tiles, spatial.small(near))
+
+
+def first_blocked(blocked: Callable[[DataFrame, str], DataFrame], rays: DataFrame, tiles: DataFrame, cells: DataFrame, step: float, reach: float, key: str) -> DataFrame:
+    """terrain_blocked() or vegetation_blocked() (blocked) of marched(). Keys are not null.
+
+    Many rays are marched over a part of their reach first, and only those that are clear so far over the rest of it.
+    """
+    part = int(reach * spatial.NEARER // step)
+    if not 0 < part < int(reach // step) or rays.limit(spatial.MANY + 1).count() <= spatial.MANY:
+        return blocked(marched(rays, tiles, cells, step, reach), key)
+    soon = spatial.cut(blocked(marched(rays, tiles, cells, step, part * step), key))
+    rest = spatial.cut(rays.join(soon.select(key).hint("merge"), key, "left_anti"))
+    return soon.unionByName(blocked(marched(rest, tiles, cells, step, reach, part), key))
 
 
 def terrain_blocked(sampled: DataFrame, key: str, gate: float = 30.0) -> DataFrame:
